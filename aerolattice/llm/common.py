@@ -37,3 +37,20 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 def text_or_empty(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit(""))
+
+
+def slices(batches, column: str, most_bytes: int):
+    """Arrow batches cut so that a slice's texts stay under ``most_bytes``, or a slice is one row."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        ends, at = np.cumsum(sizes), 0
+        while at < batch.num_rows:
+            done = ends[at - 1] if at else 0
+            to = max(at + 1, int(np.searchsorted(ends, done + most_bytes, side="right")))
+            yield batch.slice(at, to - at)
+            at = to

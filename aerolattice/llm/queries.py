@@ -6,18 +6,37 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, licenses, mixing, secrets
+from . import bpe, exact_dedup, language_id, licenses, mixing, secrets, url_filter
 from .common import table
 
 
+def tokenizer_path() -> str:
+    """The byte-level vocabulary that the contract names, where the installed tokenizer files are."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_digest(table(spark, sf_dir, "documents"))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify_languages(table(spark, sf_dir, "documents"))
+
+
 def op3_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.filter_urls(table(spark, sf_dir, "pages"))
+
+
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
@@ -28,12 +47,16 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scans": op1_secret_scans,
+    "op2_language_id": op2_language_id,
     "op3_license_scans": op3_license_scans,
+    "op4_bpe": op4_bpe,
+    "op5_url_filters": op5_url_filters,
     "op6_source_mixing": op6_source_mixing,
     "op9_exact_dedup": op9_exact_dedup,
 }
 ORACLES: dict[str, str] = {
     "op3_license_scans": licenses.oracle(),
+    "op5_url_filters": url_filter.oracle(),
     "op6_source_mixing": mixing.oracle(),
     "op9_exact_dedup": exact_dedup.ORACLE,
 }
