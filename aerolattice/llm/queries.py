@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, language_id, licenses, mixing, secrets, url_filter
+from . import bpe, edit_fingerprint, exact_dedup, language_id, licenses, mixing, secrets, toxicity, url_filter
 from .common import table
 
 
@@ -41,6 +41,14 @@ def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.detect(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edit_fingerprint.fingerprint(table(spark, sf_dir, "documents"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -52,6 +60,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_bpe": op4_bpe,
     "op5_url_filters": op5_url_filters,
     "op6_source_mixing": op6_source_mixing,
+    "op7_toxicity": op7_toxicity,
+    "op8_document_fingerprints": op8_document_fingerprints,
     "op9_exact_dedup": op9_exact_dedup,
 }
 ORACLES: dict[str, str] = {
