@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, edit_fingerprint, exact_dedup, language_id, licenses, mixing, secrets, toxicity, url_filter
+from . import bpe, edit_fingerprint, exact_dedup, language_id, licenses, mixing, secrets, setsketch, toxicity, url_filter
 from .common import table
 
 
@@ -53,6 +53,10 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setsketch.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scans": op1_secret_scans,
     "op2_language_id": op2_language_id,
@@ -63,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_toxicity": op7_toxicity,
     "op8_document_fingerprints": op8_document_fingerprints,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
 ORACLES: dict[str, str] = {
     "op3_license_scans": licenses.oracle(),
