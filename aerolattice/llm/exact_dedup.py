@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import stored, text_or_empty
 
 SALTS = 32
 
@@ -48,7 +48,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # One row for each repeated digest and salt, so that the copies of a hot text spread over `salts` tasks.
     many = counted.filter("rows > 1").select("text_sha256", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
     salted = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int")).join(many, ["text_sha256", "salt"], "left_semi")
-    salted = salted.withColumn("merit", _merit("n", "doc_id"))
+    # Copies are compared twice below; they are kept, so that the texts are shuffled once.
+    salted = stored(salted.select("text_sha256", "salt", "body", "doc_id", _merit("n", "doc_id").alias("merit")), "copies")
     local = salted.groupBy("text_sha256", "salt", "body").agg(F.count("*").alias("rows"), F.max("merit").alias("merit"), F.max_by("doc_id", "merit").alias("keep_id"))
     whole = local.groupBy("text_sha256", "body").agg(F.sum("rows").alias("group_size"), F.max_by("keep_id", "merit").alias("keep_id"))
 
