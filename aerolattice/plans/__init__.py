@@ -6,5 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from ..session import ship_package
+from . import archive, calibration, geo, pairing, ranking, series, thermal
+
+_ALL: dict[str, tuple] = {}
+for _module in (thermal, series, pairing, archive, calibration, ranking, geo):
+    _ALL |= _module.QUERIES
+
+
+def _ready(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship_package(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _ready(q) for name, (q, _) in _ALL.items()}
+ORACLES: dict[str, str] = {name: sql for name, (_, sql) in _ALL.items() if sql}
