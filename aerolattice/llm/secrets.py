@@ -22,6 +22,8 @@ from .common import stored, text_or_empty
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 KINDS = [("assign", ASSIGN, 2, 12), ("access", "AKIA[A-Z0-9]{14,}", 0, 18), ("hex", "[0-9a-f]{16,}", 0, 16)]
 RANDOM = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+"
+#: Runs that an access, hex or random span must lie in; one pass over a text finds them, and the rest looks at them.
+RUN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+"
 ALPHABETS = {
     "hex": "0123456789abcdef",
     "upper_hex": "0123456789ABCDEF",
@@ -48,7 +50,11 @@ def _spans(text: Column, kind: int, pattern: str, group: int, least: int) -> Col
         here = F.array(F.struct(F.lit(kind).alias("kind"), start.alias("start"), (start + x["len"]).alias("end")))
         return F.struct((start + x["len"]).alias("at"), F.when(x["own"] >= least, F.concat(acc["out"], here)).otherwise(acc["out"]).alias("out"))
 
-    return F.when(text.rlike(pattern), F.aggregate(parts, empty, step, lambda acc: acc["out"])).otherwise(F.lit([]).cast(SPAN))
+    return F.aggregate(parts, empty, step, lambda acc: acc["out"])
+
+
+def _where(test: Column, spans: Column) -> Column:
+    return F.when(test, spans).otherwise(F.lit([]).cast(SPAN))
 
 
 def _erfc(x: Column) -> Column:
@@ -104,17 +110,30 @@ def battery(token: Column, alphabet: Column) -> Column:
     return F.aggregate(F.array(values), F.lit(None).cast("struct<n:int,p_random:double,evidence:double>"), lambda _, v: of(v))
 
 
-def candidates(text: Column) -> Column:
-    """Random-looking tokens of a text: ``start, end, n, p_random, evidence`` of each candidate the battery accepts."""
-    spans = _spans(text, 3, RANDOM, 0, 20)
+def _tested(token: Column) -> Column:
     alphabets = F.create_map(*(F.lit(x) for pair in ALPHABETS.items() for x in pair))
+    return battery(token, F.element_at(alphabets, encoding(token)))
+
+
+def candidates(text: Column, runs: Column) -> Column:
+    """Random-looking tokens of a text: ``span`` and ``test`` of each token that the battery accepts. ``runs`` are the
+    text's runs; places are worked out only where one of them is accepted."""
+    accepted = F.exists(F.filter(runs, lambda t: (F.length(t) >= 20) & encoding(t).isNotNull()), lambda t: _tested(t)["p_random"] >= ALPHA)
+    spans = _where(accepted, _spans(text, 3, RANDOM, 0, 20))
+    token = lambda s: F.substring(text, s["start"] + 1, s["end"] - s["start"])
+    known = F.filter(spans, lambda s: encoding(token(s)).isNotNull())
+    tests = F.transform(known, lambda s: F.struct(s.alias("span"), _tested(token(s)).alias("test")))
+    return F.filter(tests, lambda x: x["test"]["p_random"] >= ALPHA)
 
-    def tested(s: Column) -> Column:
-        token = F.substring(text, s["start"] + 1, s["end"] - s["start"])
-        return F.struct(s.alias("span"), battery(token, F.element_at(alphabets, encoding(token))).alias("test"))
 
-    known = F.filter(spans, lambda s: encoding(F.substring(text, s["start"] + 1, s["end"] - s["start"])).isNotNull())
-    return F.filter(F.transform(known, tested), lambda x: x["test"]["p_random"] >= ALPHA)
+def base_spans(text: Column, runs: Column) -> Column:
+    """The spans of the fixed kinds. Each pattern runs only over texts that hold what it needs."""
+    needs = [
+        (text.contains("=") | text.contains(":")) & text.rlike(ASSIGN),
+        F.exists(runs, lambda t: t.rlike(KINDS[1][1])),
+        F.exists(runs, lambda t: t.rlike(KINDS[2][1])),
+    ]
+    return F.concat(*(_where(need, _spans(text, k, pattern, group, least)) for k, (need, (_, pattern, group, least)) in enumerate(zip(needs, KINDS))))
 
 
 def _stratum(n: Column) -> Column:
@@ -142,8 +161,8 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     text = F.col("_text")
     rows = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("_text"))
-    base = F.concat(*(_spans(text, k, pattern, group, least) for k, (_, pattern, group, least) in enumerate(KINDS)))
-    rows = rows.select("doc_id", base.alias("base"), candidates(text).alias("tokens"))
+    rows = rows.withColumn("_runs", F.regexp_extract_all("_text", F.lit(RUN), F.lit(0)))
+    rows = rows.select("doc_id", base_spans(text, F.col("_runs")).alias("base"), candidates(text, F.col("_runs")).alias("tokens"))
     free = F.filter("tokens", lambda t: ~F.exists("base", lambda b: (b["start"] < t["span"]["end"]) & (t["span"]["start"] < b["end"])))
     bin_of = lambda t: F.least(F.floor(t["test"]["evidence"] * 10), F.lit(BINS)).cast("int")
     found = F.transform(free, lambda t: F.struct(t["span"].alias("span"), _stratum(t["test"]["n"]).alias("stratum"), bin_of(t).alias("bin")))
