@@ -238,7 +238,8 @@ def near_links(docs: DataFrame, sketches: DataFrame) -> tuple[DataFrame, DataFra
 
     # Full sets of the documents that share a bucket with another, from their whole texts.
     used = pairs.select(F.col("hub").alias("node")).union(pairs.select("node")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), text_or_empty().alias("text")).join(used, "node", "left_semi")
+    # The ids grow with the corpus: they are never broadcast, at any size.
+    texts = docs.select(F.col("doc_id").cast("long").alias("node"), text_or_empty().alias("text")).join(used.hint("merge"), "node", "left_semi")
     sets = texts.mapInArrow(_sets, "node long, shingles binary").dropDuplicates(["node"])
     full = stored(nodes.join(sets, "node").select("node", "n", "registers", "shingles"), "sets")
 
