@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import score_clip
 from ..functions.thermal import clip
+from ..session import stored
 from .windows import pct_rank, rank_desc, ranked
 
 # Weights of the hazard score's parts and of the risk score.
@@ -19,9 +20,10 @@ RISK = {"hazard_score": 0.62, "vulnerability_score": 0.23, "exposure_score": 0.1
 
 def hazard_scores(cells: DataFrame, vulnerability: str, exposure: str) -> DataFrame:
     """Hazard and risk scores of ``hotspot_agg`` rows, and their ranks by risk, hazard, peak UTCI and cell."""
+    cells = stored(cells, "cells")  # one row for each cell; six ranks read it
     out = cells
     for c in ("max_utci_c", "p90_utci_c", "mean_utci_c", "max_wbgt_c", vulnerability, exposure):
-        out = pct_rank(out, c, f"_r_{c}")
+        out = pct_rank(out, c, f"_r_{c}", base=cells)
     r = lambda c: F.col(f"_r_{c}")
     zero = lambda x: F.coalesce(clip(x, 0, 1), F.lit(0.0))
     parts = {
@@ -74,7 +76,7 @@ def entering_leaving(a: DataFrame, b: DataFrame, key: str, rank: str, n: int) ->
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     """Correlation of average-tie ranks over rows where both are known."""
     rows = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
-    both = pct_rank(pct_rank(rows, x, "_rx"), y, "_ry")
+    both = pct_rank(pct_rank(rows, x, "_rx"), y, "_ry", base=rows)
     return both.agg(F.count("*").alias("n"), F.corr("_rx", "_ry").alias("spearman"))
 
 

@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 from ..functions.thermal import clip
 
 
-def pct_rank(df: DataFrame, col: str, out: str, by: Sequence[str] = ()) -> DataFrame:
+def pct_rank(df: DataFrame, col: str, out: str, by: Sequence[str] = (), base: DataFrame | None = None) -> DataFrame:
     """Average-tie percentile rank within ``by``; null gives 0. Ranks are made on counts of distinct values, so a global
-    rank sorts values and not rows."""
+    rank sorts values and not rows. ``base`` has the values, where ``df`` is a longer plan over the same rows."""
     keys = list(by)
-    counts = df.filter(F.col(col).isNotNull()).groupBy(*keys, col).agg(F.count("*").alias("_ties"))
+    counts = (df if base is None else base).filter(F.col(col).isNotNull()).groupBy(*keys, col).agg(F.count("*").alias("_ties"))
     below = F.coalesce(F.sum("_ties").over(Window.partitionBy(*keys).orderBy(col).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     total = F.sum("_ties").over(Window.partitionBy(*keys))
     ranks = counts.select(*(F.col(k).alias(f"_{k}") for k in keys), F.col(col).alias("_value"), ((below + (F.col("_ties") + 1) / 2) / total).alias(out))
