@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship_package
-from . import archive, calibration, geo, pairing, ranking, series, thermal
+from . import archive, calibration, geo, ingest, pairing, ranking, series, thermal
 
 _ALL: dict[str, tuple] = {}
-for _module in (thermal, series, pairing, archive, calibration, ranking, geo):
+for _module in (thermal, series, pairing, archive, calibration, ranking, geo, ingest):
     _ALL |= _module.QUERIES
 
 

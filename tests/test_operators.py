@@ -202,3 +202,24 @@ def test_greedy_respects_distance(spark):
     rows = [(i, "k", float(i % 10) * 10, float(i // 10) * 10, float(-i)) for i in range(40)]
     got = R.greedy_diverse_topk(spark.createDataFrame(rows, "cell long, kind string, x double, y double, s double"), "kind", "s", "cell", 4, 25.0).collect()
     assert len(got) == 4 and all(math.hypot(a.x - b.x, a.y - b.y) >= 25 for a in got for b in got if a.cell != b.cell) and min(r.cell for r in got) == 0
+
+
+def test_ring_overlap_of_concave_rings():
+    from aerolattice.operators.rings import clipped, overlap, signed_area
+
+    ell = [(0, 0), (4, 0), (4, 1), (1, 1), (1, 4), (0, 4)]
+    square = [(0.5, 0.5), (3, 0.5), (3, 3), (0.5, 3)]
+    want = 2.5 * 0.5 + 0.5 * 2.0  # the foot and the leg inside the square
+    assert overlap(ell, square) == pytest.approx(want) == overlap(square[::-1], ell)
+    assert abs(signed_area(clipped(ell, square))) == pytest.approx(want)
+    assert overlap(ell, [(9, 9), (10, 9), (10, 10)]) == 0.0
+
+
+def test_nearest_polygon_and_first_containing(spark):
+    from aerolattice.operators import rings as RG
+
+    ring = F.array(*(F.struct((F.col("x0") + dx).alias("x"), (F.col("y0") + dy).alias("y")) for dx, dy in ((0.0, 0.0), (10.0, 0.0), (10.0, 10.0), (0.0, 10.0))))
+    rings = spark.createDataFrame([("a", 0.0, 0.0), ("b", 5.0, 5.0)], "name string, x0 double, y0 double").withColumn("ring", ring)
+    points = spark.createDataFrame([(1, 7.0, 7.0), (2, 18.0, 9.0), (3, 500.0, 0.0)], "p long, px double, py double")
+    assert {r.p: (r.distance, r.name) for r in RG.nearest_polygon(points, rings, "p", "name", 20.0).collect()} == {1: (0.0, "a"), 2: (3.0, "b"), 3: (9999.0, None)}
+    assert {r.p: r.name for r in RG.first_containing(points, rings, "p", "name", 20.0).collect()} == {1: "a", 2: None, 3: None}
