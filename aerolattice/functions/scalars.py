@@ -260,3 +260,37 @@ def green_masks(r: Column, g: Column, b: Column) -> dict[str, Column]:
     dominant = (g > r) & (g > b)
     bright_yellow = (r > 180) & (g > 180) & (b < 120)
     return {"excess_green": (excess > 20).cast("int"), "dominant_green": dominant.cast("int"), "strong_green": (dominant & (excess > 40) & ~bright_yellow).cast("int")}
+
+
+def height_proxy(density: Column, land_use: Column) -> Column:
+    """Mean building height where none is known, from density and land-use class."""
+    base = 4 + 42 * F.coalesce(density, F.lit(0.0)) + F.when(land_use == "commercial", 8).when(land_use == "residential", 4).otherwise(0)
+    return clip(F.when(land_use.isin("park_open_space", "water"), 2.0).otherwise(base), 2, 55)
+
+
+def canopy_proxy(park_m: Column, land_use: Column) -> Column:
+    """Tree canopy fraction from the distance to a park and the land-use class."""
+    extra = F.when(land_use == "park_open_space", 0.25).when(land_use == "residential", 0.05).otherwise(0.0)
+    return clip(0.05 + 0.35 * F.exp(-F.coalesce(park_m, F.lit(9999.0)) / 300.0) + extra, 0.02, 0.75)
+
+
+def greenery_fraction(tree: Column, grass: Column, ndvi: Column) -> Column:
+    """Greenery from tree and grass cover and a vegetation index; the green-view percentage is 60 times this, 70 at most."""
+    unit = lambda c: clip(F.coalesce(c, F.lit(0.0)), 0, 1)
+    return clip(F.greatest(unit(tree), 0.55 * unit(grass), 0.45 * unit((ndvi - 0.12) / 0.60)), 0, 1)
+
+
+def morphology_proxy(density: Column, height: Column, road: Column, tree: Column, size: float = 100.0) -> dict[str, Column]:
+    """Screening values of sky view and shade from density, height, roads and trees."""
+    zero = lambda c, top=1.0: clip(F.coalesce(c, F.lit(0.0)), 0, top)
+    d, h, r, t = zero(density), clip(F.coalesce(height, F.lit(10.0)), 0, 80), zero(road), zero(tree)
+    sky = 1.0 / (1.0 + 0.55 * h / size + 1.8 * d) + 0.10 * r
+    shade = 0.08 + 0.55 * d + 0.28 * clip(h / 40.0, 0, 1) + 0.25 * t - 0.15 * r
+    return {"svf": clip(sky, 0.18, 0.98), "shade_fraction": clip(shade, 0.04, 0.90)}
+
+
+def impervious_fraction(density: Column, road: Column, built: Column, green: Column, water: Column, weights: tuple[float, float, float, float] = (0.5, 0.5, 0.35, 0.75)) -> Column:
+    """Sealed ground: vector and satellite built-up shares less greenery and water."""
+    unit = lambda c: clip(F.coalesce(c, F.lit(0.0)), 0, 1)
+    wv, wb, wg, ww = weights
+    return clip(wv * clip(unit(density) + unit(road), 0, 1) + wb * unit(built) - wg * unit(green) - ww * unit(water), 0, 1)

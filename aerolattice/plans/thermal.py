@@ -123,4 +123,20 @@ CELL_SCALARS_SQL = f"""{duck("cells")}, k as (select *, case when cell % 5 = 0 a
     sqrt(1 - (power(sin(radians(1.335 - la) / 2), 2) + cos(radians(la)) * cos(radians(1.335)) * power(sin(radians(103.855 - lo) / 2), 2)))), 3) as to_centre_m,
   trim(regexp_replace(upper(land_use || '-' || cell), '[^A-Z0-9]+', ' ', 'g')) as name from k"""
 
-QUERIES = {"thermal_indices": (thermal_indices, THERMAL_SQL), "hotspot_ranking": (hotspot_ranking, HOTSPOT_SQL), "event_windows": (event_windows, EVENTS_SQL), "time_features": (time_features, TIME_SQL), "cell_scalars": (cell_scalars, CELL_SCALARS_SQL)}
+def morphology_proxies(spark: SparkSession, d: str) -> DataFrame:
+    c = adapter(spark, d, "cells").withColumn("lu", F.element_at(F.array(*(F.lit(x) for x in ("commercial", "residential", "park_open_space", "transport"))), (F.col("cell") % 4 + 1).cast("int")))
+    tree, height = S.canopy_proxy(F.col("park"), F.col("lu")), S.height_proxy(F.col("density"), F.col("lu"))
+    green = S.greenery_fraction(tree, F.col("shade"), F.col("svf"))
+    parts = S.morphology_proxy(F.col("density"), height, F.col("road"), tree) | {"tree": tree, "height": height, "green": green, "impervious": S.impervious_fraction(F.col("density"), F.col("road"), F.col("elderly"), green, F.col("outdoor"))}
+    return c.select("cell", *(F.round(v, 6).alias(k) for k, v in parts.items()))
+
+
+MORPHOLOGY_SQL = f"""{duck("cells")}, k as (select *, case cell % 4 when 0 then 'commercial' when 1 then 'residential' when 2 then 'park_open_space' else 'transport' end as lu from cells),
+ t as (select *, least(0.75, greatest(0.02, 0.05 + 0.35 * exp(-park / 300.0) + case lu when 'park_open_space' then 0.25 when 'residential' then 0.05 else 0 end)) as tree,
+  case when lu = 'park_open_space' then 2.0 else least(55, greatest(2, 4 + 42 * density + case lu when 'commercial' then 8 when 'residential' then 4 else 0 end)) end as height from k),
+ g as (select *, least(1, greatest(tree, 0.55 * shade, 0.45 * least(1, greatest(0, (svf - 0.12) / 0.6)))) as green from t)
+ select cell, round(least(0.98, greatest(0.18, 1.0 / (1.0 + 0.55 * height / 100 + 1.8 * density) + 0.1 * road)), 6) as svf,
+  round(least(0.9, greatest(0.04, 0.08 + 0.55 * density + 0.28 * least(1, height / 40.0) + 0.25 * tree - 0.15 * road)), 6) as shade_fraction, round(tree, 6) as tree, round(height, 6) as height, round(green, 6) as green,
+  round(least(1, greatest(0, 0.5 * least(1, density + road) + 0.5 * elderly - 0.35 * green - 0.75 * outdoor)), 6) as impervious from g"""
+
+QUERIES = {"morphology_proxies": (morphology_proxies, MORPHOLOGY_SQL), "thermal_indices": (thermal_indices, THERMAL_SQL), "hotspot_ranking": (hotspot_ranking, HOTSPOT_SQL), "event_windows": (event_windows, EVENTS_SQL), "time_features": (time_features, TIME_SQL), "cell_scalars": (cell_scalars, CELL_SCALARS_SQL)}
