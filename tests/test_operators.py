@@ -174,9 +174,9 @@ def test_dbscan_brute_force(spark):
 
 
 def test_demographics_carries_parents(spark):
-    rows = spark.createDataFrame([("k", 1, "Toa - Total", 100.0, 10.0, 20.0), ("k", 2, "Lorong", 40.0, 4.0, 10.0)], "g string, n int, label string, total double, y double, o double")
+    rows = spark.createDataFrame([("k", 1, "North - Total", 100.0, 10.0, 20.0), ("k", 2, "Lorong", 40.0, 4.0, 10.0)], "g string, n int, label string, total double, y double, o double")
     got = A.demographics(rows, "label", "n", ["g"], "total", ["y"], ["o"]).orderBy("n").collect()
-    assert [(r.parent, r.is_parent, r.young_share, r.old_share) for r in got] == [("Toa", True, 0.1, 0.2), ("Toa", False, 0.1, 0.25)]
+    assert [(r.parent, r.is_parent, r.young_share, r.old_share) for r in got] == [("North", True, 0.1, 0.2), ("North", False, 0.1, 0.25)]
 
 
 def test_tables(spark):
