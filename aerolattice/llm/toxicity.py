@@ -4,9 +4,10 @@ The categories are predicted in order. Each model sees the document's words and
 models gave. Those probabilities are out of fold while a later model is trained (each fold is scored by a model that
 didn't see it), so that it learns how far an earlier model can be trusted.
 
-Words are chosen by their association with a category over a bounded sample of labelled rows: a word must occur more
-often in the category than chance allows, at a level that is divided by the number of words tried. Long documents hold
-many rare words; without this choice their weights would drown the few that matter.
+Features are words and the stems of longer words, so that inflected forms not seen in training count too. They are
+chosen by their association with a category over a bounded sample of labelled rows: one must occur more often in the
+category than chance allows, at a level that is divided by the number tried. Long documents hold many rare words; without
+this choice their weights would drown the few that matter.
 """
 
 from __future__ import annotations
@@ -28,9 +29,34 @@ SLICE_BYTES = 4_000_000
 TOKEN = r"[\p{L}\p{M}\p{N}_']+"
 
 
+#: Lengths of the stems that stand for a longer word's inflected forms.
+STEMS = (4, 5)
+
+
 def words_of(text: Column) -> Column:
-    """The distinct lower-case words of a whole text."""
-    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0)))
+    """The distinct lower-case words of a whole text, and the stems of longer words, marked by ``*``."""
+    words = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0)))
+    stems = [F.transform(F.filter(words, lambda w, n=n: F.length(w) > n), lambda w, n=n: F.concat(F.substring(w, 1, n), F.lit("*"))) for n in STEMS]
+    return F.array_distinct(F.concat(words, *stems))
+
+
+class Finder:
+    """Finds the chosen words and stems in texts as ``words_of`` would; whole words and stems are looked up apart."""
+
+    def __init__(self, words: Sequence[str]):
+        import regex
+
+        self.tokens = regex.compile(TOKEN).findall
+        self.whole = {w: k for k, w in enumerate(words) if not w.endswith("*")}
+        self.stems = {n: {w[:-1]: k for k, w in enumerate(words) if w.endswith("*") and len(w) == n + 1} for n in STEMS}
+
+    def places(self, text: str) -> list[int]:
+        words = set(self.tokens(text.lower()))
+        out = [self.whole[w] for w in self.whole.keys() & words]
+        for n, stems in self.stems.items():
+            if stems:
+                out += [stems[s] for s in stems.keys() & {w[:n] for w in words if len(w) > n}]
+        return out
 
 
 @dataclass
@@ -95,7 +121,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, categories: dict[str, Co
     marks = marks.crossJoin(F.broadcast(total)).filter(place < F.lit(1_000_000.0 * rows) / F.col("n")).drop("n")
     marks = marks.withColumn("fold", F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(FOLDS)).cast("int"))
     texts = docs.select("doc_id", "text").filter(F.col("text").isNotNull())
-    return texts.join(marks, "doc_id").select("doc_id", "fold", words_of(F.col("text")).alias("words"), *categories)
+    # The marks are about `rows` rows, whatever the corpus holds: that bound allows a broadcast, and texts stay in place.
+    return texts.join(F.broadcast(marks), "doc_id").select("doc_id", "fold", words_of(F.col("text")).alias("words"), *categories)
 
 
 def choose_words(sample: DataFrame, categories: Sequence[str], most: int = WORDS) -> list[str]:
@@ -139,14 +166,12 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], rows:
 
 def _rows(batches, chain: Chain):
     """Slices of the input, each with its probabilities (rows x categories)."""
-    import regex
-
-    find, place = regex.compile(TOKEN).findall, {w: k for k, w in enumerate(chain.words)}
+    find = Finder(chain.words)
     for part in slices(batches, "text", SLICE_BYTES):
         x = np.zeros((part.num_rows, len(chain.words)))
         for k, text in enumerate(part.column("text").to_pylist()):
             if text:
-                x[k, [place[w] for w in place.keys() & set(find(text.lower()))]] = 1
+                x[k, find.places(text)] = 1
         yield part, chain.predict(x)
 
 
