@@ -12,8 +12,9 @@ import hashlib
 import heapq
 import json
 from collections import defaultdict
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,7 +24,7 @@ from .common import slices, text_or_empty
 # Fixed value: the pre-tokeniser of byte-level vocabularies of this family.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Texts of one slice, and pieces that a task remembers.
-SLICE_BYTES, CACHE = 2_000_000, 150_000
+SLICE_BYTES, CACHE = 4_000_000, 150_000
 
 
 def byte_symbols() -> list[str]:
@@ -43,53 +44,82 @@ class Bpe:
         vocab = spec["model"]["vocab"]
         stand_in = byte_symbols()
         back = {c: b for b, c in enumerate(stand_in)}
-        self.byte_id = [vocab[c] for c in stand_in]
+        self.byte_ids = np.array([vocab[c] for c in stand_in], np.int64)
         self.token_bytes = {i: bytes(back[c] for c in t) for t, i in vocab.items()}
         merges = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
-        self.rank = {(vocab[a], vocab[b]): r for r, (a, b) in reversed(list(enumerate(merges)))}
-        self.product = [vocab[a + b] for a, b in merges]
+        self.merges = [(vocab[a], vocab[b], vocab[a + b]) for a, b in merges]
+        keys = np.array([(a << 20) | b for a, b, _ in self.merges], np.int64)
+        self.pair_keys, self.pair_ranks = np.unique(keys, return_index=True)
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.token_bytes |= {i: t.encode() for t, i in self.special.items()}
         self.pieces = regex.compile(PATTERN).findall
         names = sorted(self.special, key=len, reverse=True)
         self.split = regex.compile("(" + "|".join(map(regex.escape, names)) + ")").split if names else lambda text: [text]
 
-    def merge(self, pieces: Iterable[str]) -> dict[str, list[int]]:
+    def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The ranks of pairs of symbols, -1 where a pair doesn't merge."""
+        keys = (left.astype(np.int64) << 20) | right
+        at = np.minimum(np.searchsorted(self.pair_keys, keys), len(self.pair_keys) - 1)
+        return np.where(self.pair_keys[at] == keys, self.pair_ranks[at], -1)
+
+    def merge(self, pieces: Sequence[str]) -> dict[str, list[int]]:
         """The ids of distinct pieces, by one sweep over their pair occurrence index."""
-        symbols: list[int] = []
-        starts: list[tuple[str, int, int]] = []
-        for piece in pieces:
-            at = len(symbols)
-            symbols.extend(self.byte_id[b] for b in piece.encode())
-            starts.append((piece, at, len(symbols)))
-        after, before = [-1] * len(symbols), [-1] * len(symbols)
-        places: dict[int, list[int]] = defaultdict(list)
-        rank = self.rank.get
-        for _, a, b in starts:
-            for i in range(a, b - 1):
-                after[i], before[i + 1] = i + 1, i
-                if (r := rank((symbols[i], symbols[i + 1]))) is not None:
-                    places[r].append(i)
-        active = list(places)
-        heapq.heapify(active)
+        raw = [p.encode() for p in pieces]
+        ends = np.cumsum([len(r) for r in raw])
+        symbols = self.byte_ids[np.frombuffer(b"".join(raw), np.uint8)]
+        size = len(symbols)
+        if not size:
+            return {}
+        after, before = np.arange(1, size + 1), np.arange(-1, size - 1)
+        after[ends - 1], before[np.concatenate([[0], ends[:-1]])] = -1, -1
+        places: dict[int, list[np.ndarray]] = defaultdict(list)
+        active: list[int] = []
+
+        def note(at: np.ndarray) -> None:
+            """Enters the pairs that start at these places."""
+            r = self.ranks(symbols[at], symbols[after[at]])
+            at, r = at[r >= 0], r[r >= 0]
+            if not len(at):
+                return
+            order = np.argsort(r, kind="stable")
+            at, r = at[order], r[order]
+            cuts = np.flatnonzero(np.diff(r)) + 1
+            for rank, part in zip(r[np.concatenate([[0], cuts])].tolist(), np.split(at, cuts) if len(cuts) else [at]):
+                if rank not in places:
+                    heapq.heappush(active, rank)
+                places[rank].append(part)
+
+        note(np.flatnonzero(after >= 0))
         while active:
-            r = heapq.heappop(active)
-            made, pair = self.product[r], None
-            for i in sorted(places.pop(r)):
-                j = after[i]
-                if symbols[i] < 0 or j < 0 or rank((symbols[i], symbols[j])) != r or (pair and (symbols[i], symbols[j]) != pair):
-                    continue
-                pair = (symbols[i], symbols[j])
-                k, h = after[j], before[i]
-                symbols[i], symbols[j], after[i] = made, -1, k
-                if k >= 0:
-                    before[k] = i
-                for x, y in ((h, i), (i, k)):
-                    if x >= 0 and y >= 0 and (new := rank((symbols[x], symbols[y]))) is not None:
-                        if new not in places:
-                            heapq.heappush(active, new)
-                        places[new].append(x)
-        return {p: [s for s in symbols[a:b] if s >= 0] for p, a, b in starts}
+            rank = heapq.heappop(active)
+            a, b, made = self.merges[rank]
+            found = places.pop(rank)
+            at = found[0] if len(found) == 1 else np.unique(np.concatenate(found))
+            at = at[(symbols[at] == a) & (after[at] >= 0)]
+            at = at[symbols[after[at]] == b]
+            if a == b and len(at) > 1:  # of overlapping places, from left to right
+                kept, last = [], -1
+                for i in np.sort(at).tolist():
+                    if i != last:
+                        kept.append(i)
+                        last = int(after[i])
+                at = np.array(kept)
+            if not len(at):
+                continue
+            gone = after[at]
+            beyond = after[gone]
+            symbols[at], symbols[gone], after[at] = made, -1, beyond
+            onward = beyond >= 0
+            before[beyond[onward]] = at[onward]
+            left = before[at]
+            note(np.unique(np.concatenate([left[left >= 0], at[onward]])))
+        live = symbols >= 0
+        counts = np.add.reduceat(live, np.concatenate([[0], ends[:-1]]), dtype=np.int64)
+        ids, out, k = symbols[live].tolist(), {}, 0
+        for piece, n in zip(pieces, counts.tolist()):
+            out[piece] = ids[k : k + n]
+            k += n
+        return out
 
 
 class Coder:
