@@ -37,11 +37,12 @@ def path_of(url: Column) -> Column:
 class Index:
     """Sorted digests, with the rules' strings in the same order as one run of bytes and its offsets."""
 
-    def __init__(self, folder: str):
-        self.keys = np.load(os.path.join(folder, "keys.npy"), mmap_mode="r")
-        self.offsets = np.load(os.path.join(folder, "offsets.npy"), mmap_mode="r")
-        self.strings = np.load(os.path.join(folder, "strings.npy"), mmap_mode="r")
-        self.lengths = [int(x) for x in np.load(os.path.join(folder, "lengths.npy"))]
+    PARTS = ("keys", "offsets", "strings", "lengths")
+
+    def __init__(self, paths: Sequence[str]):
+        """``paths`` of the files of ``PARTS``, in that order."""
+        self.keys, self.offsets, self.strings = (np.load(p, mmap_mode="r") for p in paths[:3])
+        self.lengths = [int(x) for x in np.load(paths[3])]
 
     @staticmethod
     def digests(keys: Sequence[str]) -> np.ndarray:
@@ -50,17 +51,16 @@ class Index:
         return np.fromiter((xxhash.xxh64_intdigest(k.encode()) for k in keys), np.uint64, len(keys))
 
     @classmethod
-    def write(cls, rules: Sequence[tuple[str, str, str]], folder: str) -> None:
+    def write(cls, rules: Sequence[tuple[str, str, str]], paths: Sequence[str]) -> None:
         """Rules are (host, path prefix, verdict). A key's later verdict replaces an earlier one."""
         table = {h.translate(str.maketrans(UPPER, LOWER)) + "\0" + p: v for h, p, v in rules}
         names = list(table)
         keys = cls.digests(names)
         order = np.lexsort((np.array(names, dtype=object).astype(str), keys)) if names else np.array([], dtype=int)
         lines = [f"{names[i]}\0{table[names[i]]}".encode() for i in order]
-        np.save(os.path.join(folder, "keys.npy"), keys[order])
-        np.save(os.path.join(folder, "offsets.npy"), np.cumsum([0, *map(len, lines)]))
-        np.save(os.path.join(folder, "strings.npy"), np.frombuffer(b"".join(lines), dtype=np.uint8))
-        np.save(os.path.join(folder, "lengths.npy"), np.array(sorted({len(p) for _, p, _ in rules}), dtype=np.int64))
+        parts = [keys[order], np.cumsum([0, *map(len, lines)]), np.frombuffer(b"".join(lines), dtype=np.uint8), np.array(sorted({len(p) for _, p, _ in rules}), dtype=np.int64)]
+        for path, part in zip(paths, parts):
+            np.save(path, part)
 
     def probe(self, names: Sequence[str]) -> list[str | None]:
         """The verdict of each key, or None."""
@@ -92,14 +92,16 @@ class Index:
         return best
 
 
-def distribute(spark: SparkSession, rules: Sequence[tuple[str, str, str]]) -> str:
-    """Write the index and hand it to Spark's file distribution, which also serves executors that start later."""
-    name = f"urlindex-{uuid.uuid4().hex}"
-    folder = os.path.join(tempfile.mkdtemp(prefix="aerolattice-"), name)
-    os.mkdir(folder)
-    Index.write(rules, folder)
-    spark.sparkContext.addFile(folder, recursive=True)
-    return name
+def distribute(spark: SparkSession, rules: Sequence[tuple[str, str, str]]) -> list[str]:
+    """Write the index's files and hand them to Spark's file distribution (which takes files, not folders, on a cluster);
+    it also serves executors that start later. Gives the files' names."""
+    folder, run = tempfile.mkdtemp(prefix="aerolattice-"), uuid.uuid4().hex
+    names = [f"urlindex-{run}-{part}.npy" for part in Index.PARTS]
+    paths = [os.path.join(folder, n) for n in names]
+    Index.write(rules, paths)
+    for path in paths:
+        spark.sparkContext.addFile(path)
+    return names
 
 
 def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, default: str = DEFAULT, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
@@ -112,7 +114,7 @@ def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES,
     schema = f"page_id {dict(pages.dtypes)[id_col]}, host string, path string, rule string, verdict string"
 
     def run(batches):
-        found = Index(SparkFiles.get(index))
+        found = Index([SparkFiles.get(name) for name in index])
         for batch in batches:
             hosts, paths = batch.column("host"), batch.column("path")
             best = found.judge(hosts.to_pylist(), paths.to_pylist())

@@ -75,8 +75,9 @@ def test_urls(spark):
 def test_url_index_survives_collisions(tmp_path, monkeypatch):
     monkeypatch.setattr(url_filter.Index, "digests", staticmethod(lambda keys: np.array([len(k) % 2 for k in keys], np.uint64)))
     rules = [(f"h{k}.org", "/", "block" if k % 2 else "allow") for k in range(50)]
-    url_filter.Index.write(rules, str(tmp_path))
-    assert url_filter.Index(str(tmp_path)).judge([r[0] for r in rules] + ["h99.org"], ["/"] * 51) == [(r[0] + "/", r[2]) for r in rules] + [(None, None)]
+    paths = [str(tmp_path / f"{part}.npy") for part in url_filter.Index.PARTS]
+    url_filter.Index.write(rules, paths)
+    assert url_filter.Index(paths).judge([r[0] for r in rules] + ["h99.org"], ["/"] * 51) == [(r[0] + "/", r[2]) for r in rules] + [(None, None)]
 
 
 def language_docs(spark, n=240):
