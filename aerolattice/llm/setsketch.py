@@ -14,6 +14,8 @@ links leave a block. Pairs within one component are never compared, as their lin
 
 from __future__ import annotations
 
+from functools import partial
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,9 +24,9 @@ from pyspark.sql import functions as F
 from .common import slices, stored, text_or_empty
 
 SHINGLE = 5
-#: A link needs 100 * intersection >= PERCENT * union.
+#: A link needs 100 * intersection >= PERCENT * union, unless the caller gives another percentage.
 PERCENT = 85
-#: 32 bands of 4 registers miss a pair at 0.85 with probability (1 - 0.85^4)^32 = 5e-11.
+#: 32 bands of 4 registers miss a pair at 0.85 with probability (1 - 0.85^4)^32 = 5e-11, at 0.80 with 5e-8.
 REGISTERS, BANDS = 128, 32
 BASE, RATE, LEVELS = 1.001, 20.0, 65534
 #: A pair goes on to verification unless the likelihood at the threshold is below the largest one by more than this
@@ -154,20 +156,20 @@ def _unpack(column, kind) -> list[np.ndarray]:
     return [np.frombuffer(x, kind) for x in column.to_pylist()]
 
 
-def _verify_pairs(batches):
+def _verify_pairs(batches, percent: int = PERCENT):
     """Pairs with both sides' sizes, registers and sets in; verified links out."""
     for batch in batches:
         if not batch.num_rows:
             continue
         ra, rb = (np.stack(_unpack(batch.column(c), np.uint16)) for c in ("ra", "rb"))
         na, nb = (batch.column(c).to_numpy() for c in ("na", "nb"))
-        maybe = np.flatnonzero(plausible(ra, rb, na, nb))
+        maybe = np.flatnonzero(plausible(ra, rb, na, nb, percent))
         sa, sb = batch.column("sa"), batch.column("sb")
-        keep = [k for k in maybe if linked(np.frombuffer(sa[int(k)].as_py(), np.uint64), np.frombuffer(sb[int(k)].as_py(), np.uint64))]
+        keep = [k for k in maybe if linked(np.frombuffer(sa[int(k)].as_py(), np.uint64), np.frombuffer(sb[int(k)].as_py(), np.uint64), percent)]
         yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(keep, pa.int64())) for c in ("a", "b")], names=["a", "b"])
 
 
-def _compare_blocks(batches):
+def _compare_blocks(batches, percent: int = PERCENT):
     """Rows sorted by block pair, left side first. A pair of blocks is compared when its rows are complete."""
     key, rows = None, []
 
@@ -188,8 +190,8 @@ def _compare_blocks(batches):
             others = others[others > k] if inner else others
             if not len(others):
                 continue
-            maybe = others[plausible(np.broadcast_to(own, regs[others].shape), regs[others], np.full(len(others), r[4]), n[others])]
-            found += [(r[2], right[m][2]) for m in maybe if linked(mine, sets[m])]
+            maybe = others[plausible(np.broadcast_to(own, regs[others].shape), regs[others], np.full(len(others), r[4]), n[others], percent)]
+            found += [(r[2], right[m][2]) for m in maybe if linked(mine, sets[m], percent)]
         return found
 
     def batch_of(found):
@@ -225,7 +227,7 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return nodes.join(labels, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"))
 
 
-def near_links(docs: DataFrame, sketches: DataFrame) -> tuple[DataFrame, DataFrame]:
+def near_links(docs: DataFrame, sketches: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """``(nodes, comps)``: nodes are the first ids of equal sets (``node, n, set_key, registers``), comps their
     components (``node, comp``)."""
     nodes = sketches.filter("n_shingles > 0 and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("registers").alias("registers"))
@@ -245,10 +247,10 @@ def near_links(docs: DataFrame, sketches: DataFrame) -> tuple[DataFrame, DataFra
 
     side = lambda s, name: full.select(F.col("node").alias(name), F.col("n").alias(f"n{s}"), F.col("registers").alias(f"r{s}"), F.col("shingles").alias(f"s{s}"))
     tried = pairs.select(F.col("hub").alias("a"), F.col("node").alias("b")).join(side("b", "b"), "b").join(side("a", "a"), "a")
-    links = stored(tried.select("a", "b", "na", "nb", "ra", "rb", "sa", "sb").mapInArrow(_verify_pairs, "a long, b long"), "star-links")
+    links = stored(tried.select("a", "b", "na", "nb", "ra", "rb", "sa", "sb").mapInArrow(partial(_verify_pairs, percent=percent), "a long, b long"), "star-links")
     comps = stored(components(nodes.select("node"), links), "components")
 
-    more = stored(_cross_links(pairs, full, comps), "cross-links")
+    more = stored(_cross_links(pairs, full, comps, percent), "cross-links")
     if more.limit(1).count():
         # Links between components: the components are the nodes now.
         of = lambda c: comps.select(F.col("node").alias(c), F.col("comp").alias(f"c{c}"))
@@ -258,7 +260,7 @@ def near_links(docs: DataFrame, sketches: DataFrame) -> tuple[DataFrame, DataFra
     return nodes, comps
 
 
-def _cross_links(pairs: DataFrame, full: DataFrame, comps: DataFrame) -> DataFrame:
+def _cross_links(pairs: DataFrame, full: DataFrame, comps: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Links between members of one hub that lie in different components.
 
     The members in the hub's own component are its major side. Both sides are dealt into blocks of about ``BLOCK_ROWS``
@@ -281,18 +283,18 @@ def _cross_links(pairs: DataFrame, full: DataFrame, comps: DataFrame) -> DataFra
     major = F.transform(upto(F.col("bi")), lambda i: meet(i, own, "x", 1))
     rows = dealt.select("node", "comp", F.explode(F.when(F.col("minor"), minor).otherwise(major)).alias("m")).select("node", "comp", "m.block", "m.side")
     rows = rows.join(full, "node").select("block", "side", "node", "comp", "n", "registers", "shingles")
-    return rows.repartition("block").sortWithinPartitions("block", "side", "node").mapInArrow(_compare_blocks, "a long, b long").distinct()
+    return rows.repartition("block").sortWithinPartitions("block", "side", "node").mapInArrow(partial(_compare_blocks, percent=percent), "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """One row for each input row: ``doc_id, n_shingles, component_id, kept``.
 
-    Documents link when 100 * shared shingles >= 85 * all shingles of both; links are exact on the pairs that share a
-    band (all but 5e-11 of those at the threshold). ``component_id`` is the least id reachable. Documents without words
+    Documents link when 100 * shared shingles >= ``percent`` * all shingles of both; links are exact on the pairs that
+    share a band (at the threshold, all but 5e-11 of them for 85 and 5e-8 for 80). ``component_id`` is the least id reachable. Documents without words
     or text are linked with nothing; null ids get no component and are kept. Rows repeated with one id share a verdict.
     """
     sketches = stored(sketch(docs), "sketches")
-    nodes, comps = near_links(docs, sketches)
+    nodes, comps = near_links(docs, sketches, percent)
     classes = nodes.select("set_key", "node").join(comps, "node").select("set_key", "comp")
     found = sketches.filter("set_key is not null and doc_id is not null").select("doc_id", "n_shingles", "set_key").join(classes, "set_key")
     alone = sketches.filter("set_key is null or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
@@ -300,7 +302,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def drop_near_copies(docs: DataFrame) -> DataFrame:
+def drop_near_copies(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``docs`` with one document of each component; columns unchanged."""
-    gone = near_duplicates(docs).filter("not kept").select("doc_id").distinct()
+    gone = near_duplicates(docs, percent).filter("not kept").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)

@@ -1,12 +1,14 @@
 """The pipeline's stages against brute force, each on its own input."""
 
 import os
+import random
 
 import pytest
 
 import corpus_pipeline
-from aerolattice.llm import mixing
+from aerolattice.llm import mixing, setsketch
 
+from .conftest import messy
 from .test_free import brute_components
 
 SF = "/root/testdata/sf0.001"
@@ -43,3 +45,20 @@ def test_stages(spark, tmp_path):
 def test_run_equals_the_stages(spark):
     rows = corpus_pipeline.run(spark, SF)
     assert rows.count() > 0 and rows.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+
+
+def test_near_copies_at_80_percent(spark):
+    rng = random.Random(80)
+    texts = []
+    for copies in (2, 3, 4, 5, 4, 6):  # words replaced: the last ones stay below 80 %
+        words = [f"w{rng.randrange(10**6)}" for _ in range(204)]
+        other = list(words)
+        for k in range(copies):
+            other[20 + 30 * k] = "new"
+        texts += [" ".join(words), " ".join(other)]
+    sets = [{tuple(t.split()[k : k + 5]) for k in range(200)} for t in texts]
+    ratio = lambda a, b: len(a & b) / len(a | b)
+    want = {k for k in range(len(texts)) if k % 2 == 0 or ratio(sets[k - 1], sets[k]) < 0.8}
+    assert any(0.8 <= ratio(sets[k - 1], sets[k]) < 0.85 for k in range(1, len(texts), 2)) and len(want) > len(texts) // 2
+    assert {r.doc_id for r in setsketch.drop_near_copies(messy(spark, texts), 80).collect()} == want
+    assert {r.doc_id for r in setsketch.drop_near_copies(messy(spark, texts)).collect()} > want
