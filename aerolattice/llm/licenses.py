@@ -1,8 +1,11 @@
 """Licence scan by sentence rules, in DataFrame functions only.
 
-A text's sentences are normalised and mapped to the identifiers of known licence sentences; unknown sentences drop out
-of the sequence but leave a gap. A licence is recognised where its ordered rule, a sequence of identifiers, occurs with
-at most ``max_gap`` unknown sentences between neighbours.
+Wrapped lines are joined, a text's sentences are normalised, and the known licence phrases in them become identifiers, in
+order; a sentence without any drops out of the sequence but leaves a gap. A licence is recognised where its ordered
+rule, a sequence of identifiers, occurs with at most ``max_gap`` unknown sentences between neighbours.
+
+The SQL knows only notices of one line that are whole sentences. The operator gives the same rows for those and also
+finds the official texts, wrapped or not.
 """
 
 from __future__ import annotations
@@ -46,19 +49,47 @@ RULES = [
     ("BSD", ["b01", "m04"]),
     ("proprietary", ["r01"]),
 ]
-#: Every known sentence holds one of these; texts without them need no splitting.
-KEYS = "(?i)licens|permission|copyright|warrant|redistribut|rights reserved"
-#: A sentence ends at a line end, or at . ! ? ; or : before white space or the end of the text.
+# Phrases of the official texts beside the notices above. Several phrases may share an identifier.
+OFFICIAL = {
+    "licenses this file to you under the apache license version 2 0": "a01",
+    "apache license version 2 0 january 2004": "a04",
+    "under the terms of the gnu general public license as published by the free software foundation either version 3 of the license": "g05",
+    "gnu general public license version 3 29 june 2007": "g04",
+    "creative commons attribution noncommercial 4 0 international": "c03",
+    "creative commons attribution 4 0 international": "c04",
+    "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer": "b02",
+    "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution": "b03",
+}
+PHRASES = SENTENCES | OFFICIAL
+# GPL's own notice names its version: the sentences of g02 and g03 alone are also those of version 2.
+ALL_RULES = [
+    *(r for r in RULES if r[1] != ["g02", "g03"]),
+    ("Apache-2.0", ["a04"]),
+    ("GPL-3.0", ["g02", "g05"]),
+    ("GPL-3.0", ["g04"]),
+    ("CC-BY-NC-4.0", ["c03"]),
+    ("CC-BY-4.0", ["c04"]),
+    ("BSD", ["b01", "b02", "b03"]),
+]
+ALL_RULES.sort(key=lambda r: [name for name, _ in RULES].index(r[0]))  # by licence, as in RULES
+#: Every known phrase holds one of these; texts without them need no splitting.
+KEYS = "(?i)licens|permission|copyright|warrant|redistribut|creative|rights[^a-z0-9]+reserved"
+#: A sentence ends at an empty line, or at . ! or ? before white space or the end of the text. Other line ends wrap it.
+STOPS = r"(?:\r\n|\r(?!\n)|\n)[\x20\t]*[\r\n]\s*|[.!?]+(?=[\x20\x09-\x0D]|$)"
+#: The longest phrases first, so that none hides a longer one that starts with it.
+PHRASE = f"(?<![a-z0-9])(?:{'|'.join(sorted(PHRASES, key=len, reverse=True))})(?![a-z0-9])"
+#: The SQL's sentence ends: a line end, or . ! ? ; or : before white space or the end of the text.
 ENDS = r"[\n\r]+|[.!?;:]+(?=[\x20\x09-\x0D]|$)"
 MAX_GAP = 2
 UNKNOWN = "---"
 
 
 def sentence_ids(text: Column) -> Column:
-    """The identifiers of a text's sentences in order, ``---`` for an unknown one; empty sentences are left out."""
-    known = F.create_map(*chain.from_iterable((F.lit(k), F.lit(v)) for k, v in SENTENCES.items()))
-    clean = F.transform(F.split(text, ENDS), lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " ")))
-    return F.transform(F.filter(clean, lambda s: s != ""), lambda s: F.coalesce(F.element_at(known, s), F.lit(UNKNOWN)))
+    """The identifiers of a text's phrases in order, ``---`` for a sentence without any; empty sentences are left out."""
+    known = F.create_map(*chain.from_iterable((F.lit(k), F.lit(v)) for k, v in PHRASES.items()))
+    clean = F.transform(F.split(text, STOPS), lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " ")))
+    phrases = F.transform(F.filter(clean, lambda s: s != ""), lambda s: F.regexp_extract_all(s, F.lit(PHRASE), F.lit(0)))
+    return F.flatten(F.transform(phrases, lambda p: F.when(F.size(p) == 0, F.array(F.lit(UNKNOWN))).otherwise(F.transform(p, lambda x: F.element_at(known, x)))))
 
 
 def rule_pattern(ids: list[str], max_gap: int) -> str:
@@ -66,16 +97,16 @@ def rule_pattern(ids: list[str], max_gap: int) -> str:
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_gap: int = MAX_GAP) -> DataFrame:
-    """One row for each input row: ``doc_id, n_sentences`` (known ones), ``sentence_ids`` (in order, comma-joined),
+    """One row for each input row: ``doc_id, n_sentences`` (known phrases), ``sentence_ids`` (in order, comma-joined),
     ``licenses`` (names in rule order, comma-joined), ``license`` (the first, else null).
 
-    Null and empty texts have no sentence. A sentence counts as often as it occurs. Row-local: no shuffle.
+    Null and empty texts have no sentence. A phrase counts as often as it occurs. Row-local: no shuffle.
     """
     text = text_or_empty(text_col)
     ids = F.when(text.rlike(KEYS), sentence_ids(text)).otherwise(F.array().cast("array<string>"))
     out = docs.select(F.col(id_col).alias("doc_id"), ids.alias("ids"))
     line = F.array_join("ids", " ")
-    fits = [F.when(line.rlike(rule_pattern(seq, max_gap)), F.lit(name)) for name, seq in RULES]
+    fits = [F.when(line.rlike(rule_pattern(seq, max_gap)), F.lit(name)) for name, seq in ALL_RULES]
     out = out.withColumn("found", F.array_distinct(F.array_compact(F.array(*fits))))
     seen = F.filter("ids", lambda x: x != UNKNOWN)
     return out.select(

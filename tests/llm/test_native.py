@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import string
+import textwrap
 
 import duckdb
 
@@ -57,6 +58,48 @@ def test_licenses(spark, odd, empty):
     assert licenses.scan_licenses(empty).count() == 0
 
 
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."""
+GPL = """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.
+
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."""
+BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED."""
+
+
+def test_official_licence_texts(spark):
+    wrapped = lambda t, mark: "\n".join(mark + x for p in t.split("\n\n") for x in [*textwrap.wrap(p.strip(), 72), ""])
+    texts = [f(t) for t in (MIT, APACHE, GPL, BSD) for f in (lambda t: t, lambda t: wrapped(t, ""), lambda t: wrapped(t, "# ").replace("\n", "\r\n"))]
+    more = {
+        "Apache License\n   Version 2.0, January 2004\n   http://www.apache.org/licenses/": "Apache-2.0",
+        "GNU GENERAL PUBLIC LICENSE\n  Version 3, 29 June 2007": "GPL-3.0",
+        "Creative Commons Attribution-NonCommercial 4.0 International Public License": "CC-BY-NC-4.0",
+        "A creative\ncommons attribution\n4.0 international text": "CC-BY-4.0",
+        "Copyright 2020 X.\nAll rights\nreserved.": "proprietary",
+        GPL.replace("version 3", "version 2"): None,
+        GPL.replace("GNU General", "GNU Affero General"): None,
+        "Unlicensed under the MIT License.": None,
+    }
+    got = {r.doc_id: r.license for r in licenses.scan_licenses(messy(spark, texts + list(more))).collect()}
+    assert [got[k] for k in range(len(texts))] == [x for x in ("MIT", "Apache-2.0", "GPL-3.0", "BSD") for _ in range(3)]
+    assert [got[k + len(texts)] for k in range(len(more))] == list(more.values())
+
+
 def against_sql(docs, got, sql):
     con = duckdb.connect()
     con.register("frame", docs.select("doc_id", "text", "lang", "source").toPandas())
