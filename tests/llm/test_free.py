@@ -188,6 +188,18 @@ def test_few_edits_keep_the_fingerprint_near():
     assert edit_fingerprint.likeness(a, b) > 0.85 and edit_fingerprint.likeness(a, c) > 0.7 and edit_fingerprint.likeness(a, d) < 0.1
 
 
+def test_insertions_into_long_texts_keep_the_rest_near():
+    rng = random.Random(12)
+    walker, letters = edit_fingerprint.Walker(), "abcdefghijklmnopqrstuvwxyz .,"
+    text = "".join(rng.choice(letters) for _ in range(60_000))
+    for size in (50, 200, 500):
+        new = "".join(rng.choice(letters) for _ in range(size))
+        own, begun, cut = walker.fingerprints([text, text[:300] + new + text[300:], text[:300] + text[300 + size :]])
+        assert edit_fingerprint.likeness(own, begun) > 0.85 and edit_fingerprint.likeness(own, cut) > 0.85
+    some = [text[k : k + 40 * k] for k in range(60)]
+    assert (walker.fingerprints(some) == np.vstack([walker.fingerprints([t]) for t in some])).all()
+
+
 def test_near_links_verify_distance(spark):
     rng = random.Random(5)
     base = ["".join(rng.choice("abcdefgh ") for _ in range(800)) for _ in range(6)]
