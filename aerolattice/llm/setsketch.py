@@ -169,8 +169,14 @@ def _verify_pairs(batches, percent: int = PERCENT):
         yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(keep, pa.int64())) for c in ("a", "b")], names=["a", "b"])
 
 
-def _compare_blocks(batches, percent: int = PERCENT):
-    """Rows sorted by block pair, left side first. A pair of blocks is compared when its rows are complete."""
+def _unpack_set(x: bytes) -> np.ndarray:
+    return np.frombuffer(x, np.uint64)
+
+
+def _compare_blocks(batches, percent: int = PERCENT, likely=plausible, same=linked, unpack=_unpack_set):
+    """Rows sorted by block pair, left side first. A pair of blocks is compared when its rows are complete. ``likely``
+    judges registers and sizes, ``same`` what ``unpack`` makes of the last column. Components that a link joins within
+    a block are not compared again there."""
     key, rows = None, []
 
     def done():
@@ -181,17 +187,23 @@ def _compare_blocks(batches, percent: int = PERCENT):
         if not left or not right:
             return found
         n, comp = np.array([r[4] for r in right]), np.array([r[3] for r in right])
+        own_comp = comp if inner else np.array([r[3] for r in left])
         regs = np.stack([np.frombuffer(r[5], np.uint16) for r in right])
-        sets = [np.frombuffer(r[6], np.uint64) for r in right]
+        sets = [unpack(r[6]) for r in right]
         for k, r in enumerate(left):
-            own, mine = np.frombuffer(r[5], np.uint16), np.frombuffer(r[6], np.uint64)
+            own, mine = np.frombuffer(r[5], np.uint16), unpack(r[6])
             # In one group and out of it: the same component has nothing to add.
-            others = np.flatnonzero(comp != r[3])
+            others = np.flatnonzero(comp != own_comp[k])
             others = others[others > k] if inner else others
             if not len(others):
                 continue
-            maybe = others[plausible(np.broadcast_to(own, regs[others].shape), regs[others], np.full(len(others), r[4]), n[others], percent)]
-            found += [(r[2], right[m][2]) for m in maybe if linked(mine, sets[m], percent)]
+            maybe = others[likely(np.broadcast_to(own, regs[others].shape), regs[others], np.full(len(others), r[4]), n[others], percent)]
+            for m in maybe:
+                if comp[m] != own_comp[k] and same(mine, sets[m], percent):
+                    found.append((r[2], right[m][2]))
+                    old = comp[m]
+                    comp[comp == old] = own_comp[k]
+                    own_comp[own_comp == old] = own_comp[k]
         return found
 
     def batch_of(found):
@@ -250,17 +262,22 @@ def near_links(docs: DataFrame, sketches: DataFrame, percent: int = PERCENT) ->
     links = stored(tried.select("a", "b", "na", "nb", "ra", "rb", "sa", "sb").mapInArrow(partial(_verify_pairs, percent=percent), "a long, b long"), "star-links")
     comps = stored(components(nodes.select("node"), links), "components")
 
-    more = stored(_cross_links(pairs, full, comps, percent), "cross-links")
+    more = stored(_cross_links(pairs, full, comps, partial(_compare_blocks, percent=percent)), "cross-links")
+    return nodes, joined_components(comps, more)
+
+
+def joined_components(comps: DataFrame, more: DataFrame) -> DataFrame:
+    """``comps`` (node, comp) after the links ``more`` (a, b) between their nodes."""
     if more.limit(1).count():
         # Links between components: the components are the nodes now.
         of = lambda c: comps.select(F.col("node").alias(c), F.col("comp").alias(f"c{c}"))
         joined = more.join(of("a"), "a").join(of("b"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
         upper = components(comps.select(F.col("comp").alias("node")).distinct(), joined).select(F.col("node").alias("comp"), F.col("comp").alias("top"))
         comps = stored(comps.join(upper, "comp").select("node", F.col("top").alias("comp")), "components")
-    return nodes, comps
+    return comps
 
 
-def _cross_links(pairs: DataFrame, full: DataFrame, comps: DataFrame, percent: int = PERCENT) -> DataFrame:
+def _cross_links(pairs: DataFrame, full: DataFrame, comps: DataFrame, compare=_compare_blocks) -> DataFrame:
     """Links between members of one hub that lie in different components.
 
     The members in the hub's own component are its major side. Both sides are dealt into blocks of about ``BLOCK_ROWS``
@@ -283,7 +300,7 @@ def _cross_links(pairs: DataFrame, full: DataFrame, comps: DataFrame, percent: i
     major = F.transform(upto(F.col("bi")), lambda i: meet(i, own, "x", 1))
     rows = dealt.select("node", "comp", F.explode(F.when(F.col("minor"), minor).otherwise(major)).alias("m")).select("node", "comp", "m.block", "m.side")
     rows = rows.join(full, "node").select("block", "side", "node", "comp", "n", "registers", "shingles")
-    return rows.repartition("block").sortWithinPartitions("block", "side", "node").mapInArrow(partial(_compare_blocks, percent=percent), "a long, b long").distinct()
+    return rows.repartition("block").sortWithinPartitions("block", "side", "node").mapInArrow(compare, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:

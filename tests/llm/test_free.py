@@ -209,6 +209,58 @@ def test_near_links_verify_distance(spark):
     assert links.items() <= pairs.items() and len(links) >= 4  # a walk may fall back into step late
 
 
+def plain_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_distance_within():
+    rng = random.Random(4)
+    for _ in range(300):
+        a, b = ("".join(rng.choice("abé") for _ in range(rng.randint(0, 90))) for _ in range(2))
+        b = b if rng.random() < 0.5 else a[: rng.randint(0, 90)] + b[:3] + a[rng.randint(0, 90) :]
+        most, want = rng.randint(0, 60), plain_distance(a, b)
+        assert edit_fingerprint.distance_within(a, b, most) == min(want, most + 1)
+
+
+def test_query_classes_equal_brute_force(spark, monkeypatch, odd, empty):
+    monkeypatch.setattr(edit_fingerprint, "HOT", 3)
+    monkeypatch.setattr(setsketch, "BLOCK_ROWS", 4)
+    rng = random.Random(21)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnop ") for _ in range(n))
+    texts = [None, "", "é\U0001f600"]
+    for size in (400, 900, 2500):
+        # A first text, and copies that share half of it with it but are near to each other.
+        root, tail = word(size), word(size * 2 // 5)
+        other = root[: size * 3 // 5] + tail
+        texts += [root, other] + [t[:k] + word(3) + t[k + 3 :] for t in (root, other) for k in (size // 3, size // 2, size - 9)]
+    texts += [texts[5]] * 5 + [texts[8]]
+    docs = messy(spark, texts)
+    got = {r.doc_id: r for r in edit_fingerprint.fingerprint_classes(docs).collect()}
+    plain = [t or "" for t in texts]
+    prints = edit_fingerprint.Walker().fingerprints(plain)
+    width = edit_fingerprint.SLOTS // edit_fingerprint.BANDS
+    comp = list(range(len(plain)))
+    beyond = 0
+    for j in range(len(plain)):
+        for i in range(j):
+            a, b = prints[i], prints[j]
+            band = any((a[k : k + width] == b[k : k + width]).all() and (a[k : k + width] != edit_fingerprint.EMPTY).any() for k in range(0, edit_fingerprint.SLOTS, width))
+            most = int(max(len(plain[i]), len(plain[j])) * 0.2 + 1e-9)
+            if plain[i] and plain[j] and band and edit_fingerprint.likeness(a, b) >= 0.8 and plain_distance(plain[i], plain[j]) <= most:
+                beyond += comp[i] != comp[j]
+                x, y = sorted((comp[i], comp[j]))
+                comp = [x if c == y else c for c in comp]
+    assert len(got) == len(texts) and beyond > 8
+    assert {i: r.class_id for i, r in got.items()} == {i: comp[i] if t else None for i, t in enumerate(plain)}
+    assert {i: r.text_id for i, r in got.items()} == {i: plain.index(t) if t else None for i, t in enumerate(plain)}
+    assert edit_fingerprint.fingerprint_classes(odd).count() == odd.count() and edit_fingerprint.fingerprint_classes(empty).count() == 0
+
+
 def brute_components(texts):
     sets = {}
     for i, t in texts.items():
