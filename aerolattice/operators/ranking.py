@@ -180,20 +180,36 @@ def interpretation_class(df: DataFrame, rules: Sequence[tuple[str, str]], other:
     return df.withColumn(out, label)
 
 
-def greedy_diverse_topk(cands: DataFrame, kind: str, score: str, key: str, k: int, min_dist: float, pool: int = 200) -> DataFrame:
-    """Up to k candidates of each kind by descending score, none nearer than ``min_dist`` to one chosen before. Choosing is
-    sequential by definition; it runs over the best ``pool`` of each kind, which Spark finds, as the operator states."""
-    from ..session import ship_package
-
-    ship_package(cands.sparkSession)
-    w = Window.partitionBy(kind).orderBy(F.desc(score), key)
-    best = cands.withColumn("_at", F.row_number().over(w)).filter(F.col("_at") <= pool)
-
-    def choose(frame):
-        taken = []
-        for row in frame.sort_values("_at").to_dict("records"):
-            if len(taken) < k and all(math.hypot(row["x"] - t["x"], row["y"] - t["y"]) >= min_dist for t in taken):
-                taken.append(row)
-        return frame[frame["_at"].isin([t["_at"] for t in taken])]
-
-    return best.groupBy(kind).applyInPandas(choose, best.schema).drop("_at")
+#: Factors on the limits by round; the last round also waives distance and overlap.
+RELAX = (1.0, 2.5, 5.0, 999.0)
+
+
+def greedy_diverse_topk(cands: DataFrame, kind: str, score: str, key: str, k: int, min_dist: float, limits: Mapping[str, float] | None = None, side: float | None = None, max_iou: float = 0.20) -> DataFrame:
+    """Up to k candidates of each kind by descending score, kind by kind in order. None is nearer than ``min_dist`` to one
+    chosen before, of any kind, nor do their squares of ``side`` overlap by more than ``max_iou``. With ``limits`` (column,
+    largest value) the rounds of ``RELAX`` follow each other while fewer than k are found.
+
+    Each choice is the best of all candidates left, in one job; only the chosen rows, k for each kind, reach the driver."""
+    chosen: list = []
+    for (name,) in sorted(cands.select(kind).distinct().collect(), key=lambda r: (r[0] is not None, r[0])):
+        own, taken = cands.filter(F.col(kind).eqNullSafe(F.lit(name))), 0
+        for level, relax in enumerate(RELAX if limits else RELAX[:1]):
+            fits = own.filter(F.col(key).isNotNull())
+            for column, most in (limits or {}).items():
+                fits = fits.filter(F.col(column) <= most * relax)
+            while taken < k:
+                ok = F.lit(True)
+                for t in chosen:
+                    dx, dy = F.abs(F.col("x") - t["x"]), F.abs(F.col("y") - t["y"])
+                    ok = ok & (F.col(key) != t[key])
+                    if level < len(RELAX) - 1:
+                        ok = ok & (F.hypot(dx, dy) >= min_dist)
+                        if side:
+                            both = F.greatest(side - dx, F.lit(0.0)) * F.greatest(side - dy, F.lit(0.0))
+                            ok = ok & (both / (2 * side * side - both) <= max_iou)
+                best = fits.filter(ok).orderBy(F.desc(score), key).limit(1).collect()
+                if not best:
+                    break
+                chosen += best
+                taken += 1
+    return cands.sparkSession.createDataFrame(chosen, cands.schema)

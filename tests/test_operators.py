@@ -204,6 +204,16 @@ def test_greedy_respects_distance(spark):
     assert len(got) == 4 and all(math.hypot(a.x - b.x, a.y - b.y) >= 25 for a in got for b in got if a.cell != b.cell) and min(r.cell for r in got) == 0
 
 
+def test_greedy_looks_beyond_a_cluster(spark):
+    rows = [(i, "k", float(i % 20), float(i // 20), 1000.0 - i, 0.0) for i in range(300)] + [(1000 + i, "k", 1000.0 * (i + 1), 0.0, -float(i), 0.01 * i) for i in range(4)]
+    rows += [(2000, "l", 5.0, 5.0, 9.0, 0.0), (2001, "l", 0.0, 900.0, 1.0, 0.0)]
+    df = spark.createDataFrame(rows, "cell long, kind string, x double, y double, s double, o double")
+    pick = lambda *a, **b: [r.cell for r in R.greedy_diverse_topk(df, "kind", "s", "cell", *a, **b).collect()]
+    assert pick(4, 500.0) == [0, 1000, 1001, 1002, 2001]
+    assert pick(4, 0.0, side=100.0) == [0, *pick(4, 0.0, side=100.0)[1:]] and len(pick(4, 0.0, side=100.0)) > 4
+    assert pick(4, 500.0, limits={"o": 0.005}) == [0, 1000, 1001, 1002, 2001, 2000]  # 1001 and 1002 in relaxed rounds, 2000 in the last
+
+
 def test_ring_overlap_of_concave_rings():
     from aerolattice.operators.rings import clipped, overlap, signed_area
 
