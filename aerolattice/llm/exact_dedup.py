@@ -3,12 +3,15 @@
 Texts are equal when they agree after all white space is deleted. Work is split so that one group of copies may hold
 any share of the rows:
 
-1. a slim pass (digest, id, length; no texts) counts the rows of each digest; Spark's partial aggregation leaves one
-   row for each digest and task. A digest seen once is final, and its text is never shuffled;
-2. the rows of repeated digests meet in salted groups ``(digest, salt)`` and are combined there by full content;
-3. the salt winners, one for each content and salt, are combined globally, again by full content.
-
-Digests only route rows. Two texts are called equal because their contents are equal, at each stage.
+1. a first pass leaves a slim row (digest, id, length) for each document; digests that occur once are final. A bitmap of
+   the ids of the others, of bounded size, keeps the texts of single documents out of all shuffles;
+2. the texts of repeated digests are combined locally, by full content, in the tasks that read them (Spark's partial
+   aggregation: a task sends on one text for each content), and merged in salted groups ``(digest, salt, content)``. The
+   number of salts grows with a digest's rows;
+3. the salt winners are combined globally, again by full content.
+
+Digests only route rows. Two texts are called equal because their contents are equal, at each stage: where one digest
+had two contents, its rows are matched with their contents by the texts themselves.
 """
 
 from __future__ import annotations
@@ -16,9 +19,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored, text_or_empty
+from .common import hot_keys, marked_by, salted, stored, text_or_empty
+
 
-SALTS = 32
+def digest(body: Column) -> Column:
+    return F.sha2(body, 256)
 
 
 def squeezed(text: Column) -> Column:
@@ -32,42 +37,61 @@ def _merit(n: str, doc: str) -> Column:
     return (F.col(n).cast("decimal(10,0)") * F.expr("18446744073709551616BD") + F.coalesce(inverse, F.expr("-1BD"))).cast("decimal(38,0)")
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 1) -> DataFrame:
     """One row for each input row: ``doc_id, keep_id, group_size, kept, text_sha256``.
 
     Null text counts as empty; empty texts are equal to each other. Of equal texts the one with the most code points
     stays, then the smallest id (null last). Rows repeated with one id count in ``group_size``, and one of them is kept.
-    Other columns of the input are ignored, whatever their names. An empty table gives an empty result.
+    ``salts`` is the number of salts of digests that aren't hot. Other columns of the input are ignored, whatever their
+    names. An empty table gives an empty result.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("t"))
     rows = rows.select("doc_id", F.length("t").cast("long").alias("n"), squeezed(F.col("t")).alias("body"))
-    rows = rows.withColumn("text_sha256", F.sha2("body", 256))
-    counted = rows.groupBy("text_sha256").agg(F.count("*").alias("rows"), F.min("doc_id").alias("doc_id"))
-    alone = counted.filter("rows = 1").select("doc_id", F.col("doc_id").alias("keep_id"), F.col("rows").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
-
-    # One row for each repeated digest and salt, so that the copies of a hot text spread over `salts` tasks.
-    many = counted.filter("rows > 1").select("text_sha256", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int")).join(many, ["text_sha256", "salt"], "left_semi")
-    # Copies are compared twice below; they are kept, so that the texts are shuffled once.
-    salted = stored(salted.select("text_sha256", "salt", "body", "doc_id", _merit("n", "doc_id").alias("merit")), "copies")
-    local = salted.groupBy("text_sha256", "salt", "body").agg(F.count("*").alias("rows"), F.max("merit").alias("merit"), F.max_by("doc_id", "merit").alias("keep_id"))
+    slim = stored(rows.select("doc_id", digest(F.col("body")).alias("text_sha256"), F.monotonically_increasing_id().alias("row")), "digests")
+    many = stored(slim.groupBy("text_sha256").agg(F.count("*").alias("rows")).filter("rows > 1"), "repeated-digests")
+    hot = stored(hot_keys(many, "text_sha256", slim.count()), "hot-digests")
+
+    # Rows of hot digests are repeated ones; the others look their digest up.
+    named = slim.join(F.broadcast(hot), "text_sha256", "left")
+    cold = named.filter("_salts is null").join(many, "text_sha256", "left").withColumn("repeated", F.col("rows").isNotNull()).drop("rows")
+    named = stored(cold.unionByName(named.filter("_salts is not null").withColumn("repeated", F.lit(True))), "named-digests")
+    repeated = named.filter("repeated")
+
+    copies = marked_by(rows, "doc_id", repeated.select("doc_id")).filter("_maybe")
+    copies = salted(copies.select("doc_id", "body", digest(F.col("body")).alias("text_sha256"), _merit("n", "doc_id").alias("merit")), "text_sha256", "doc_id", hot, salts)
+    local = copies.groupBy("text_sha256", "_salt", "body").agg(F.count("*").alias("rows"), F.max("merit").alias("merit"), F.max_by("doc_id", "merit").alias("keep_id"))
     whole = local.groupBy("text_sha256", "body").agg(F.sum("rows").alias("group_size"), F.max_by("keep_id", "merit").alias("keep_id"))
-
-    # Each content's verdict goes back to its salts, where the rows are; the rows are compared by content once more.
-    verdict = local.select("text_sha256", "salt", "body").join(whole, ["text_sha256", "body"])
-    back = salted.select("text_sha256", "salt", "body", "doc_id").join(verdict, ["text_sha256", "salt", "body"])
-    twin = F.row_number().over(Window.partitionBy("text_sha256", "salt", "body", "doc_id").orderBy("group_size"))
-    grouped = back.withColumn("twin", twin).select("doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("twin") == 1)).alias("kept"), "text_sha256")
-    return alone.unionByName(grouped)
-
-
-def drop_exact_copies(docs: DataFrame, salts: int = SALTS) -> DataFrame:
+    verdict = stored(whole.groupBy("text_sha256").agg(F.count("*").alias("contents"), F.first("keep_id").alias("keep_id"), F.first("group_size").alias("group_size")), "verdicts")
+
+    single = verdict.filter("contents = 1").drop("contents")
+    of_hot = single.join(F.broadcast(hot), "text_sha256", "left_semi")  # no more than there are hot digests
+    found = repeated.filter("_salts is null").join(single, "text_sha256").unionByName(repeated.filter("_salts is not null").join(F.broadcast(of_hot), "text_sha256"))
+    first = found.filter(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("text_sha256").agg(F.min("row").alias("row")).select("row", F.lit(True).alias("kept"))
+    columns = ["doc_id", "keep_id", "group_size", "kept", "text_sha256"]
+    found = found.join(first, "row", "left").withColumn("kept", F.coalesce("kept", F.lit(False))).select(columns)
+    alone = named.filter("not repeated").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
+    out = alone.unionByName(found)
+    clashing = verdict.filter("contents > 1").select("text_sha256")
+    if clashing.limit(1).count():
+        texts = copies.join(clashing, "text_sha256", "left_semi").select("doc_id", "body", "text_sha256").join(whole, ["text_sha256", "body"])
+        twin = F.row_number().over(Window.partitionBy("text_sha256", "body", "doc_id").orderBy("group_size"))
+        out = out.unionByName(texts.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")) & (twin == 1)).select(columns))
+    return out
+
+
+def drop_exact_copies(docs: DataFrame) -> DataFrame:
     """``docs`` without the rows whose text equals that of a row that stays; columns unchanged. Ids are taken as keys:
-    rows repeated with one id and one text leave one of them."""
+    rows repeated with one id and one text leave one of them. Only rows whose id may be that of a dropped row are
+    shuffled; the others stay where they are."""
+    groups = stored(exact_groups(docs).select("doc_id", "text_sha256", "kept"), "exact-groups")
+    gone = stored(groups.filter("not kept").select("doc_id").distinct(), "dropped-ids")
     key = lambda sha: F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit(":"), sha)
-    kept = exact_groups(docs, salts=salts).filter("kept").select(key(F.col("text_sha256")).alias("_row_key"))
-    marked = docs.withColumn("_row_key", key(F.sha2(squeezed(text_or_empty()), 256)))
-    return marked.join(kept, "_row_key", "left_semi").dropDuplicates(["_row_key"]).drop("_row_key")
+    stay = groups.filter("kept").select("doc_id", key(F.col("text_sha256")).alias("_row_key"))
+    stay = marked_by(stay, "doc_id", gone).filter("_maybe").select("_row_key")
+    marked = marked_by(docs, "doc_id", gone)
+    maybe = marked.filter("_maybe").withColumn("_row_key", key(digest(squeezed(text_or_empty()))))
+    maybe = maybe.join(stay, "_row_key", "left_semi").dropDuplicates(["_row_key"])
+    return marked.filter("not _maybe").select(*docs.columns).unionByName(maybe.select(*docs.columns))
 
 
 ORACLE = r"""
