@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, stored, text_or_empty
+from .common import hot_keys, marked_by, salted_join, slices, stored, text_or_empty
 
 SHINGLE = 5
 #: A link needs 100 * intersection >= PERCENT * union, unless the caller gives another percentage.
@@ -134,16 +134,16 @@ def _sketch_rows(batches):
         keys = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
         regs = [next(made).tobytes() if len(s) else None for s in sets]
         yield pa.RecordBatch.from_arrays(
-            [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(regs, pa.binary())],
-            names=["doc_id", "n_shingles", "set_key", "registers"],
+            [part.column("doc_id"), part.column("text_key"), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(regs, pa.binary())],
+            names=["doc_id", "text_key", "n_shingles", "set_key", "registers"],
         )
 
 
 def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_shingles, set_key`` (a 128-bit digest of the set) ``, registers`` of whole texts; the last two are
-    null for empty sets."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    return rows.mapInArrow(_sketch_rows, "doc_id long, n_shingles long, set_key binary, registers binary")
+    """``doc_id, text_key`` (a hash that tells texts with one id apart) ``, n_shingles, set_key`` (a 128-bit digest of the
+    set) ``, registers`` of whole texts; the last two are null for empty sets."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).withColumn("text_key", F.xxhash64("text"))
+    return rows.mapInArrow(_sketch_rows, "doc_id long, text_key long, n_shingles long, set_key binary, registers binary")
 
 
 def _sets(batches):
@@ -240,32 +240,43 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def near_links(docs: DataFrame, sketches: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """``(nodes, comps)``: nodes are the first ids of equal sets (``node, n, set_key, registers``), comps their
-    components (``node, comp``)."""
-    nodes = sketches.filter("n_shingles > 0 and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("registers").alias("registers"))
-    nodes = stored(nodes, "nodes")
+    """``(nodes, comps)``: nodes are the distinct sets (``node, doc_id, text_key, rows, n, set_key, registers``; the id is
+    the least that has the set), comps their components (``node, comp``)."""
+    nodes = sketches.filter("n_shingles > 0 and doc_id is not null").groupBy("set_key")
+    nodes = nodes.agg(F.min(F.struct("doc_id", "text_key")).alias("first"), F.count("*").alias("rows"), F.first("n_shingles").alias("n"), F.first("registers").alias("registers"))
+    # Numbered once, as the table is written; all later steps read these numbers.
+    nodes = stored(nodes.select(F.monotonically_increasing_id().alias("node"), "first.doc_id", "first.text_key", "rows", "n", "set_key", "registers"), "nodes")
     width = 2 * REGISTERS // BANDS
     bands = F.array(*(F.xxhash64(F.lit(k), F.substring("registers", k * width + 1, width)) for k in range(BANDS)))
     keyed = nodes.select("node", F.explode(bands).alias("band"))
     hubs = keyed.groupBy("band").agg(F.min("node").alias("hub"), F.count("*").alias("rows")).filter("rows > 1").select("band", "hub")
     pairs = stored(keyed.join(hubs, "band").filter("node <> hub").select("hub", "node").distinct(), "pairs")
+    hot = hot_hubs(pairs)
 
-    # Full sets of the documents that share a bucket with another, from their whole texts.
+    # Full sets of the documents that share a bucket with another, from their whole texts. The ids grow with the corpus:
+    # they are never broadcast, but for a bitmap of bounded size that keeps the other texts where they are.
     used = pairs.select(F.col("hub").alias("node")).union(pairs.select("node")).distinct()
-    # The ids grow with the corpus: they are never broadcast, at any size.
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), text_or_empty().alias("text")).join(used.hint("merge"), "node", "left_semi")
-    sets = texts.mapInArrow(_sets, "node long, shingles binary").dropDuplicates(["node"])
+    used = stored(nodes.join(used.hint("merge"), "node").select("node", "doc_id", "text_key"), "used")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    texts = marked_by(texts, "doc_id", used.select("doc_id")).filter("_maybe").withColumn("text_key", F.xxhash64("text"))
+    sets = texts.join(used.hint("merge"), ["doc_id", "text_key"]).select("node", "text").mapInArrow(_sets, "node long, shingles binary").dropDuplicates(["node"])
     full = stored(nodes.join(sets, "node").select("node", "n", "registers", "shingles"), "sets")
 
     side = lambda s, name: full.select(F.col("node").alias(name), F.col("n").alias(f"n{s}"), F.col("registers").alias(f"r{s}"), F.col("shingles").alias(f"s{s}"))
-    tried = pairs.select(F.col("hub").alias("a"), F.col("node").alias("b")).join(side("b", "b"), "b").join(side("a", "a"), "a")
+    tried = pairs.select(F.col("hub").alias("a"), F.col("node").alias("b")).join(side("b", "b"), "b")
+    tried = salted_join(tried, side("a", "a"), "a", "b", hot.withColumnRenamed("hub", "a"))
     links = stored(tried.select("a", "b", "na", "nb", "ra", "rb", "sa", "sb").mapInArrow(partial(_verify_pairs, percent=percent), "a long, b long"), "star-links")
     comps = stored(components(nodes.select("node"), links), "components")
 
-    more = stored(_cross_links(pairs, full, comps, partial(_compare_blocks, percent=percent)), "cross-links")
+    more = stored(_cross_links(pairs, full, comps, partial(_compare_blocks, percent=percent), hot), "cross-links")
     return nodes, joined_components(comps, more)
 
 
+def hot_hubs(pairs: DataFrame) -> DataFrame:
+    """Hubs with many of the stored pairs, for ``salted_join``."""
+    return stored(hot_keys(pairs.groupBy("hub").agg(F.count("*").alias("rows")), "hub", pairs.count()), "hot-hubs")
+
+
 def joined_components(comps: DataFrame, more: DataFrame) -> DataFrame:
     """``comps`` (node, comp) after the links ``more`` (a, b) between their nodes."""
     if more.limit(1).count():
@@ -277,19 +288,21 @@ def joined_components(comps: DataFrame, more: DataFrame) -> DataFrame:
     return comps
 
 
-def _cross_links(pairs: DataFrame, full: DataFrame, comps: DataFrame, compare=_compare_blocks) -> DataFrame:
+def _cross_links(pairs: DataFrame, full: DataFrame, comps: DataFrame, compare, hot: DataFrame) -> DataFrame:
     """Links between members of one hub that lie in different components.
 
     The members in the hub's own component are its major side. Both sides are dealt into blocks of about ``BLOCK_ROWS``
     by a hash; each minor block meets every minor block from itself on, and every major block.
     """
-    members = pairs.select("hub", "node").union(pairs.select("hub", F.col("hub").alias("node")).distinct())
-    members = members.join(comps, "node").join(comps.select(F.col("node").alias("hub"), F.col("comp").alias("hub_comp")), "hub")
-    members = members.withColumn("minor", F.col("comp") != F.col("hub_comp"))
+    hubs = pairs.select("hub").distinct()
+    members = pairs.select("hub", "node").union(hubs.select("hub", F.col("hub").alias("node"))).join(comps, "node")
+    hub_comps = hubs.join(comps.select(F.col("node").alias("hub"), F.col("comp").alias("hub_comp")), "hub")
+    members = salted_join(members, hub_comps, "hub", "node", hot).withColumn("minor", F.col("comp") != F.col("hub_comp"))
+    members = stored(members.select("hub", "node", "comp", "minor"), "members")
     sizes = members.groupBy("hub").agg(F.count_if("minor").alias("minors"), F.count_if(~F.col("minor")).alias("majors")).filter("minors > 1 or (minors > 0 and majors > 1)")
     blocks = lambda n: F.greatest(F.lit(1), F.ceil(F.col(n) / F.lit(BLOCK_ROWS))).cast("int")
     sizes = sizes.select("hub", blocks("minors").alias("bi"), blocks("majors").alias("bj"))
-    dealt = members.join(sizes, "hub").withColumn("own", F.pmod(F.xxhash64("node"), F.when(F.col("minor"), F.col("bi")).otherwise(F.col("bj"))).cast("int"))
+    dealt = salted_join(members, sizes, "hub", "node", hot).withColumn("own", F.pmod(F.xxhash64("node"), F.when(F.col("minor"), F.col("bi")).otherwise(F.col("bj"))).cast("int"))
     meet = lambda i, j, kind, side: F.struct(F.concat_ws(":", F.col("hub").cast("string"), F.lit(kind), i.cast("string"), j.cast("string")).alias("block"), F.lit(side).alias("side"))
     own, upto = F.col("own"), lambda n: F.sequence(F.lit(0), n - 1)
     minor = F.concat(
@@ -303,23 +316,40 @@ def _cross_links(pairs: DataFrame, full: DataFrame, comps: DataFrame, compare=_c
     return rows.repartition("block").sortWithinPartitions("block", "side", "node").mapInArrow(compare, "a long, b long").distinct()
 
 
+def verdicts(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """``near_duplicates`` with ``text_key``."""
+    sketches = stored(sketch(docs), "sketches")
+    nodes, comps = near_links(docs, sketches, percent)
+    # A component's id is the least id of its sets' rows.
+    members = stored(nodes.select("node", "set_key", "doc_id", "rows").join(comps, "node"), "members")
+    heads = stored(members.groupBy("comp").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("rows")), "heads")
+    classes = salted_join(members.select("comp", "set_key"), heads.select("comp", "component_id"), "comp", "set_key", hot_keys(heads, "comp", nodes.count()))
+    known = sketches.filter("set_key is not null and doc_id is not null").select("doc_id", "text_key", "n_shingles", "set_key")
+    found = salted_join(known, classes.select("set_key", "component_id"), "set_key", "doc_id", hot_keys(nodes, "set_key", sketches.count()))
+    alone = sketches.filter("set_key is null or doc_id is null").select("doc_id", "text_key", "n_shingles", F.col("doc_id").alias("component_id"))
+    out = found.select("doc_id", "text_key", "n_shingles", "component_id").unionByName(alone)
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """One row for each input row: ``doc_id, n_shingles, component_id, kept``.
 
     Documents link when 100 * shared shingles >= ``percent`` * all shingles of both; links are exact on the pairs that
-    share a band (at the threshold, all but 5e-11 of them for 85 and 5e-8 for 80). ``component_id`` is the least id reachable. Documents without words
-    or text are linked with nothing; null ids get no component and are kept. Rows repeated with one id share a verdict.
+    share a band (at the threshold, all but 5e-11 of them for 85 and 5e-8 for 80). Sets are compared as 64-bit hashes of
+    their shingles, and sets with one 128-bit digest are taken as equal. ``component_id`` is the least id reachable.
+    Documents without words or text are linked with nothing; null ids get no component and are kept. An id doesn't link
+    rows: rows with one id and several texts are judged each by its own text, rows with one id and text alike. An empty
+    table gives no rows; other columns are ignored.
     """
-    sketches = stored(sketch(docs), "sketches")
-    nodes, comps = near_links(docs, sketches, percent)
-    classes = nodes.select("set_key", "node").join(comps, "node").select("set_key", "comp")
-    found = sketches.filter("set_key is not null and doc_id is not null").select("doc_id", "n_shingles", "set_key").join(classes, "set_key")
-    alone = sketches.filter("set_key is null or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    out = found.select("doc_id", "n_shingles", F.col("comp").alias("component_id")).unionByName(alone)
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return verdicts(docs, percent).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def drop_near_copies(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """``docs`` with one document of each component; columns unchanged."""
-    gone = near_duplicates(docs, percent).filter("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """``docs`` with one document of each component; columns unchanged. Only rows whose id may be that of a dropped row
+    are shuffled."""
+    gone = stored(verdicts(docs, percent).filter("not kept").select("doc_id", F.col("text_key").alias("_text_key")).distinct(), "near-copies")
+    ids = gone.select(F.col("doc_id").alias("_gone_id"), "_text_key")
+    marked = marked_by(docs.withColumn("_long_id", F.col("doc_id").cast("long")), "_long_id", gone.select("doc_id"))
+    maybe = marked.filter("_maybe").withColumn("_text_key", F.xxhash64(text_or_empty()))
+    maybe = maybe.join(ids.withColumnRenamed("_gone_id", "_long_id"), ["_long_id", "_text_key"], "left_anti")
+    return marked.filter("not _maybe").select(*docs.columns).unionByName(maybe.select(*docs.columns))

@@ -309,6 +309,27 @@ def test_near_duplicates_equal_brute_force(spark, odd, empty):
     assert setsketch.near_duplicates(empty).count() == 0
 
 
+def test_rows_with_one_id_are_judged_by_their_own_texts(spark):
+    words = [f"w{k}" for k in range(60)]
+    near = [*words[:-1], "other"]  # 55 of 57 shingles
+    far = [f"v{k}" for k in range(60)]
+    rows = [(9, words), (9, far), (4, near), (7, far), (9, words)]
+    docs = messy(spark, [" ".join(w) for _, w in rows], [i for i, _ in rows])
+    got = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in setsketch.near_duplicates(docs).collect())
+    assert got == sorted([(9, 56, 4, False), (9, 56, 7, False), (4, 56, 4, True), (7, 56, 7, True), (9, 56, 4, False)])
+    kept = setsketch.drop_near_copies(docs)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [4, 7]
+
+
+def test_hot_hubs_are_dealt_over_salts(spark, monkeypatch):
+    from aerolattice.llm import common
+
+    monkeypatch.setattr(common, "HOT_ROWS", 10)
+    texts = near_texts(groups=2, copies=80, seed=5) + ["one two three four five six"] * 40
+    got = {r.doc_id: r.component_id for r in setsketch.near_duplicates(messy(spark, texts)).collect()}
+    assert got == {i: c for i, (_, c, _) in brute_components(dict(enumerate(texts))).items()}
+
+
 def test_blocks_find_links_between_components(spark, monkeypatch):
     monkeypatch.setattr(setsketch, "BLOCK_ROWS", 8)
     texts = near_texts(groups=2, copies=80, seed=11)
