@@ -16,10 +16,10 @@ def make_grid(spark: SparkSession, box: tuple[float, float, float, float], size:
     """Aligned squares whose centres lie in the box, numbered row by row from the south-west. With ``origin`` (lat, lon of
     x = y = 0) centres get an equirectangular lat and lon, good to 0.1 % within 50 km."""
     x0, y0, x1, y1 = box
-    nx, ny = int(-(-(x1 - x0) // size)), int(-(-(y1 - y0) // size))
+    fit = lambda low, high: max(0, int((high - low - size / 2) // size) + 1)
+    nx, ny = max(1, fit(x0, x1)), fit(y0, y1) * (fit(x0, x1) > 0)
     grid = spark.range(nx * ny).withColumn("col", F.pmod("id", F.lit(nx))).withColumn("row", F.floor(F.col("id") / nx))
     grid = grid.withColumn("x", x0 + F.col("col") * size).withColumn("y", y0 + F.col("row") * size)
-    grid = grid.filter((F.col("x") + size / 2 <= x1) & (F.col("y") + size / 2 <= y1))
     grid = grid.withColumn("cell", F.concat(F.lit(prefix), F.lpad((F.col("id") + 1).cast("string"), 6, "0")))
     if origin:
         lat0, lon0 = origin

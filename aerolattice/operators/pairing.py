@@ -130,6 +130,24 @@ def nearest_station(points: DataFrame, stations: DataFrame, key: str) -> DataFra
     return best.select(key, F.col("b.s").alias("station"), F.col("b.d").alias("distance_m"), cls.alias("distance_class"))
 
 
+def nearest_cell(stations: DataFrame, grid: DataFrame, key: str, columns: Sequence[str], local_m: float = 1000, nearby_m: float = 3000) -> DataFrame:
+    """Each station (``station, slat, slon``) with its nearest cell (``lat, lon``; ties by id), its distance, how far the
+    cell stands for it, and the cell's ``columns`` prefixed by ``station_nearest_grid_``. The stations are a stated short
+    list; the cells are met in partial aggregates, one row for each station and task."""
+    d = haversine_m(F.col("slat"), F.col("slon"), F.col("lat"), F.col("lon"))
+    best = grid.join(stations).groupBy("station").agg(F.min(F.struct(d.alias("d"), F.col(key).alias("k"), *columns)).alias("b"))
+    cls = F.when(F.col("b.d") <= local_m, "local_grid_proxy").when(F.col("b.d") <= nearby_m, "nearby_grid_proxy").otherwise("regional_distance_not_representative")
+    return best.select("station", F.col("b.k").alias("nearest_grid_cell"), F.col("b.d").alias("nearest_grid_distance_m"), cls.alias("morphology_representativeness"), *(F.col(f"b.{c}").alias(f"station_nearest_grid_{c}") for c in columns))
+
+
+def sim_vs_proxy(sim: DataFrame, proxy: DataFrame, value: str, mode: str) -> DataFrame:
+    """Simulated values beside proxy values, their difference and a label of the mode: matched by ``cell_hour`` or by
+    ``hour`` alone, or with the cell's mean over the period (``period_mean``). Rows without a partner stay."""
+    keys = {"cell_hour": ["cell", "hour"], "hour": ["hour"], "period_mean": ["cell"]}[mode]
+    mean = proxy.filter(F.col(value).isNotNull()).groupBy(*keys).agg(F.avg(value).alias("proxy"))
+    return sim.join(mean, keys, "left").withColumns({"delta": F.col(value) - F.col("proxy"), "mode": F.lit(mode)})
+
+
 def fallback_key_join(a: DataFrame, b: DataFrame, keys: Sequence[str], fallback: Sequence[str], values: Sequence[str]) -> DataFrame:
     """Left join on ``keys``; values missing after it come from the means by ``fallback``, then from the medians of ``b``."""
     exact = b.groupBy(*keys).agg(*(F.avg(v).alias(f"_k_{v}") for v in values))

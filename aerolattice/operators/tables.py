@@ -89,7 +89,8 @@ def pivot_wide(long: DataFrame, keys: Sequence[str], variable: str, value: str,
 
 def apply_corrections(df: DataFrame, decisions: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     """Buildings after a change table (``target_id, decision, height``), and a log of what became of each change:
-    height_adjust, remove and move_to_overhead are applied; other decisions are unsupported."""
+    height_adjust, remove and move_to_overhead are applied; other decisions are unsupported (``merge_reviewed`` takes
+    merge_conflict, split_complex and add_missing)."""
     known = ["height_adjust", "remove", "move_to_overhead"]
     last = decisions.groupBy("target_id").agg(F.max_by(F.struct("decision", "height"), F.struct("decision", "height")).alias("d"))
     joined = df.join(last.select(F.col("target_id").alias(key), F.col("d.decision").alias("_d"), F.col("d.height").alias("_h")), key, "left")
@@ -100,6 +101,29 @@ def apply_corrections(df: DataFrame, decisions: DataFrame, key: str) -> tuple[Da
     return out, decisions.join(ids, "target_id", "left").select(*decisions.columns, status.alias("status"))
 
 
+def merge_reviewed(df: DataFrame, decisions: DataFrame, key: str, conflicts: DataFrame, pieces: DataFrame, missing: DataFrame, default: float = 10.0) -> tuple[DataFrame, DataFrame]:
+    """Buildings (``key``, ``height_m`` and others) after the decisions that bring in footprints, and their log:
+
+    - merge_conflict: the conflicting footprint of that id, kept apart until now, is accepted;
+    - split_complex: the building gives way to the pieces drawn for it (``parent_id``); without pieces it stays;
+    - add_missing: all drawn footprints that have no id yet in the table (no decision row is needed).
+
+    Heights come from the decision, then from the footprint, then ``default``; ``height_m`` is positive."""
+    of = lambda name: decisions.filter(F.col("decision") == name).groupBy("target_id").agg(F.max("height").alias("_h"))
+    tall = lambda *c: F.coalesce(*(F.when(F.col(x) > 0, F.col(x)) for x in c), F.lit(default))
+    source = lambda frame, name: frame.withColumn("change", F.lit(name))
+    merged = conflicts.join(of("merge_conflict").withColumnRenamed("target_id", key), key).withColumn("height_m", tall("_h", "height_m")).drop("_h")
+    wanted = of("split_complex").join(df.select(F.col(key).alias("target_id")), "target_id", "left_semi")
+    drawn = pieces.join(wanted.withColumnRenamed("target_id", "parent_id"), "parent_id").withColumn("height_m", tall("height_m", "_h")).drop("_h")
+    split = drawn.select(F.col("parent_id").alias(key)).distinct()
+    added = missing.join(df.select(key), key, "left_anti").withColumn("height_m", tall("height_m"))
+    kept = df.join(split, key, "left_anti")
+    out = union_evolving([source(kept, "kept"), source(merged, "merge_conflict"), source(drawn.drop("parent_id"), "split_complex"), source(added, "add_missing")])
+    done = union_evolving([merged.select(F.lit("merge_conflict").alias("decision"), F.col(key).alias("target_id")), split.select(F.lit("split_complex").alias("decision"), F.col(key).alias("target_id"))])
+    log = decisions.filter(F.col("decision").isin("merge_conflict", "split_complex")).join(done.withColumn("_done", F.lit(True)), ["decision", "target_id"], "left")
+    return out, log.select(*decisions.columns, F.when(F.col("_done"), "applied").otherwise("not_found").alias("status"))
+
+
 def qa_priority(df: DataFrame, category: str, area: str, rank: str, key: str, weights: Sequence[tuple[str, float]], cap: int) -> DataFrame:
     """An additive score from category patterns, area and rank; the ``cap`` best, ties by key."""
     score = sum((F.when(F.col(category).rlike(p), F.lit(w)).otherwise(F.lit(0.0)) for p, w in weights), F.lit(0.0))
@@ -107,6 +131,18 @@ def qa_priority(df: DataFrame, category: str, area: str, rank: str, key: str, we
     return df.withColumn("priority", score).orderBy(F.desc("priority"), key).limit(cap)
 
 
+def qa_targets(parts: Mapping[str, DataFrame], key: str, score: Column, caps: Mapping[str, int]) -> DataFrame:
+    """Targets of review: each part is the rows that one category's rule selects. An id that several rules select is one
+    target with all its categories, in order, joined by ``;``. Each target type (column ``target_type``) gives its best
+    ``caps`` rows by ``score``, ties by id. The caps are the report's size, as its users ask for."""
+    rows = union_evolving([df.withColumn("category", F.lit(name)) for name, df in parts.items()])
+    rest = [c for c in rows.columns if c not in (key, "target_type", "category")]
+    one = rows.groupBy("target_type", key).agg(F.array_join(F.array_sort(F.collect_set("category")), ";").alias("category"), *(F.first(c, ignorenulls=True).alias(c) for c in rest))
+    best = one.withColumn("priority", score).withColumn("_k", F.row_number().over(Window.partitionBy("target_type").orderBy(F.desc("priority"), key)))
+    cap = F.create_map(*(F.lit(x) for pair in caps.items() for x in pair))
+    return best.filter(F.col("_k") <= F.coalesce(cap[F.col("target_type")], F.lit(0))).drop("_k")
+
+
 def standardise_sources(sources: Mapping[str, tuple[DataFrame, Mapping[str, Column], int]]) -> DataFrame:
     """Buildings of several sources in one schema: each source gives a frame, its columns, and its priority; raw
     properties are kept as JSON."""

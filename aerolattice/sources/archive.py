@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.tables import rows_added, upsert_keep_last
+from ..operators.tables import rows_added, union_evolving, upsert_keep_last
 
 
 def partitioned_append(df: DataFrame, path: str, day: str = "obs_date") -> None:
@@ -26,8 +26,9 @@ def merge_into_archive(spark: SparkSession, new: DataFrame, path: str, keys: Seq
         if "PATH_NOT_FOUND" not in str(e):
             raise
         old = new.limit(0)
+    keys = [*keys, day] if day not in keys else list(keys)
     added = rows_added(old, new, keys).first()[0]
-    merged = stored(upsert_keep_last(old, new, [*keys, day] if day not in keys else keys, order), "merge")
+    merged = stored(upsert_keep_last(old, new, keys, order), "merge")
     merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(day).parquet(path)
     return spark.createDataFrame([(added, len(days))], "rows_added long, days int")
 
@@ -37,6 +38,18 @@ def archive_inventory(df: DataFrame, columns: int) -> DataFrame:
     return df.groupBy(F.col("_metadata.file_path").alias("file")).agg(F.count("*").alias("rows")).withColumn("columns", F.lit(columns))
 
 
+def inventory_by_kind(frames: Mapping[str, DataFrame], corrupt: str = "_corrupt_record") -> DataFrame:
+    """``kind, files, rows, known, columns, bad_rows, bad_files`` of tables read with a column for corrupt records: partial sums
+    over the rows of each file, then of each kind. ``known`` counts the rows with a value in the first column."""
+    parts = []
+    for kind, df in frames.items():
+        names = [c for c in df.columns if c != corrupt]
+        bad = F.count_if(F.col(corrupt).isNotNull()) if corrupt in df.columns else F.lit(0).cast("long")
+        files = df.groupBy(F.col("_metadata.file_path").alias("file")).agg(F.count("*").alias("rows"), F.count(names[0]).alias("known"), bad.alias("bad"))
+        parts.append(files.agg(F.count("*").alias("files"), F.sum("rows").alias("rows"), F.sum("known").alias("known"), F.sum("bad").alias("bad_rows"), F.count_if(F.col("bad") > 0).alias("bad_files")).select(F.lit(kind).alias("kind"), "files", "rows", "known", F.lit(len(names)).alias("columns"), "bad_rows", "bad_files"))
+    return union_evolving(parts)
+
+
 def retain_days(df: DataFrame, day: str, days: int) -> DataFrame:
     """Rows of the last ``days`` days up to the newest one."""
     newest = df.agg(F.max(day).alias("_newest"))

@@ -23,6 +23,13 @@ def with_event_time(df: DataFrame, primary: str, fallback: str, late: str = "72
     return df.withColumn("event_time", F.coalesce(primary, fallback)).filter("event_time is not null").withWatermark("event_time", late)
 
 
+def arrival_flags(df: DataFrame, fetched: str, late: str = "72 hours", jitter: str = "6 minutes") -> DataFrame:
+    """``is_late`` (older than the age limit when it was fetched) and ``is_early`` (ahead of the fetch by more than clocks
+    may differ), so that late rows are counted and not only dropped by a watermark."""
+    at, got = F.col("event_time"), F.col(fetched)
+    return df.withColumns({"is_late": at < got - F.expr(f"interval {late}"), "is_early": at > got + F.expr(f"interval {jitter}")})
+
+
 def dedup_stream(df: DataFrame, keys: Sequence[str], late: str = "72 hours") -> DataFrame:
     """The first row of each key within the watermark; state is dropped beyond it. ``upsert_batches`` keeps the last."""
     return df.withWatermark("event_time", late).dropDuplicatesWithinWatermark(list(keys))
@@ -58,10 +65,11 @@ def silent_station(df: DataFrame, gap: str = "90 minutes", late: str = "2 hours"
 
 
 def alert_stream(cell_hours: DataFrame, late: str = "2 hours") -> DataFrame:
-    """Hourly alert of a stream of cell hours (``event_time, cell, wbgt_c, utci_c``)."""
-    w = cell_hours.withWatermark("event_time", late).groupBy(F.window("event_time", "1 hour"))
-    e = w.agg(
-        F.approx_count_distinct("cell").alias("cells"), F.max("wbgt_c").alias("max_wbgt_c"), F.max("utci_c").alias("max_utci_c"), F.count_if(F.col("wbgt_c") >= 33).alias("hi"), F.count_if(F.col("wbgt_c") >= 31).alias("mod"),
+    """Hourly alert of a stream of cell hours (``event_time, cell, wbgt_c, utci_c``). Of a cell's rows in an hour the first
+    counts, so the number of cells is exact."""
+    once = cell_hours.withWatermark("event_time", late).withColumn("_hour", F.date_trunc("hour", "event_time")).dropDuplicatesWithinWatermark(["_hour", "cell"])
+    e = once.groupBy(F.window("event_time", "1 hour")).agg(
+        F.count("*").alias("cells"), F.max("wbgt_c").alias("max_wbgt_c"), F.max("utci_c").alias("max_utci_c"), F.count_if(F.col("wbgt_c") >= 33).alias("hi"), F.count_if(F.col("wbgt_c") >= 31).alias("mod"),
         *(F.count_if(F.col("utci_c") >= c).alias(f"u{c}") for c in (26, 32, 38, 46)),
     )
     wb = T.wbgt_alert(F.col("hi"), F.col("mod"), F.col("max_wbgt_c"), F.col("cells"))
