@@ -31,10 +31,12 @@ def text_or_empty(col: str = "text") -> Column:
 
 def marked_by(rows: DataFrame, key: str, keys: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
     """``rows`` with ``_maybe``: false where ``key`` is surely not in the only column of ``keys``. A bitmap of hashed keys,
-    bounded in size, goes to all tasks, so that rows without a partner needn't be shuffled."""
+    bounded in size, goes to all tasks, so that rows without a partner needn't be shuffled. Join the rest by an inner or
+    left join: Catalyst would push a semi or anti join below the filter, and all rows would be shuffled."""
     place = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
-    made = keys.select(place(F.col(keys.columns[0])).alias("_h"))
-    made = made.groupBy(F.bitmap_bucket_number("_h").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_h")).alias("_bits"))
+    made = keys.select(place(F.col(keys.columns[0])).alias("_h")).select("_h", F.bitmap_bucket_number("_h").alias("_bucket"))
+    # Keys are dealt by bucket first: eight bytes of a key travel, and not a map of all bits from each task.
+    made = made.repartition("_bucket").groupBy("_bucket").agg(F.bitmap_construct_agg(F.bitmap_bit_position("_h")).alias("_bits"))
     out = rows.withColumn("_h", place(F.col(key)))
     out = out.withColumn("_bucket", F.bitmap_bucket_number("_h")).withColumn("_p", F.bitmap_bit_position("_h")).join(F.broadcast(made), "_bucket", "left")
     bit = F.expr("getbit(cast(conv(hex(substring(_bits, cast(_p div 8 as int) + 1, 1)), 16, 10) as int), cast(_p % 8 as int)) = 1")

@@ -90,7 +90,7 @@ def drop_exact_copies(docs: DataFrame) -> DataFrame:
     stay = marked_by(stay, "doc_id", gone).filter("_maybe").select("_row_key")
     marked = marked_by(docs, "doc_id", gone)
     maybe = marked.filter("_maybe").withColumn("_row_key", key(digest(squeezed(text_or_empty()))))
-    maybe = maybe.join(stay, "_row_key", "left_semi").dropDuplicates(["_row_key"])
+    maybe = maybe.join(stay, "_row_key").dropDuplicates(["_row_key"])
     return marked.filter("not _maybe").select(*docs.columns).unionByName(maybe.select(*docs.columns))
 
 

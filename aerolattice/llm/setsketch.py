@@ -351,5 +351,5 @@ def drop_near_copies(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     ids = gone.select(F.col("doc_id").alias("_gone_id"), "_text_key")
     marked = marked_by(docs.withColumn("_long_id", F.col("doc_id").cast("long")), "_long_id", gone.select("doc_id"))
     maybe = marked.filter("_maybe").withColumn("_text_key", F.xxhash64(text_or_empty()))
-    maybe = maybe.join(ids.withColumnRenamed("_gone_id", "_long_id"), ["_long_id", "_text_key"], "left_anti")
+    maybe = maybe.join(ids.withColumnRenamed("_gone_id", "_long_id").withColumn("_gone", F.lit(True)), ["_long_id", "_text_key"], "left").filter("_gone is null")
     return marked.filter("not _maybe").select(*docs.columns).unionByName(maybe.select(*docs.columns))
