@@ -1,11 +1,15 @@
 """Secret scan in DataFrame functions: three fixed patterns, and a battery of randomness tests for all other tokens.
 
-A candidate is a run of 20 or more characters of ``[A-Za-z0-9+/_-]``. Its encoding is inferred from its characters, and
-the battery asks whether it looks like uniform draws from that alphabet: chi-squared uniformity, runs above and below
-the middle of the alphabet, and lag-1 serial correlation, joined into one chi-squared statistic of three degrees. A
-token that the battery rejects is structured and dropped. For the others, a coincidence test gives the probability that
-ordinary writing of that length would look so varied; these p-values go through Benjamini-Hochberg control over the
-whole corpus, within strata of length, because short tokens carry little evidence and must not share the error budget
+A candidate is a run of 20 or more characters of ``[A-Za-z0-9+/_-]``. Its encoding is inferred from its characters. The
+battery holds a token against ordinary writing in that encoding:
+
+- chi-squared uniformity over the alphabet, as the number of equal pairs of letters: ordinary writing repeats letters;
+- runs of character classes (lower, upper, digits, others): ordinary writing stays within a class;
+- lag-1 serial correlation of the places in the alphabet: sequences and repeated patterns are correlated.
+
+The first two p-values are joined by Fisher's method, and the largest of that and the third is the token's one p-value: a
+secret must look random in every respect. These p-values, of all tokens tested, go through Benjamini-Hochberg control over
+the whole corpus, within strata of length, because short tokens carry little evidence and must not share the error budget
 of long ones. Counts of p-value bins carry the control, so nothing is sorted.
 """
 
@@ -31,8 +35,11 @@ ALPHABETS = {
     "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
     "base64url": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_",
 }
-#: Least p-value of the battery; false-discovery rate; coincidence rate of ordinary writing; upper ends of the strata.
-ALPHA, RATE, COINCIDENCE, STRATA = 0.001, 0.01, 0.065, (28, 40, 64)
+#: Rates of equal pairs in ordinary writing, by the size of the alphabet; of changes of class; false-discovery rate; upper
+#: ends of the strata.
+COINCIDENCE, CHANGE, RATE, STRATA = {16: 0.12, 32: 0.08, 64: 0.065}, 0.25, 0.01, (28, 40, 64)
+CLASS_RUN = "[a-z]+|[A-Z]+|[0-9]+|[^a-zA-Z0-9]+"
+LEAST = 20
 #: Bins of -log10(p): ten for each power of ten, up to 10^-30.
 BINS = 300
 SPAN = "array<struct<kind:int,start:int,end:int>>"
@@ -57,12 +64,6 @@ def _where(test: Column, spans: Column) -> Column:
     return F.when(test, spans).otherwise(F.lit([]).cast(SPAN))
 
 
-def _erfc(x: Column) -> Column:
-    """Complementary error function for x >= 0, by the rational approximation of Abramowitz and Stegun 7.1.26."""
-    t = 1 / (1 + 0.3275911 * x)
-    return t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429)))) * F.exp(-x * x)
-
-
 def _sum(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
 
@@ -79,51 +80,40 @@ def encoding(token: Column) -> Column:
 
 
 def battery(token: Column, alphabet: Column) -> Column:
-    """``struct(n, p_random, evidence)``: evidence is -log10 of the chance that ordinary writing is so varied."""
+    """-log10 of the token's p-value. Tails of normal and binomial deviates are bounded from above (``exp(-z * z / 2) / 2``
+    and Chernoff's bound), so the p-values err on the safe side."""
     n = F.length(token).cast("double")
-    size = F.length(alphabet).cast("double")
-    letters = F.filter(F.split(alphabet, ""), lambda c: c != "")
-    counts = F.transform(letters, lambda c: (F.length(token) - F.length(F.replace(token, c, F.lit("")))).cast("double"))
-    squares = _sum(F.transform(counts, lambda c: c * c))
-    z_chi = (squares * size / n - n - (size - 1)) / F.sqrt(2 * (size - 1))
-    values = F.transform(F.filter(F.split(token, ""), lambda c: c != ""), lambda c: (F.instr(alphabet, c) - 1).cast("double"))
-
-    def of(v: Column) -> Column:
-        count = F.size(v)
-        head, tail = F.slice(v, F.lit(1), count - 1), F.slice(v, F.lit(2), count - 1)
-        high = _sum(F.transform(v, lambda x: (x >= size / 2).cast("double")))
-        low = n - high
-        runs = 1 + _sum(F.zip_with(head, tail, lambda a, b: ((a >= size / 2) != (b >= size / 2)).cast("double")))
-        two = 2 * high * low
-        z_runs = F.coalesce(F.try_divide(runs - 1 - two / n, F.sqrt(F.try_divide(two * (two - n), n * n * (n - 1)))), F.lit(9.0))
+    size = F.length(alphabet)
+    kappa = F.element_at(F.create_map(*(F.lit(x) for pair in COINCIDENCE.items() for x in pair)), size)
+    letters = F.filter(F.split(token, ""), lambda c: c != "")
+    squares = _sum(F.transform(F.array_distinct(letters), lambda c: F.pow((F.length(token) - F.length(F.replace(token, c, F.lit("")))).cast("double"), 2)))
+    pairs = n * (n - 1) / 2
+    z = ((squares - n) / 2 - pairs * kappa) / F.sqrt(pairs * kappa * (1 - kappa))
+    ln_chi = F.when(z < 0, -z * z / 2 - math.log(2)).otherwise(F.lit(0.0))
+    share = (F.regexp_count(token, F.lit(CLASS_RUN)) - 1) / (n - 1)
+    part = lambda x, y: F.when(x > 0, x * F.ln(x / y)).otherwise(F.lit(0.0))
+    ln_runs = F.when(share > CHANGE, -(n - 1) * (part(share, F.lit(CHANGE)) + part(1 - share, F.lit(1 - CHANGE)))).otherwise(F.lit(0.0))
+    ln_both = ln_chi + ln_runs
+    ln_fisher = ln_both + F.ln(1 - ln_both)
+    values = F.transform(letters, lambda c: F.instr(alphabet, c).cast("double"))
+
+    def serial(v: Column) -> Column:
         mean = _sum(v) / n
         spread = _sum(F.transform(v, lambda x: (x - mean) * (x - mean)))
-        z_serial = F.coalesce(F.try_divide(_sum(F.zip_with(head, tail, lambda a, b: (a - mean) * (b - mean))), spread), F.lit(1.0)) * F.sqrt(n)
-        t = F.greatest(z_chi, F.lit(0.0)) * F.greatest(z_chi, F.lit(0.0)) + z_runs * z_runs + z_serial * z_serial
-        p_random = _erfc(F.sqrt(t / 2)) + F.sqrt(2 * t / math.pi) * F.exp(-t / 2)
-        pairs = n * (n - 1) / 2
-        z = ((squares - n) / 2 - pairs * COINCIDENCE) / F.sqrt(pairs * COINCIDENCE * (1 - COINCIDENCE))
-        ordinary = F.when(z < 0, _erfc(-z / math.sqrt(2)) / 2).otherwise(F.lit(1.0))
-        spelled = F.when(size == 16, n * -math.log10(0.35)).otherwise(-F.log10(F.greatest(ordinary, F.lit(1e-30))))
-        return F.struct(F.length(token).alias("n"), p_random.alias("p_random"), spelled.alias("evidence"))
+        along = _sum(F.zip_with(F.slice(v, 1, F.size(v) - 1), F.slice(v, 2, F.size(v) - 1), lambda a, b: (a - mean) * (b - mean)))
+        r = F.least(F.abs(F.coalesce(F.try_divide(along, spread), F.lit(1.0))), F.lit(1.0))
+        return -n * (1 - r) * (1 - r) / 2 - math.log(2)
 
-    return F.aggregate(F.array(values), F.lit(None).cast("struct<n:int,p_random:double,evidence:double>"), lambda _, v: of(v))
+    ln_serial = F.aggregate(F.array(values), F.lit(0.0), lambda _, v: serial(v))
+    return F.greatest(-F.greatest(ln_fisher, ln_serial) / math.log(10), F.lit(0.0))
 
 
-def _tested(token: Column) -> Column:
+def tested(token: Column) -> Column:
+    """``struct(stratum, bin)`` of a token; null where no encoding is inferred."""
     alphabets = F.create_map(*(F.lit(x) for pair in ALPHABETS.items() for x in pair))
-    return battery(token, F.element_at(alphabets, encoding(token)))
-
-
-def candidates(text: Column, runs: Column) -> Column:
-    """Random-looking tokens of a text: ``span`` and ``test`` of each token that the battery accepts. ``runs`` are the
-    text's runs; places are worked out only where one of them is accepted."""
-    accepted = F.exists(F.filter(runs, lambda t: (F.length(t) >= 20) & encoding(t).isNotNull()), lambda t: _tested(t)["p_random"] >= ALPHA)
-    spans = _where(accepted, _spans(text, 3, RANDOM, 0, 20))
-    token = lambda s: F.substring(text, s["start"] + 1, s["end"] - s["start"])
-    known = F.filter(spans, lambda s: encoding(token(s)).isNotNull())
-    tests = F.transform(known, lambda s: F.struct(s.alias("span"), _tested(token(s)).alias("test")))
-    return F.filter(tests, lambda x: x["test"]["p_random"] >= ALPHA)
+    name = encoding(token)
+    score = F.least(F.floor(battery(token, F.element_at(alphabets, name)) * 10), F.lit(BINS)).cast("int")
+    return F.when(name.isNotNull(), F.struct(_stratum(F.length(token)).alias("stratum"), score.alias("bin")))
 
 
 def base_spans(text: Column, runs: Column) -> Column:
@@ -156,21 +146,24 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row for each input row: ``doc_id, spans, n_random``; ``spans`` is an array of (kind, start, end), ordered by
     start and kind: 0 assign, 1 access, 2 hex, 3 random. Places are code points, ends exclusive.
 
-    Null text counts as empty. Random tokens that overlap a span of the fixed kinds are left out. Repeated rows are
-    tested, and counted by the control, as often as they occur.
+    Null text counts as empty. All tokens with an inferred encoding are tested and counted by the control, repeated rows
+    as often as they occur; discovered tokens that overlap a span of the fixed kinds are left out. An empty table gives no
+    rows; other columns are ignored.
     """
-    text = F.col("_text")
+    text, runs = F.col("_text"), F.col("_runs")
     rows = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("_text"))
     rows = rows.withColumn("_runs", F.regexp_extract_all("_text", F.lit(RUN), F.lit(0)))
-    rows = rows.select("doc_id", base_spans(text, F.col("_runs")).alias("base"), candidates(text, F.col("_runs")).alias("tokens"))
-    free = F.filter("tokens", lambda t: ~F.exists("base", lambda b: (b["start"] < t["span"]["end"]) & (t["span"]["start"] < b["end"])))
-    bin_of = lambda t: F.least(F.floor(t["test"]["evidence"] * 10), F.lit(BINS)).cast("int")
-    found = F.transform(free, lambda t: F.struct(t["span"].alias("span"), _stratum(t["test"]["n"]).alias("stratum"), bin_of(t).alias("bin")))
-    rows = stored(rows.select("doc_id", "base", found.alias("tokens")), "secrets")
-    cuts = discoveries(rows.select(F.explode("tokens").alias("t")).select("t.stratum", "t.bin"), rate)
+    rows = rows.select("doc_id", "_text", base_spans(text, runs).alias("base"), F.transform(F.filter(runs, lambda t: F.length(t) >= LEAST), tested).alias("tests"))
+    # No p-value above the rate is ever discovered, so places are worked out only where one is at most the rate.
+    weakest = math.floor(-10 * math.log10(rate))
+    likely = lambda t: F.coalesce(t["bin"] >= weakest, F.lit(False))
+    placed = F.arrays_zip(_where(F.exists("tests", likely), _spans(text, 3, RANDOM, 0, LEAST)).alias("span"), F.col("tests").alias("test"))
+    free = F.filter(placed, lambda t: likely(t["test"]) & t["span"].isNotNull() & ~F.exists("base", lambda b: (b["start"] < t["span"]["end"]) & (t["span"]["start"] < b["end"])))
+    rows = stored(rows.select("doc_id", "base", F.filter("tests", lambda t: t.isNotNull()).alias("tests"), free.alias("tokens")), "secrets")
+    cuts = discoveries(rows.select(F.explode("tests").alias("t")).select("t.stratum", "t.bin"), rate)
     # One row: a cut for each of the few strata.
     cuts = cuts.agg(F.map_from_entries(F.collect_list(F.struct("stratum", "cut"))).alias("cuts"))
-    kept = F.transform(F.filter("tokens", lambda t: t["bin"] >= F.coalesce(F.try_element_at("cuts", t["stratum"]), F.lit(BINS + 1))), lambda t: t["span"])
+    kept = F.transform(F.filter("tokens", lambda t: t["test"]["bin"] >= F.coalesce(F.try_element_at("cuts", t["test"]["stratum"]), F.lit(BINS + 1))), lambda t: t["span"])
     rows = rows.crossJoin(F.broadcast(cuts)).withColumn("random", kept)
     spans = F.array_sort(F.transform(F.concat("base", "random"), lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))))
     return rows.select("doc_id", F.transform(spans, lambda s: F.struct(s["kind"], s["start"], s["end"])).cast(SPAN).alias("spans"), F.size("random").cast("long").alias("n_random"))

@@ -1,6 +1,7 @@
 """Secret scan, licence scan, mixing and exact de-duplication."""
 
 import hashlib
+import math
 import random
 import re
 import string
@@ -49,6 +50,68 @@ def test_secret_spans(spark, odd, empty):
     assert secrets.secret_digest(empty).count() == 0
 
 
+def plain_bin(token):
+    """The battery's bin of a token, in plain Python; None without an encoding."""
+    n = len(token)
+    kinds = [("^[0-9]+$", None), ("^[0-9a-f]+$", "hex"), ("^[0-9A-F]+$", "upper_hex"), ("^(?=.*[2-7])[A-Z2-7]+$", "base32"), ("^[A-Za-z0-9+/]+$", "base64"), ("^[A-Za-z0-9_-]+$", "base64url")]
+    name = next((k for p, k in kinds if re.match(p, token)), None)
+    if not name:
+        return None
+    alphabet = secrets.ALPHABETS[name]
+    kappa, pairs = secrets.COINCIDENCE[len(alphabet)], n * (n - 1) / 2
+    equal = sum(a == b for i, a in enumerate(token) for b in token[:i])
+    z = (equal - pairs * kappa) / math.sqrt(pairs * kappa * (1 - kappa))
+    kind = ["d" if c.isdigit() else "u" if c.isupper() else "l" if c.islower() else "o" for c in token]
+    a, rho = sum(x != y for x, y in zip(kind, kind[1:])) / (n - 1), secrets.CHANGE
+    bound = (n - 1) * (a * math.log(a / rho) + ((1 - a) * math.log((1 - a) / (1 - rho)) if a < 1 else 0)) if a > rho else 0
+    both = (-z * z / 2 - math.log(2) if z < 0 else 0) - bound
+    v = [alphabet.index(c) for c in token]
+    m = sum(v) / n
+    spread = sum((x - m) ** 2 for x in v)
+    r = min(1, abs(sum((x - m) * (y - m) for x, y in zip(v, v[1:])) / spread)) if spread else 1
+    p = max(both + math.log(1 - both), -n * (1 - r) ** 2 / 2 - math.log(2))
+    return min(math.floor(max(-p / math.log(10), 0) * 10), secrets.BINS)
+
+
+def plain_cuts(tests, rate):
+    """Benjamini-Hochberg on bins, stratum by stratum."""
+    cuts = {}
+    for stratum in {s for s, _ in tests}:
+        bins = sorted((b for s, b in tests if s == stratum), reverse=True)
+        good = [b for b in set(bins) if 10 ** (-b / 10) <= rate * sum(x >= b for x in bins) / len(bins)]
+        if good:
+            cuts[stratum] = min(good)
+    return cuts
+
+
+def test_secret_method_equals_brute_force(spark):
+    rng = random.Random(12)
+    draw = lambda chars, n: "".join(rng.choice(chars) for _ in range(n))
+    words = lambda n: "".join(rng.choice(["tion", "ing", "er", "the", "and", "stead", "Over", "load"]) for _ in range(n))
+    texts = []
+    for _ in range(60):
+        texts.append(f"{draw(string.ascii_letters + string.digits, rng.randint(20, 70))} é {words(rng.randint(5, 12))} {draw('ABCDEF0123456789', rng.randint(20, 40))}")
+        texts.append(f"a/b {words(8)}-{words(3)} {draw(secrets.ALPHABETS['base32'], rng.randint(20, 50))} {draw(secrets.ALPHABETS['base64url'], rng.randint(20, 90))} {string.ascii_lowercase} {'xY7' * rng.randint(7, 12)} {draw('0123456789abcdef', 24)}")
+    tests, found = [], []
+    for i, t in enumerate(texts):
+        for m in re.finditer(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}", t):
+            b = plain_bin(m[0])
+            if b is not None:
+                stratum = sum(len(m[0]) >= end for end in secrets.STRATA)
+                tests.append((stratum, b))
+                found.append((i, m.start(), m.end(), stratum, b))
+    cuts = plain_cuts(tests, secrets.RATE)
+    want = {i: base_spans(t) for i, t in enumerate(texts)}
+    for i, start, end, stratum, b in found:
+        if b >= cuts.get(stratum, secrets.BINS + 1) and not any(s < end and start < e for s, k, e in want[i] if k < 3):
+            want[i].append((start, 3, end))
+    got = {r.doc_id: (r.spans, r.n_random) for r in secrets.secret_digest(messy(spark, texts)).collect()}
+    assert got == {i: (line(sorted(w)), sum(k == 3 for _, k, _ in w)) for i, w in want.items()}
+    keys = [f for f in found if f[0] % 2 == 0 and f[1] == 0]
+    hits = sum((s, 3, e) in want[i] for i, s, e, *_ in keys)
+    assert hits >= 0.9 * len(keys) and not any(string.ascii_lowercase in texts[i][s:e] or "xY7xY7" in texts[i][s:e] for i, w in want.items() for s, k, e in w if k == 3)
+
+
 def test_licenses(spark, odd, empty):
     texts = ["Intro. Released under the MIT License.\nMore.", "Licensed under the Apache License, Version 2.0.\nUnknown line.\nYou may not use this file except in compliance with the License. You may obtain a copy of the License at:", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software.", "no licence", "All rights reserved! Licensed under CC BY-NC 4.0."]
     got = licenses.scan_licenses(messy(spark, texts)).orderBy("doc_id").collect()
