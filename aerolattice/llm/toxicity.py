@@ -22,34 +22,32 @@ from pyspark.sql import functions as F
 
 from .common import slices
 
-#: Bounds of the fit: labelled rows, and words of each category.
-SAMPLE_ROWS, WORDS = 20_000, 256
+#: Bound of the fit, in labelled rows.
+SAMPLE_ROWS = 20_000
 FOLDS, RIDGE, LEVEL, THRESHOLD = 5, 0.1, 0.001, 0.5
 SLICE_BYTES = 4_000_000
 TOKEN = r"[\p{L}\p{M}\p{N}_']+"
 
 
-#: Lengths of the stems that stand for a longer word's inflected forms.
+#: Lengths of the stems that stand for a longer word's inflected forms, beside the word itself.
 STEMS = (4, 5)
 
 
-def words_of(text: Column) -> Column:
-    """The distinct lower-case words of a whole text, and the stems of longer words, marked by ``*``."""
-    words = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0)))
-    stems = [F.transform(F.filter(words, lambda w, n=n: F.length(w) > n), lambda w, n=n: F.concat(F.substring(w, 1, n), F.lit("*"))) for n in STEMS]
-    return F.array_distinct(F.concat(words, *stems))
-
-
 class Finder:
-    """Finds the chosen words and stems in texts as ``words_of`` would; whole words and stems are looked up apart."""
+    """The features of a whole text: its lower-case words, and the stems of longer words, marked by ``*``. Training and
+    scoring both read texts by it. With ``words`` it finds the places of these alone."""
 
-    def __init__(self, words: Sequence[str]):
+    def __init__(self, words: Sequence[str] = ()):
         import regex
 
         self.tokens = regex.compile(TOKEN).findall
         self.whole = {w: k for k, w in enumerate(words) if not w.endswith("*")}
         self.stems = {n: {w[:-1]: k for k, w in enumerate(words) if w.endswith("*") and len(w) == n + 1} for n in STEMS}
 
+    def features(self, text: str) -> set[str]:
+        words = set(self.tokens(text.lower()))
+        return words.union(w[:n] + "*" for n in STEMS for w in words if len(w) > n)
+
     def places(self, text: str) -> list[int]:
         words = set(self.tokens(text.lower()))
         out = [self.whole[w] for w in self.whole.keys() & words]
@@ -59,6 +57,33 @@ class Finder:
         return out
 
 
+@dataclass
+class Hits:
+    """Rows by words, of which a row has few: the places of the ones, and further columns (a bias first, the earlier
+    probabilities last) in full. A weight vector holds the bias, the words, and the others."""
+
+    row: np.ndarray
+    word: np.ndarray
+    words: int
+    rest: np.ndarray
+
+    @classmethod
+    def of(cls, places: Sequence[Sequence[int]], words: int) -> Hits:
+        sizes = [len(p) for p in places]
+        return cls(np.repeat(np.arange(len(places)), sizes), np.array([k for p in places for k in p], np.int64), words, np.ones((len(places), 1)))
+
+    def beside(self, earlier: np.ndarray) -> Hits:
+        return Hits(self.row, self.word, self.words, np.column_stack([np.ones(len(self.rest)), earlier]))
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        rest = np.concatenate([w[:1], w[1 + self.words :]])
+        return self.rest @ rest + np.bincount(self.row, w[1 + self.word], len(self.rest))
+
+    def turned(self, values: np.ndarray) -> np.ndarray:
+        rest = self.rest.T @ values
+        return np.concatenate([rest[:1], np.bincount(self.word, values[self.row], self.words), rest[1:]])
+
+
 @dataclass
 class Chain:
     """Categories in order; ``weights[k]`` holds the bias, a weight for each word, and one for each earlier category."""
@@ -67,66 +92,95 @@ class Chain:
     words: list[str]
     weights: list[np.ndarray]
 
-    def predict(self, x: np.ndarray) -> np.ndarray:
-        """Probabilities (rows x categories) of rows given as 0/1 word columns."""
-        out = np.zeros((len(x), 0))
+    def predict(self, hits: Hits) -> np.ndarray:
+        """Probabilities (rows x categories)."""
+        out = np.zeros((len(hits.rest), 0))
         for w in self.weights:
-            out = np.column_stack([out, _probability(_design(x, out), w)])
+            out = np.column_stack([out, _probability(hits.beside(out), w)])
         return out
 
 
-def _design(x: np.ndarray, earlier: np.ndarray) -> np.ndarray:
-    return np.column_stack([np.ones(len(x)), x, earlier])
-
+def _probability(x: Hits, w: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x.times(w), -35, 35)))
 
-def _probability(x: np.ndarray, w: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x @ w, -35, 35)))
 
-
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = RIDGE, steps: int = 30) -> np.ndarray:
-    """Ridge logistic regression by Newton's method; the bias isn't penalised."""
-    w = np.zeros(x.shape[1])
-    penalty = np.full(x.shape[1], ridge)
+def logistic(x: Hits, y: np.ndarray, used: np.ndarray, ridge: float = RIDGE, steps: int = 30) -> np.ndarray:
+    """Ridge logistic regression on the rows ``used``, by Newton's method with conjugate gradients; the bias isn't
+    penalised. The cost of a step grows with the words that the rows have, not with rows times words."""
+    size = x.words + x.rest.shape[1]
+    w, y = np.zeros(size), np.where(used, y, 0.0)
+    penalty = np.full(size, ridge)
     penalty[0] = 1e-6
     for _ in range(steps):
         p = _probability(x, w)
-        gradient = x.T @ (p - y) + penalty * w
-        hessian = (x * np.maximum(p * (1 - p), 1e-6)[:, None]).T @ x + np.diag(penalty)
-        step = np.linalg.solve(hessian, gradient)
+        curve = used * np.maximum(p * (1 - p), 1e-6)
+        gradient = x.turned(used * (p - y)) + penalty * w
+        step = _solve(lambda v: x.turned(curve * x.times(v)) + penalty * v, gradient)  # noqa: B023
         w -= step
         if np.abs(step).max() < 1e-6:
             break
     return w
 
 
-def fit_chain(x: np.ndarray, y: np.ndarray, words: list[str], categories: Sequence[str], folds: np.ndarray) -> Chain:
+def _solve(apply, target: np.ndarray) -> np.ndarray:
+    """Conjugate gradients for a positive definite system."""
+    x, r = np.zeros_like(target), target.copy()
+    d, size = r.copy(), float(target @ target)
+    for _ in range(4 * len(target)):
+        if size <= 1e-24 * max(1.0, float(target @ target)):
+            break
+        ad = apply(d)
+        a = size / float(d @ ad)
+        x += a * d
+        r -= a * ad
+        size, last = float(r @ r), size
+        d = r + (size / last) * d
+    return x
+
+
+def fit_chain(x: Hits, y: np.ndarray, words: list[str], categories: Sequence[str], folds: np.ndarray) -> Chain:
     """``y`` has a column for each category, NaN where the label is missing; such rows are left out of that model."""
-    weights, earlier = [], np.zeros((len(x), 0))
+    weights, earlier = [], np.zeros((len(y), 0))
     for k in range(len(categories)):
-        design, known = _design(x, earlier), ~np.isnan(y[:, k])
-        weights.append(logistic(design[known], y[known, k]))
-        held = np.zeros(len(x))
+        design, known = x.beside(earlier), ~np.isnan(y[:, k])
+        weights.append(logistic(design, y[:, k], known))
+        held = np.zeros(len(y))
         for fold in range(FOLDS):
-            inside = known & (folds != fold)
-            held[folds == fold] = _probability(design[folds == fold], logistic(design[inside], y[inside, k]) if inside.any() else weights[k])
+            inside, out = known & (folds != fold), folds == fold
+            if out.any():
+                held[out] = _probability(design, logistic(design, y[:, k], inside) if inside.any() else weights[k])[out]
         earlier = np.column_stack([earlier, held])
     return Chain(list(categories), words, weights)
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], rows: int = SAMPLE_ROWS) -> DataFrame:
-    """About ``rows`` labelled documents, chosen by a hash of the id: ``doc_id, fold, words``, and the categories."""
-    marks = labels.select("doc_id", *(c.cast("double").alias(k) for k, c in categories.items())).filter(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"])
+    """About ``rows`` labelled documents, chosen by a hash of the id: ``doc_id, fold, words``, and the categories. Where an
+    id, or one text, is labelled several times, a category holds if any of its labels says so."""
+    marks = labels.select("doc_id", *(c.cast("double").alias(k) for k, c in categories.items())).filter(F.col("doc_id").isNotNull())
+    marks = marks.groupBy("doc_id").agg(*(F.max(k).alias(k) for k in categories))
     total = marks.agg(F.count("*").alias("n"))  # one row
     place = F.pmod(F.xxhash64(F.lit("toxicity sample"), "doc_id"), F.lit(1_000_000))
     marks = marks.crossJoin(F.broadcast(total)).filter(place < F.lit(1_000_000.0 * rows) / F.col("n")).drop("n")
     marks = marks.withColumn("fold", F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(FOLDS)).cast("int"))
     texts = docs.select("doc_id", "text").filter(F.col("text").isNotNull())
     # The marks are about `rows` rows, whatever the corpus holds: that bound allows a broadcast, and texts stay in place.
-    return texts.join(F.broadcast(marks), "doc_id").select("doc_id", "fold", words_of(F.col("text")).alias("words"), *categories)
+    chosen = texts.join(F.broadcast(marks), "doc_id")
+    # Copies of a text are one example, or the words of a much copied text would seem to go with its label.
+    chosen = chosen.groupBy("text").agg(F.min(F.struct("doc_id", "fold")).alias("first"), *(F.max(c).alias(c) for c in categories))
+    chosen = chosen.select("first.doc_id", "first.fold", *categories, "text")
 
+    def run(batches):
+        find = Finder()
+        for part in slices(batches, "text", SLICE_BYTES):
+            words = pa.array([sorted(find.features(t)) for t in part.column("text").to_pylist()], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], words], names=[*part.schema.names[:-1], "words"])
+
+    kind = dict(docs.dtypes)["doc_id"]
+    return chosen.mapInArrow(run, ", ".join([f"doc_id {kind}", "fold int", *(f"`{c}` double" for c in categories), "words array<string>"]))
 
-def choose_words(sample: DataFrame, categories: Sequence[str], most: int = WORDS) -> list[str]:
-    """At most ``most`` words of each category, the most strongly associated ones, by counts over the sample."""
+
+def choose_words(sample: DataFrame, categories: Sequence[str]) -> list[str]:
+    """The words of the sample that go with a category more often than chance allows, by counts over the sample."""
     sums = [F.sum(F.coalesce(c, F.lit(0.0))).alias(f"in_{c}") for c in categories]
     totals = sample.agg(F.count("*").alias("n"), *sums).first()
     counts = sample.withColumn("word", F.explode("words")).groupBy("word").agg(F.count("*").alias("rows"), *sums)
@@ -139,40 +193,40 @@ def choose_words(sample: DataFrame, categories: Sequence[str], most: int = WORDS
         if not 0 < share < 1:
             continue
         z = (F.col(f"in_{c}") - F.col("rows") * share) / F.sqrt(F.greatest(F.col("rows") * share * (1 - share), F.lit(0.5)))
-        top = counts.select("word", z.alias("z")).filter((F.col("z") > bound) & (F.col("rows") >= 3)).orderBy(F.desc("z"), "word").limit(most)
-        chosen |= {r.word for r in top.collect()}
+        top = counts.select("word", z.alias("z")).filter((F.col("z") > bound) & (F.col("rows") >= 3))
+        chosen |= {r.word for r in top.collect()}  # of a sample of bounded size
     return sorted(chosen)
 
 
 def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], rows: int = SAMPLE_ROWS) -> Chain:
     """The chain, fitted on the sample. What reaches the driver is one row for each sampled document, with its chosen
-    words (``rows`` x ``WORDS`` x categories at most). Without labelled rows, no word is chosen and nothing is toxic."""
+    words. Without labelled rows, no word is chosen and nothing is toxic."""
     from .common import stored
 
     sample = stored(labelled_sample(docs, labels, categories, rows), "toxicity-sample")
     names = list(categories)
     words = choose_words(sample, names)
-    hits = F.array_intersect("words", F.array(*map(F.lit, words)).cast("array<string>")) if words else F.array().cast("array<string>")
-    got = sorted(sample.select("doc_id", "fold", hits.alias("hits"), *names).collect(), key=lambda r: r.doc_id)
+    place = docs.sparkSession.sparkContext.broadcast({w: k for k, w in enumerate(words)})
+
+    def run(batches):
+        for batch in batches:
+            hits = [sorted(place.value[w] for w in place.value.keys() & set(own)) for own in batch.column("words").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(hits, pa.list_(pa.int32()))], names=[*batch.schema.names[:-1], "hits"])
+
+    found = sample.select("doc_id", "fold", *names, "words").mapInArrow(run, ", ".join([f"doc_id {dict(docs.dtypes)['doc_id']}", "fold int", *(f"`{c}` double" for c in names), "hits array<int>"]))
+    got = sorted(found.collect(), key=lambda r: r.doc_id)
     if not got:
         return Chain(names, [], [np.array([-35.0, *[0.0] * k]) for k in range(len(names))])
-    place = {w: k for k, w in enumerate(words)}
-    x = np.zeros((len(got), len(words)))
-    for k, r in enumerate(got):
-        x[k, [place[w] for w in r.hits]] = 1
     y = np.array([[np.nan if r[c] is None else r[c] for c in names] for r in got], dtype=float)
-    return fit_chain(x, y, words, names, np.array([r.fold for r in got]))
+    return fit_chain(Hits.of([r.hits for r in got], len(words)), y, words, names, np.array([r.fold for r in got]))
 
 
 def _rows(batches, chain: Chain):
     """Slices of the input, each with its probabilities (rows x categories)."""
     find = Finder(chain.words)
     for part in slices(batches, "text", SLICE_BYTES):
-        x = np.zeros((part.num_rows, len(chain.words)))
-        for k, text in enumerate(part.column("text").to_pylist()):
-            if text:
-                x[k, find.places(text)] = 1
-        yield part, chain.predict(x)
+        hits = Hits.of([find.places(text) if text else () for text in part.column("text").to_pylist()], len(chain.words))
+        yield part, chain.predict(hits)
 
 
 def score(docs: DataFrame, chain: Chain, threshold: float = THRESHOLD) -> DataFrame:
@@ -189,8 +243,6 @@ def score(docs: DataFrame, chain: Chain, threshold: float = THRESHOLD) -> DataFr
     return docs.select("doc_id", "text").mapInArrow(run, ", ".join([f"doc_id {kind}", *(f"{n} double" for n in names), "toxic boolean"]))
 
 
-
-
 def table_categories() -> dict[str, Column]:
     """The labels table holds two judgements; the chain goes from low quality to toxicity."""
     return {"low_quality": 1 - F.col("quality"), "toxic": F.col("toxic")}

@@ -158,6 +158,45 @@ def test_toxic_rows_go_and_clean_ones_stay(spark, odd, empty):
     assert toxicity.detect(docs, labels.limit(0)).filter("toxic").count() == 0
 
 
+def test_chain_equals_brute_force():
+    rng = np.random.default_rng(5)
+    x = (rng.random((300, 6)) < 0.2).astype(float)
+    first = (x[:, 0] + x[:, 1] + rng.normal(0, 0.5, 300) > 0.8).astype(float)
+    second = np.where(rng.random(300) < 0.1, np.nan, (first + x[:, 2] + rng.normal(0, 0.5, 300) > 1).astype(float))
+    y, folds = np.column_stack([first, second]), rng.integers(0, toxicity.FOLDS, 300)
+
+    def newton(a, b):
+        w, ridge = np.zeros(a.shape[1]), np.diag([1e-6] + [toxicity.RIDGE] * (a.shape[1] - 1))
+        for _ in range(50):
+            p = 1 / (1 + np.exp(-a @ w))
+            w = w - np.linalg.solve(a.T @ (a * (p * (1 - p))[:, None]) + ridge, a.T @ (p - b) + ridge @ w)
+        return w
+
+    want, earlier = [], np.zeros((300, 0))
+    for k in range(2):
+        a, known = np.column_stack([np.ones(300), x, earlier]), ~np.isnan(y[:, k])
+        want.append(newton(a[known], y[known, k]))
+        held = np.zeros(300)
+        for f in range(toxicity.FOLDS):
+            inside = known & (folds != f)
+            held[folds == f] = 1 / (1 + np.exp(-a[folds == f] @ newton(a[inside], y[inside, k])))
+        earlier = np.column_stack([earlier, held])
+    hits = toxicity.Hits.of([np.flatnonzero(r).tolist() for r in x], 6)
+    chain = toxicity.fit_chain(hits, y, list("abcdef"), ["first", "second"], folds)
+    for got, w in zip(chain.weights, want):
+        assert got == pytest.approx(w, abs=1e-5)
+    p0 = 1 / (1 + np.exp(-np.column_stack([np.ones(300), x]) @ want[0]))
+    p1 = 1 / (1 + np.exp(-np.column_stack([np.ones(300), x, p0]) @ want[1]))
+    assert chain.predict(hits) == pytest.approx(np.column_stack([p0, p1]), abs=1e-5)
+
+
+def test_repeated_labels_have_a_rule(spark):
+    docs, labels = toxic_tables(spark)
+    several = labels.unionByName(labels.filter("doc_id % 2 = 0").withColumn("mild", F.lit(0))).repartition(7)
+    rows = lambda marks: sorted((r.doc_id, r.mild) for r in toxicity.labelled_sample(docs, marks, {"mild": F.col("mild")}).collect())
+    assert rows(several) == rows(several.coalesce(1)) == rows(labels)
+
+
 def fingerprint_docs(spark, texts, ids=None):
     return {r.doc_id: r for r in edit_fingerprint.fingerprint(messy(spark, texts, ids)).collect()}
 
