@@ -144,6 +144,19 @@ BSD = """Redistribution and use in source and binary forms, with or without modi
 
 THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED."""
 
+ISC = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES."""
+
+
+def test_licence_table():
+    from itertools import chain
+
+    ids = set(chain.from_iterable(seq for _, seq in licenses.ALL_RULES))
+    assert ids <= set(licenses.PHRASES.values()) and all(len(i) == 3 for i in licenses.PHRASES.values())
+    assert all(re.search(licenses.KEYS, p) and re.fullmatch("[a-z0-9]+( [a-z0-9]+)*", p) for p in licenses.PHRASES)
+    assert len(licenses.PHRASES) > 100 and len({name for name, _ in licenses.ALL_RULES}) > 40
+
 
 def test_official_licence_texts(spark):
     wrapped = lambda t, mark: "\n".join(mark + x for p in t.split("\n\n") for x in [*textwrap.wrap(p.strip(), 72), ""])
@@ -154,8 +167,16 @@ def test_official_licence_texts(spark):
         "Creative Commons Attribution-NonCommercial 4.0 International Public License": "CC-BY-NC-4.0",
         "A creative\ncommons attribution\n4.0 international text": "CC-BY-4.0",
         "Copyright 2020 X.\nAll rights\nreserved.": "proprietary",
-        GPL.replace("version 3", "version 2"): None,
-        GPL.replace("GNU General", "GNU Affero General"): None,
+        GPL.replace("version 3", "version 2"): "GPL-2.0",
+        GPL.replace("GNU General", "GNU Affero General"): "AGPL-3.0",
+        GPL.replace("GNU General", "GNU Lesser General"): "LGPL-3.0",
+        GPL.replace("version 3", "version 4"): None,
+        "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed": "MPL-2.0",
+        "// SPDX-License-Identifier: LGPL-2.1-or-later\nint x;": "LGPL-2.1",
+        "Available under the MIT license? Licensed under the MIT License, see LICENSE.": "MIT",
+        "This is free and unencumbered software released into the public domain.": "Unlicense",
+        ISC: "ISC",
+        ISC.replace(" provided that the above copyright notice and this permission notice appear in all copies", ""): "0BSD",
         "Unlicensed under the MIT License.": None,
     }
     got = {r.doc_id: r.license for r in licenses.scan_licenses(messy(spark, texts + list(more))).collect()}
