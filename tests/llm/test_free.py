@@ -300,7 +300,7 @@ def test_query_classes_equal_brute_force(spark, monkeypatch, odd, empty):
     assert edit_fingerprint.fingerprint_classes(odd).count() == odd.count() and edit_fingerprint.fingerprint_classes(empty).count() == 0
 
 
-def brute_components(texts):
+def brute_components(texts, percent=85):
     sets = {}
     for i, t in texts.items():
         words = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate({c: c + 32 for c in range(65, 91)}))
@@ -316,7 +316,7 @@ def brute_components(texts):
     for k, a in enumerate(ids):
         for b in ids[k + 1 :]:
             both = len(sets[a] & sets[b])
-            if both and 100 * both >= 85 * len(sets[a] | sets[b]):
+            if both and 100 * both >= percent * len(sets[a] | sets[b]):
                 x, y = find(a), find(b)
                 comp[max(x, y)] = min(x, y)
     return {i: (len(sets[i]), find(i), find(i) == i) for i in ids}

@@ -1,12 +1,16 @@
 """The pipeline's stages against brute force, each on its own input."""
 
+import math
 import os
 import random
+from collections import Counter
 
+import duckdb
 import pytest
+import regex
 
 import corpus_pipeline
-from aerolattice.llm import mixing, setsketch
+from aerolattice.llm import mixing, setsketch, toxicity
 
 from .conftest import messy
 from .test_free import brute_components
@@ -26,6 +30,18 @@ def test_stages(spark, tmp_path):
         seen[name] = (before, docs.collect())
         if name != "bpe":
             assert docs.columns == columns
+    before, after = seen["toxicity"]
+    chain = toxicity.fit(spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet"), toxicity.table_categories())
+    words = lambda t: {*(w := set(regex.findall(toxicity.TOKEN, (t or "").lower()))), *(x[:n] + "*" for n in toxicity.STEMS for x in w if len(x) > n)}
+
+    def rejected(t):
+        earlier = []
+        for w in chain.weights:
+            z = w[0] + sum(w[1 + k] for k, x in enumerate(chain.words) if x in words(t)) + sum(a * b for a, b in zip(w[1 + len(chain.words) :], earlier))
+            earlier.append(1 / (1 + math.exp(-z)))
+        return earlier[-1] > toxicity.THRESHOLD
+
+    assert {r.doc_id for r in after} == {i for i, t in before.items() if not rejected(t)} and len(after) < len(before)
     before, after = seen["exact_dedup"]
     squeeze = lambda t: "".join(c for c in t or "" if c not in " \t\n\x0b\f\r")
     best = {}
@@ -34,17 +50,35 @@ def test_stages(spark, tmp_path):
         best[key] = min(best.get(key, (0, 1 << 60)), (-len(t or ""), i))
     assert {r.doc_id for r in after} == {i for _, i in best.values()}
     before, after = seen["minhash_near_dedup"]
-    assert {r.doc_id for r in after} == {i for i, (_, _, kept) in brute_components(before).items() if kept}
+    assert {r.doc_id for r in after} == {i for i, (_, _, kept) in brute_components(before, 80).items() if kept}
     before, after = seen["source_mixing"]
-    assert {r.doc_id for r in after} <= set(before) and len(after) <= mixing.MAX_EPOCHS * len(before)
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/minhash_near_dedup/*.parquet'")
+    copies = con.execute(mixing.oracle()).df()
+    want = {i: n for i, n in zip(copies["doc_id"], copies["copies"]) if n}
+    assert Counter(r.doc_id for r in after) == want and all(before[r.doc_id] == r.text for r in after)
     before, after = seen["bpe"]
     assert len(after) == len(seen["source_mixing"][1]) and all(r.n_tokens > 0 for r in after if before[r.doc_id])
     assert {n for n, _ in corpus_pipeline.STAGES} == set(seen)
 
 
 def test_run_equals_the_stages(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, SF)
     rows = corpus_pipeline.run(spark, SF)
-    assert rows.count() > 0 and rows.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+    assert rows.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+    assert sorted(map(tuple, rows.collect())) == sorted(map(tuple, docs.collect())) and rows.count() > 0
+
+
+def test_stages_take_odd_and_empty_tables(spark, odd, empty):
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, SF).count() == 0
+        out = stage(spark, odd, SF)
+        if name != "bpe":
+            assert out.columns == odd.columns
+        held = Counter(r.doc_id for r in odd.select("doc_id").collect())
+        assert all(n <= mixing.MAX_EPOCHS * held[i] for i, n in Counter(r.doc_id for r in out.select("doc_id").collect()).items())
 
 
 def test_near_copies_at_80_percent(spark):
