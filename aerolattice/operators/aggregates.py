@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import day, hour
+from .windows import exact_quantile
 
 
 def hotspot_agg(cell_hours: DataFrame, static: Sequence[str] = ()) -> DataFrame:
@@ -20,12 +21,12 @@ def hotspot_agg(cell_hours: DataFrame, static: Sequence[str] = ()) -> DataFrame:
 
 
 def event_windows(cell_hours: DataFrame, time: str = "t") -> DataFrame:
-    """One row for each hour: cells, extremes, 90th percentiles, and cells over each threshold."""
+    """One row for each hour: cells (a cell has one row in an hour), extremes, exact 90th percentiles, and cells over each
+    threshold. The percentiles come from counts on a grid of 0.05 degrees and the rows of one of its squares."""
     over = {"cells_moderate_or_high": F.col("wbgt_c") >= 31, "cells_high": F.col("wbgt_c") >= 33, "cells_moderate_utci": F.col("utci_c") >= 26, "cells_strong_utci": F.col("utci_c") >= 32, "cells_very_strong_utci": F.col("utci_c") >= 38, "cells_extreme_utci": F.col("utci_c") >= 46}
-    return cell_hours.groupBy(time).agg(
-        F.countDistinct("cell").alias("cell_count"), F.max("wbgt_c").alias("max_wbgt_c"), F.percentile("wbgt_c", F.lit(0.9)).alias("p90_wbgt_c"),
-        F.max("utci_c").alias("max_utci_c"), F.percentile("utci_c", F.lit(0.9)).alias("p90_utci_c"), *(F.count_if(v).alias(k) for k, v in over.items()),
-    )
+    rows = cell_hours.groupBy(time).agg(F.count("cell").alias("cell_count"), F.max("wbgt_c").alias("max_wbgt_c"), F.max("utci_c").alias("max_utci_c"), *(F.count_if(v).alias(k) for k, v in over.items()))
+    high = exact_quantile(cell_hours, [time], {"wbgt_c": "p90_wbgt_c", "utci_c": "p90_utci_c"}, 0.9, 0.05)
+    return rows.join(high, time, "left")
 
 
 def hourly_buckets(df: DataFrame, target: str, by: Sequence[str], time: str, first: Sequence[str] = ()) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import haversine_m
 from ..functions.thermal import clip
+from ..session import stored
 
 
 def expand_over_grid(weather: DataFrame, cells: DataFrame) -> DataFrame:
@@ -18,6 +19,15 @@ def expand_over_grid(weather: DataFrame, cells: DataFrame) -> DataFrame:
     return weather.repartition(max(2, weather.sparkSession.sparkContext.defaultParallelism)).crossJoin(cells)
 
 
+def expand_by_cell(weather: DataFrame, cells: DataFrame, hours: int = 100_000) -> DataFrame:
+    """``expand_over_grid`` with all hours of a cell in one task, so that what is computed for a cell needs no shuffle. The
+    hours go to all tasks if they are at most ``hours`` rows, as they are for any forecast; else it is the plain product."""
+    weather = stored(weather, "hours")
+    if weather.limit(hours + 1).count() > hours:
+        return expand_over_grid(weather, cells)
+    return cells.repartition(max(2, weather.sparkSession.sparkContext.defaultParallelism), "cell").crossJoin(F.broadcast(weather))
+
+
 def enrich(df: DataFrame, dim: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Left join that takes only the columns that ``df`` doesn't have."""
     new = [c for c in dim.columns if c not in df.columns]

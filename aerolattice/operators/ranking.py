@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import score_clip
 from ..functions.thermal import clip
 from ..session import stored
-from .windows import pct_rank, rank_desc, ranked
+from .windows import pct_ranks, rank_desc, row_rank, running_totals
 
 # Weights of the hazard score's parts and of the risk score.
 HAZARD = {"wbgt_relative": 0.30, "utci_relative": 0.25, "utci_intensity": 0.15, "wbgt_intensity": 0.10, "utci_duration": 0.10, "wbgt_moderate_duration": 0.06, "wbgt_high_duration": 0.04}
@@ -21,9 +21,7 @@ RISK = {"hazard_score": 0.62, "vulnerability_score": 0.23, "exposure_score": 0.1
 def hazard_scores(cells: DataFrame, vulnerability: str, exposure: str) -> DataFrame:
     """Hazard and risk scores of ``hotspot_agg`` rows, and their ranks by risk, hazard, peak UTCI and cell."""
     cells = stored(cells, "cells")  # one row for each cell; six ranks read it
-    out = cells
-    for c in ("max_utci_c", "p90_utci_c", "mean_utci_c", "max_wbgt_c", vulnerability, exposure):
-        out = pct_rank(out, c, f"_r_{c}", base=cells)
+    out = pct_ranks(cells, {c: f"_r_{c}" for c in ("max_utci_c", "p90_utci_c", "mean_utci_c", "max_wbgt_c", vulnerability, exposure)})
     r = lambda c: F.col(f"_r_{c}")
     zero = lambda x: F.coalesce(clip(x, 0, 1), F.lit(0.0))
     parts = {
@@ -39,7 +37,7 @@ def hazard_scores(cells: DataFrame, vulnerability: str, exposure: str) -> DataFr
     out = out.withColumns({"hazard_score": clip(hazard, 0, 1), "vulnerability_score": r(vulnerability), "exposure_score": r(exposure)})
     risk = sum((F.col(k) * w for k, w in RISK.items()), F.lit(0.0))
     out = out.withColumn("risk_priority_score", clip(risk, 0, 1)).drop(*(c for c in out.columns if c.startswith("_r_")))
-    return ranked(out, [F.desc(F.round("risk_priority_score", 9)), F.desc(F.round("hazard_score", 9)), F.desc("max_utci_c"), F.col("cell")])
+    return row_rank(out, [F.desc(F.round("risk_priority_score", 9)), F.desc(F.round("hazard_score", 9)), F.desc("max_utci_c"), F.col("cell")])
 
 
 def top_n(df: DataFrame, rank: str, n: int, *ties: str) -> DataFrame:
@@ -76,7 +74,7 @@ def entering_leaving(a: DataFrame, b: DataFrame, key: str, rank: str, n: int) ->
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     """Correlation of average-tie ranks over rows where both are known."""
     rows = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
-    both = pct_rank(pct_rank(rows, x, "_rx"), y, "_ry", base=rows)
+    both = pct_ranks(rows, {x: "_rx", y: "_ry"})
     return both.agg(F.count("*").alias("n"), F.corr("_rx", "_ry").alias("spearman"))
 
 
@@ -91,8 +89,7 @@ def mann_whitney(df: DataFrame, x: str, group: str, first: str) -> DataFrame:
     """U of the first group, and a z with the correction for ties and continuity. Ranks come from counts of values."""
     rows = df.filter(F.col(x).isNotNull())
     counts = rows.groupBy(x).agg(F.count("*").alias("t"), F.count_if(F.col(group) == first).alias("a"))
-    below = F.coalesce(F.sum("t").over(Window.orderBy(x).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    s = counts.withColumn("mid", below + (F.col("t") + 1) / 2).agg(F.sum("t").cast("double").alias("n"), F.sum("a").cast("double").alias("n1"), F.sum(F.col("a") * F.col("mid")).alias("r1"), F.sum(F.pow("t", F.lit(3)) - F.col("t")).alias("ties"))
+    s = running_totals(counts, x, "t").withColumn("mid", F.col("_below") + (F.col("t") + 1) / 2).agg(F.sum("t").cast("double").alias("n"), F.sum("a").cast("double").alias("n1"), F.sum(F.col("a") * F.col("mid")).alias("r1"), F.sum(F.pow("t", F.lit(3)) - F.col("t")).alias("ties"))
     n, n1 = F.col("n"), F.col("n1")
     n2 = n - n1
     u = F.col("r1") - n1 * (n1 + 1) / 2

@@ -2,49 +2,95 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.thermal import clip
+from ..session import stored
+
+
+def running_totals(counts: DataFrame, value: str, n: str, by: Sequence[str] = (), descending: bool = False) -> DataFrame:
+    """``counts`` (distinct ``value`` within ``by``, with its number ``n``) with ``_below``, the total of ``n`` of the values
+    that come before it, and ``_total``. Values are dealt over ranges, which are stored once, so that all steps agree on
+    them; only the sums of ranges meet in one place."""
+    keys, order = list(by), F.desc(value) if descending else F.asc(value)
+    ranged = stored(counts.repartitionByRange(*keys, order).withColumn("_part", F.spark_partition_id()), "ranges")
+    inside = F.coalesce(F.sum(n).over(Window.partitionBy(*keys, "_part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts, w = ranged.groupBy(*keys, "_part").agg(F.sum(n).alias("_n")), Window.partitionBy(*keys)
+    earlier = F.coalesce(F.sum("_n").over(w.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.select(*keys, "_part", earlier.alias("_earlier"), F.sum("_n").over(w).alias("_total"))
+    return ranged.withColumn("_inside", inside).join(parts, [*keys, "_part"]).withColumn("_below", F.col("_earlier") + F.col("_inside")).drop("_part", "_inside", "_earlier")
+
+
+def pct_ranks(df: DataFrame, outs: Mapping[str, str], base: DataFrame | None = None) -> DataFrame:
+    """Average-tie percentile ranks of numeric columns over the whole table, ``outs`` from column to result; null gives 0.
+    Ranks are made on counts of distinct values, of all columns together. ``base`` has the values, where ``df`` is a
+    longer plan over the same rows."""
+    pairs = F.array(*(F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value")) for c in outs))
+    counts = (df if base is None else base).select(F.explode(pairs).alias("x")).select("x.*").filter("value is not null").groupBy("name", "value").agg(F.count("*").alias("_ties"))
+    ranks = running_totals(counts, "value", "_ties", ["name"]).select("name", "value", ((F.col("_below") + (F.col("_ties") + 1) / 2) / F.col("_total")).alias("_rank"))
+    out = df
+    for c, name in outs.items():
+        own = ranks.filter(F.col("name") == c).select(F.col("value").alias("_value"), F.col("_rank").alias(name))
+        out = out.join(own, F.col(c).cast("double") == F.col("_value"), "left").select(*out.columns, clip(F.coalesce(name, F.lit(0.0)), 0, 1).alias(name))
+    return out
 
 
 def pct_rank(df: DataFrame, col: str, out: str, by: Sequence[str] = (), base: DataFrame | None = None) -> DataFrame:
-    """Average-tie percentile rank within ``by``; null gives 0. Ranks are made on counts of distinct values, so a global
-    rank sorts values and not rows. ``base`` has the values, where ``df`` is a longer plan over the same rows."""
+    """Average-tie percentile rank within ``by``; null gives 0. Ranks are made on counts of distinct values, not on rows.
+    ``base`` has the values, where ``df`` is a longer plan over the same rows."""
+    if not by:
+        return pct_ranks(df, {col: out}, base)
     keys = list(by)
     counts = (df if base is None else base).filter(F.col(col).isNotNull()).groupBy(*keys, col).agg(F.count("*").alias("_ties"))
     below = F.coalesce(F.sum("_ties").over(Window.partitionBy(*keys).orderBy(col).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     total = F.sum("_ties").over(Window.partitionBy(*keys))
     ranks = counts.select(*(F.col(k).alias(f"_{k}") for k in keys), F.col(col).alias("_value"), ((below + (F.col("_ties") + 1) / 2) / total).alias(out))
-    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys] + [F.col(col) == F.col("_value")]
-    condition = same[0]
-    for s in same[1:]:
-        condition = condition & s
+    condition = F.col(col) == F.col("_value")
+    for k in keys:
+        condition = condition & F.col(k).eqNullSafe(F.col(f"_{k}"))
     return df.join(ranks, condition, "left").select(*df.columns, clip(F.coalesce(out, F.lit(0.0)), 0, 1).alias(out))
 
 
 def rank_desc(df: DataFrame, col: str, out: str, by: Sequence[str] = ()) -> DataFrame:
-    """Competition rank, 1 for the largest; null stays null."""
-    w = Window.partitionBy(*by).orderBy(F.desc_nulls_last(col))
-    return df.withColumn(out, F.when(F.col(col).isNotNull(), F.rank().over(w)).cast("long"))
+    """Competition rank, 1 for the largest; null stays null. Over the whole table, ranks come from counts of values."""
+    if by:
+        w = Window.partitionBy(*by).orderBy(F.desc_nulls_last(col))
+        return df.withColumn(out, F.when(F.col(col).isNotNull(), F.rank().over(w)).cast("long"))
+    counts = df.filter(F.col(col).isNotNull()).groupBy(F.col(col).alias("_value")).agg(F.count("*").alias("_ties"))
+    ranks = running_totals(counts, "_value", "_ties", descending=True).select("_value", (F.col("_below") + 1).cast("long").alias(out))
+    return df.join(ranks, F.col(col) == F.col("_value"), "left").drop("_value")
 
 
 def row_rank(df: DataFrame, order: Sequence[Column], out: str = "rank") -> DataFrame:
-    """1..n over the whole table by a total order. Rows are sorted in ranges; only the ranges' sizes meet in one place."""
-    spark = df.sparkSession
+    """1..n over the whole table by a total order. Rows are sorted in ranges and stored with their places, so that the
+    ranges' sizes and the places agree; only the sizes meet in one place."""
     ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id() % (1 << 33))
-    if spark.conf.get("spark.sql.shuffle.partitions") == "1":
-        return ranged.withColumn(out, F.col("_at") + 1).drop("_part", "_at")
+    ranged = stored(ranged, "ranked-ranges")
     sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return ranged.join(F.broadcast(sizes.select("_part", before.alias("_before"))), "_part").withColumn(out, F.col("_before") + F.col("_at") + 1).drop("_part", "_at", "_before")
 
 
-def ranked(df: DataFrame, order: Sequence[Column], out: str = "rank") -> DataFrame:
-    """1..n for tables of cells, which are few: one window. ``row_rank`` serves large tables."""
-    return df.withColumn(out, F.row_number().over(Window.orderBy(*order)).cast("long"))
+def exact_quantile(df: DataFrame, by: Sequence[str], outs: Mapping[str, str], q: float, width: float) -> DataFrame:
+    """``by`` and the exact, interpolated quantile of each column in ``outs``, for groups of any size. Counts of values on
+    a grid of ``width`` show the square that holds the quantile; only the rows of that square are ordered."""
+    keys = [*by, "_name"]
+    pairs = F.array(*(F.struct(F.lit(c).alias("n"), F.col(c).cast("double").alias("v")) for c in outs))
+    long = df.select(*by, F.explode(pairs).alias("x")).select(*by, F.col("x.n").alias("_name"), F.col("x.v").alias("_v"), F.floor(F.col("x.v") / width).alias("_bin")).filter("_v is not null")
+    w = Window.partitionBy(*keys)
+    upto = F.sum("_n").over(w.orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0))
+    bins = long.groupBy(*keys, "_bin").agg(F.count("*").alias("_n")).withColumn("_below", upto - F.col("_n")).withColumn("_place", (F.sum("_n").over(w) - 1) * F.lit(q))
+    low = F.floor("_place")
+    wanted = stored(bins.filter((low < F.col("_below") + F.col("_n")) & (low + 1 >= F.col("_below"))).select(*keys, "_bin", "_below", low.alias("_low"), (F.col("_place") - low).alias("_part")), "quantile-squares")
+    rank = F.row_number().over(Window.partitionBy(*keys, "_bin").orderBy("_v")) - 1 + F.col("_below")
+    near = long.join(wanted, [*keys, "_bin"]).withColumn("_rank", rank).filter("_rank in (_low, _low + 1)")
+    at = lambda k: F.max(F.when(F.col("_rank") == F.col("_low") + k, F.col("_v")))
+    ends = near.groupBy(*keys).agg(at(0).alias("_a"), at(1).alias("_b"), F.first("_part").alias("_part"))
+    ends = ends.withColumn("_value", F.col("_a") + F.coalesce(F.col("_b") - F.col("_a"), F.lit(0.0)) * F.col("_part"))
+    return ends.groupBy(*by).agg(*(F.max(F.when(F.col("_name") == c, F.col("_value"))).alias(name) for c, name in outs.items()))
 
 
 def latest_per_key(df: DataFrame, keys: Sequence[str], time: str, *ties: str) -> DataFrame:
@@ -113,7 +159,6 @@ def kth_score_shift(df: DataFrame, obs: str, score: str, threshold: float) -> Da
     """One row: the events, the score of rank k (k events), and three shifts: by rank, by maximum, by 99th percentile."""
     rows = df.filter(F.col(obs).isNotNull() & F.col(score).isNotNull())
     facts = rows.agg(F.count_if(F.col(obs) >= threshold).alias("events"), F.max(obs).alias("_mo"), F.max(score).alias("_ms"), F.percentile(obs, F.lit(0.99)).alias("_po"), F.percentile(score, F.lit(0.99)).alias("_ps"))
-    counts = rows.groupBy(score).agg(F.count("*").alias("_n"))
-    from_top = F.sum("_n").over(Window.orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0))
-    kth = counts.withColumn("_from_top", from_top).crossJoin(F.broadcast(facts)).filter("_from_top >= events and events > 0").agg(F.max(score).alias("kth_score"))
+    counts = running_totals(rows.groupBy(score).agg(F.count("*").alias("_n")), score, "_n", descending=True)
+    kth = counts.crossJoin(F.broadcast(facts)).filter("_below + _n >= events and events > 0").agg(F.max(score).alias("kth_score"))
     return facts.crossJoin(kth).select("events", "kth_score", (F.lit(threshold) - F.col("kth_score")).alias("shift_rank"), (F.col("_mo") - F.col("_ms")).alias("shift_max"), (F.col("_po") - F.col("_ps")).alias("shift_p99"))

@@ -69,7 +69,7 @@ def pct_rank_scores(spark: SparkSession, d: str) -> DataFrame:
     c = adapter(spark, d, "cells").withColumn("gvi", F.when(F.col("gvi") > 3, F.col("gvi")))
     c = W.rank_desc(W.pct_rank(c, "gvi", "pct"), "gvi", "rank_high")
     c = W.pct_rank(c, "park", "pct_in_class", ["land_use"])
-    return R6(W.ranked(c, [F.desc_nulls_last("gvi"), F.col("cell")], "row").select("cell", "pct", "rank_high", "pct_in_class", "row"), "pct", "pct_in_class")
+    return R6(W.row_rank(c, [F.desc_nulls_last("gvi"), F.col("cell")], "row").select("cell", "pct", "rank_high", "pct_in_class", "row"), "pct", "pct_in_class")
 
 
 PCT = f"""{duck('cells')}, g as (select cell, land_use, park, case when gvi > 3 then gvi end as v from cells),
