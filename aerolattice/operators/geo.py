@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import in_ring, ring_box
@@ -90,6 +90,60 @@ def dedup_footprints(boxes: DataFrame, key: str, priority: str, size: float, iou
             return state
 
 
+# When a footprint repeats the best accepted one that it meets (IoU; or its own and the other's overlap; or
+# the distance of centres with an area ratio), and the own overlap below which it is new all the same.
+DUPLICATE = {"iou": 0.35, "own": 0.60, "other": 0.30, "distance": 8.0, "ratio": (0.5, 2.0), "new_below": 0.20}
+
+
+def resolve_footprints(boxes: DataFrame, key: str, priority: str, size: float, min_area: Column | None = None, rules: Mapping[str, object] = DUPLICATE) -> DataFrame:
+    """``status`` of each footprint in order of source priority, larger area, id: ``rejected_tiny`` below its ``min_area``,
+    else by the best accepted footprint before it (largest IoU, own overlap, other's overlap, least distance; the earlier
+    of ties): ``merged_duplicate`` by one of the three rules, ``accepted_new`` if it overlaps none or hardly, else
+    ``conflict_review``. ``match`` is that best one. Rounds decide all footprints whose better neighbours are decided; each
+    round's state is written to the shared folder."""
+    from ..session import stored
+
+    area = (F.col("x_max") - F.col("x_min")) * (F.col("y_max") - F.col("y_min"))
+    tiny = F.lit(False) if min_area is None else area < min_area
+    large = boxes.filter(~tiny)
+    order = F.struct(F.col(priority).alias("p"), (-area).alias("a"), F.col(key).alias("k"))
+    rows = stored(large.select(key, order.alias("o"), area.alias("area")), "footprint-order")
+    of = lambda s: rows.select(F.col(key).alias(s), F.col("o").alias(f"o{s}"), F.col("area").alias(f"area{s}"))
+    both = iou_pairs(large, key, size).join(of("a"), "a").join(of("b"), "b")
+    first = F.col("oa") < F.col("ob")
+    pick = lambda x, y: F.when(first, F.col(x)).otherwise(F.col(y))
+    edges = both.select(pick("a", "b").alias("better"), pick("b", "a").alias("worse"), pick("oa", "ob").alias("o"), "iou", pick("b_share", "a_share").alias("own"), pick("a_share", "b_share").alias("other"), "distance", (pick("areab", "areaa") / pick("areaa", "areab")).alias("ratio"))
+    low, high = rules["ratio"]
+    same = (F.col("iou") >= rules["iou"]) | ((F.col("own") >= rules["own"]) & (F.col("other") >= rules["other"])) | ((F.col("distance") <= rules["distance"]) & F.col("ratio").between(low, high))
+    verdict = F.when(same, "merged_duplicate").when(F.col("own") < rules["new_below"], "accepted_new").otherwise("conflict_review")
+    merit = F.struct("iou", "own", "other", -F.col("distance"), -F.col("o.p"), -F.col("o.a"), -F.col("better"))
+    edges = stored(edges.select("better", "worse", F.struct(merit.alias("m"), F.col("better").alias("better"), verdict.alias("verdict")).alias("e")), "footprint-edges")
+    state = rows.select(key, F.lit(None).cast("string").alias("status"), F.lit(None).cast(dict(boxes.dtypes)[key]).alias("match"))
+    while True:
+        known = state.select(F.col(key).alias("better"), F.col("status").alias("s"))
+        seen = edges.join(known, "better").groupBy("worse").agg(F.count_if(F.col("s").isNull()).alias("open"), F.max(F.when(F.col("s") == "accepted_new", F.col("e"))).alias("best"))
+        joined = state.join(seen.withColumnRenamed("worse", key), key, "left")
+        now = F.when(F.coalesce("open", F.lit(0)) == 0, F.coalesce("best.verdict", F.lit("accepted_new")))
+        hit = F.when(now != "accepted_new", F.col("best.better"))
+        state = stored(joined.select(key, F.coalesce("status", now).alias("status"), F.when(F.col("status").isNull(), hit).otherwise(F.col("match")).alias("match")), "footprints")
+        if not state.filter("status is null").limit(1).count():
+            break
+    none = F.lit(None).cast(dict(boxes.dtypes)[key])
+    return state.unionByName(boxes.filter(tiny).select(key, F.lit("rejected_tiny").alias("status"), none.alias("match")))
+
+
+def merge_provenance(boxes: DataFrame, state: DataFrame, key: str, priority: str, source: str, promoted: Sequence[str], accepted: str = "accepted_new", merged: str = "merged_duplicate", match: str = "match") -> DataFrame:
+    """The accepted footprints with ``candidates`` (how many footprints each stands for), ``sources`` (in order of priority
+    and id), and the ``promoted`` columns filled, where they are null, from the first merged one that knows them."""
+    rows = boxes.join(state.select(key, "status", F.col(match).alias("_match")), key).filter(F.col("status").isin(accepted, merged))
+    order = F.struct(F.col("status") != accepted, priority, key)
+    target = F.when(F.col("status") == accepted, F.col(key)).otherwise(F.col("_match"))
+    sources = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order.alias("o"), F.col(source).alias("s")))), lambda x: x["s"]), ";")
+    filled = [F.min_by(c, F.when(F.col(c).isNotNull(), order)).alias(c) for c in promoted]
+    sums = rows.withColumn("_to", target).groupBy("_to").agg(F.count("*").alias("candidates"), sources.alias("sources"), *filled)
+    return sums.withColumnRenamed("_to", key)
+
+
 def non_covered(boxes: DataFrame, ref: DataFrame, key: str, size: float, share: float = 0.35) -> DataFrame:
     """Boxes whose own area is covered by the reference (free of overlaps) by less than ``share``."""
     a, b = _near(boxes, size), _near(ref.select(*(F.col(c).alias(f"r_{c}") for c in ("x_min", "x_max", "y_min", "y_max"))).withColumns({c: F.col(f"r_{c}") for c in ("x_min", "x_max", "y_min", "y_max")}), size).drop("x_min", "x_max", "y_min", "y_max")

@@ -215,9 +215,24 @@ def clipped(spark: SparkSession, d: str) -> DataFrame:
 
 CLIPPED = f"{duck('cells')} select cell, x - 70 as x_min, x + 70 as x_max, y - 70 as y_min, y + 70 as y_max from cells where x + 70 >= 450 and x - 70 <= 1550 and y + 70 >= 450 and y - 70 <= 1250"
 
+def footprints_resolved(spark: SparkSession, d: str) -> DataFrame:
+    """Buildings by all rules; those of the last source must be larger."""
+    b = adapter(spark, d, "boxes").withColumn("height", F.when(F.col("box") % 3 == 0, F.col("size").cast("double")))
+    state = G.resolve_footprints(b, "box", "priority", 100.0, F.when(F.col("priority") == 3, 400.0).otherwise(150.0))
+    merged = G.merge_provenance(b, state, "box", "priority", "type", ["height"])
+    return state.join(merged, "box", "left")
+
+
+def overhead_dedup(spark: SparkSession, d: str) -> DataFrame:
+    """Overhead structures: IoU of one half, with the number of candidates that each kept one stands for."""
+    b = adapter(spark, d, "boxes").filter("priority <> 2")
+    state = G.dedup_footprints(b, "box", "priority", 100.0, 0.5)
+    return G.merge_provenance(b, state, "box", "priority", "type", [], "new", "duplicate", "keeper")
+
+
 QUERIES = {
     "decay_access": (decay_access, DECAY), "overlay_fraction": (overlay_fraction, OVERLAY), "points_in_boxes": (points_in_boxes, IN_BOX), "point_density": (point_density, DENSITY), "zonal_stats": (zonal_stats, ZONAL), "shade_hours": (shade_hours, SHADE),
     "area_weighted": (area_weighted, WEIGHTED), "type_breakdown": (type_breakdown, TYPES), "completeness": (completeness, COMPLETE), "source_summary": (source_summary, SOURCES), "median_by_group": (median_by_group, MEDIANS), "opacity_sweep": (opacity_sweep, SWEEP),
-    "spatial_blocks": (spatial_blocks, BLOCKS), "iou_pairs": (iou_pairs, IOU), "non_covered": (non_covered, NON_COVERED), "dedup_footprints": (dedup_footprints, None), "knn_distance": (knn_distance, KNN), "dbscan": (dbscan, None), "gwr": (gwr, GWR),
+    "spatial_blocks": (spatial_blocks, BLOCKS), "iou_pairs": (iou_pairs, IOU), "non_covered": (non_covered, NON_COVERED), "dedup_footprints": (dedup_footprints, None), "footprints_resolved": (footprints_resolved, None), "overhead_dedup": (overhead_dedup, None), "knn_distance": (knn_distance, KNN), "dbscan": (dbscan, None), "gwr": (gwr, GWR),
     "combine_layers": (combine_layers, COMBINE), "rasterised": (rasterised, RASTER), "green_view": (green_view, GREEN), "clipped": (clipped, CLIPPED),
 }

@@ -31,9 +31,12 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one only where that setting is absent, as in tests."""
+    """The folder in ``spark.checkpoint.dir``. Where that setting is absent, a temporary one in local mode, as in tests; on
+    a cluster that is an error, as no machine's own folder would do."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         found = f"file://{tempfile.mkdtemp(prefix='aerolattice-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

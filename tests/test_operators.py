@@ -160,6 +160,39 @@ def test_dedup_footprints_is_sequential(spark):
     assert got == want and "duplicate" in want.values()
 
 
+def test_footprints_by_all_rules_are_sequential(spark):
+    rng = random.Random(6)
+    boxes = [(i, rng.randint(1, 3), (x := rng.uniform(0, 160)), x + rng.uniform(4, 40), (y := rng.uniform(0, 160)), y + rng.uniform(4, 40), rng.choice([None, 5.0 + i])) for i in range(120)]
+    df = spark.createDataFrame(boxes, "id long, priority int, x_min double, x_max double, y_min double, y_max double, height double").withColumn("src", F.concat(F.lit("s"), F.col("priority").cast("string")))
+    state = G.resolve_footprints(df, "id", "priority", 50.0, F.when(F.col("priority") == 3, 60.0).otherwise(30.0))
+    got = {r.id: (r.status, r.match) for r in state.collect()}
+    area = lambda b: (b[3] - b[2]) * (b[5] - b[4])
+    kept, want, merged = [], {}, {}
+    for b in sorted(boxes, key=lambda b: (b[1], -area(b), b[0])):
+        if area(b) < (60 if b[1] == 3 else 30):
+            want[b[0]] = ("rejected_tiny", None)
+            continue
+        best, merit = None, (0.0, 0.0, 0.0, -math.inf)
+        for k in kept:
+            w, h = min(b[3], k[3]) - max(b[2], k[2]), min(b[5], k[5]) - max(b[4], k[4])
+            if w > 0 and h > 0:
+                i = w * h
+                m = (i / (area(b) + area(k) - i), i / area(b), i / area(k), -math.hypot((b[2] + b[3] - k[2] - k[3]) / 2, (b[4] + b[5] - k[4] - k[5]) / 2))
+                best, merit = (k, m) if m > merit else (best, merit)
+        ratio = area(b) / area(best) if best else 0
+        same = best and (merit[0] >= 0.35 or (merit[1] >= 0.6 and merit[2] >= 0.3) or (-merit[3] <= 8 and 0.5 <= ratio <= 2))
+        want[b[0]] = ("merged_duplicate", best[0]) if same else ("accepted_new", None) if not best or merit[1] < 0.2 else ("conflict_review", best[0])
+        if want[b[0]][0] == "accepted_new":
+            kept.append(b)
+            merged[b[0]] = [b]
+        elif same:
+            merged[best[0]].append(b)
+    assert got == want and {s for s, _ in want.values()} == {"rejected_tiny", "merged_duplicate", "accepted_new", "conflict_review"}
+    rows = {r.id: (r.candidates, r.sources, r.height) for r in G.merge_provenance(df, state, "id", "priority", "src", ["height"]).collect()}
+    order = lambda g: [g[0], *sorted(g[1:], key=lambda b: (b[1], b[0]))]
+    assert rows == {i: (len(g), ";".join(f"s{b[1]}" for b in order(g)), next((b[6] for b in order(g) if b[6] is not None), None)) for i, g in merged.items()}
+
+
 def test_dbscan_brute_force(spark):
     rng = random.Random(9)
     pts = [(i, rng.uniform(0, 100), rng.uniform(0, 100)) for i in range(150)]
