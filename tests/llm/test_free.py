@@ -54,6 +54,25 @@ def test_bpe_rows_and_round_trip(spark, odd, empty, tokenizer):
     assert bpe.encode(empty, tokenizer_path()).count() == 0
 
 
+def test_bpe_refuses_other_tokenizers():
+    import json
+
+    with open(tokenizer_path()) as f:
+        spec = json.load(f)
+    for key, value in (("pre_tokenizer", {"type": "Whitespace"}), ("pre_tokenizer", spec["pre_tokenizer"] | {"add_prefix_space": True}), ("decoder", None), ("normalizer", {"type": "NFC"})):
+        with pytest.raises(ValueError):
+            bpe.Bpe(json.dumps(spec | {key: value}))
+
+
+def test_bpe_remembers_a_bounded_number_of_pieces(tokenizer, coder, monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE", 40)
+    rng = random.Random(3)
+    for _ in range(8):
+        texts = [" ".join("".join(rng.choice("abcdé'<|") for _ in range(rng.randint(1, 9))) for _ in range(30)) + "<|endoftext|>" for _ in range(4)]
+        got = [line for line, _ in coder.encode(texts)]
+        assert got == [",".join(map(str, tokenizer.encode(t, add_special_tokens=False).ids)) for t in texts]
+
+
 def test_urls(spark):
     urls = ["http://A.Example.NET/en/x?q#f", "https://example.net/fr/", "http://sub.example.com/de/1", "http://x.org/fr/", "http://x.org/en/", "http://net/", "http://foonet/", "http://a.net", "no scheme", None, "http:///x", "ftp://u@net:80/p", "a://b://net/"]
     pages = spark.createDataFrame([(k, u, "h", "r") for k, u in enumerate(urls)], "page_id long, url string, host string, rule string")
@@ -72,6 +91,17 @@ def test_urls(spark):
     assert url_filter.filter_urls(pages.limit(0)).count() == 0
 
 
+def test_url_index_of_many_keys(tmp_path):
+    rng = random.Random(9)
+    rules = [(f"h{k}.org", "/" + "p" * rng.randint(0, 3), "block" if k % 3 else "allow") for k in range(100_000)]
+    paths = [str(tmp_path / f"{part}.npy") for part in url_filter.Index.PARTS]
+    url_filter.Index.write(rules, paths)
+    index = url_filter.Index(paths)
+    some = [rules[rng.randrange(len(rules))] for _ in range(400)]
+    assert index.judge(["a.b." + r[0] for r in some], [r[1] + "tail/" * 2000 for r in some]) == [(r[0] + r[1], r[2]) for r in some]
+    assert index.judge([f"h{k}.net" for k in range(200)], ["/"] * 200) == [(None, None)] * 200
+
+
 def test_url_index_survives_collisions(tmp_path, monkeypatch):
     monkeypatch.setattr(url_filter.Index, "digests", staticmethod(lambda keys: np.array([len(k) % 2 for k in keys], np.uint64)))
     rules = [(f"h{k}.org", "/", "block" if k % 2 else "allow") for k in range(50)]
@@ -120,6 +150,55 @@ def test_language_gradient():
         assert grad[spot] == pytest.approx((up - down) / (2 * h), rel=2e-2, abs=1e-3)
 
 
+def test_language_pools_equal_a_scalar_network():
+    rng = np.random.default_rng(2)
+    units, languages = 3, ["a", "b", "c"]
+    side = lambda: language_id.Direction(rng.standard_normal((257, 3 * units)).astype(np.float32), (0.4 * rng.standard_normal((units, 3 * units))).astype(np.float32))
+    net = language_id.Network(side(), side(), rng.standard_normal((2 * units + 1, 3)).astype(np.float32), languages)
+    texts = ["short", "", "1 2 3", "é ß", "word " * 30 + "12 " + "mot " * 170, "x" * 449, "ab " * 400]
+    soft = lambda v: v / (1 + abs(v))
+
+    def states(raw, d):
+        h, out = [0.0] * units, []
+        for byte in raw:
+            x, past = d.table[byte].tolist(), [sum(h[i] * float(d.back[i, j]) for i in range(units)) for j in range(3 * units)]
+            r, z = ([soft(x[k * units + j] + past[k * units + j]) for j in range(units)] for k in (0, 1))
+            c = [soft(x[2 * units + j] + past[2 * units + j] * (1 + r[j])) for j in range(units)]
+            h = [(1 + z[j]) / 2 * h[j] + (1 - z[j]) / 2 * c[j] for j in range(units)]
+            out.append(h)
+        return out
+
+    def judged(text):
+        raw, sums, letters = text.encode(), [0.0] * 3, 0
+        for start in range(0, len(raw), language_id.WINDOW):
+            low = max(0, start - language_id.MARGIN)
+            part = raw[low : start + language_id.WINDOW + language_id.MARGIN]
+            ahead, back = states(part, net.forward), states(part[::-1], net.backward)[::-1]
+            for k in range(start, min(start + language_id.WINDOW, len(raw))):
+                if raw[k] >= 128 or chr(raw[k]).isalpha():
+                    f = [*ahead[k - low], *back[k - low], 1.0]
+                    logits = [sum(v * float(net.out[i, j]) for i, v in enumerate(f)) for j in range(3)]
+                    norm = np.log(np.exp(logits).sum())
+                    sums, letters = [s + v - norm for s, v in zip(sums, logits)], letters + 1
+        if not letters or not any(map(str.isalpha, text)):
+            return "und", 0.0
+        p = np.exp(np.array(sums) / letters)
+        return languages[int(p.argmax())], p.max() / p.sum()
+
+    names, scores = language_id.judge(net, texts)
+    want = [judged(t) for t in texts]
+    assert names == [w[0] for w in want] and scores == pytest.approx([w[1] for w in want], abs=1e-4)
+    alone = [language_id.judge(net, [t])[1][0] for t in texts]
+    assert scores == pytest.approx(alone, abs=2e-6)  # what a text is batched with doesn't matter
+
+
+def test_language_takes_odd_rows(spark, odd):
+    net = language_id.train(["the thing", "das ding"], ["en", "de"], steps=3)
+    rows = language_id.identify(odd, net).collect()
+    assert len(rows) == odd.count() and {r.lang_pred for r in rows if r.doc_id in (0, 1, 2)} == {"und"}
+    assert len({(r.lang_pred, r.score) for r in rows if r.doc_id in (7, 8)}) == 1
+
+
 def test_language_without_labels(spark, empty):
     assert language_id.identify_languages(empty).count() == 0
     none = spark.createDataFrame([(1, "the", None)], "doc_id long, text string, lang string")
