@@ -80,20 +80,33 @@ def asof_station_then_global(obs: DataFrame, wx: DataFrame, by: str, time: str,
     return asof_nearest(marked, wx.withColumnRenamed(by, "series"), "series", time, values, tolerance)
 
 
-def interp_at(obs: DataFrame, series: DataFrame, by: str, time: str, values: Sequence[str]) -> DataFrame:
+def interp_at(obs: DataFrame, series: DataFrame, by: str, time: str, values: Sequence[str], width: int = 86_400) -> DataFrame:
     """Values interpolated linearly in time at the observations, constant beyond the ends; ``status`` tells stations
-    without a series. One window over the union of both, for each station."""
-    packed = series.groupBy(by, time).agg(F.min(F.struct(*values)).alias("_v"))
-    point = F.struct(F.col(time).alias("t"), F.col("_v").alias("v"))
-    right = packed.select(F.col(by), F.col(time), point.alias("_p"))
-    both = obs.withColumn("_l", F.struct(*obs.columns)).select(by, time, "_l").unionByName(right, allowMissingColumns=True)
-    w = Window.partitionBy(by).orderBy(time)
-    back, ahead = w.rangeBetween(Window.unboundedPreceding, 0), w.rangeBetween(0, Window.unboundedFollowing)
-    both = both.withColumn("_a", F.last("_p", ignorenulls=True).over(back)).withColumn("_b", F.first("_p", ignorenulls=True).over(ahead)).filter("_l is not null")
+    without a series.
+
+    Both sides are cut into buckets of ``width`` seconds, so a station's series is dealt over tasks: rows look for their
+    neighbours within the bucket, and beyond it among the first and last points of the station's buckets, which are one
+    slim row each."""
+    packed = series.filter(F.col(time).isNotNull()).groupBy(by, time).agg(F.min(F.struct(*values)).alias("_v"))
+    at_bucket = F.floor(F.col(time) / width)
+    right = packed.select(F.col(by), F.col(time), at_bucket.alias("_bucket"), F.struct(F.col(time).alias("t"), F.col("_v").alias("v")).alias("_p"))
+    left = obs.select(F.col(by), F.col(time), at_bucket.alias("_bucket"), F.struct(*obs.columns).alias("_l"))
+    ends = right.groupBy(by, "_bucket").agg(F.min_by("_p", time).alias("_first"), F.max_by("_p", time).alias("_last"))
+    ends = ends.unionByName(left.select(by, "_bucket").distinct(), allowMissingColumns=True).groupBy(by, "_bucket").agg(F.max("_first").alias("_first"), F.max("_last").alias("_last"))
+    w = Window.partitionBy(by)
+    nearest = lambda c, order: F.last(c, ignorenulls=True).over(w.orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+    ends = ends.select(by, "_bucket", nearest("_last", F.asc("_bucket")).alias("_before"), nearest("_first", F.desc("_bucket")).alias("_after"))
+    both = left.unionByName(right, allowMissingColumns=True)
+    w = Window.partitionBy(by, "_bucket")
+    inside = lambda order: F.last("_p", ignorenulls=True).over(w.orderBy(order).rangeBetween(Window.unboundedPreceding, 0))
+    both = both.withColumn("_a", inside(F.asc(time))).withColumn("_b", inside(F.desc(time))).filter("_l is not null")
+    same = F.col(by).eqNullSafe(F.col("_by")) & F.col("_bucket").eqNullSafe(F.col("_own"))
+    both = both.join(ends.withColumnsRenamed({by: "_by", "_bucket": "_own"}), same, "left")
+    both = both.withColumn("_a", F.coalesce("_a", "_before")).withColumn("_b", F.coalesce("_b", "_after"))
 
     def at(v: str):
         a, b = F.col(f"_a.v.{v}"), F.col(f"_b.v.{v}")
-        part = F.try_divide(F.col(time) - F.col("_a.t"), F.col("_b.t") - F.col("_a.t"))
+        part = F.try_divide(F.col("_l")[time] - F.col("_a.t"), F.col("_b.t") - F.col("_a.t"))
         return F.when(F.col("_a").isNull(), b).when(F.col("_b").isNull() | (F.col("_b.t") == F.col("_a.t")), a).otherwise(a + (b - a) * part)
 
     status = F.when(F.col("_a").isNull() & F.col("_b").isNull(), "no_forecast_for_station").otherwise("ok")
