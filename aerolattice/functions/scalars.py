@@ -305,3 +305,70 @@ def impervious_fraction(density: Column, road: Column, built: Column, green: Col
     unit = lambda c: clip(F.coalesce(c, F.lit(0.0)), 0, 1)
     wv, wb, wg, ww = weights
     return clip(wv * clip(unit(density) + unit(road), 0, 1) + wb * unit(built) - wg * unit(green) - ww * unit(water), 0, 1)
+
+
+def height_warning(explicit: Column, levels: Column, land_use: Column, kind: Column, area_m2: Column) -> Column:
+    """What to look at where ``assigned_height`` had to guess: shelters, and large footprints of unknown use; else empty."""
+    text = F.upper(F.concat_ws(" ", F.coalesce(land_use, F.lit("UNKNOWN")), F.coalesce(kind, F.lit(""))))
+    has = lambda words: reduce(lambda a, b: a | b, (text.contains(w) for w in words))
+    known = F.coalesce(explicit.between(2, 180), F.lit(False)) | F.coalesce(levels.between(1, 60), F.lit(False))
+    return F.when(known, "").when(has(SHELTER), "possible_shelter_not_ground_up_building").when(has([w for w, _, _ in HEIGHTS]), "").when(area_m2 > 1000, "manual_review_large_unknown_height").otherwise("")
+
+
+def reviewed_height(assigned: Mapping[str, Column], manual: Column) -> dict[str, Column]:
+    """``assigned_height`` with a reviewer's height, where it is positive, before all else."""
+    given = manual > 0
+    return {"height_m": F.when(given, clip(manual, 3, 180)).otherwise(assigned["height_m"]), "height_source": F.when(given, "manual").otherwise(assigned["height_source"]), "height_confidence": F.when(given, "high").otherwise(assigned["height_confidence"])}
+
+
+def ring_centroid(ring: Column) -> dict[str, Column]:
+    """The centroid of a ring's area, worked out from its first point; the mean of the points where the area is zero."""
+    n, first = F.size(ring), F.element_at(ring, 1)
+    shifted = F.concat(F.slice(ring, F.lit(2), n - 1), F.slice(ring, 1, 1))
+    zero = F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
+
+    def part(p: Column, q: Column) -> Column:
+        px, py, qx, qy = p["x"] - first["x"], p["y"] - first["y"], q["x"] - first["x"], q["y"] - first["y"]
+        cross = px * qy - qx * py
+        return F.struct(cross.alias("a"), ((px + qx) * cross).alias("x"), ((py + qy) * cross).alias("y"))
+
+    sums = F.aggregate(F.zip_with(ring, shifted, part), zero, lambda s, v: F.struct((s["a"] + v["a"]).alias("a"), (s["x"] + v["x"]).alias("x"), (s["y"] + v["y"]).alias("y")))
+    mean = lambda k: F.aggregate(ring, F.lit(0.0), lambda s, p: s + p[k]) / n
+    return {k: F.coalesce(first[k] + F.try_divide(sums[k], 3 * sums["a"]), mean(k)) for k in ("x", "y")}
+
+
+def line_area(line: Column, width: Column) -> Column:
+    """The area of a line drawn with a width and flat ends; overlaps at its bends count twice."""
+    n = F.size(line)
+    steps = F.zip_with(F.slice(line, 1, n - 1), F.slice(line, F.lit(2), n - 1), lambda p, q: F.sqrt(F.pow(p["x"] - q["x"], 2) + F.pow(p["y"] - q["y"], 2)))
+    return F.aggregate(steps, F.lit(0.0), lambda s, x: s + x) * width
+
+
+# Hue (degrees), saturation and lightness (percent) of vegetation and of high-visibility clothing, and the
+# least normalised excess green of strong green.
+GREEN, HIGH_VIS, STRONG_EXCESS = {"hue": (46, 109), "sat": 10, "light": (0, 95)}, {"hue": (45, 105), "sat": 42, "light": 45}, 0.026
+
+
+def hls(r: Column, g: Column, b: Column) -> dict[str, Column]:
+    """Hue in degrees, lightness and saturation in percent, and the value, of 8-bit colours."""
+    top, low = F.greatest(r, g, b).cast("double"), F.least(r, g, b).cast("double")
+    chroma, total = top - low, top + low
+    turn = F.when(top == r, F.try_divide(g - b, chroma)).when(top == g, 2 + F.try_divide(b - r, chroma)).otherwise(4 + F.try_divide(r - g, chroma))
+    sat = F.when(total <= 255, F.try_divide(chroma, total)).otherwise(F.try_divide(chroma, 510 - total))
+    return {"hue": F.coalesce(F.pmod(60 * turn, F.lit(360.0)), F.lit(0.0)), "light": total / 5.1, "sat": 100 * F.coalesce(sat, F.lit(0.0)), "value": top / 2.55}
+
+
+def hls_masks(r: Column, g: Column, b: Column) -> dict[str, Column]:
+    """Vegetation by hue, lightness and saturation; high-visibility colours; and strong green without them."""
+    c = hls(r, g, b)
+    excess = (2.0 * g - r - b) / (r + g + b + 1.0)
+    green = c["hue"].between(*GREEN["hue"]) & (c["sat"] >= GREEN["sat"]) & c["light"].between(*GREEN["light"])
+    neon = (excess >= 0.075) | ((c["sat"] >= 68) & (c["light"] >= 55)) | ((c["sat"] >= 75) & (c["value"] >= 70))
+    vivid = c["hue"].between(*HIGH_VIS["hue"]) & (c["sat"] >= HIGH_VIS["sat"]) & (c["light"] >= HIGH_VIS["light"]) & neon
+    strong = green & ~vivid & ((excess >= STRONG_EXCESS) | ((g >= r * 1.03) & (g >= b * 1.03)))
+    return {"hls_green": green.cast("int"), "high_vis": vivid.cast("int"), "hls_strong": strong.cast("int")}
+
+
+def mask_confidence(recovered_pct: Column, removed_pct: Column) -> Column:
+    """How far a green-view index rests on recovered or removed pixels."""
+    return F.when((recovered_pct > 38) | (removed_pct > 26), "low").when((recovered_pct > 22) | (removed_pct > 14), "medium").otherwise("high")

@@ -199,3 +199,49 @@ def conditions(df: DataFrame, required: Sequence[str], key: str, unit: Sequence[
     one += [F.count_if(F.col(c).isNull()).alias(f"null_{c}") for c in present]
     one += [F.count_if((F.col(c) < 0) | (F.col(c) > 1)).alias(f"outside_{c}") for c in unit if c in df.columns]
     return df.agg(*one)
+
+
+def zonal_layers(pixels: DataFrame, size: float, height: str, value: str, res: float, ground: float = 0.5) -> DataFrame:
+    """Statistics of a value for each square cell over open pixels (height at most ``ground``), building pixels and all
+    pixels, with their share of the cell's pixels and their area."""
+    layers = F.array(F.lit("all"), F.when(F.col(height) <= ground, "open").otherwise("building"))
+    key = [F.floor(F.col(c) / size).cast("long").alias(k) for c, k in (("x", "cx"), ("y", "cy"))]
+    rows = pixels.select(*key, F.col(value).alias("_v"), F.explode(layers).alias("layer"))
+    q = F.percentile("_v", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)))
+    out = rows.groupBy("cx", "cy", "layer").agg(F.count("*").alias("pixels"), F.avg("_v").alias("mean"), F.min("_v").alias("min"), F.max("_v").alias("max"), q.alias("_q"))
+    whole = F.max(F.when(F.col("layer") == "all", F.col("pixels"))).over(Window.partitionBy("cx", "cy"))
+    return out.select("cx", "cy", "layer", "pixels", (F.col("pixels") / whole).alias("fraction"), (F.col("pixels") * res * res).alias("area_m2"), "mean", "min", "max", *(F.col("_q")[k].alias(n) for k, n in enumerate(("p10", "p50", "p90"))))
+
+
+def type_shares(pieces: DataFrame, key: str, kind: str, area: str, cell_area: float, groups: Mapping[str, Sequence[str]], cuts: tuple[float, float], least: float = 0.02) -> DataFrame:
+    """For each cell the covered fraction, the fractions of groups of kinds (all in [0, 1]; a group sums its kinds' clipped
+    fractions), a flag by two cuts, and which group is present."""
+    each = pieces.groupBy(key, kind).agg(F.sum(area).alias("_a")).withColumn("_f", F.least(F.col("_a") / cell_area, F.lit(1.0)))
+    sums = [F.least(F.sum(F.when(F.col(kind).isin(list(kinds)), F.col("_f")).otherwise(F.lit(0.0))), F.lit(1.0)).alias(f"{name}_fraction") for name, kinds in groups.items()]
+    out = each.groupBy(key).agg(F.least(F.sum("_a") / cell_area, F.lit(1.0)).alias("fraction"), *sums)
+    flag = F.when(F.col("fraction") < cuts[0], "clean_or_minor").when(F.col("fraction") < cuts[1], "moderate_confounding").otherwise("major_confounding")
+    present = [F.when(F.col(f"{name}_fraction") >= least, F.lit(name)) for name in groups]
+    named = F.array_compact(F.array(*present))
+    return out.withColumns({"flag": flag, "interpretation": F.when(F.size(named) == 0, "minor_or_none").when(F.size(named) == 1, named[0]).otherwise("mixed")})
+
+
+def completeness_total(zones: DataFrame, old: str, new: str, ref: str) -> DataFrame:
+    """One row: the sums of all zones and their ratios."""
+    sums = zones.agg(*(F.coalesce(F.sum(c), F.lit(0.0)).alias(n) for c, n in ((old, "old_sum"), (new, "new_sum"), (ref, "ref_sum"))))
+    ratio = lambda c: F.when(F.col("ref_sum") > 0, F.col(c) / F.col("ref_sum"))
+    return sums.withColumns({"old_ratio": ratio("old_sum"), "new_ratio": ratio("new_sum")})
+
+
+def archive_by_day(df: DataFrame, station: str, time: str, value: str, days: int = 7) -> DataFrame:
+    """The newest ``days`` days with rows, stations, maximum and events of each; a report of that length."""
+    each = df.groupBy(day(F.col(time)).alias("day")).agg(F.count("*").alias("rows"), F.count_distinct(station).alias("stations"), F.max(value).alias("max"), F.count_if(F.col(value) >= 31).alias("ge_31"), F.count_if(F.col(value) >= 33).alias("ge_33"))
+    return each.orderBy(F.desc("day")).limit(days)
+
+
+def station_coverage(df: DataFrame, station: str, time: str, least: int = 50) -> DataFrame:
+    """One row: stations seen in the last day before the newest row, their least and most rows, how many are near silent,
+    and the longest time since a station's last row."""
+    newest = df.agg(F.max(time).alias("_now"))
+    per = df.crossJoin(F.broadcast(newest)).groupBy(station).agg(F.count_if(F.col(time) >= F.col("_now") - 86400).alias("n"), F.max(F.col(time)).alias("_last"), F.first("_now").alias("_now"))
+    seen = F.when(F.col("n") > 0, F.col("n"))
+    return per.agg(F.count(seen).alias("stations_seen"), F.min(seen).alias("least_rows"), F.max(seen).alias("most_rows"), F.count_if((F.col("n") > 0) & (F.col("n") < least)).alias("near_silent"), F.max(F.col("_now") - F.col("_last")).alias("longest_lag_s"))

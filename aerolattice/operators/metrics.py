@@ -99,3 +99,31 @@ def grouped_bias(df: DataFrame, variants: Sequence[str], obs: str, by: Sequence[
 
 def period_skill(df: DataFrame, pred: str, obs: str, hour: str) -> DataFrame:
     return skill(df.withColumn("period", period(F.col(hour))), pred, obs, ["period"])
+
+
+def ladder_metrics(long: DataFrame, pred: str, obs: str, events: Sequence[float], by: Sequence[str]) -> DataFrame:
+    """``skill`` of each group with the events' confusion at fixed thresholds beside it: ``ge_<event>_tp`` and so on."""
+    out = skill(long, pred, obs, by)
+    for event in events:
+        part = confusion(long, obs, pred, event, event, by)
+        out = out.join(part.select(*by, *(F.col(c).alias(f"ge_{event:g}_{c}") for c in ("tp", "fp", "fn", "precision", "recall", "f1"))), list(by))
+    return out
+
+
+def event_flips(wide: DataFrame, ref: str, variants: Sequence[str], obs: str, thresholds: Sequence[float]) -> DataFrame:
+    """For each variant and threshold: rows where it reaches the threshold and the reference doesn't, the reverse, and the
+    rows of equal verdict. Rows where one of the three values is missing don't count."""
+    cells = F.array(*(F.struct(F.lit(v).alias("variant"), F.col(v).alias("p"), F.lit(float(t)).alias("threshold")) for v in variants for t in thresholds))
+    rows = wide.select(obs, F.col(ref).alias("_r"), F.explode(cells).alias("x")).filter(F.col(obs).isNotNull() & F.col("_r").isNotNull() & F.col("x.p").isNotNull())
+    a, b = F.col("x.p") >= F.col("x.threshold"), F.col("_r") >= F.col("x.threshold")
+    return rows.groupBy(F.col("x.variant").alias("variant"), F.col("x.threshold").alias("threshold")).agg(F.count("*").alias("n"), F.count_if(a & ~b).alias("up"), F.count_if(~a & b).alias("down"), F.count_if(a == b).alias("same"))
+
+
+def bias_corrected_confusion(long: DataFrame, model: str, pred: str, obs: str, thresholds: Sequence[float]) -> DataFrame:
+    """Confusion at fixed thresholds after each model's bias is taken off its predictions."""
+    known = long.filter(F.col(pred).isNotNull() & F.col(obs).isNotNull())
+    bias = known.groupBy(F.col(model).alias("_model")).agg(F.avg(F.col(pred) - F.col(obs)).alias("bias"))
+    rows = known.join(F.broadcast(bias), F.col(model) == F.col("_model")).withColumn("_p", F.col(pred) - F.col("bias"))  # a row for each model
+    rows = rows.select(model, "bias", F.col(obs).alias("_o"), "_p", F.explode(F.array(*(F.lit(float(t)) for t in thresholds))).alias("threshold"))
+    o, s = F.col("_o") >= F.col("threshold"), F.col("_p") >= F.col("threshold")
+    return _rates(rows.groupBy(model, "bias", "threshold").agg(F.count_if(o & s).alias("tp"), F.count_if(~o & s).alias("fp"), F.count_if(o & ~s).alias("fn"), F.count_if(~o & ~s).alias("tn")))
