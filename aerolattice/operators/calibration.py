@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -190,36 +190,49 @@ def proxy_diagnostic(df: DataFrame, proxies: Sequence[str], obs: str, least: int
     return long.groupBy(F.col("model").alias("proxy")).agg(F.count("*").alias("n"), F.avg(e).alias("bias"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse")).filter(F.col("n") >= least)
 
 
-def random_forest_cv(df: DataFrame, features: Sequence[str], label: str, trees: int = 120, seed: int = 0) -> DataFrame:
-    """RMSE, MAE and R² of a random forest on each held-out fold: median imputation, square-root features, leaves of 2."""
+def forest_pipeline(features: Sequence[str], label: str, categorical: Sequence[str] = (), trees: int = 120, seed: int = 0):
+    """An unfitted random forest: median imputation, one-hot categories (unknown ones get no one), square-root features,
+    leaves of 2. Its predictions are ``pred``."""
     from pyspark.ml import Pipeline
-    from pyspark.ml.feature import Imputer, VectorAssembler
+    from pyspark.ml.feature import Imputer, OneHotEncoder, StringIndexer, VectorAssembler
     from pyspark.ml.regression import RandomForestRegressor
 
+    numbers, kinds = list(features), list(categorical)
+    inputs = [f"_{f}" for f in numbers] + [f"_hot_{c}" for c in kinds]
+    steps: list = [Imputer(strategy="median", inputCols=numbers, outputCols=[f"_{f}" for f in numbers])] if numbers else []
+    if kinds:
+        steps += [StringIndexer(inputCols=kinds, outputCols=[f"_index_{c}" for c in kinds], handleInvalid="keep"), OneHotEncoder(inputCols=[f"_index_{c}" for c in kinds], outputCols=[f"_hot_{c}" for c in kinds], dropLast=True)]
+    forest = RandomForestRegressor(featuresCol="_x", labelCol=label, predictionCol="pred", numTrees=trees, featureSubsetStrategy="sqrt", minInstancesPerNode=2, seed=seed)
+    return Pipeline(stages=[*steps, VectorAssembler(inputCols=inputs, outputCol="_x"), forest])
+
+
+def random_forest_cv(df: DataFrame, features: Sequence[str], label: str, trees: int = 120, seed: int = 0, categorical: Sequence[str] = ()) -> DataFrame:
+    """RMSE, MAE and R² of ``forest_pipeline`` on each held-out fold."""
     from .metrics import skill
 
-    names = list(features)
-    filled = [f"_{f}" for f in names]
-    steps = [Imputer(strategy="median", inputCols=names, outputCols=filled), VectorAssembler(inputCols=filled, outputCol="_x"), RandomForestRegressor(featuresCol="_x", labelCol=label, predictionCol="pred", numTrees=trees, featureSubsetStrategy="sqrt", minInstancesPerNode=2, seed=seed)]
     out = None
     for (fold,) in df.select("fold").distinct().orderBy("fold").collect():  # folds, not rows
-        model = Pipeline(stages=steps).fit(df.filter(F.col("fold") != fold))
+        model = forest_pipeline(features, label, categorical, trees, seed).fit(df.filter(F.col("fold") != fold))
         part = model.transform(df.filter(F.col("fold") == fold)).select("fold", label, "pred")
         out = part if out is None else out.unionByName(part)
     return skill(out, "pred", label, ["fold"])
 
 
-def permutation_importance(df: DataFrame, predict: Column, features: Sequence[str], obs: str, repeats: int = 3, seed: int = 0) -> DataFrame:
-    """Rise of the RMSE when one feature's values are dealt anew: ``predict`` is a Column over the features. A shuffle is
-    a join of two hash orders by position within buckets, so no global order is made."""
-    base = df.select(F.sqrt(F.avg(F.pow(F.col(obs) - predict, 2))).alias("base"))
+def permutation_importance(df: DataFrame, predict: Column | Callable[[DataFrame], DataFrame], features: Sequence[str], obs: str, repeats: int = 3, seed: int = 0) -> DataFrame:
+    """Rise of the RMSE when one feature's values are dealt anew over all rows. ``predict`` is a Column over the features,
+    or a fitted model's ``transform``, which adds ``pred``. A shuffle joins the rows, by their place in one order, with the
+    feature's values by their place in a hashed order; both orders are made in ranges."""
+    from ..session import stored
+    from .windows import row_rank
+
+    predicted = predict if callable(predict) and not isinstance(predict, Column) else lambda d: d.withColumn("pred", predict)
+    error = F.sqrt(F.avg(F.pow(F.col(obs) - F.col("pred"), 2)))
+    rows = stored(df.withColumn("_id", F.monotonically_increasing_id()), "importance-rows")
+    base, placed = predicted(df).agg(error.alias("base")), row_rank(rows, [F.col("_id")], "_place")
     out = None
     for f in features:
         for k in range(repeats):
-            key = lambda salt: F.xxhash64(F.lit(seed), F.lit(k), F.lit(f + salt), *(F.col(c) for c in df.columns))  # noqa: E731, B023
-            w = lambda salt: Window.partitionBy("_b").orderBy(key(salt))  # noqa: E731, B023
-            left = df.withColumn("_b", F.pmod(F.xxhash64(*df.columns), F.lit(64))).withColumn("_p", F.row_number().over(w("a"))).drop(f)
-            right = df.withColumn("_b", F.pmod(F.xxhash64(*df.columns), F.lit(64))).withColumn("_p", F.row_number().over(w("b"))).select("_b", "_p", f)
-            one = left.join(right, ["_b", "_p"]).select(F.lit(f).alias("feature"), F.lit(k).alias("repeat"), F.sqrt(F.avg(F.pow(F.col(obs) - predict, 2))).alias("rmse"))
+            dealt = row_rank(rows.select("_id", f, F.xxhash64(F.lit(seed), F.lit(k), F.lit(f), "_id").alias("_key")), [F.col("_key"), F.col("_id")], "_place")
+            one = predicted(placed.drop(f).join(dealt.select("_place", f), "_place").select(*df.columns)).agg(error.alias("rmse")).select(F.lit(f).alias("feature"), "rmse")
             out = one if out is None else out.unionByName(one)
     return out.crossJoin(F.broadcast(base)).groupBy("feature").agg(F.avg(F.col("rmse") - F.col("base")).alias("rise"))

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import ring_area, ring_box, segment_distance
-from ..session import ship_package
+from ..session import ship_package, stored
 
 
 def _points(ring) -> list[tuple[float, float]]:
@@ -105,6 +105,23 @@ def nearest_polygon(points: DataFrame, rings: DataFrame, key: str, name: str, re
     return points.select(key).join(near, key, "left").select(key, F.coalesce("b.d", F.lit(none)).alias("distance"), F.col(f"b.{name}").alias(name))
 
 
+def nearest_polygon_anywhere(points: DataFrame, rings: DataFrame, key: str, name: str, radius: float, least_area: float = 0.0, farthest: float = 1e6) -> DataFrame:
+    """``nearest_polygon`` for all points, however far: points without a polygon within ``radius`` look four times as far,
+    and so on up to ``farthest``. ``least_area`` leaves smaller polygons out. Each round takes only the points still open."""
+    large = stored(rings.filter(ring_area(F.col("ring")) >= least_area), "rings")
+    if not large.limit(1).count():
+        return nearest_polygon(points, large, key, name, radius)
+    left, done = points, None
+    while True:
+        found = stored(nearest_polygon(left, large, key, name, radius), "nearest")
+        hit = found.filter(F.col(name).isNotNull())
+        done = hit if done is None else done.unionByName(hit)
+        missed = found.filter(F.col(name).isNull())
+        if radius >= farthest or not missed.limit(1).count():
+            return done.unionByName(missed)
+        left, radius = stored(left.join(missed.select(key), key, "left_semi"), "open-points"), 4 * radius
+
+
 def first_containing(points: DataFrame, rings: DataFrame, key: str, name: str, size: float) -> DataFrame:
     """Each point with the first ring, by name, that holds it."""
     from ..functions.scalars import in_ring

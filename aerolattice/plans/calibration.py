@@ -148,7 +148,7 @@ DELTA = f"{_LONG} select fold, count(*) filter (model = 'm1b') as n, round(avg(a
 
 
 def bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
-    return C.bootstrap_ci(fold_delta(spark, d), "delta", 2000)
+    return C.bootstrap_ci(fold_delta(spark, d), "delta", 5000)
 
 
 def ablation(spark: SparkSession, d: str) -> DataFrame:
@@ -180,12 +180,14 @@ VARIANTS = f"{duck('weather')}, l as ({_V}) select model, {SKILL} from l group b
 
 
 def random_forest_cv(spark: SparkSession, d: str) -> DataFrame:
-    o = C.folds_time_block(_obs(spark, d).select("day", "y", "p", "p2", "h"), "day", 3)
-    return C.random_forest_cv(o, ["p", "p2", "h"], "y", trees=10)
+    o = C.folds_time_block(_obs(spark, d).select("day", "y", "p", "p2", "h", "kind"), "day", 3)
+    return C.random_forest_cv(o, ["p", "p2", "h"], "y", trees=120, categorical=["kind"])
 
 
 def permutation_importance(spark: SparkSession, d: str) -> DataFrame:
-    return C.permutation_importance(_obs(spark, d).select("row_id", "y", "p", "p2"), F.col("p") * 0.9 + F.col("p2") * 0.1, ["p", "p2"], "y", 2)
+    """Of a fitted forest."""
+    o = _obs(spark, d).select("row_id", "y", "p", "p2", "kind")
+    return C.permutation_importance(o, C.forest_pipeline(["p", "p2"], "y", ["kind"], 20).fit(o).transform, ["p", "p2", "kind"], "y", 2)
 
 
 def focus_timeline(spark: SparkSession, d: str) -> DataFrame:

@@ -10,6 +10,7 @@ from ..functions import thermal as T
 from ..operators import aggregates as A
 from ..operators import calibration as C
 from ..operators import metrics as M
+from ..operators import rings as RG
 from .adapters import adapter, duck
 from .calibration import R6, SKILL, O, _obs
 from .geo import P, _pieces
@@ -144,7 +145,17 @@ HLS = f"""{duck('pixels')}, p as (select floor(x / 50)::bigint % 12 as image, x
  m as (select image, count(*) as pixels, 100.0 * count(*) filter (green) / count(*) as hls_green, 100.0 * count(*) filter (vivid) / count(*) as high_vis, 100.0 * count(*) filter (green and not vivid and (ex >= 0.026 or (g >= r * 1.03 and g >= b * 1.03))) / count(*) as hls_strong from v group by image)
  select image, pixels, round(hls_green, 6) as hls_green, round(high_vis, 6) as high_vis, round(hls_strong, 6) as hls_strong, case when hls_green - hls_strong > 38 or high_vis > 26 then 'low' when hls_green - hls_strong > 22 or high_vis > 14 then 'medium' else 'high' end as confidence from m"""
 
+def nearest_large_park(spark: SparkSession, d: str) -> DataFrame:
+    """The nearest large box of each cell's centre, however far."""
+    p = adapter(spark, d, "cells").select("cell", (F.col("x") + 50).alias("px"), (F.col("y") + 50).alias("py"))
+    out = RG.nearest_polygon_anywhere(p, _ringed(spark, d), "cell", "box", 200.0, 2500.0)
+    return out.withColumn("distance", F.round("distance", 6))
+
+
+LARGE_PARK = f"""{duck('cells', 'boxes')}, j as (select cell, box, sqrt(power(greatest(x_min - x - 50, 0, x + 50 - x_max), 2) + power(greatest(y_min - y - 50, 0, y + 50 - y_max), 2)) as d from cells join boxes on power(10 + size, 2) >= 2500),
+ k as (select *, row_number() over (partition by cell order by d, box) as k from j) select cell, round(d, 6) as distance, box from k where k = 1"""
+
 QUERIES = {
     "zonal_layers": (zonal_layers, ZONAL), "type_shares": (type_shares, SHARES), "completeness_total": (completeness_total, COMPLETE), "archive_by_day": (archive_by_day, BY_DAY), "station_coverage": (station_coverage, COVERAGE), "ladder_metrics": (ladder_metrics, LADDER),
-    "formula_flips": (formula_flips, FLIPS), "bias_corrected": (bias_corrected, CORRECTED), "reviewed_heights": (reviewed_heights, HEIGHTS), "ring_shapes": (ring_shapes, SHAPES), "hls_view": (hls_view, HLS),
+    "formula_flips": (formula_flips, FLIPS), "bias_corrected": (bias_corrected, CORRECTED), "reviewed_heights": (reviewed_heights, HEIGHTS), "ring_shapes": (ring_shapes, SHAPES), "hls_view": (hls_view, HLS), "nearest_large_park": (nearest_large_park, LARGE_PARK),
 }

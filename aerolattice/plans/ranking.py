@@ -72,6 +72,13 @@ def transition_fisher(spark: SparkSession, d: str) -> DataFrame:
     return R.fisher_exact(r, F.col("ro") <= 20, F.col("park") < 700).withColumns({"p_value": F.round("p_value", 6), "odds_ratio": F.round("odds_ratio", 6)})
 
 
+_LF = lambda x: f"lgamma({x} + 1)"
+_LOGP = lambda k: f"{_LF('r')} + {_LF('n - r')} + {_LF('c')} + {_LF('n - c')} - {_LF('n')} - {_LF(k)} - {_LF(f'r - {k}')} - {_LF(f'c - {k}')} - {_LF(f'n - r - c + {k}')}"
+FISHER = f"""{C}, t as (select count(*) filter (ro <= 20 and park < 700) as n11, count(*) filter (ro <= 20 and park >= 700) as n10, count(*) filter (ro > 20 and park < 700) as n01, count(*) filter (ro > 20 and park >= 700) as n00 from k),
+ m as (select *, n11 + n10 as r, n11 + n01 as c, n11 + n10 + n01 + n00 as n from t), e as (select *, unnest(range(greatest(0, r + c - n), least(r, c) + 1)) as i from m), p as (select *, exp({_LOGP('i')}) as p, exp({_LOGP('n11')}) as p0 from e)
+ select n11, n10, n01, n00, round(least(1, sum(p) filter (p <= p0 * (1 + 1e-7) + 1e-12)), 6) as p_value, round(n11 * n00 / nullif(n10 * n01, 0), 6) as odds_ratio from p group by n11, n10, n01, n00"""
+
+
 def transitions(spark: SparkSession, d: str) -> DataFrame:
     r = _ranks(spark, d)
     return r.groupBy(R.transition_class(F.col("ro") <= 20, F.col("rn") <= 20, F.col("gvi") < 20).alias("transition")).agg(F.count("*").alias("n"))
@@ -159,7 +166,7 @@ def greedy_tiles(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    "rank_comparison": (rank_comparison, COMPARE), "spearman": (spearman, SPEARMAN), "topn_overlap": (topn_overlap, OVERLAP), "entering_leaving": (entering_leaving, ENTERING), "stacked_top": (stacked_top, STACKED), "transition_fisher": (transition_fisher, None),
+    "rank_comparison": (rank_comparison, COMPARE), "spearman": (spearman, SPEARMAN), "topn_overlap": (topn_overlap, OVERLAP), "entering_leaving": (entering_leaving, ENTERING), "stacked_top": (stacked_top, STACKED), "transition_fisher": (transition_fisher, FISHER),
     "transitions": (transitions, TRANSITIONS), "audit_flags": (audit_flags, AUDIT), "density_sanity": (density_sanity, SANITY), "mann_whitney": (mann_whitney, MANN), "conditioned_risk": (conditioned_risk, CONDITIONED), "interpretation": (interpretation, INTERPRETATION),
     "top_vs_all": (top_vs_all, TOP_ALL), "role_delta": (role_delta, ROLE), "qa_priority": (qa_priority, QA), "greedy_tiles": (greedy_tiles, None),
 }

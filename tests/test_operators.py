@@ -136,6 +136,24 @@ def test_fisher_matches_enumeration(spark):
     assert r.p_value == pytest.approx(sum(v for v in p.values() if v <= p[9] + 1e-12)) and r.odds_ratio == pytest.approx(21.0)
 
 
+def test_importance_deals_one_feature_anew(spark):
+    rows = [(i, float(i % 17), float(i % 5), 2.0 * (i % 17)) for i in range(400)]
+    df = spark.createDataFrame(rows, "i long, a double, b double, y double")
+    got = {r.feature: r.rise for r in C.permutation_importance(df, F.col("a") * 2, ["a", "b"], "y", 3).collect()}
+    spread = 2 * np.std([r[1] for r in rows])
+    assert got["b"] == pytest.approx(0, abs=1e-9) and got["a"] == pytest.approx(math.sqrt(2) * spread, rel=0.15)
+    model = C.forest_pipeline(["a"], "y", ["k"], 10).fit(df.withColumn("k", (F.col("i") % 2).cast("string")))
+    fitted = {r.feature: r.rise for r in C.permutation_importance(df.withColumn("k", (F.col("i") % 2).cast("string")), model.transform, ["a", "k"], "y", 1).collect()}
+    assert fitted["a"] > 5 * abs(fitted["k"])
+
+
+def test_forest_beats_the_mean_on_held_out_folds(spark):
+    rng = random.Random(2)
+    rows = [(f"f{i % 3}", x := rng.uniform(0, 10), k := rng.choice("uvw"), (x if k != "w" else 5.0) + rng.gauss(0, 0.3)) for i in range(300)]
+    out = C.random_forest_cv(spark.createDataFrame(rows, "fold string, a double, kind string, y double"), ["a"], "y", 20, categorical=["kind"]).collect()
+    assert len(out) == 3 and all(r.r2 > 0.8 and r.n == 100 for r in out)
+
+
 def test_scan_without_rows_at_a_threshold(spark):
     df = spark.createDataFrame([(30.0, 28.0), (32.0, 33.0)], "y double, p double")
     rows = {r.threshold: (r.tp, r.fp, r.fn, r.tn) for r in M.threshold_scan(df, "y", "p", 31, 2700, 3400, 100).collect()}
