@@ -91,6 +91,14 @@ def test_urls(spark):
     assert url_filter.filter_urls(pages.limit(0)).count() == 0
 
 
+def test_urls_take_odd_rows(spark):
+    long = "http://x.org/fr/" + "a" * 200_000
+    rows = [(1, long, "h", "p"), (1, long, "h", "p"), (None, "http://net/", "h", "p"), (2, "", "h", "p"), (3, "://", "h", "p")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, host string, verdict string")
+    got = sorted(((r.page_id or 0, r.host, len(r.path), r.rule, r.verdict) for r in url_filter.filter_urls(pages).collect()))
+    assert got == [(0, "net", 1, "net/", "block"), (1, "x.org", 200_004, "org/fr/", "allow"), (1, "x.org", 200_004, "org/fr/", "allow"), (2, "", 0, None, "allow"), (3, "", 0, None, "allow")]
+
+
 def test_url_index_of_many_keys(tmp_path):
     rng = random.Random(9)
     rules = [(f"h{k}.org", "/" + "p" * rng.randint(0, 3), "block" if k % 3 else "allow") for k in range(100_000)]
@@ -327,6 +335,12 @@ def test_near_links_verify_distance(spark):
     assert links.items() <= pairs.items() and len(links) >= 4  # a walk may fall back into step late
 
 
+def test_near_links_take_odd_and_empty_tables(spark, odd, empty):
+    assert edit_fingerprint.near_links(edit_fingerprint.fingerprint(empty), empty).count() == 0
+    links = edit_fingerprint.near_links(edit_fingerprint.fingerprint(odd), odd.dropDuplicates(["doc_id"])).collect()
+    assert all(r.doc_id is not None and r.near_id is not None and r.doc_id != r.near_id for r in links)
+
+
 def plain_distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):

@@ -214,6 +214,16 @@ def test_mixing_redistributes_among_siblings_first(spark):
     assert got == {"src1": 10, "src2": 492, "src11": 502}  # the shortage of src1 stays in its domain
 
 
+def test_mixing_takes_odd_rows(spark, odd):
+    report = mixing.mix_report(odd).collect()
+    assert len(report) == odd.count() and all(0 <= r.copies <= mixing.MAX_EPOCHS for r in report)
+    assert len({r.copies for r in report if r.doc_id == 7 and r.source == "src7"}) <= 1  # repeated rows go together
+    taken = mixing.mix(odd)
+    assert taken.columns == odd.columns and taken.count() == sum(r.copies for r in report)
+    one = odd.filter("doc_id = 5")  # a very long text alone: no prefix holds it
+    assert [r.copies for r in mixing.mix_report(one).collect()] == [0]
+
+
 def test_exact_groups(spark, odd, empty):
     a, b = [{tuple(r) for r in x} for x in against_sql(odd.filter("doc_id is not null").dropDuplicates(["doc_id"]), exact_dedup.exact_groups(odd.filter("doc_id is not null").dropDuplicates(["doc_id"])).select("doc_id", "keep_id", "group_size", "kept", "text_sha256"), exact_dedup.ORACLE)]
     assert a == b
