@@ -47,5 +47,5 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     costs only the tasks it was running. The caller's cluster removes the folder with its other checkpoints."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
