@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import slices, text_or_empty
 
 #: Texts of one slice, and pieces that a task remembers.
-SLICE_BYTES, CACHE = 4_000_000, 500_000
+SLICE_BYTES, CACHE = 1_000_000, 250_000
 #: Kinds of code points for the splitter.
 LETTER, NUMBER, WHITE, OTHER = range(4)
 # Fixed value: contractions that the pre-tokeniser of this family keeps as pieces, in its order.
@@ -50,7 +50,7 @@ class Splitter:
     def __init__(self):
         import regex
 
-        every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+        every = np.delete(np.arange(0x110000, dtype=np.uint32), np.s_[0xD800:0xE000]).tobytes().decode("utf-32-le")
         self.kind = np.full(0x110000, OTHER, np.uint8)
         for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (WHITE, r"\s+")):
             for run in regex.finditer(pattern, every):
@@ -192,7 +192,9 @@ def check_byte_level(spec: dict) -> None:
 def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The places of ranges that follow each other: each range's ``starts`` and on, ``sizes`` places of it."""
     ends = np.cumsum(sizes)
-    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
+    out = np.repeat((starts - (ends - sizes)).astype(np.int32), sizes)
+    out += np.arange(len(out), dtype=np.int32)
+    return out
 
 
 class Numbers(dict):
@@ -248,7 +250,8 @@ class Coder:
             self.forget()
         cut = [self.cut(text) for text in texts]
         counts = np.array([len(x) for x in cut], np.int64)
-        found = np.fromiter(map(self.number.__getitem__, chain.from_iterable(cut)), np.int64, int(counts.sum()))
+        found = np.fromiter(map(self.number.__getitem__, chain.from_iterable(cut)), np.int32, int(counts.sum()))
+        del cut
         self.learn(self.number.take_new())
         sizes = self.sizes[found]
         ends = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(counts)])]

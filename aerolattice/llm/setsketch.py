@@ -32,7 +32,7 @@ BASE, RATE, LEVELS = 1.001, 20.0, 65534
 #: A pair goes on to verification unless the likelihood at the threshold is below the largest one by more than this
 #: (natural log): about six standard deviations.
 SLACK = 18.0
-SLICE_BYTES, BLOCK_ROWS = 2_000_000, 256
+SLICE_BYTES, BLOCK_ROWS = 1_000_000, 256
 
 _RNG = np.random.default_rng(20)
 _ODD = _RNG.integers(1, 2**63, REGISTERS).astype(np.uint64) * np.uint64(2) + np.uint64(1)

@@ -25,7 +25,8 @@ from .common import slices
 #: Bound of the fit, in labelled rows.
 SAMPLE_ROWS = 20_000
 FOLDS, RIDGE, LEVEL, THRESHOLD = 5, 0.1, 0.001, 0.5
-SLICE_BYTES = 4_000_000
+#: Texts of a slice in scoring, and of one whose features are listed.
+SLICE_BYTES, LIST_BYTES = 1_000_000, 250_000
 TOKEN = r"[\p{L}\p{M}\p{N}_']+"
 
 
@@ -171,7 +172,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, categories: dict[str, Co
 
     def run(batches):
         find = Finder()
-        for part in slices(batches, "text", SLICE_BYTES):
+        for part in slices(batches, "text", LIST_BYTES):
             words = pa.array([sorted(find.features(t)) for t in part.column("text").to_pylist()], pa.list_(pa.string()))
             yield pa.RecordBatch.from_arrays([*part.columns[:-1], words], names=[*part.schema.names[:-1], "words"])
 
