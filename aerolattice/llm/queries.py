@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, edit_fingerprint, exact_dedup, language_id, licenses, mixing, secrets, setsketch, toxicity, url_filter
+from . import bpe, edit_fingerprint, exact_dedup, language_id, licenses, mixing, periodic_runs, secrets, setsketch, toxicity, url_filter
 from .common import table
 
 
@@ -57,6 +57,10 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setsketch.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.run_digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scans": op1_secret_scans,
     "op2_language_id": op2_language_id,
@@ -68,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_document_fingerprints": op8_document_fingerprints,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
+    "op11_periodic_runs": op11_periodic_runs,
 }
 ORACLES: dict[str, str] = {
     "op3_license_scans": licenses.oracle(),
