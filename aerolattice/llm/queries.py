@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, edit_fingerprint, exact_dedup, language_id, licenses, mixing, periodic_runs, secrets, setsketch, toxicity, url_filter
+from . import bpe, edit_fingerprint, exact_dedup, language_id, licenses, mixing, packing, periodic_runs, secrets, setsketch, toxicity, url_filter
 from .common import table
 
 
@@ -61,6 +61,10 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.run_digest(table(spark, sf_dir, "documents"))
 
 
+def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scans": op1_secret_scans,
     "op2_language_id": op2_language_id,
@@ -73,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_exact_dedup": op9_exact_dedup,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_best_fit_packing": op12_best_fit_packing,
 }
 ORACLES: dict[str, str] = {
     "op3_license_scans": licenses.oracle(),
