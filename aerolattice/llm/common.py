@@ -29,8 +29,23 @@ def text_or_empty(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit(""))
 
 
+def quoted(name: str) -> str:
+    """A column's name as ``F.col`` takes it literally, dots and backticks included."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def as_row(docs: DataFrame) -> Column:
+    """All columns in one struct ``row``. Stages work beside it, so that a column may have any name."""
+    return F.struct(*(F.col(quoted(c)) for c in docs.columns)).alias("row")
+
+
+def row_columns(docs: DataFrame) -> list[Column]:
+    """The columns of ``docs`` from the struct that ``as_row`` made of them."""
+    return [F.col("row").getField(c).alias(c) for c in docs.columns]
+
+
 def marked_by(rows: DataFrame, key: str, keys: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
-    """``rows`` with ``_maybe``: false where ``key`` is surely not in the only column of ``keys``. A bitmap of hashed keys,
+    """``rows``, none of whose columns begin with ``_``, with ``_maybe``: false where ``key`` is surely not in the only column of ``keys``. A bitmap of hashed keys,
     bounded in size, goes to all tasks, so that rows without a partner needn't be shuffled. Join the rest by an inner or
     left join: Catalyst would push a semi or anti join below the filter, and all rows would be shuffled."""
     place = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))

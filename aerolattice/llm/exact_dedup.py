@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import hot_keys, marked_by, salted, stored, text_or_empty
+from .common import as_row, hot_keys, marked_by, row_columns, salted, stored, text_or_empty
 
 
 def digest(body: Column) -> Column:
@@ -31,17 +31,20 @@ def squeezed(text: Column) -> Column:
     return F.translate(text, " \t\n\x0b\f\r", "")
 
 
-def _merit(n: str, doc: str) -> Column:
-    """One number that is largest for the longest text and, among these, for the smallest id. A null id comes last."""
-    inverse = F.expr("9223372036854775808BD") - F.col(doc).cast("decimal(19,0)")
-    return (F.col(n).cast("decimal(10,0)") * F.expr("18446744073709551616BD") + F.coalesce(inverse, F.expr("-1BD"))).cast("decimal(38,0)")
+def _place(n: str, doc: str, kind: str) -> Column:
+    """What is least for the longest text and, among these, for the smallest id; a null id comes last. One number for ids
+    that are whole numbers, so that rows are combined by hash."""
+    if kind not in ("tinyint", "smallint", "int", "bigint"):
+        return F.struct((-F.col(n)).alias("n"), F.col(doc).isNull().alias("none"), F.col(doc).alias("id"))
+    own = F.coalesce(F.col(doc).cast("decimal(20,0)"), F.expr("9223372036854775808BD"))
+    return (own - F.col(n).cast("decimal(10,0)") * F.expr("36893488147419103232BD")).cast("decimal(38,0)")
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 1) -> DataFrame:
     """One row for each input row: ``doc_id, keep_id, group_size, kept, text_sha256``.
 
     Null text counts as empty; empty texts are equal to each other. Of equal texts the one with the most code points
-    stays, then the smallest id (null last). Rows repeated with one id count in ``group_size``, and one of them is kept.
+    stays, then the smallest id (null last); ids may have any type that has an order. Rows repeated with one id count in ``group_size``, and one of them is kept.
     ``salts`` is the number of salts of digests that aren't hot. Other columns of the input are ignored, whatever their
     names. An empty table gives an empty result.
     """
@@ -58,9 +61,9 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     repeated = named.filter("repeated")
 
     copies = marked_by(rows, "doc_id", repeated.select("doc_id")).filter("_maybe")
-    copies = salted(copies.select("doc_id", "body", digest(F.col("body")).alias("text_sha256"), _merit("n", "doc_id").alias("merit")), "text_sha256", "doc_id", hot, salts)
-    local = copies.groupBy("text_sha256", "_salt", "body").agg(F.count("*").alias("rows"), F.max("merit").alias("merit"), F.max_by("doc_id", "merit").alias("keep_id"))
-    whole = local.groupBy("text_sha256", "body").agg(F.sum("rows").alias("group_size"), F.max_by("keep_id", "merit").alias("keep_id"))
+    copies = salted(copies.select("doc_id", "body", digest(F.col("body")).alias("text_sha256"), _place("n", "doc_id", dict(rows.dtypes)["doc_id"]).alias("place")), "text_sha256", "doc_id", hot, salts)
+    local = copies.groupBy("text_sha256", "_salt", "body").agg(F.count("*").alias("rows"), F.min("place").alias("place"), F.min_by("doc_id", "place").alias("keep_id"))
+    whole = local.groupBy("text_sha256", "body").agg(F.sum("rows").alias("group_size"), F.min_by("keep_id", "place").alias("keep_id"))
     verdict = stored(whole.groupBy("text_sha256").agg(F.count("*").alias("contents"), F.first("keep_id").alias("keep_id"), F.first("group_size").alias("group_size")), "verdicts")
 
     single = verdict.filter("contents = 1").drop("contents")
@@ -86,12 +89,12 @@ def drop_exact_copies(docs: DataFrame) -> DataFrame:
     groups = stored(exact_groups(docs).select("doc_id", "text_sha256", "kept"), "exact-groups")
     gone = stored(groups.filter("not kept").select("doc_id").distinct(), "dropped-ids")
     key = lambda sha: F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit(":"), sha)
-    stay = groups.filter("kept").select("doc_id", key(F.col("text_sha256")).alias("_row_key"))
-    stay = marked_by(stay, "doc_id", gone).filter("_maybe").select("_row_key")
-    marked = marked_by(docs, "doc_id", gone)
-    maybe = marked.filter("_maybe").withColumn("_row_key", key(digest(squeezed(text_or_empty()))))
-    maybe = maybe.join(stay, "_row_key").dropDuplicates(["_row_key"])
-    return marked.filter("not _maybe").select(*docs.columns).unionByName(maybe.select(*docs.columns))
+    stay = groups.filter("kept").select("doc_id", key(F.col("text_sha256")).alias("row_key"))
+    stay = marked_by(stay, "doc_id", gone).filter("_maybe").select("row_key")
+    marked = marked_by(docs.select(as_row(docs), "doc_id", text_or_empty().alias("text")), "doc_id", gone)
+    maybe = marked.filter("_maybe").select("row", key(digest(squeezed(F.col("text")))).alias("row_key"))
+    maybe = maybe.join(stay, "row_key").dropDuplicates(["row_key"])
+    return marked.filter("not _maybe").select("row").union(maybe.select("row")).select(*row_columns(docs))
 
 
 ORACLE = r"""

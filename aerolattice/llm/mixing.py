@@ -17,7 +17,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, stored, text_or_empty
+from .common import WORD, as_row, row_columns, stored, text_or_empty
 
 LEVELS = ("domain", "language", "source")
 BIN_ROWS = 2000
@@ -46,21 +46,28 @@ def seeded_key(seed: str, epoch: Column) -> Column:
     return F.substring(F.md5(F.concat(F.lit(f"{seed}:"), epoch.cast("string"), F.lit(":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("-")))), 1, 15)
 
 
+def _label(level: str) -> Column:
+    """A tree label without its struct. Inside, labels are structs of one field, which are equal where both labels are
+    null, so that nulls are leaves of their own in joins as in groups."""
+    return F.col(level)["label"]
+
+
 def _weight(level: str, weights: Mapping[str, Mapping[str, float]]) -> Column:
     named = weights.get(level, {})
     value = F.lit(1.0)
     for name, w in named.items():
-        value = F.when(F.col(level) == name, F.lit(float(w))).otherwise(value)
+        value = F.when(_label(level) == name, F.lit(float(w))).otherwise(value)
     return value
 
 
 def budgets(leaves: DataFrame, share: float, max_epochs: int, weights: Mapping[str, Mapping[str, float]]) -> DataFrame:
-    """``leaves`` (domain, language, source, tokens) with ``budget``: water-filling at each level, from the root down.
+    """``leaves`` (domain, language, source, tokens) with ``budget``: water-filling at each level, from the root down. A
+    null label is a child like others.
 
     Within a parent the children are ordered by capacity over weight. The first ones that can't take their share of what
     is left are filled to capacity; the others share the rest by weight.
     """
-    caps = leaves.withColumn("cap", (F.col("tokens") * max_epochs).cast("double"))
+    caps = leaves.withColumns({k: F.struct(F.col(k).alias("label")) for k in LEVELS}).withColumn("cap", (F.col("tokens") * max_epochs).cast("double"))
     root = leaves.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("all")).select(F.floor(F.col("all") * F.lit(share)).cast("double").alias("budget"))
     up: list[str] = []
     level = root
@@ -78,22 +85,24 @@ def budgets(leaves: DataFrame, share: float, max_epochs: int, weights: Mapping[s
         share_of = F.when(F.col("full") | F.col("open_rate").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("w") * F.col("open_rate")))
         up = [*up, name]
         level = child.select(*up, share_of.alias("budget"))
-    return caps.join(level, up).select(*up, "tokens", F.floor(F.round("budget", 3)).cast("long").alias("budget"))
+    return caps.join(level, up).select(*(_label(k).alias(k) for k in up), "tokens", F.floor(F.round("budget", 3)).cast("long").alias("budget"))
 
 
 def plan_mix(docs: DataFrame, tree: Mapping[str, Column] | None = None, share: float = SHARE, max_epochs: int = MAX_EPOCHS, weights: Mapping[str, Mapping[str, float]] = WEIGHTS, seed: str = SEED) -> tuple[DataFrame, DataFrame]:
     """``(rows, cuts)``: ``rows`` has ``doc_id``, the tree's levels and ``n_tokens``; ``cuts`` has a row for each leaf:
     ``tokens, budget, epochs`` (whole ones) and ``cut``, the last key that the next epoch's prefix takes ('' for none).
+    The levels are structs of one field ``label`` here; labels may be null.
 
     Rows whose seeded keys are equal (repeated ids) are taken or left together. A prefix ends with the last row that
     fits whole, so a leaf takes its budget less one document's tokens at most. Rows without tokens fit anywhere before
     the cut.
     """
     tree = tree or default_tree()
-    rows = stored(docs.select("doc_id", *(tree[k].alias(k) for k in LEVELS), n_tokens(text_or_empty()).alias("n_tokens")), "mix-rows")
+    rows = stored(docs.select("doc_id", *(F.struct(tree[k].alias("label")).alias(k) for k in LEVELS), n_tokens(text_or_empty()).alias("n_tokens")), "mix-rows")
     levels = list(LEVELS)
     leaves = rows.groupBy(*levels).agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("rows"))
-    plan = budgets(leaves, share, max_epochs, weights).join(leaves.select(*levels, "rows"), levels)
+    plan = budgets(leaves.select(*(_label(k).alias(k) for k in levels), "tokens"), share, max_epochs, weights)
+    plan = plan.withColumns({k: F.struct(F.col(k).alias("label")) for k in levels}).join(leaves.select(*levels, "rows"), levels)
     plan = plan.withColumn("epochs", F.when(F.col("tokens") > 0, F.floor(F.col("budget") / F.col("tokens"))).otherwise(F.lit(0)).cast("long"))
     plan = stored(plan.withColumn("rest", F.col("budget") - F.col("epochs") * F.col("tokens")).withColumn("bins", F.greatest(F.lit(1), F.ceil(F.col("rows") / F.lit(BIN_ROWS)))), "mix-plan")
 
@@ -128,7 +137,7 @@ def mix_report(docs: DataFrame, seed: str = SEED, **plan) -> DataFrame:
     Null text counts as empty (no tokens), null language and source as ``(none)``. Empty tables give no rows.
     """
     rows, cuts = plan_mix(docs, seed=seed, **plan)
-    return rows.join(cuts, list(LEVELS)).select("doc_id", *LEVELS, "n_tokens", copies(seed).alias("copies"))
+    return rows.join(cuts, list(LEVELS)).select("doc_id", *(_label(k).alias(k) for k in LEVELS), "n_tokens", copies(seed).alias("copies"))
 
 
 def mix(docs: DataFrame, tree: Mapping[str, Column] | None = None, seed: str = SEED, **plan) -> DataFrame:
@@ -136,13 +145,9 @@ def mix(docs: DataFrame, tree: Mapping[str, Column] | None = None, seed: str = S
     shuffled: a row's leaf and key decide."""
     tree = tree or default_tree()
     _, cuts = plan_mix(docs, tree, seed=seed, **plan)
-    named = {k: f"_mix_{k}" for k in LEVELS}
-    cuts = cuts.select(*(F.col(k).alias(v) for k, v in named.items()), "epochs", "cut")
-    cuts = cuts.withColumnsRenamed({"epochs": "_mix_epochs", "cut": "_mix_cut"})
-    marked = docs.withColumns({v: tree[k] for k, v in named.items()}).join(cuts, list(named.values()))
-    taken = F.col("_mix_epochs") + (seeded_key(seed, F.col("_mix_epochs")) <= F.col("_mix_cut")).cast("long")
-    taken = marked.withColumn("_mix_copies", taken).filter("_mix_copies > 0")
-    return taken.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_copies")))).select(*docs.columns)
+    rows = docs.select(as_row(docs), "doc_id", *(F.struct(tree[k].alias("label")).alias(k) for k in LEVELS))
+    taken = rows.join(cuts.select(*LEVELS, "epochs", "cut"), list(LEVELS)).select("row", copies(seed).alias("copies")).filter("copies > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*row_columns(docs))
 
 
 def oracle(share: float = SHARE, max_epochs: int = MAX_EPOCHS, weights: Mapping[str, Mapping[str, float]] = WEIGHTS, seed: str = SEED) -> str:

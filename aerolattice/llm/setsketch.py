@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hot_keys, marked_by, salted_join, slices, stored, text_or_empty
+from .common import as_row, hot_keys, marked_by, row_columns, salted_join, slices, stored, text_or_empty
 
 SHINGLE = 5
 #: A link needs 100 * intersection >= PERCENT * union, unless the caller gives another percentage.
@@ -339,7 +339,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     their shingles, and sets with one 128-bit digest are taken as equal. ``component_id`` is the least id reachable.
     Documents without words or text are linked with nothing; null ids get no component and are kept. An id doesn't link
     rows: rows with one id and several texts are judged each by its own text, rows with one id and text alike. An empty
-    table gives no rows; other columns are ignored.
+    table gives no rows; other columns are ignored. Ids are whole numbers, or texts of such.
     """
     return verdicts(docs, percent).select("doc_id", "n_shingles", "component_id", "kept")
 
@@ -347,9 +347,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 def drop_near_copies(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``docs`` with one document of each component; columns unchanged. Only rows whose id may be that of a dropped row
     are shuffled."""
-    gone = stored(verdicts(docs, percent).filter("not kept").select("doc_id", F.col("text_key").alias("_text_key")).distinct(), "near-copies")
-    ids = gone.select(F.col("doc_id").alias("_gone_id"), "_text_key")
-    marked = marked_by(docs.withColumn("_long_id", F.col("doc_id").cast("long")), "_long_id", gone.select("doc_id"))
-    maybe = marked.filter("_maybe").withColumn("_text_key", F.xxhash64(text_or_empty()))
-    maybe = maybe.join(ids.withColumnRenamed("_gone_id", "_long_id").withColumn("_gone", F.lit(True)), ["_long_id", "_text_key"], "left").filter("_gone is null")
-    return marked.filter("not _maybe").select(*docs.columns).unionByName(maybe.select(*docs.columns))
+    gone = stored(verdicts(docs, percent).filter("not kept").select("doc_id", "text_key").distinct(), "near-copies")
+    marked = marked_by(docs.select(as_row(docs), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_or_empty()).alias("text_key")), "doc_id", gone.select("doc_id"))
+    maybe = marked.filter("_maybe").select("row", "doc_id", "text_key").join(gone.withColumn("gone", F.lit(True)), ["doc_id", "text_key"], "left").filter("gone is null")
+    return marked.filter("not _maybe").select("row").union(maybe.select("row")).select(*row_columns(docs))

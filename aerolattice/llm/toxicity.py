@@ -258,10 +258,12 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
     """``docs`` without the rows whose text is toxic; columns unchanged. The chain decides row by row, in one pass that
     carries the columns along, so nothing is shuffled and repeated or null ids don't matter."""
     chain = fit(docs, labels, table_categories())
-    sent, kept = docs.sparkSession.sparkContext.broadcast(chain), docs.columns
+    sent = docs.sparkSession.sparkContext.broadcast(chain)
 
     def run(batches):
         for part, p in _rows(batches, sent.value):
             yield part.filter(pa.array(p[:, -1] <= threshold))
 
-    return docs.mapInArrow(run, docs.schema).select(*kept)
+    # Columns go through by number, so that they may have any name.
+    rows = docs.toDF(*("text" if c == "text" else f"c{k}" for k, c in enumerate(docs.columns)))
+    return rows.mapInArrow(run, rows.schema).toDF(*docs.columns)

@@ -96,3 +96,55 @@ def test_near_copies_at_80_percent(spark):
     assert any(0.8 <= ratio(sets[k - 1], sets[k]) < 0.85 for k in range(1, len(texts), 2)) and len(want) > len(texts) // 2
     assert {r.doc_id for r in setsketch.drop_near_copies(messy(spark, texts), 80).collect()} == want
     assert {r.doc_id for r in setsketch.drop_near_copies(messy(spark, texts)).collect()} > want
+
+
+#: Names that the stages use inside, in this version or an earlier one, and names that need quoting.
+NAMES = [
+    "_h", "_p", "_bucket", "_bits", "_maybe", "_gone", "_text_key", "_row_key", "_mix_cut", "_mix_copies", "_mix_epochs", "_salt", "_salts", "_long_id", "row", "rows", "Place", "KEY", "label", "domain", "language", "cut", "copies",
+    "epochs", "gone", "text_key", "row_key", "group", "fold", "words", "hits", "n_tokens", "kept", "keep_id", "body", "t", "n", "node", "comp", "hub", "a", "b", "a.b", "a`b", "`x`", "two words", "Ünïcode", "",
+]
+
+
+def test_stages_carry_columns_of_any_name(spark):
+    rng = random.Random(31)
+    base = [" ".join(rng.choices([f"w{k}" for k in range(500)], k=40)) for _ in range(30)]
+    texts = [*base, *base[:10], *(t + " more" for t in base[5:15]), None, ""]
+    source = spark.read.parquet(f"{SF}/documents.parquet").schema
+    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in source), *(f"`{n.replace('`', '``')}` string" for n in NAMES)])
+    rows = [(i, t, "en", f"src{i % 3}", len(t or ""), *(f"{n}:{i}" for n in NAMES)) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, schema)
+    want = {r[0]: tuple(r) for r in rows}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns
+        got = [tuple(r) for r in out.collect()]
+        assert got and all(r == want[r[0]] for r in got), name
+        plain = stage(spark, docs.select("doc_id", "text", "lang", "source", "n_chars"), SF)
+        assert Counter(r[0] for r in got) == Counter(r.doc_id for r in plain.collect()), name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == len(rows)
+
+
+def test_mix_keeps_rows_of_null_labels(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(i, "one two three", ("web", None)[i % 2], ("en", None, "de")[i % 3], (None, "s")[i % 4 == 1]) for i in range(240)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, dom string, lang string, source string")
+    tree = {"domain": F.col("dom"), "language": F.col("lang"), "source": F.col("source")}
+    report = mixing.mix_report(docs, tree=tree).collect()
+    assert {(r.doc_id, r.domain, r.language, r.source) for r in report} == {(i, d, lang, s) for i, _, d, lang, s in rows}
+    copies = {r.doc_id: r.copies for r in report}
+    assert Counter(r.doc_id for r in mixing.mix(docs, tree=tree).collect()) == {i: n for i, n in copies.items() if n}
+    leaves = Counter()
+    for r in report:
+        leaves[r.domain] += r.n_tokens * r.copies
+    assert 0 < leaves[None] and 0.55 * 720 < sum(leaves.values()) <= 0.6 * 720  # a null domain weighs 1, web 0.7
+    assert leaves[None] > leaves["web"]
+
+
+def test_exact_groups_take_text_ids(spark):
+    from aerolattice.llm import exact_dedup
+
+    docs = spark.createDataFrame([("b", "x y"), ("a", "x  y"), ("c", "xy"), (None, "x  y"), ("d", "z")], "doc_id string, text string")
+    got = {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_groups(docs).collect()}
+    assert got == {("b", "a", 4, False), ("a", "a", 4, True), ("c", "a", 4, False), (None, "a", 4, False), ("d", "d", 1, True)}
+    assert {r.doc_id for r in exact_dedup.drop_exact_copies(docs).collect()} == {"a", "d"}
