@@ -183,6 +183,7 @@ def check_byte_level(spec: dict) -> None:
         before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True),
         after.get("type") == "ByteLevel",
         spec.get("normalizer") is None,
+        not any(t.get(x) for t in spec.get("added_tokens", []) for x in ("lstrip", "rstrip", "single_word", "normalized")),
         not any(model.get(x) for x in ("continuing_subword_prefix", "end_of_word_suffix", "dropout", "byte_fallback", "ignore_merges")),
     ]
     if not all(plain):
@@ -272,6 +273,18 @@ class Coder:
             yield lines[a : max(a, b - 1)].decode(), out[c:d]
 
 
+_KEPT: dict[str, Coder] = {}
+
+
+def coder_of(spec: str) -> Coder:
+    """The coder of a tokenizer file's text, kept for the worker process's next tasks; one at a time."""
+    key = hashlib.sha256(spec.encode()).hexdigest()
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = Coder(Bpe(spec))
+    return _KEPT[key]
+
+
 SCHEMA = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -288,7 +301,7 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     schema = pa.schema([("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())] + [("ids", pa.list_(pa.int32())), ("decoded", pa.string())] * texts)
 
     def run(batches):
-        coder = Coder(Bpe(spec.value))
+        coder = coder_of(spec.value)
         for part in slices(batches, "text", SLICE_BYTES):
             rows = list(coder.encode(part.column("text").to_pylist()))
             decoded = [b.decode("utf-8", "replace") for _, b in rows]
@@ -312,7 +325,7 @@ def decode(rows: DataFrame, tokenizer: str, id_col: str = "doc_id", ids_col: str
         spec = rows.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches):
-        table = Bpe(spec.value).token_bytes
+        table = coder_of(spec.value).bpe.token_bytes
         for batch in batches:
             texts = [None if ids is None else b"".join(table.get(i, b"") for i in ids).decode("utf-8", "replace") for ids in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import Bpe, Coder
+from .bpe import coder_of
 from .common import slices, stored, text_or_empty
 
 CAPACITY, END = 1024, 2
@@ -136,7 +136,7 @@ def encoded_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, en
     kind = dict(docs.dtypes)[id_col]
 
     def run(batches):
-        coder, task = Coder(Bpe(spec.value)), TaskContext.get().partitionId() << 36
+        coder, task = coder_of(spec.value), TaskContext.get().partitionId() << 36
         row = full = task
         for part in slices(batches, "text", SLICE_BYTES):
             flat, counts = coder.tokens(part.column("text").to_pylist())
