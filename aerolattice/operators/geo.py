@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import in_ring, ring_box
+from .neighbours import nearest
 
 METRES_PER_DEGREE = 111_320.0
 
@@ -182,11 +183,9 @@ def _pairs_within(points: DataFrame, key: str, radius: float) -> DataFrame:
     return here.join(there, ["bx", "by"]).withColumn("d", d).filter((F.col("d") <= radius) & (F.col(key) != F.col("other"))).select(key, "other", "d")
 
 
-def knn_distance(points: DataFrame, key: str, k: int, radius: float) -> DataFrame:
-    """Distance to the k-th nearest other point within ``radius``; null where there are fewer. Ranks beyond k are
-    dropped before the shuffle."""
-    w = Window.partitionBy(key).orderBy("d", "other")
-    near = _pairs_within(points, key, radius).withColumn("_k", F.row_number().over(w)).filter(F.col("_k") == k)
+def knn_distance(points: DataFrame, key: str, k: int) -> DataFrame:
+    """Distance to the k-th nearest other point, however far; null where there are fewer."""
+    near = nearest(points, points.select(F.col(key).alias("other"), "x", "y"), key, "other", k, apart=True).filter(F.col("rank") == k)
     return points.select(key).join(near.select(key, F.col("d").alias("kth_distance")), key, "left")
 
 

@@ -8,9 +8,9 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import haversine_m
 from ..functions.thermal import clip
 from ..session import stored
+from .neighbours import Sphere, by_classes, nearest
 
 
 def expand_over_grid(weather: DataFrame, cells: DataFrame) -> DataFrame:
@@ -145,22 +145,20 @@ def pick_best_pair(cands: DataFrame, keys: Sequence[str] = ("station", "t")) ->
 
 
 def nearest_station(points: DataFrame, stations: DataFrame, key: str) -> DataFrame:
-    """Each point (``lat, lon``) with its nearest station (``station, slat, slon``), its distance and class. Stations are
-    a list of places, tens to thousands of rows; the least distance is a partial aggregate, so pairs aren't shuffled."""
-    d = haversine_m(F.col("lat"), F.col("lon"), F.col("slat"), F.col("slon"))
-    best = points.join(stations).groupBy(key).agg(F.min(F.struct(d.alias("d"), F.col("station").alias("s"))).alias("b"))
-    cls = F.when(F.col("b.d") <= 1000, "local").when(F.col("b.d") <= 3000, "nearby").otherwise("regional")
-    return best.select(key, F.col("b.s").alias("station"), F.col("b.d").alias("distance_m"), cls.alias("distance_class"))
+    """Each point (``lat, lon``) with its nearest station (``station, slat, slon``; ties by name), its distance and class.
+    Both sides may have any number of rows, and any distance is found."""
+    places = stations.select("station", F.col("slon").alias("x"), F.col("slat").alias("y"))
+    best = nearest(points.select(key, F.col("lon").alias("x"), F.col("lat").alias("y")), places, key, "station", metric=Sphere)
+    return best.select(key, "station", F.col("d").alias("distance_m"), by_classes(F.col("d"), [(1000, "local"), (3000, "nearby")], "regional").alias("distance_class"))
 
 
 def nearest_cell(stations: DataFrame, grid: DataFrame, key: str, columns: Sequence[str], local_m: float = 1000, nearby_m: float = 3000) -> DataFrame:
     """Each station (``station, slat, slon``) with its nearest cell (``lat, lon``; ties by id), its distance, how far the
-    cell stands for it, and the cell's ``columns`` prefixed by ``station_nearest_grid_``. The stations are a stated short
-    list; the cells are met in partial aggregates, one row for each station and task."""
-    d = haversine_m(F.col("slat"), F.col("slon"), F.col("lat"), F.col("lon"))
-    best = grid.join(stations).groupBy("station").agg(F.min(F.struct(d.alias("d"), F.col(key).alias("k"), *columns)).alias("b"))
-    cls = F.when(F.col("b.d") <= local_m, "local_grid_proxy").when(F.col("b.d") <= nearby_m, "nearby_grid_proxy").otherwise("regional_distance_not_representative")
-    return best.select("station", F.col("b.k").alias("nearest_grid_cell"), F.col("b.d").alias("nearest_grid_distance_m"), cls.alias("morphology_representativeness"), *(F.col(f"b.{c}").alias(f"station_nearest_grid_{c}") for c in columns))
+    cell stands for it, and the cell's ``columns`` prefixed by ``station_nearest_grid_``."""
+    cells = grid.select(key, F.col("lon").alias("x"), F.col("lat").alias("y"), *columns)
+    best = nearest(stations.select("station", F.col("slon").alias("x"), F.col("slat").alias("y")), cells, "station", key, metric=Sphere, keep=columns)
+    cls = by_classes(F.col("d"), [(local_m, "local_grid_proxy"), (nearby_m, "nearby_grid_proxy")], "regional_distance_not_representative")
+    return best.select("station", F.col(key).alias("nearest_grid_cell"), F.col("d").alias("nearest_grid_distance_m"), cls.alias("morphology_representativeness"), *(F.col(c).alias(f"station_nearest_grid_{c}") for c in columns))
 
 
 def sim_vs_proxy(sim: DataFrame, proxy: DataFrame, value: str, mode: str) -> DataFrame:

@@ -154,11 +154,11 @@ def dedup_footprints(spark: SparkSession, d: str) -> DataFrame:
 
 def knn_distance(spark: SparkSession, d: str) -> DataFrame:
     p = adapter(spark, d, "nodes").select("node", F.col("nx").alias("x"), F.col("ny").alias("y"))
-    return R6(G.knn_distance(p, "node", 5, 250.0))
+    return R6(G.knn_distance(p, "node", 5))
 
 
-KNN = f"""{duck('nodes')}, j as (select a.node, sqrt(power(a.nx - b.nx, 2) + power(a.ny - b.ny, 2)) as d, b.node as o from nodes a join nodes b on a.node <> b.node and b.nx between a.nx - 250 and a.nx + 250 and b.ny between a.ny - 250 and a.ny + 250),
- r as (select *, row_number() over (partition by node order by d, o) as k from j where d <= 250) select n.node, round(d, 6) as kth_distance from nodes n left join r on r.node = n.node and k = 5"""
+KNN = f"""{duck('nodes')}, j as (select a.node, sqrt(power(a.nx - b.nx, 2) + power(a.ny - b.ny, 2)) as d, b.node as o from nodes a join nodes b on a.node <> b.node),
+ r as (select *, row_number() over (partition by node order by d, o) as k from j) select n.node, round(d, 6) as kth_distance from nodes n left join r on r.node = n.node and k = 5"""
 
 
 def dbscan(spark: SparkSession, d: str) -> DataFrame:
