@@ -249,8 +249,29 @@ def in_ring(x: Column, y: Column, ring: Column) -> Column:
     return F.pmod(F.aggregate(crosses, F.lit(0), lambda s, c: s + c), F.lit(2)) == 1
 
 
+def shape_area(shape: Column) -> Column:
+    """Area of a polygon given as its rings, the first one the outline and the others holes; 0 without rings."""
+    areas = F.transform(shape, ring_area)
+    return F.coalesce(F.try_element_at(areas, F.lit(1)), F.lit(0.0)) - F.aggregate(F.slice(areas, 2, F.greatest(F.size(areas) - 1, F.lit(0))), F.lit(0.0), lambda s, a: s + a)
+
+
+def in_shape(x: Column, y: Column, shape: Column) -> Column:
+    """Whether a point lies in a shape, which is any number of rings under the even-odd rule: parts and holes alike."""
+    return F.aggregate(F.transform(shape, lambda ring: in_ring(x, y, ring)), F.lit(False), lambda s, inside: s != inside)
+
+
+def shape_distance(x: Column, y: Column, shape: Column) -> Column:
+    """Distance of a point to a shape: 0 inside, to the nearest outline elsewhere, a hole's outline for points in it."""
+    return F.when(in_shape(x, y, shape), 0.0).otherwise(F.array_min(F.transform(shape, lambda ring: outline_distance(x, y, ring))))
+
+
 def segment_distance(x: Column, y: Column, ring: Column) -> Column:
     """Distance of a point to a ring's outline, 0 inside."""
+    return F.when(in_ring(x, y, ring), 0.0).otherwise(outline_distance(x, y, ring))
+
+
+def outline_distance(x: Column, y: Column, ring: Column) -> Column:
+    """Distance of a point to a ring's outline."""
     n = F.size(ring)
     shifted = F.concat(F.slice(ring, F.lit(2), n - 1), F.slice(ring, 1, 1))
 
@@ -259,7 +280,7 @@ def segment_distance(x: Column, y: Column, ring: Column) -> Column:
         t = clip(F.coalesce(F.try_divide((x - a["x"]) * dx + (y - a["y"]) * dy, dx * dx + dy * dy), F.lit(0.0)), 0, 1)
         return F.sqrt(F.pow(x - a["x"] - t * dx, 2) + F.pow(y - a["y"] - t * dy, 2))
 
-    return F.when(in_ring(x, y, ring), 0.0).otherwise(F.array_min(F.zip_with(ring, shifted, one)))
+    return F.array_min(F.zip_with(ring, shifted, one))
 
 
 def green_masks(r: Column, g: Column, b: Column) -> dict[str, Column]:

@@ -145,14 +145,34 @@ def merge_provenance(boxes: DataFrame, state: DataFrame, key: str, priority: str
     return sums.withColumnRenamed("_to", key)
 
 
+def union_area(boxes: Column) -> Column:
+    """Area of the union of an array of boxes (``x0, x1, y0, y1``): between two neighbouring x of their sides, the heights of
+    the boxes there are merged from below."""
+    sides = F.array_sort(F.array_distinct(F.concat(F.transform(boxes, lambda b: b["x0"]), F.transform(boxes, lambda b: b["x1"]))))
+    n = F.greatest(F.size(sides) - 1, F.lit(0))
+
+    def height(a: Column, b: Column) -> Column:
+        spans = F.array_sort(F.transform(F.filter(boxes, lambda p: (p["x0"] <= a) & (p["x1"] >= b)), lambda p: F.struct(p["y0"].alias("lo"), p["y1"].alias("hi"))))
+        start = F.struct(F.lit(float("-inf")).alias("top"), F.lit(0.0).alias("sum"))
+        step = lambda s, p: F.struct(F.greatest(s["top"], p["hi"]).alias("top"), (s["sum"] + F.greatest(p["hi"] - F.greatest(s["top"], p["lo"]), F.lit(0.0))).alias("sum"))
+        return F.aggregate(spans, start, step, lambda s: s["sum"])
+
+    strips = F.zip_with(F.slice(sides, 1, n), F.slice(sides, 2, n), lambda a, b: (b - a) * height(a, b))
+    return F.aggregate(strips, F.lit(0.0), lambda s, x: s + x)
+
+
 def non_covered(boxes: DataFrame, ref: DataFrame, key: str, size: float, share: float = 0.35) -> DataFrame:
-    """Boxes whose own area is covered by the reference (free of overlaps) by less than ``share``."""
+    """Boxes whose own area is covered by the reference by less than ``share``, with ``covered_share``; what several
+    reference boxes cover counts once. A box's pieces are united for each square cell of width ``size``."""
     a, b = _near(boxes, size), _near(ref.select(*(F.col(c).alias(f"r_{c}") for c in ("x_min", "x_max", "y_min", "y_max"))).withColumns({c: F.col(f"r_{c}") for c in ("x_min", "x_max", "y_min", "y_max")}), size).drop("x_min", "x_max", "y_min", "y_max")
     j = a.join(b, ["kx", "ky"])
     left, low = F.greatest("x_min", "r_x_min"), F.greatest("y_min", "r_y_min")
     w, h = F.least("x_max", "r_x_max") - left, F.least("y_max", "r_y_max") - low
-    j = j.filter((w > 0) & (h > 0) & (F.floor(left / size) == F.col("kx")) & (F.floor(low / size) == F.col("ky")))
-    covered = j.groupBy(key).agg(F.sum(w * h).alias("_c"))
+    # Each piece, cut to the cell, so that the cells' unions add up.
+    cut = lambda c, k: F.greatest(F.least(c, (F.col(k) + 1) * size), F.col(k) * size)
+    piece = F.struct(cut(left, "kx").alias("x0"), cut(left + w, "kx").alias("x1"), cut(low, "ky").alias("y0"), cut(low + h, "ky").alias("y1"))
+    pieces = j.filter((w > 0) & (h > 0)).groupBy(key, "kx", "ky").agg(F.collect_set(piece).alias("_pieces"))
+    covered = pieces.groupBy(key).agg(F.sum(union_area(F.col("_pieces"))).alias("_c"))
     area = (F.col("x_max") - F.col("x_min")) * (F.col("y_max") - F.col("y_min"))
     return boxes.join(covered, key, "left").withColumn("covered_share", F.coalesce("_c", F.lit(0.0)) / area).filter(F.col("covered_share") < share).drop("_c")
 

@@ -1,12 +1,18 @@
-"""Areas of overlap of general rings, in one vectorised pandas UDF each; joins stay equi-joins by cell key."""
+"""Areas of overlap of shapes, in one vectorised pandas UDF each; joins stay equi-joins by cell key.
+
+A shape is an array of rings under the even-odd rule: outlines, holes and parts alike. A ring is a shape of one ring.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import ring_area, ring_box, segment_distance
+from ..functions.scalars import in_shape, ring_area, ring_box, shape_area, shape_distance
 from ..session import ship_package, stored
 
 
@@ -38,22 +44,83 @@ def clipped(subject: list[tuple[float, float]], window: list[tuple[float, float]
     return out
 
 
-def overlap(a: list[tuple[float, float]], b: list[tuple[float, float]]) -> float:
-    """Area common to two simple rings: both as signed fans of triangles, whose convex overlaps add up."""
+Ring = Sequence[tuple[float, float]]
+#: Numbers that the sweep holds in one array.
+BLOCK = 2_000_000
+
+
+def _edges(shape: Sequence[Ring]) -> np.ndarray:
+    """``x1, y1, x2, y2`` of the edges that aren't upright, from left to right."""
+    parts = []
+    for ring in shape:
+        if len(ring) > 2:
+            p = np.asarray(ring, float)
+            parts.append(np.hstack([p, np.roll(p, -1, axis=0)]))
+    e = np.concatenate(parts) if parts else np.zeros((0, 4))
+    e = e[e[:, 0] != e[:, 2]]
+    return np.where((e[:, 0] > e[:, 2])[:, None], e[:, [2, 3, 0, 1]], e)
+
+
+def covered_area(subject: Sequence[Ring], others: Sequence[Sequence[Ring]], window: Ring | None = None) -> float:
+    """Area of the part of ``subject`` that lies in any of ``others`` (and in the ``window``), by a sweep over x.
+
+    Between two neighbouring x of ends and crossings of edges, edges don't cross, so an upright line in the middle tells the
+    area: it is walked upwards, and each edge switches its shape on or off."""
+    shapes = [subject, *([] if window is None else [[window]]), *others]
+    first = len(shapes) - len(others)
+    every = [_edges(s) for s in shapes]
+    if not others or any(not len(e) for e in every[:first]):
+        return 0.0
+    low, high = max(e[:, 0].min() for e in every[:first]), min(e[:, 2].max() for e in every[:first])
+    edges, of = np.concatenate(every), np.repeat(np.arange(len(shapes)), [len(e) for e in every])
+    near = (edges[:, 2] > low) & (edges[:, 0] < high)
+    (x1, y1, x2, y2), of = edges[near].T, of[near]
+    if low >= high:
+        return 0.0
+    slope = (y2 - y1) / (x2 - x1)
+    base = y1 - slope * x1
+    cuts, step = [x1, x2, np.array([low, high])], max(1, BLOCK // len(x1))
+    for k in range(0, len(x1), step):
+        with np.errstate(divide="ignore", invalid="ignore"):
+            x = (base[None, :] - base[k : k + step, None]) / (slope[k : k + step, None] - slope[None, :])
+        cuts.append(x[(x > np.maximum(x1[k : k + step, None], x1)) & (x < np.minimum(x2[k : k + step, None], x2))])
+    cuts = np.unique(np.concatenate(cuts))
+    cuts = cuts[(cuts >= low) & (cuts <= high)]
+    total = 0.0
+    for k in range(0, len(cuts) - 1, step):
+        ends = cuts[k : k + step + 1]
+        middle = ((ends[1:] + ends[:-1]) / 2)[:, None]
+        on = (x1 <= middle) & (middle < x2)
+        y = np.where(on, slope * middle + base, np.inf)
+        order = np.argsort(y, axis=1, kind="stable")
+        y, owner = np.take_along_axis(y, order, axis=1), np.where(np.take_along_axis(on, order, axis=1), of[order], -1)
+        switched = lambda s: np.cumsum(owner == s, axis=1) % 2 == 1  # noqa: B023, E731
+        inside, any_other = switched(0), np.zeros(owner.shape, bool)
+        for s in range(1, first):
+            inside &= switched(s)
+        for s in range(first, len(shapes)):
+            any_other |= switched(s)
+        with np.errstate(invalid="ignore"):
+            gaps = np.where((inside & any_other)[:, :-1], y[:, 1:] - y[:, :-1], 0.0)
+        total += float(((ends[1:] - ends[:-1]) * np.nansum(gaps, axis=1)).sum())
+    return total
+
+
+def overlap(a: Ring, b: Ring) -> float:
+    """Area common to two rings."""
+    return covered_area([a], [[b]])
 
-    def fan(pts):
-        for p, q in zip(pts[1:], pts[2:]):
-            s = signed_area([pts[0], p, q])
-            if s:
-                yield (1, [pts[0], p, q]) if s > 0 else (-1, [pts[0], q, p])
 
-    flip = (1 if signed_area(a) >= 0 else -1) * (1 if signed_area(b) >= 0 else -1)
-    total = sum(s * t * signed_area(clipped(x, y)) for s, x in fan(a) for t, y in fan(b))
-    return max(0.0, flip * total)
+def _overlap_series(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([covered_area([_points(r) for r in x], [[_points(r) for r in y]]) for x, y in zip(a, b)], dtype="float64")
 
 
-def _overlap_series(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([overlap(_points(x), _points(y)) for x, y in zip(a, b)], dtype="float64")
+def _covered_series(shape: pd.Series, others: pd.Series, x: pd.Series, y: pd.Series, size: pd.Series) -> pd.Series:
+    out = []
+    for s, o, u, v, w in zip(shape, others, x, y, size):
+        square = [(u, v), (u + w, v), (u + w, v + w), (u, v + w)]
+        out.append(covered_area([_points(r) for r in s], [[_points(r) for r in other] for other in o], square))
+    return pd.Series(out, dtype="float64")
 
 
 def _window_series(ring: pd.Series, x: pd.Series, y: pd.Series, size: pd.Series) -> pd.Series:
@@ -61,10 +128,41 @@ def _window_series(ring: pd.Series, x: pd.Series, y: pd.Series, size: pd.Series)
     return pd.Series([abs(signed_area(clipped(_points(r), w))) for r, w in zip(ring, squares)], dtype="float64")
 
 
-def ring_overlap(a: Column, b: Column) -> Column:
+def shape_overlap(a: Column, b: Column) -> Column:
     return F.pandas_udf(_overlap_series, "double")(a, b)
 
 
+def with_shape(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``shape``: their own, or their ``ring`` as one."""
+    return rows if "shape" in rows.columns else rows.withColumn("shape", F.array("ring"))
+
+
+def _in_cells(rows: DataFrame, size: float, reach: float = 0.0) -> DataFrame:
+    """A row for each square cell (``kx, ky``) that the box of a shape, made larger by ``reach``, touches, with the box."""
+    at = lambda c: F.floor(c / size)
+    rows = rows.withColumns(ring_box(F.flatten("shape")))
+    rows = rows.withColumn("kx", F.explode(F.sequence(at(F.col("x_min") - reach), at(F.col("x_max") + reach))))
+    return rows.withColumn("ky", F.explode(F.sequence(at(F.col("y_min") - reach), at(F.col("y_max") + reach))))
+
+
+def covered_share(shapes: DataFrame, others: DataFrame, key: str, size: float) -> DataFrame:
+    """``key, area, covered, share``: how much of each shape the ``others`` cover together; where they overlap each other,
+    once. Shapes and others meet by the square cells of width ``size`` that their boxes touch, and a cell's part of a shape
+    is swept against the distinct others of that cell, so a row holds no more than one cell does. A shape without an area
+    has no share. Rows have a ``ring`` or a ``shape``, of which the first ring is the outline and the others are holes."""
+    ship_package(shapes.sparkSession)
+    rows = with_shape(shapes).select(key, "shape")
+    mine = _in_cells(rows, size)
+    theirs = _in_cells(with_shape(others).select("shape"), size).select("kx", "ky", F.col("shape").alias("other"), *(F.col(c).alias(f"o_{c}") for c in ("x_min", "x_max", "y_min", "y_max")))
+    theirs = theirs.dropDuplicates(["kx", "ky", "other"])
+    meet = (F.col("x_min") < F.col("o_x_max")) & (F.col("o_x_min") < F.col("x_max")) & (F.col("y_min") < F.col("o_y_max")) & (F.col("o_y_min") < F.col("y_max"))
+    pieces = mine.join(theirs, ["kx", "ky"]).filter(meet).groupBy(key, "kx", "ky").agg(F.any_value("shape").alias("shape"), F.collect_list("other").alias("others"))
+    part = F.pandas_udf(_covered_series, "double")("shape", "others", F.col("kx") * float(size), F.col("ky") * float(size), F.lit(float(size)))
+    found = pieces.withColumn("part", part).groupBy(key).agg(F.sum("part").alias("covered"))
+    out = rows.select(key, shape_area(F.col("shape")).alias("area")).join(found, key, "left").withColumn("covered", F.coalesce("covered", F.lit(0.0)))
+    return out.withColumn("share", F.when(F.col("area") > 0, F.least(F.col("covered") / F.col("area"), F.lit(1.0))))
+
+
 def overlay_rings(cells: DataFrame, rings: DataFrame, size: float, keep: tuple[str, ...] = ()) -> DataFrame:
     """Pieces of rings (``ring``) in square cells (``cell, x, y``): ``cell, piece_area`` and columns of the ring. A ring
     goes to the cells that its box touches by key."""
@@ -78,37 +176,37 @@ def overlay_rings(cells: DataFrame, rings: DataFrame, size: float, keep: tuple[s
 
 
 def ring_iou_pairs(rings: DataFrame, key: str, size: float) -> DataFrame:
-    """Pairs of rings (a before b) that overlap, with intersection and IoU; a pair is computed in its first common square."""
+    """Pairs of rings or shapes (a before b) that overlap, with intersection and IoU; a pair is computed in its first common
+    square."""
     ship_package(rings.sparkSession)
-    box = rings.select(key, "ring").withColumns(ring_box(F.col("ring")))
-    at = lambda c: F.floor(F.col(c) / size)
-    spread = box.withColumn("kx", F.explode(F.sequence(at("x_min"), at("x_max")))).withColumn("ky", F.explode(F.sequence(at("y_min"), at("y_max"))))
-    cols = [key, "ring", "x_min", "x_max", "y_min", "y_max"]
+    spread = _in_cells(with_shape(rings).select(key, "shape"), size)
+    cols = [key, "shape", "x_min", "x_max", "y_min", "y_max"]
     a, b = (spread.select("kx", "ky", *(F.col(c).alias(f"{s}_{c}") for c in cols)) for s in ("a", "b"))
     left, low = F.greatest("a_x_min", "b_x_min"), F.greatest("a_y_min", "b_y_min")
     meet = (F.col(f"a_{key}") < F.col(f"b_{key}")) & (F.least("a_x_max", "b_x_max") > left) & (F.least("a_y_max", "b_y_max") > low)
     j = a.join(b, ["kx", "ky"]).filter(meet & (F.floor(left / size) == F.col("kx")) & (F.floor(low / size) == F.col("ky")))
-    j = j.withColumn("intersection", ring_overlap(F.col("a_ring"), F.col("b_ring"))).filter("intersection > 0")
-    union = ring_area(F.col("a_ring")) + ring_area(F.col("b_ring")) - F.col("intersection")
+    j = j.withColumn("intersection", shape_overlap(F.col("a_shape"), F.col("b_shape"))).filter("intersection > 0")
+    union = shape_area(F.col("a_shape")) + shape_area(F.col("b_shape")) - F.col("intersection")
     return j.select(F.col(f"a_{key}").alias("a"), F.col(f"b_{key}").alias("b"), "intersection", (F.col("intersection") / union).alias("iou"))
 
 
 def nearest_polygon(points: DataFrame, rings: DataFrame, key: str, name: str, reach: float, none: float = 9999.0) -> DataFrame:
-    """Distance of each point (``px, py``) to the nearest ring within ``reach`` (0 inside) and its name; ``none`` where
-    there is none. Rings go to the cells of width ``reach`` within reach of their boxes."""
+    """Distance of each point (``px, py``) to the nearest ring or shape within ``reach`` (0 inside) and its name; ``none``
+    where there is none. Shapes go to the cells of width ``reach`` within reach of their boxes."""
     at = lambda c: F.floor(c / reach)
-    box = rings.select(name, "ring").withColumns(ring_box(F.col("ring")))
-    spread = box.withColumn("kx", F.explode(F.sequence(at(F.col("x_min") - reach), at(F.col("x_max") + reach)))).withColumn("ky", F.explode(F.sequence(at(F.col("y_min") - reach), at(F.col("y_max") + reach))))
+    spread = _in_cells(with_shape(rings).select(name, "shape"), reach, reach)
     here = points.select(key, "px", "py", at(F.col("px")).alias("kx"), at(F.col("py")).alias("ky"))
-    d = segment_distance(F.col("px"), F.col("py"), F.col("ring"))
+    d = shape_distance(F.col("px"), F.col("py"), F.col("shape"))
     near = here.join(spread, ["kx", "ky"]).withColumn("d", d).filter(F.col("d") <= reach).groupBy(key).agg(F.min(F.struct("d", name)).alias("b"))
     return points.select(key).join(near, key, "left").select(key, F.coalesce("b.d", F.lit(none)).alias("distance"), F.col(f"b.{name}").alias(name))
 
 
-def nearest_polygon_anywhere(points: DataFrame, rings: DataFrame, key: str, name: str, radius: float, least_area: float = 0.0, farthest: float = 1e6) -> DataFrame:
+def nearest_polygon_anywhere(points: DataFrame, rings: DataFrame, key: str, name: str, radius: float, least_area: float = 0.0) -> DataFrame:
     """``nearest_polygon`` for all points, however far: points without a polygon within ``radius`` look four times as far,
-    and so on up to ``farthest``. ``least_area`` leaves smaller polygons out. Each round takes only the points still open."""
-    large = stored(rings.filter(ring_area(F.col("ring")) >= least_area), "rings")
+    and so on until all have one. ``least_area`` leaves smaller polygons out. Each round takes only the points still open.
+    Points without coordinates have no polygon."""
+    large = stored(with_shape(rings).filter(shape_area(F.col("shape")) >= least_area).select(name, "shape"), "rings")
+    points = points.filter("px is not null and py is not null")
     if not large.limit(1).count():
         return nearest_polygon(points, large, key, name, radius)
     left, done = points, None
@@ -117,18 +215,15 @@ def nearest_polygon_anywhere(points: DataFrame, rings: DataFrame, key: str, name
         hit = found.filter(F.col(name).isNotNull())
         done = hit if done is None else done.unionByName(hit)
         missed = found.filter(F.col(name).isNull())
-        if radius >= farthest or not missed.limit(1).count():
-            return done.unionByName(missed)
+        if not missed.limit(1).count():
+            return done
         left, radius = stored(left.join(missed.select(key), key, "left_semi"), "open-points"), 4 * radius
 
 
 def first_containing(points: DataFrame, rings: DataFrame, key: str, name: str, size: float) -> DataFrame:
-    """Each point with the first ring, by name, that holds it."""
-    from ..functions.scalars import in_ring
-
+    """Each point with the first ring or shape, by name, that holds it; points in a hole aren't held."""
     at = lambda c: F.floor(F.col(c) / size)
-    box = rings.select(name, "ring").withColumns(ring_box(F.col("ring")))
-    spread = box.withColumn("kx", F.explode(F.sequence(at("x_min"), at("x_max")))).withColumn("ky", F.explode(F.sequence(at("y_min"), at("y_max"))))
-    hit = points.select(key, "px", "py", at("px").alias("kx"), at("py").alias("ky")).join(spread, ["kx", "ky"]).filter(in_ring(F.col("px"), F.col("py"), F.col("ring")))
+    spread = _in_cells(with_shape(rings).select(name, "shape"), size)
+    hit = points.select(key, "px", "py", at("px").alias("kx"), at("py").alias("ky")).join(spread, ["kx", "ky"]).filter(in_shape(F.col("px"), F.col("py"), F.col("shape")))
     first = F.row_number().over(Window.partitionBy(key).orderBy(name))
     return points.select(key).join(hit.withColumn("_k", first).filter("_k = 1").select(key, name), key, "left")

@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship_package
-from . import archive, calibration, details, geo, ingest, inputs, pairing, ranking, series, thermal
+from . import archive, calibration, details, geo, ingest, inputs, pairing, ranking, series, shapes, thermal
 
 _ALL: dict[str, tuple] = {}
-for _module in (thermal, series, pairing, archive, calibration, ranking, geo, ingest, inputs, details):
+for _module in (thermal, series, pairing, archive, calibration, ranking, geo, ingest, inputs, details, shapes):
     _ALL |= _module.QUERIES
 
 

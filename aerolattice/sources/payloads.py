@@ -108,8 +108,9 @@ def flatten_map_elements(payloads: DataFrame, min_area: float = 5.0) -> DataFram
 
 
 def read_features(payloads: DataFrame, properties: str) -> DataFrame:
-    """A feature collection's properties (a DDL struct body), outer rings, the part of a multipolygon that a ring is (0 for
-    polygons), and the name of the reference system (WGS 84 where none is named). Features without a ring are dropped."""
+    """A feature collection's properties (a DDL struct body), and for each polygon of a feature its outer ring, its ``shape``
+    (all rings, the outline first, then holes), which ``part`` of a multipolygon it is (0 for polygons), and the name of the
+    reference system (WGS 84 where none is named). Features without a ring are dropped."""
     schema = f"struct<crs:struct<properties:struct<name:string>>,features:array<struct<properties:struct<{properties}>,geometry:struct<type:string,coordinates:string>>>>"
     j = payloads.select("source_file", F.from_json("payload", schema).alias("j"))
     f = j.select("source_file", F.coalesce("j.crs.properties.name", F.lit("EPSG:4326")).alias("crs"), F.explode("j.features").alias("f"))
@@ -117,8 +118,8 @@ def read_features(payloads: DataFrame, properties: str) -> DataFrame:
     one, many = F.from_json("f.geometry.coordinates", rings), F.from_json("f.geometry.coordinates", f"array<{rings}>")
     parts = F.when(F.col("f.geometry.type") == "Polygon", F.array(one)).when(F.col("f.geometry.type") == "MultiPolygon", many)
     f = f.select("source_file", "crs", "f.properties", F.posexplode(parts).alias("part", "rings")).filter("size(rings) > 0")
-    ring = F.transform(F.element_at("rings", 1), lambda p: F.struct(p[0].alias("x"), p[1].alias("y")))
-    return f.select("source_file", "properties.*", ring.alias("ring"), "part", "crs")
+    shape = F.transform("rings", lambda ring: F.transform(ring, lambda p: F.struct(p[0].alias("x"), p[1].alias("y"))))
+    return f.select("source_file", "properties.*", F.element_at(shape, 1).alias("ring"), "part", "crs", shape.alias("shape"))
 
 
 def raster_to_pixels(df: DataFrame, x0: float, y0: float, res: float) -> DataFrame:
