@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import day, hour
-from .windows import exact_quantile
+from ..session import stored
+from .windows import exact_quantile, in_long_form, range_quantiles
 
 
 def hotspot_agg(cell_hours: DataFrame, static: Sequence[str] = ()) -> DataFrame:
@@ -22,7 +24,9 @@ def hotspot_agg(cell_hours: DataFrame, static: Sequence[str] = ()) -> DataFrame:
 
 def event_windows(cell_hours: DataFrame, time: str = "t") -> DataFrame:
     """One row for each hour: cells (a cell has one row in an hour), extremes, exact 90th percentiles, and cells over each
-    threshold. The percentiles come from counts on a grid of 0.05 degrees and the rows of one of its squares."""
+    threshold. The percentiles come from counts on a grid of 0.05 degrees and the rows of one of its squares. The product of
+    hours and cells is stored, as three steps read it."""
+    cell_hours = stored(cell_hours.select(time, "cell", "wbgt_c", "utci_c"), "cell-hours")
     over = {"cells_moderate_or_high": F.col("wbgt_c") >= 31, "cells_high": F.col("wbgt_c") >= 33, "cells_moderate_utci": F.col("utci_c") >= 26, "cells_strong_utci": F.col("utci_c") >= 32, "cells_very_strong_utci": F.col("utci_c") >= 38, "cells_extreme_utci": F.col("utci_c") >= 46}
     rows = cell_hours.groupBy(time).agg(F.count("cell").alias("cell_count"), F.max("wbgt_c").alias("max_wbgt_c"), F.max("utci_c").alias("max_utci_c"), *(F.count_if(v).alias(k) for k, v in over.items()))
     high = exact_quantile(cell_hours, [time], {"wbgt_c": "p90_wbgt_c", "utci_c": "p90_utci_c"}, 0.9, 0.05)
@@ -74,9 +78,10 @@ QUANTILES = {"p01": 0.01, "p05": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p9
 
 def distribution(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """One row for each column: n, extremes, mean, deviation and percentiles."""
-    long = df.select(*by, F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in cols))).alias("x")).select(*by, "x.column", "x.v")
-    q = F.percentile("v", F.array(*(F.lit(v) for v in QUANTILES.values())))
-    out = long.groupBy(*by, "column").agg(F.count("v").alias("n"), F.min("v").alias("min"), F.max("v").alias("max"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), q.alias("_q"))
+    long, keys = in_long_form(df, cols, by), [*by, "column"]
+    out = long.groupBy(*keys).agg(F.count("v").alias("n"), F.min("v").alias("min"), F.max("v").alias("max"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"))
+    quantiles = range_quantiles(long, keys, "v", list(QUANTILES.values())).withColumnsRenamed({k: f"_{k}" for k in keys})
+    out = out.join(quantiles, reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys)), "left")
     return out.select(*by, "column", "n", "min", "max", "mean", "std", *(F.col("_q")[k].alias(name) for k, name in enumerate(QUANTILES)), (F.col("_q")[4] - F.col("_q")[2]).alias("iqr"))
 
 
@@ -146,9 +151,13 @@ def demographics(rows: DataFrame, label: str, order: str, by: Sequence[str], tot
 
 def top_vs_all(df: DataFrame, rank: str, n: int, cols: Sequence[str]) -> DataFrame:
     """Mean and median of features over all rows and over the first n."""
-    top = lambda c: F.when(F.col(rank) <= n, F.col(c))
-    parts = [F.struct(F.lit(c).alias("feature"), F.avg(c).alias("mean_all"), F.percentile(c, F.lit(0.5)).alias("median_all"), F.avg(top(c)).alias("mean_top"), F.percentile(top(c), F.lit(0.5)).alias("median_top")) for c in cols]
-    return df.agg(*(p.alias(f"_{k}") for k, p in enumerate(parts))).select(F.explode(F.array(*(F.col(f"_{k}") for k in range(len(parts))))).alias("x")).select("x.*")
+    rows = in_long_form(df.withColumn("_top", F.coalesce(F.col(rank) <= n, F.lit(False))), cols, ["_top"])
+    sets = rows.select("column", "v", F.explode(F.when(F.col("_top"), F.array(F.lit("all"), F.lit("top"))).otherwise(F.array(F.lit("all")))).alias("set"))
+    means = sets.groupBy("column", "set").agg(F.avg("v").alias("mean"))
+    found = means.join(range_quantiles(sets, ["column", "set"], "v", [0.5]), ["column", "set"], "left")
+    of = lambda name, c: F.max(F.when(F.col("set") == name, c))
+    named = [of(s, v).alias(f"{kind}_{s}") for s in ("all", "top") for kind, v in (("mean", F.col("mean")), ("median", F.col("_q")[0]))]
+    return found.groupBy(F.col("column").alias("feature")).agg(*named)
 
 
 def archive_health(df: DataFrame, station: str, time: str, least: int = 50) -> DataFrame:

@@ -8,7 +8,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import ship_package
+from ..session import ship_package, stored
+from .windows import running_totals
 
 
 def fit_linear(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame:
@@ -79,44 +80,80 @@ def oof_linear(df: DataFrame, proxy: str, obs: str) -> DataFrame:
     return df.join(s, "fold").select(*df.columns, (F.col("_a") + F.col("_b") * x).alias("m2"))
 
 
+def left_out_medians(df: DataFrame, fold: str, cols: Sequence[str]) -> DataFrame:
+    """``fold`` and ``_med_<col>``: the median of each column over the rows of all other folds; null where these have no
+    value. No row is copied for other folds.
+
+    In ascending order, with a fold's own copies of a value before the others', the r-th value outside the fold lies at the
+    place r plus the number of own values before it. An own value comes before it if at most r values outside are less than
+    it, which the counts of all values below it and of own values below it tell. Places are then looked up by blocks."""
+    block = 4096
+    long = df.select(fold, F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in cols))).alias("x")).select(fold, "x.column", "x.v").filter("v is not null")
+    own = long.groupBy("column", fold, "v").agg(F.count("*").alias("n"))
+    own = stored(running_totals(own, "v", "n", ["column", fold]).withColumnsRenamed({"_below": "own_below", "_total": "own_total"}), "fold-values")
+    every = own.groupBy("column", "v").agg(F.sum("n").alias("n"))
+    every = stored(running_totals(every, "v", "n", ["column"]), "all-values")
+    folds = df.select(fold).distinct().withColumn("column", F.explode(F.array(*map(F.lit, cols))))
+    sizes = own.groupBy("column", fold).agg(F.max("own_total").alias("own_total"))
+    sizes = folds.join(sizes, ["column", fold], "left").join(every.groupBy("column").agg(F.max("_total").alias("total")), "column")
+    sizes = sizes.select("column", fold, (F.col("total") - F.coalesce("own_total", F.lit(0))).alias("rest")).filter("rest > 0")
+    ranks = sizes.select("column", fold, F.explode(F.array(F.floor((F.col("rest") - 1) / 2), F.floor(F.col("rest") / 2))).alias("r"))
+    less = own.join(every.select("column", "v", "_below"), ["column", "v"]).select("column", fold, "n", (F.col("_below") - F.col("own_below")).alias("outside"))
+    before = ranks.distinct().join(less, ["column", fold]).filter("outside <= r").groupBy("column", fold, "r").agg(F.sum("n").alias("before"))
+    places = ranks.join(before, ["column", fold, "r"], "left").select("column", fold, (F.col("r") + F.coalesce("before", F.lit(0))).alias("place")).withColumn("block", F.floor(F.col("place") / block))
+    blocks = every.withColumn("block", F.explode(F.sequence(F.floor(F.col("_below") / block), F.floor((F.col("_below") + F.col("n") - 1) / block))))
+    found = places.join(blocks, ["column", "block"]).filter("_below <= place and place < _below + n")
+    medians = found.groupBy(fold, "column").agg(F.avg("v").alias("med"))
+    return medians.groupBy(fold).agg(*(F.max(F.when(F.col("column") == c, F.col("med"))).alias(f"_med_{c}") for c in cols))
+
+
 def oof_ridge(df: DataFrame, features: Sequence[str], obs: str, alpha: float = 1.0, out: str = "ridge") -> DataFrame:
     """Adds a ridge prediction from the other folds: features filled by their medians there, dropped where they are
     missing throughout, standardised (population deviation), intercept unpenalised; ``<out>_features`` names those used.
 
-    Medians depend on the fold left out, so rows are expanded once for each other fold; folds are stations or blocks,
-    some tens. What is solved is one Gram matrix of the features for each fold.
+    Nothing is expanded by folds. A fold's sums are taken of the known values, of marks of the missing ones and of products
+    of these; the sums outside it are all less its own, and the medians fill in afterwards, as products with the marks. What
+    is solved is one Gram matrix of the features for each fold.
     """
     ship_package(df.sparkSession)
     names = list(features)
     rows = df.filter(F.col(obs).isNotNull())
-    folds = rows.select(F.col("fold").alias("held")).distinct()
-    train = rows.select("fold", obs, *names).join(folds, F.col("fold") != F.col("held"))
-    medians = train.groupBy("held").agg(*(F.percentile(f, F.lit(0.5)).alias(f"_med_{f}") for f in names))
-    filled = train.join(medians, "held").select("held", F.col(obs).alias("_y"), *(F.coalesce(f, f"_med_{f}", F.lit(0.0)).alias(f) for f in names))
-    z = [*names, "_y"]
-    sums = [F.count("*").alias("n"), *(F.sum(a).alias(f"s_{a}") for a in z)]
-    sums += [F.sum(F.col(a) * F.col(b)).alias(f"g_{i}_{j}") for i, a in enumerate(z) for j, b in enumerate(z) if i <= j]
-    gram = filled.groupBy("held").agg(*sums).join(medians, "held")
+    medians = left_out_medians(rows, "fold", names)
+    z = {"one": F.lit(1.0), "_y": F.col(obs).cast("double")} | {f: F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in names} | {f"no_{f}": F.col(f).isNull().cast("double") for f in names}
+    pairs = [(a, b) for i, a in enumerate(z) for b in list(z)[i:]]
+    gram = _left_out(rows, {f"g{k}": z[a] * z[b] for k, (a, b) in enumerate(pairs)})
+    z_names = list(z)
+    gram = gram.filter("g0 > 0").join(medians, "fold", "left")
 
     def solve(frames):
         import pandas as pd
 
-        d = len(names)
+        d, at = len(names), {a: i for i, a in enumerate(z_names)}
+        places = [(at[a], at[b]) for a, b in pairs]
         for frame in frames:
             out_rows = []
             for r in frame.to_dict("records"):
+                m = np.zeros((2 * d + 2, 2 * d + 2))
+                for k, (i, j) in enumerate(places):
+                    m[i, j] = m[j, i] = r[f"g{k}"]
+                med = [0.0 if r[f"_med_{f}"] is None or r[f"_med_{f}"] != r[f"_med_{f}"] else r[f"_med_{f}"] for f in names]
+                # From one, y, values and marks to one, filled values and y.
+                fill = np.zeros((d + 2, 2 * d + 2))
+                fill[0, 0] = fill[d + 1, 1] = 1
+                for k in range(d):
+                    fill[1 + k, 2 + k], fill[1 + k, 2 + d + k] = 1, med[k]
+                m = fill @ m @ fill.T
+                n = m[0, 0]
+                mean = m[0, 1:] / n
+                g = m[1:, 1:] / n - np.outer(mean, mean)
                 use = [k for k in range(d) if r[f"_med_{names[k]}"] == r[f"_med_{names[k]}"] and r[f"_med_{names[k]}"] is not None]
-                n = r["n"]
-                mean = np.array([r[f"s_{a}"] / n for a in z])
-                g = np.array([[r[f"g_{min(i, j)}_{max(i, j)}"] for j in range(d + 1)] for i in range(d + 1)]) / n - np.outer(mean, mean)
                 scale = np.sqrt(np.maximum(np.diag(g)[:d], 0))
                 scale[scale == 0] = 1.0
                 a = g[np.ix_(use, use)] / np.outer(scale[use], scale[use]) * n + alpha * np.eye(len(use))
                 w = np.zeros(d)
                 if use:
                     w[use] = np.linalg.solve(a, g[use, d] / scale[use] * n) / scale[use]
-                med = [0.0 if r[f"_med_{f}"] is None or r[f"_med_{f}"] != r[f"_med_{f}"] else r[f"_med_{f}"] for f in names]
-                out_rows.append((r["held"], float(mean[d] - w @ mean[:d]), w.tolist(), med, [names[k] for k in use]))
+                out_rows.append((r["fold"], float(mean[d] - w @ mean[:d]), w.tolist(), med, [names[k] for k in use]))
             yield pd.DataFrame(out_rows, columns=["fold", "b0", "w", "med", "used"])
 
     kind = dict(df.dtypes)["fold"]

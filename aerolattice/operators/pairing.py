@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.thermal import clip
 from ..session import stored
 from .neighbours import Sphere, by_classes, nearest
+from .windows import column_quantiles
 
 
 def expand_over_grid(weather: DataFrame, cells: DataFrame) -> DataFrame:
@@ -173,7 +174,7 @@ def fallback_key_join(a: DataFrame, b: DataFrame, keys: Sequence[str], fallback:
     """Left join on ``keys``; values missing after it come from the means by ``fallback``, then from the medians of ``b``."""
     exact = b.groupBy(*keys).agg(*(F.avg(v).alias(f"_k_{v}") for v in values))
     wider = b.groupBy(*fallback).agg(*(F.avg(v).alias(f"_f_{v}") for v in values))
-    middle = b.agg(*(F.percentile(v, F.lit(0.5)).alias(f"_m_{v}") for v in values))
+    middle = column_quantiles(b, {f"_m_{v}": (v, 0.5) for v in values})  # one row
     joined = a.join(exact, list(keys), "left").join(wider, list(fallback), "left").crossJoin(F.broadcast(middle))
     return joined.select(*a.columns, *(F.coalesce(f"_k_{v}", f"_f_{v}", f"_m_{v}").alias(v) for v in values))
 

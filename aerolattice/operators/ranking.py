@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import score_clip
 from ..functions.thermal import clip
 from ..session import stored
-from .windows import pct_ranks, rank_desc, row_rank, running_totals
+from .windows import column_quantiles, pct_ranks, rank_desc, row_rank, running_totals
 
 # Weights of the hazard score's parts and of the risk score.
 HAZARD = {"wbgt_relative": 0.30, "utci_relative": 0.25, "utci_intensity": 0.15, "wbgt_intensity": 0.10, "utci_duration": 0.10, "wbgt_moderate_duration": 0.06, "wbgt_high_duration": 0.04}
@@ -144,7 +144,9 @@ def audit_flags(df: DataFrame, rank: str, completeness: str, gain: str, density:
 def density_sanity(df: DataFrame, value: str, thresholds: Sequence[float], metrics: Sequence[str]) -> DataFrame:
     """Rows at or over each threshold, with mean and median of other metrics; a row counts for each threshold it reaches."""
     rows = df.withColumn("threshold", F.explode(F.array(*map(F.lit, thresholds)))).filter(F.col(value) >= F.col("threshold"))
-    return rows.groupBy("threshold").agg(F.count("*").alias("n"), *(x for m in metrics for x in (F.avg(m).alias(f"mean_{m}"), F.percentile(m, F.lit(0.5)).alias(f"median_{m}"))))
+    means = rows.groupBy("threshold").agg(F.count("*").alias("n"), *(F.avg(m).alias(f"mean_{m}") for m in metrics))
+    medians = column_quantiles(rows, {f"median_{m}": (m, 0.5) for m in metrics}, ["threshold"])
+    return means.join(medians, "threshold", "left").select("threshold", "n", *(x for m in metrics for x in (f"mean_{m}", f"median_{m}")))
 
 
 def scenario_sweep(areas: DataFrame, cells: DataFrame, scenarios: DataFrame, size: float) -> DataFrame:
@@ -153,14 +155,15 @@ def scenario_sweep(areas: DataFrame, cells: DataFrame, scenarios: DataFrame, siz
     names = scenarios.select("scenario").distinct()
     every = cells.crossJoin(F.broadcast(names)).join(proxy, ["cell", "scenario"], "left")
     shade = 1 - (1 - F.col("shade")) * (1 - clip(F.coalesce("proxy", F.lit(0.0)), 0, 1))
-    d = shade - F.col("shade")
-    return every.groupBy("scenario").agg(F.avg(d).alias("mean"), F.stddev_samp(d).alias("std"), F.max(d).alias("max"), F.percentile(d, F.lit(0.95)).alias("p95"), F.count_if(d > 0.05).alias("over_005"))
+    every = every.select("scenario", (shade - F.col("shade")).alias("d"))
+    sums = every.groupBy("scenario").agg(F.avg("d").alias("mean"), F.stddev_samp("d").alias("std"), F.max("d").alias("max"), F.count_if(F.col("d") > 0.05).alias("over_005"))
+    return sums.join(column_quantiles(every, {"p95": ("d", 0.95)}, ["scenario"]), "scenario", "left").select("scenario", "mean", "std", "max", "p95", "over_005")
 
 
 def candidate_policy(df: DataFrame, h: str, v: str, e: str, weights: tuple[float, float, float], penalty: float = 0.5, q: float = 0.75) -> DataFrame:
     """Candidates have a hazard at or over a quantile; among them hazard is scaled by its extremes. Others keep a penalised
     hazard. One row of bounds is broadcast."""
-    cut = df.agg(F.percentile(h, F.lit(q)).alias("_cut"))
+    cut = column_quantiles(df, {"_cut": (h, q)})
     marked = df.crossJoin(F.broadcast(cut)).withColumn("candidate", F.coalesce(F.col(h) >= F.col("_cut"), F.lit(False)))
     ends = marked.filter("candidate").agg(F.min(h).alias("_lo"), F.max(h).alias("_hi"))
     scaled = F.coalesce(clip(F.try_divide(F.col(h) - F.col("_lo"), F.col("_hi") - F.col("_lo")), 0, 1), F.lit(0.0))

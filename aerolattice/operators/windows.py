@@ -20,8 +20,39 @@ def running_totals(counts: DataFrame, value: str, n: str, by: Sequence[str] = ()
     inside = F.coalesce(F.sum(n).over(Window.partitionBy(*keys, "_part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     parts, w = ranged.groupBy(*keys, "_part").agg(F.sum(n).alias("_n")), Window.partitionBy(*keys)
     earlier = F.coalesce(F.sum("_n").over(w.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    parts = parts.select(*keys, "_part", earlier.alias("_earlier"), F.sum("_n").over(w).alias("_total"))
-    return ranged.withColumn("_inside", inside).join(parts, [*keys, "_part"]).withColumn("_below", F.col("_earlier") + F.col("_inside")).drop("_part", "_inside", "_earlier")
+    parts = parts.select(*(F.col(k).alias(f"_key_{k}") for k in keys), F.col("_part").alias("_of_part"), earlier.alias("_earlier"), F.sum("_n").over(w).alias("_total"))
+    same = F.col("_part") == F.col("_of_part")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_key_{k}"))
+    return ranged.withColumn("_inside", inside).join(parts, same).select(*counts.columns, (F.col("_earlier") + F.col("_inside")).alias("_below"), "_total")
+
+
+def range_quantiles(long: DataFrame, keys: Sequence[str], value: str, shares: Sequence[float]) -> DataFrame:
+    """``keys`` and ``_q``, the exact, interpolated quantiles of ``value`` at the ``shares``, in their order, for groups of any
+    size: distinct values are counted and dealt over ranges, so no task holds all values of a group. Null values don't
+    count; a group without others has no row."""
+    totals = running_totals(long.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n")), value, "_n", keys)
+    place = lambda q: (F.col("_total") - 1) * F.lit(float(q))
+    holds = lambda at: (F.col("_below") <= at) & (at < F.col("_below") + F.col("_n"))
+    hits = []
+    for q in dict.fromkeys(shares):
+        low = F.floor(place(q))
+        hits += [F.max(F.when(holds(low), F.col(value))), F.max(F.when(holds(low + 1), F.col(value))), F.max(place(q) - low)]
+    found = totals.groupBy(*keys).agg(*(h.alias(f"_h{k}") for k, h in enumerate(hits)))
+    at = {q: F.col(f"_h{3 * k}") + F.coalesce(F.col(f"_h{3 * k + 1}") - F.col(f"_h{3 * k}"), F.lit(0.0)) * F.col(f"_h{3 * k + 2}") for k, q in enumerate(dict.fromkeys(shares))}
+    return found.select(*keys, F.array(*(at[q] for q in shares)).alias("_q"))
+
+
+def in_long_form(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """``by``, ``column`` and its value ``v``: a row for each value of ``cols``."""
+    return df.select(*by, F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in cols))).alias("x")).select(*by, "x.column", "x.v")
+
+
+def column_quantiles(df: DataFrame, wanted: Mapping[str, tuple[str, float]], by: Sequence[str] = ()) -> DataFrame:
+    """``by`` and a column for each of ``wanted``: the quantile of a column, as (column, share). One row without ``by``."""
+    cols, shares = sorted({c for c, _ in wanted.values()}), sorted({q for _, q in wanted.values()})
+    found = range_quantiles(in_long_form(df, cols, by), [*by, "column"], "v", shares)
+    return found.groupBy(*by).agg(*(F.max(F.when(F.col("column") == c, F.col("_q")[shares.index(q)])).alias(name) for name, (c, q) in wanted.items()))
 
 
 def pct_ranks(df: DataFrame, outs: Mapping[str, str], base: DataFrame | None = None) -> DataFrame:
@@ -150,7 +181,7 @@ def time_blocks(df: DataFrame, day: str, k: int, out: str = "block") -> DataFram
 
 def robust_minmax(df: DataFrame, cols: Sequence[str], low: float = 0.05, high: float = 0.95) -> DataFrame:
     """``<col>_scaled``: scaled by two quantiles and clipped; null and constant columns give 0. One row is broadcast."""
-    bounds = df.agg(*(F.percentile(c, F.lit(q)).alias(f"_{c}_{name}") for c in cols for q, name in ((low, "lo"), (high, "hi"))))
+    bounds = column_quantiles(df, {f"_{c}_{name}": (c, q) for c in cols for q, name in ((low, "lo"), (high, "hi"))})
     scaled = {f"{c}_scaled": F.coalesce(clip(F.try_divide(F.col(c) - F.col(f"_{c}_lo"), F.col(f"_{c}_hi") - F.col(f"_{c}_lo")), 0, 1), F.lit(0.0)) for c in cols}
     return df.crossJoin(F.broadcast(bounds)).select(*df.columns, *(v.alias(k) for k, v in scaled.items()))
 
@@ -158,7 +189,7 @@ def robust_minmax(df: DataFrame, cols: Sequence[str], low: float = 0.05, high: f
 def kth_score_shift(df: DataFrame, obs: str, score: str, threshold: float) -> DataFrame:
     """One row: the events, the score of rank k (k events), and three shifts: by rank, by maximum, by 99th percentile."""
     rows = df.filter(F.col(obs).isNotNull() & F.col(score).isNotNull())
-    facts = rows.agg(F.count_if(F.col(obs) >= threshold).alias("events"), F.max(obs).alias("_mo"), F.max(score).alias("_ms"), F.percentile(obs, F.lit(0.99)).alias("_po"), F.percentile(score, F.lit(0.99)).alias("_ps"))
+    facts = rows.agg(F.count_if(F.col(obs) >= threshold).alias("events"), F.max(obs).alias("_mo"), F.max(score).alias("_ms")).crossJoin(F.broadcast(column_quantiles(rows, {"_po": (obs, 0.99), "_ps": (score, 0.99)})))
     counts = running_totals(rows.groupBy(score).agg(F.count("*").alias("_n")), score, "_n", descending=True)
     kth = counts.crossJoin(F.broadcast(facts)).filter("_below + _n >= events and events > 0").agg(F.max(score).alias("kth_score"))
     return facts.crossJoin(kth).select("events", "kth_score", (F.lit(threshold) - F.col("kth_score")).alias("shift_rank"), (F.col("_mo") - F.col("_ms")).alias("shift_max"), (F.col("_po") - F.col("_ps")).alias("shift_p99"))
