@@ -209,27 +209,92 @@ def knn_distance(points: DataFrame, key: str, k: int) -> DataFrame:
     return points.select(key).join(near.select(key, F.col("d").alias("kth_distance")), key, "left")
 
 
+def _square_links(core: DataFrame, eps: float, side: float) -> DataFrame:
+    """``a, b``: pairs of squares (``square``) that hold core points at most ``eps`` apart. Two squares are compared by parts:
+    boxes farther apart than ``eps`` are dropped, two points of theirs near enough make a link, and only parts that neither
+    tells anything about are cut into four. A pair that is linked goes no further, so dense squares aren't paired off."""
+    from ..session import stored
+
+    core = stored(core.select("square", "sx", "sy", "x", "y"), "core-points")
+    box = [F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"), F.min(F.struct("x", "y")).alias("p")]
+
+    def parts(level: int) -> DataFrame:
+        at = lambda c: F.floor(F.col(c) * (2.0**level / side)).cast("long")
+        return core.groupBy("square", at("x").alias("px"), at("y").alias("py")).agg(*box)
+
+    def named(frame: DataFrame, s: str) -> DataFrame:
+        return frame.select(*(F.col(c).alias(f"{s}_{c}") for c in ("square", "px", "py", "x0", "x1", "y0", "y1", "p")))
+
+    own = core.select("square", "sx", "sy").distinct()
+    moves = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-2, 3) for j in range(-2, 3) if (i, j) > (0, 0)))
+    reach = own.select(F.col("square").alias("a_square"), F.explode(moves).alias("m"), "sx", "sy").select("a_square", (F.col("sx") + F.col("m.i")).alias("sx"), (F.col("sy") + F.col("m.j")).alias("sy"))
+    pairs = reach.join(own, ["sx", "sy"]).select("a_square", F.col("square").alias("b_square"))
+    whole = parts(0)
+    pairs = pairs.join(named(whole, "a"), "a_square").join(named(whole, "b"), "b_square")
+    links, level = None, 0
+    while True:
+        gap = lambda c: F.greatest(F.col(f"b_{c}0") - F.col(f"a_{c}1"), F.col(f"a_{c}0") - F.col(f"b_{c}1"), F.lit(0.0))
+        near = F.sqrt(F.pow(F.col("a_p.x") - F.col("b_p.x"), 2) + F.pow(F.col("a_p.y") - F.col("b_p.y"), 2)) <= eps
+        tried = stored(pairs.filter(F.sqrt(F.pow(gap("x"), 2) + F.pow(gap("y"), 2)) <= eps).withColumn("near", near), "square-parts")
+        hit = tried.filter("near").select("a_square", "b_square").distinct()
+        links = hit if links is None else links.union(hit)
+        single = (F.col("a_x0") == F.col("a_x1")) & (F.col("a_y0") == F.col("a_y1")) & (F.col("b_x0") == F.col("b_x1")) & (F.col("b_y0") == F.col("b_y1"))
+        left = tried.filter(~F.col("near") & ~single).join(hit, ["a_square", "b_square"], "left_anti")
+        if not left.limit(1).count():
+            return links.select(F.col("a_square").alias("a"), F.col("b_square").alias("b"))
+        level += 1
+        finer = parts(level)
+        up = lambda s: [F.shiftright(f"{s}_px", 1).alias(f"{s}_ux"), F.shiftright(f"{s}_py", 1).alias(f"{s}_uy")]
+        a, b = (named(finer, s).select("*", *up(s)) for s in ("a", "b"))
+        of = lambda s: [f"{s}_square", f"{s}_ux", f"{s}_uy"]
+        pairs = left.select("a_square", F.col("a_px").alias("a_ux"), F.col("a_py").alias("a_uy"), "b_square", F.col("b_px").alias("b_ux"), F.col("b_py").alias("b_uy"))
+        pairs = pairs.join(a, of("a")).join(b, of("b"))
+
+
 def dbscan(points: DataFrame, key: str, eps: float, least: int) -> DataFrame:
     """``cluster`` (least core id of the cluster; null for noise) and ``core``. Core points have ``least`` points within
-    ``eps``, themselves included; clusters are components of core points, border points join their least cluster."""
+    ``eps``, themselves included; clusters are components of core points, border points join their least cluster. Points
+    without coordinates are noise.
+
+    Points lie in squares with a diagonal of ``eps``. All points of a square are near each other: with ``least`` of them
+    all are core, and a square's core points are of one cluster in any case. So only points of squares with fewer look for
+    neighbours, in the squares around, and clusters are components of squares, not of points: no list of near pairs is
+    made, and a square with any number of points is one node."""
     from ..session import stored
 
-    near = stored(_pairs_within(points, key, eps), "near")
-    degree = near.groupBy(key).agg(F.count("*").alias("n"))
-    core = points.select(key).join(degree, key, "left").filter(F.coalesce("n", F.lit(0)) + 1 >= least).select(key)
-    links = stored(near.join(core, key).join(core.select(F.col(key).alias("other")), "other").select(key, "other"), "core-links")
-    labels = stored(core.withColumn("cluster", F.col(key)), "clusters")
+    side = eps / 2**0.5
+    rows = points.filter("x is not null and y is not null").select(key, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    rows = rows.withColumns({"sx": F.floor(F.col("x") / side), "sy": F.floor(F.col("y") / side)}).withColumn("square", F.struct("sx", "sy"))
+    # Rounding may put two points of one square a hair more than eps apart; their distance counts as eps.
+    full = rows.groupBy("sx", "sy").agg(F.count("*").alias("n"))
+    rows = stored(rows.join(full, ["sx", "sy"]).withColumn("dense", F.col("n") >= least), "clustered-points")
+    moves = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-2, 3) for j in range(-2, 3) if abs(i) + abs(j) < 4))
+    # Fewer than ``least`` points of each square ask, so a square's points are met by some tens of others at most.
+    asking = rows.filter("not dense").select(F.col(key).alias("asker"), F.col("x").alias("ax"), F.col("y").alias("ay"), F.explode(moves).alias("m"), "sx", "sy")
+    asking = asking.select("asker", "ax", "ay", (F.col("sx") + F.col("m.i")).alias("sx"), (F.col("sy") + F.col("m.j")).alias("sy"), ((F.col("m.i") == 0) & (F.col("m.j") == 0)).alias("own"))
+    near = F.col("own") | (F.sqrt(F.pow(F.col("x") - F.col("ax"), 2) + F.pow(F.col("y") - F.col("ay"), 2)) <= eps)
+    degree = asking.join(rows.select("sx", "sy", "x", "y"), ["sx", "sy"]).filter(near).groupBy("asker").agg(F.count("*").alias("degree"))
+    core = rows.join(degree.withColumnRenamed("asker", key), key, "left").withColumn("core", F.col("dense") | F.coalesce(F.col("degree") >= least, F.lit(False))).drop("degree")
+    core = stored(core, "core-marks")
+    inner = core.filter("core")
+    squares = stored(inner.groupBy("square").agg(F.min(key).alias("cluster")), "core-squares")
+    links = _square_links(inner, eps, side)
+    links = stored(links.union(links.select("b", "a")), "square-links")
+    labels = squares
     while True:
-        best = links.join(labels.select(F.col(key).alias("other"), F.col("cluster").alias("c")), "other").groupBy(key).agg(F.min("c").alias("c"))
-        step = labels.join(best, key, "left").select(key, F.col("cluster").alias("old"), F.least("cluster", F.coalesce("c", "cluster")).alias("cluster"))
-        jump = labels.select(F.col(key).alias("cluster"), F.col("cluster").alias("up"))
-        fresh = stored(step.join(jump, "cluster", "left").select(key, "old", F.coalesce("up", "cluster").alias("cluster")), "clusters")
-        labels = fresh.select(key, "cluster")
+        best = links.join(labels.select(F.col("square").alias("b"), F.col("cluster").alias("c")), "b").groupBy(F.col("a").alias("square")).agg(F.min("c").alias("c"))
+        step = labels.join(best, "square", "left").select("square", F.col("cluster").alias("old"), F.least("cluster", F.coalesce("c", "cluster")).alias("cluster"))
+        # A cluster's name is the least id of one of its squares: what that square is named by now is a shorter way.
+        jump = step.groupBy("old").agg(F.min("cluster").alias("up"))
+        fresh = stored(step.join(jump, "old").select("square", "old", F.least("cluster", "up").alias("cluster")), "clusters")
+        labels = fresh.select("square", "cluster")
         if not fresh.filter("old <> cluster").limit(1).count():
             break
-    border = near.join(labels.select(F.col(key).alias("other"), F.col("cluster").alias("c")), "other").groupBy(key).agg(F.min("c").alias("c"))
-    out = points.select(key).join(labels, key, "left").join(border, key, "left")
-    return out.select(key, F.coalesce("cluster", "c").alias("cluster"), F.col("cluster").isNotNull().alias("core"))
+    inner = inner.join(labels, "square").select(key, "x", "y", "sx", "sy", "cluster")
+    outer = core.filter("not core").select(F.col(key).alias("asker")).join(asking, "asker")
+    border = outer.join(inner.select("sx", "sy", "x", "y", "cluster"), ["sx", "sy"]).filter(near).groupBy("asker").agg(F.min("cluster").alias("b_cluster"))
+    out = points.select(key).join(inner.select(key, "cluster"), key, "left").join(border.withColumnRenamed("asker", key), key, "left")
+    return out.select(key, F.coalesce("cluster", "b_cluster").alias("cluster"), F.col("cluster").isNotNull().alias("core"))
 
 
 def gwr(points: DataFrame, key: str, x_col: str, y_col: str, bandwidth: float) -> DataFrame:

@@ -128,6 +128,31 @@ def loso_ridge_oof(spark: SparkSession, d: str) -> DataFrame:
     return R6(C.oof_ridge(o, ["p", "p2", "h", "empty"], "y").select("row_id", "fold", "ridge", "ridge_features"))
 
 
+def _det(rows: list[list[str]]) -> str:
+    (a, b, c), (d, e, f), (g, h, i) = rows
+    return f"({a} * ({e} * {i} - {f} * {h}) - {b} * ({d} * {i} - {f} * {g}) + {c} * ({d} * {h} - {e} * {g}))"
+
+
+_R = [["k", "r12", "r13"], ["r12", "k", "r23"], ["r13", "r23", "k"]]
+_TRAIN = f"""{O}, f as (select distinct station as fold from b), t as (select fold, y, p as x1, case when row_id % 9 <> 0 then p2 end as q, h as x3 from b join f on station <> fold),
+ m as (select fold, quantile_cont(x1, 0.5) as m1, quantile_cont(q, 0.5) as m2, quantile_cont(x3, 0.5) as m3 from t group by fold)"""
+#: Three features; the fourth has no values. The standardised system is solved by Cramer's rule.
+RIDGE = f"""{_TRAIN}, u as (select t.fold, y, x1, coalesce(q, m2) as x2, x3 from t join m on m.fold = t.fold),
+ s as (select fold, 1 + 1.0 / count(*) as k, avg(y) as my, avg(x1) as a1, avg(x2) as a2, avg(x3) as a3, stddev_pop(x1) as s1, stddev_pop(x2) as s2, stddev_pop(x3) as s3, corr(x1, x2) as r12, corr(x1, x3) as r13, corr(x2, x3) as r23,
+  covar_pop(x1, y) / stddev_pop(x1) as c1, covar_pop(x2, y) / stddev_pop(x2) as c2, covar_pop(x3, y) / stddev_pop(x3) as c3 from u group by fold),
+ w as (select *, {', '.join(f"{_det([[f'c{i + 1}' if j == k else v for j, v in enumerate(r)] for i, r in enumerate(_R)])} / {_det(_R)} / s{k + 1} as w{k + 1}" for k in range(3))} from s)
+ select row_id, station as fold, round(my + w1 * (p - a1) + w2 * (coalesce(case when row_id % 9 <> 0 then p2 end, m2) - a2) + w3 * (h - a3), 6) as ridge, 'p,p2,h' as ridge_features from b join w on w.fold = station join m on m.fold = station"""
+
+
+def left_out_medians(spark: SparkSession, d: str) -> DataFrame:
+    """The medians that each left-out fit fills its gaps with."""
+    o = C.folds_loso(_obs(spark, d).withColumn("p2", F.when(F.col("row_id") % 9 != 0, F.col("p2"))), "station")
+    return R6(C.left_out_medians(o, "fold", ["p", "p2", "h"]).select("fold", F.col("_med_p").alias("p"), F.col("_med_p2").alias("p2"), F.col("_med_h").alias("h")))
+
+
+LEFT_OUT = f"{_TRAIN} select fold, round(m1, 6) as p, round(m2, 6) as p2, round(m3, 6) as h from m"
+
+
 def model_ladder(spark: SparkSession, d: str) -> DataFrame:
     o = C.oof_linear(C.oof_bias(C.folds_loso(_obs(spark, d), "station"), "p", "y", "period"), "p", "y")
     return R6(M.skill(C.model_ladder(o, ["m0", "m1", "m1b", "m2"], "y"), "prediction", "y", ["model"]))
@@ -200,6 +225,6 @@ FOCUS = f"{_HEAD}, z as ({_TAIL}), t as (select z.*, b.t from z join b using (ro
 QUERIES = {
     "skill_by_station": (skill_by_station, f"{O} select station, {SKILL} from b group by station"), "skill_by_period": (skill_by_period, BY_PERIOD), "confusion_31": (confusion_31, CONFUSION), "threshold_scan": (threshold_scan, SCAN),
     "operating_points": (operating_points, POINTS), "residual_by_hour": (residual_by_hour, BY_HOUR), "grouped_bias": (grouped_bias, GROUPED), "fit_linear": (fit_linear, FIT), "apply_linear": (apply_linear, APPLY), "loso_bias_oof": (loso_bias_oof, LOSO),
-    "time_block_oof": (time_block_oof, BLOCK), "group_folds": (group_folds, GROUPS), "loso_ridge_oof": (loso_ridge_oof, None), "model_ladder": (model_ladder, LADDER), "fold_delta": (fold_delta, DELTA), "bootstrap_ci": (bootstrap_ci, None),
+    "time_block_oof": (time_block_oof, BLOCK), "group_folds": (group_folds, GROUPS), "loso_ridge_oof": (loso_ridge_oof, RIDGE), "left_out_medians": (left_out_medians, LEFT_OUT), "model_ladder": (model_ladder, LADDER), "fold_delta": (fold_delta, DELTA), "bootstrap_ci": (bootstrap_ci, None),
     "ablation": (ablation, ABLATION), "proxy_diagnostic": (proxy_diagnostic, DIAGNOSTIC), "formula_variants": (formula_variants, VARIANTS), "random_forest_cv": (random_forest_cv, None), "permutation_importance": (permutation_importance, None), "focus_timeline": (focus_timeline, FOCUS),
 }

@@ -166,6 +166,13 @@ def dbscan(spark: SparkSession, d: str) -> DataFrame:
     return G.dbscan(p, "node", 75.0, 3)
 
 
+DBSCAN = f"""{duck('nodes').replace('with ', 'with recursive ', 1)}, n as (select a.node, b.node as other from nodes a join nodes b on b.nx between a.nx - 75 and a.nx + 75 and b.ny between a.ny - 75 and a.ny + 75 and sqrt(power(a.nx - b.nx, 2) + power(a.ny - b.ny, 2)) <= 75),
+ k as (select node from n group by node having count(*) >= 3), l as (select n.node, other from n join k using (node) join k o on o.node = other),
+ r as (select node, node as root from k union select l.other, r.root from r join l on l.node = r.node), c as (select node, min(root) as cluster from r group by node),
+ e as (select n.node, min(cluster) as cluster from n join c on c.node = other group by n.node)
+ select nodes.node, coalesce(c.cluster, e.cluster) as cluster, c.cluster is not null as core from nodes left join c using (node) left join e on e.node = nodes.node"""
+
+
 def gwr(spark: SparkSession, d: str) -> DataFrame:
     p = adapter(spark, d, "nodes").select("node", F.col("nx").alias("x"), F.col("ny").alias("y"), F.col("weight").alias("u"), (F.col("weight") * 2 + F.col("nx") / 1e3 + F.pmod("node", F.lit(7))).alias("v"))
     return G.gwr(p, "node", "u", "v", 300.0).withColumns({c: F.round(c, 4) for c in ("slope", "intercept", "local_r2")})
@@ -233,6 +240,6 @@ def overhead_dedup(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "decay_access": (decay_access, DECAY), "overlay_fraction": (overlay_fraction, OVERLAY), "points_in_boxes": (points_in_boxes, IN_BOX), "point_density": (point_density, DENSITY), "zonal_stats": (zonal_stats, ZONAL), "shade_hours": (shade_hours, SHADE),
     "area_weighted": (area_weighted, WEIGHTED), "type_breakdown": (type_breakdown, TYPES), "completeness": (completeness, COMPLETE), "source_summary": (source_summary, SOURCES), "median_by_group": (median_by_group, MEDIANS), "opacity_sweep": (opacity_sweep, SWEEP),
-    "spatial_blocks": (spatial_blocks, BLOCKS), "iou_pairs": (iou_pairs, IOU), "non_covered": (non_covered, NON_COVERED), "dedup_footprints": (dedup_footprints, None), "footprints_resolved": (footprints_resolved, None), "overhead_dedup": (overhead_dedup, None), "knn_distance": (knn_distance, KNN), "dbscan": (dbscan, None), "gwr": (gwr, GWR),
+    "spatial_blocks": (spatial_blocks, BLOCKS), "iou_pairs": (iou_pairs, IOU), "non_covered": (non_covered, NON_COVERED), "dedup_footprints": (dedup_footprints, None), "footprints_resolved": (footprints_resolved, None), "overhead_dedup": (overhead_dedup, None), "knn_distance": (knn_distance, KNN), "dbscan": (dbscan, DBSCAN), "gwr": (gwr, GWR),
     "combine_layers": (combine_layers, COMBINE), "rasterised": (rasterised, RASTER), "green_view": (green_view, GREEN), "clipped": (clipped, CLIPPED),
 }

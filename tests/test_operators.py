@@ -284,3 +284,52 @@ def test_nearest_polygon_and_first_containing(spark):
     points = spark.createDataFrame([(1, 7.0, 7.0), (2, 18.0, 9.0), (3, 500.0, 0.0)], "p long, px double, py double")
     assert {r.p: (r.distance, r.name) for r in RG.nearest_polygon(points, rings, "p", "name", 20.0).collect()} == {1: (0.0, "a"), 2: (3.0, "b"), 3: (9999.0, None)}
     assert {r.p: r.name for r in RG.first_containing(points, rings, "p", "name", 20.0).collect()} == {1: "a", 2: None, 3: None}
+
+
+def test_dbscan_of_a_dense_square(spark):
+    """100,000 points in two squares that touch, near pairs of which no list could hold, and some points around."""
+    rows = spark.range(100_000).select("id", (F.rand(1) * 0.5).alias("x"), F.when(F.col("id") % 2 == 0, F.rand(2) * 0.4).otherwise(0.8 + F.rand(3) * 0.4).alias("y"))
+    more = spark.createDataFrame([(200_000, 0.25, 2.1), (200_001, 9.0, 9.0), (200_002, 9.1, 9.0), (200_003, 9.2, 9.0), (200_004, 9.9, 9.0), (200_005, 20.0, 0.0), (200_006, None, 0.0)], "id long, x double, y double")
+    got = {r.id: (r.cluster, r.core) for r in G.dbscan(rows.unionByName(more), "id", 1.0, 4).filter("id < 4 or id >= 200000").collect()}
+    assert got == {0: (0, True), 1: (0, True), 2: (0, True), 3: (0, True), 200_000: (0, True), 200_001: (200_001, True), 200_002: (200_001, True), 200_003: (200_001, True), 200_004: (200_001, True), 200_005: (None, False), 200_006: (None, False)}
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_dbscan_of_clumps(spark, seed):
+    rng = random.Random(seed)
+    pts = [(i, round(rng.choice([0, 0, 3, 7, 7.5]) + rng.gauss(0, 0.6), 2), round(rng.choice([0, 4]) + rng.gauss(0, 0.6), 2)) for i in range(160)]
+    eps, least = (0.3, 0.5, 0.8, 1.1)[seed], (3, 4, 5, 9)[seed]
+    near = {i: [j for j, u, v in pts if math.hypot(x - u, y - v) <= eps] for i, x, y in pts}
+    core = {i for i in near if len(near[i]) >= least}
+    label = {i: i for i in core}
+    for _ in pts:
+        label = {i: min(label[j] for j in near[i] if j in core) for i in core}
+    want = {i: (label[i], True) if i in core else (min((label[j] for j in near[i] if j in core), default=None), False) for i, *_ in pts}
+    df = spark.createDataFrame(pts, "id long, x double, y double")
+    assert {r.id: (r.cluster, r.core) for r in G.dbscan(df, "id", eps, least).collect()} == want
+
+
+def test_range_quantiles(spark):
+    from aerolattice.operators import windows as W
+
+    rng = random.Random(6)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([None, float(rng.randint(0, 9)), rng.gauss(0, 3)])) for _ in range(400)] + [("empty", None)]
+    got = {r.g: r._q for r in W.range_quantiles(spark.createDataFrame(rows, "g string, v double"), ["g"], "v", [0.5, 0.0, 0.95, 1.0]).collect()}
+    for g in ("a", "b", None):
+        own = [v for k, v in rows if k == g and v is not None]
+        assert got[g] == pytest.approx(np.quantile(own, [0.5, 0.0, 0.95, 1.0]).tolist())
+    assert "empty" not in got
+
+
+def test_left_out_medians(spark):
+    from aerolattice.operators import calibration as C
+
+    rng = random.Random(8)
+    rows = [(rng.choice("aaabcd"), rng.choice([None, float(rng.randint(0, 5))]), rng.gauss(0, 1), 1.0 if k == 3 else None) for k in range(203)] + [("only", 7.0, None, None)]
+    rows[3] = ("a", *rows[3][1:])
+    df = spark.createDataFrame(rows, "fold string, u double, v double, w double")
+    got = {r.fold: (r._med_u, r._med_v, r._med_w) for r in C.left_out_medians(df, "fold", ["u", "v", "w"]).collect()}
+    for fold in {r[0] for r in rows}:
+        for k in range(3):
+            rest = [r[1 + k] for r in rows if r[0] != fold and r[1 + k] is not None]
+            assert got[fold][k] == (pytest.approx(np.median(rest)) if rest else None)
