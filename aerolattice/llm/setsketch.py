@@ -173,10 +173,10 @@ def _unpack_set(x: bytes) -> np.ndarray:
     return np.frombuffer(x, np.uint64)
 
 
-def _compare_blocks(batches, percent: int = PERCENT, likely=plausible, same=linked, unpack=_unpack_set):
+def _compare_blocks(batches, percent: int = PERCENT, likely=plausible, same=linked, unpack=_unpack_set, joins: bool = True):
     """Rows sorted by block pair, left side first. A pair of blocks is compared when its rows are complete. ``likely``
     judges registers and sizes, ``same`` what ``unpack`` makes of the last column. Components that a link joins within
-    a block are not compared again there."""
+    a block are not compared again there, unless pairs found are no links yet (``joins`` false)."""
     key, rows = None, []
 
     def done():
@@ -201,6 +201,8 @@ def _compare_blocks(batches, percent: int = PERCENT, likely=plausible, same=link
             for m in maybe:
                 if comp[m] != own_comp[k] and same(mine, sets[m], percent):
                     found.append((r[2], right[m][2]))
+                    if not joins:
+                        continue
                     old = comp[m]
                     comp[comp == old] = own_comp[k]
                     own_comp[own_comp == old] = own_comp[k]

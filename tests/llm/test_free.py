@@ -1,6 +1,7 @@
 """Operators with Python in their tasks, against brute force, round trips and held-out accuracy."""
 
 import hashlib
+import os
 import random
 import re
 
@@ -16,6 +17,9 @@ from aerolattice.llm.queries import tokenizer_path
 from .conftest import messy
 
 
+SF = "/root/testdata/sf0.01"
+
+
 def sha(text):
     return hashlib.sha256(text.encode()).hexdigest()
 
@@ -310,8 +314,11 @@ def test_few_edits_keep_the_fingerprint_near():
     text = "".join(rng.choice("abcdefgh ") for _ in range(2000))
     walker = edit_fingerprint.Walker()
     other = "".join(rng.choice("abcdefgh ") for _ in range(2000))
-    a, b, c, d = walker.fingerprints([text, text[:500] + "Q" + text[500:], text[3:], other])
-    assert edit_fingerprint.likeness(a, b) > 0.85 and edit_fingerprint.likeness(a, c) > 0.7 and edit_fingerprint.likeness(a, d) < 0.1
+    (a, b, c, d), bands = walker.fingerprints([text, text[:500] + "Q" + text[500:], text[3:], other])
+    assert edit_fingerprint.likeness(a, b) > 0.9 and edit_fingerprint.likeness(a, c) > 0.9 and edit_fingerprint.likeness(a, d) < 0.15
+    assert (bands[0] == bands[1]).mean() > 0.8 and (bands[0] == bands[3]).sum() == 0
+    empty, one = walker.fingerprints(["", "x"])[0]
+    assert edit_fingerprint.likeness(empty, empty) == edit_fingerprint.likeness(one, one) == 1 and edit_fingerprint.likeness(one, empty) == 0
 
 
 def test_insertions_into_long_texts_keep_the_rest_near():
@@ -320,25 +327,68 @@ def test_insertions_into_long_texts_keep_the_rest_near():
     text = "".join(rng.choice(letters) for _ in range(60_000))
     for size in (50, 200, 500):
         new = "".join(rng.choice(letters) for _ in range(size))
-        own, begun, cut = walker.fingerprints([text, text[:300] + new + text[300:], text[:300] + text[300 + size :]])
+        own, begun, cut = walker.fingerprints([text, text[:300] + new + text[300:], text[:300] + text[300 + size :]])[0]
         assert edit_fingerprint.likeness(own, begun) > 0.85 and edit_fingerprint.likeness(own, cut) > 0.85
     some = [text[k : k + 40 * k] for k in range(60)]
-    assert (walker.fingerprints(some) == np.vstack([walker.fingerprints([t]) for t in some])).all()
-
-
-def test_near_links_verify_distance(spark):
-    rng = random.Random(5)
-    base = ["".join(rng.choice("abcdefgh ") for _ in range(800)) for _ in range(6)]
-    docs = messy(spark, base + [b[:300] + "##" + b[300:] for b in base])
-    links = {(r.doc_id, r.near_id): r.distance for r in edit_fingerprint.near_links(edit_fingerprint.fingerprint(docs), docs).collect()}
-    pairs = {(k + 6, k): 2 for k in range(6)}
-    assert links.items() <= pairs.items() and len(links) >= 4  # a walk may fall back into step late
-
-
-def test_near_links_take_odd_and_empty_tables(spark, odd, empty):
-    assert edit_fingerprint.near_links(edit_fingerprint.fingerprint(empty), empty).count() == 0
-    links = edit_fingerprint.near_links(edit_fingerprint.fingerprint(odd), odd.dropDuplicates(["doc_id"])).collect()
-    assert all(r.doc_id is not None and r.near_id is not None and r.doc_id != r.near_id for r in links)
+    for whole, alone in zip(walker.fingerprints(some), zip(*(walker.fingerprints([t]) for t in some))):
+        assert (whole == np.vstack(alone)).all()
+
+
+def scattered(rng, text, share):
+    """``share`` of the code points replaced, inserted or left out, wherever it may be."""
+    out = list(text)
+    for _ in range(max(1, round(len(out) * share))):
+        k, c = rng.randrange(len(out)), rng.choice("abcdefghijklmnopqrstuvwxyz ")
+        out[k : k + 1] = rng.choice(([c], [c, out[k]], []))
+    return "".join(out)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables absent")
+@pytest.mark.parametrize("share", [0.01, 0.05, 0.1])
+def test_recall_on_the_drivers_documents(spark, share):
+    """Of 150 documents and their edited copies, 0.9 and more end in one class; documents that aren't near don't."""
+    rng = random.Random(int(share * 100))
+    rows = spark.read.parquet(f"{SF}/documents.parquet").filter("length(text) between 200 and 6000").select("text").distinct().orderBy("text").collect()
+    base = rng.sample([r.text for r in rows], min(150, len(rows)))
+    copies = [scattered(rng, t, share) for t in base]
+    docs = messy(spark, base + copies)
+    got = {r.doc_id: r.class_id for r in edit_fingerprint.fingerprint_classes(docs).collect()}
+    assert np.mean([got[k] == got[k + len(base)] for k in range(len(base))]) >= 0.9
+    # Of classes with several documents: near in fact, by the plain edit distance, to another of the class.
+    for k in range(0, len(base), 10):
+        mates = [j for j in got if j != k and got[j] == got[k]]
+        texts = base + copies
+        assert not mates or any(edit_fingerprint.distance_within(texts[k], texts[j], m := int(0.2 * max(len(texts[k]), len(texts[j])))) <= m for j in mates)
+
+
+def test_aligned_distance():
+    rng = random.Random(15)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrs 😀") for _ in range(n))
+    over = []
+    for _ in range(150):
+        a = word(rng.randint(0, 400))
+        b = scattered(rng, a, rng.choice((0.01, 0.05, 0.1))) if a and rng.random() < 0.8 else word(rng.randint(0, 200))
+        k, true, got = rng.randint(0, 9), plain_distance(a, b), edit_fingerprint.aligned_distance(a, b, 10_000)
+        assert got >= true
+        over.append(got - true if true < 0.2 * len(a) else 0)
+        assert edit_fingerprint.aligned_distance(a, b, k) == got or (got > k and edit_fingerprint.aligned_distance(a, b, k) > k)
+        assert edit_fingerprint.aligned_distance(a, a, 0) == 0
+    assert np.mean(np.array(over) == 0) > 0.9
+    assert edit_fingerprint.aligned_distance("ab " * 9000, "ab " * 4000 + "c" + "ab " * 5000, 9) == 1
+    assert edit_fingerprint.aligned_distance("x" * 50_000, "y" * 50_000, 20) > 20
+
+
+def test_aligned_distance_of_very_long_texts():
+    import time
+
+    rng = np.random.default_rng(4)
+    code = rng.integers(97, 123, 1_000_000).astype(np.uint32)
+    other = code.copy()
+    other[rng.integers(0, len(code), 50_000)] = 33
+    a, b = (x.tobytes().decode("utf-32-le") for x in (code, other))
+    began = time.process_time()
+    found = edit_fingerprint.aligned_distance(a, b, 200_000)
+    assert 0.9 * (code != other).sum() <= found <= (code != other).sum() and time.process_time() - began < 3
 
 
 def plain_distance(a, b):
@@ -359,8 +409,34 @@ def test_distance_within():
         assert edit_fingerprint.distance_within(a, b, most) == min(want, most + 1)
 
 
-def test_query_classes_equal_brute_force(spark, monkeypatch, odd, empty):
-    monkeypatch.setattr(edit_fingerprint, "HOT", 3)
+def plain_classes(plain, full):
+    """The classes by loops over all pairs: bands with their levels, likeness and distance."""
+    prints, bands = edit_fingerprint.Walker().fingerprints(plain)
+    first = {}
+    nodes = [i for i, t in enumerate(plain) if t and first.setdefault(t, i) == i]
+    together, left = set(), [(i, k) for i in nodes for k in range(edit_fingerprint.BANDS)]
+    for level in range(edit_fingerprint.LEVELS):
+        buckets = {}
+        for i, k in left:
+            buckets.setdefault((k, *(int(x) for x in np.resize(np.roll(bands[i], -k), 1 << level))), []).append(i)
+        done = {key: m for key, m in buckets.items() if len(m) <= full or level + 1 == edit_fingerprint.LEVELS}
+        together |= {(a, b) for m in done.values() for a in m for b in m if a < b}
+        left = [(i, key[0]) for key, m in buckets.items() if key not in done for i in m]
+    comp = list(range(len(plain)))
+    for a, b in sorted(together):
+        most = int(max(len(plain[a]), len(plain[b])) * 0.2 + 1e-9)
+        if edit_fingerprint.likeness(prints[a], prints[b]) >= edit_fingerprint.LIKE and edit_fingerprint.aligned_distance(plain[a], plain[b], most) <= most:
+            x, y = sorted((comp[a], comp[b]))
+            comp = [x if c == y else c for c in comp]
+    return {i: comp[first[t]] if t else None for i, t in enumerate(plain)}, {i: first[t] if t else None for i, t in enumerate(plain)}
+
+
+@pytest.mark.parametrize("full", [64, 3])
+def test_query_classes_equal_brute_force(spark, monkeypatch, odd, empty, full):
+    from aerolattice.llm import common
+
+    monkeypatch.setattr(common, "HOT_ROWS", 3)
+    monkeypatch.setattr(edit_fingerprint, "FULL", full)
     monkeypatch.setattr(setsketch, "BLOCK_ROWS", 4)
     rng = random.Random(21)
     word = lambda n: "".join(rng.choice("abcdefghijklmnop ") for _ in range(n))
@@ -371,28 +447,27 @@ def test_query_classes_equal_brute_force(spark, monkeypatch, odd, empty):
         other = root[: size * 3 // 5] + tail
         texts += [root, other] + [t[:k] + word(3) + t[k + 3 :] for t in (root, other) for k in (size // 3, size // 2, size - 9)]
     texts += [texts[5]] * 5 + [texts[8]]
-    docs = messy(spark, texts)
-    got = {r.doc_id: r for r in edit_fingerprint.fingerprint_classes(docs).collect()}
-    plain = [t or "" for t in texts]
-    prints = edit_fingerprint.Walker().fingerprints(plain)
-    width = edit_fingerprint.SLOTS // edit_fingerprint.BANDS
-    comp = list(range(len(plain)))
-    beyond = 0
-    for j in range(len(plain)):
-        for i in range(j):
-            a, b = prints[i], prints[j]
-            band = any((a[k : k + width] == b[k : k + width]).all() and (a[k : k + width] != edit_fingerprint.EMPTY).any() for k in range(0, edit_fingerprint.SLOTS, width))
-            most = int(max(len(plain[i]), len(plain[j])) * 0.2 + 1e-9)
-            if plain[i] and plain[j] and band and edit_fingerprint.likeness(a, b) >= 0.8 and plain_distance(plain[i], plain[j]) <= most:
-                beyond += comp[i] != comp[j]
-                x, y = sorted((comp[i], comp[j]))
-                comp = [x if c == y else c for c in comp]
-    assert len(got) == len(texts) and beyond > 8
-    assert {i: r.class_id for i, r in got.items()} == {i: comp[i] if t else None for i, t in enumerate(plain)}
-    assert {i: r.text_id for i, r in got.items()} == {i: plain.index(t) if t else None for i, t in enumerate(plain)}
+    got = {r.doc_id: r for r in edit_fingerprint.fingerprint_classes(messy(spark, texts)).collect()}
+    classes, first = plain_classes([t or "" for t in texts], full)
+    assert {i: r.class_id for i, r in got.items()} == classes and {i: r.text_id for i, r in got.items()} == first
+    assert len(set(classes.values())) == 8 and len(got) == len(texts)
     assert edit_fingerprint.fingerprint_classes(odd).count() == odd.count() and edit_fingerprint.fingerprint_classes(empty).count() == 0
 
 
+def test_files_in_any_order(spark, tmp_path):
+    """Files that hold ranges of ids, and files that don't, give the same rows."""
+    rng = random.Random(2)
+    texts = [" ".join(rng.choices(["alpha", "beta", "gamma", "é"], k=rng.randint(0, 30))) for _ in range(90)]
+    docs = messy(spark, texts)
+    want = sorted(map(tuple, edit_fingerprint.fingerprint(docs).collect()))
+    for name, parts in (("ranges", docs.repartitionByRange(5, "doc_id").sortWithinPartitions("doc_id")), ("dealt", docs.repartition(5, "t", "n_chars", "text"))):
+        parts.write.parquet(str(tmp_path / name))
+        back = spark.read.parquet(str(tmp_path / name))
+        plan = edit_fingerprint._in_order(back, "doc_id", "text")._jdf.queryExecution().toString()
+        assert ("Exchange rangepartitioning" in plan) == (name == "dealt")
+        assert sorted(map(tuple, edit_fingerprint.fingerprint(back).collect())) == want
+
+
 def brute_components(texts, percent=85):
     sets = {}
     for i, t in texts.items():
