@@ -59,6 +59,24 @@ def payload_weather(spark: SparkSession, d: str) -> DataFrame:
 WEATHER = f"{READINGS} select station as station_id, case when y < 31 then 'Low' else 'Moderate' end as heat_stress_category, count(*) as rows, max(y) as top, 103.8::double as lon from r group by 1, 2"
 
 
+def payload_any(spark: SparkSession, d: str) -> DataFrame:
+    """Documents of three versions in one table, some with a field that none of them has, and some that aren't JSON."""
+    s, y, at = F.col("station"), F.col("y"), F.date_format(F.timestamp_seconds("t"), "yyyy-MM-dd'T'HH:mm:ss")
+    place = F.struct(s.alias("id"), F.concat(F.lit("Place "), s).alias("name"))
+    item = lambda *fields: F.array(F.struct(*fields))
+    v1 = F.struct(F.struct(F.array(place).alias("stations"), F.lit("deg C").alias("reading_unit")).alias("metadata"), item(at.alias("timestamp"), item(s.alias("station_id"), y.alias("value")).alias("readings")).alias("items"))
+    v2 = F.struct(F.struct(F.array(place).alias("stations"), item(at.alias("timestamp"), item(s.alias("stationId"), y.alias("value"), F.lit("new").alias("sensorState")).alias("data")).alias("readings"), F.lit("c").alias("readingUnit")).alias("data"))
+    v3 = F.struct(F.struct(item(at.alias("datetime"), F.struct(item(place.alias("station"), y.cast("string").alias("wbgt"), F.lit("Low").alias("heatStress")).alias("readings")).alias("item")).alias("records")).alias("data"))
+    kind = F.pmod(F.floor(F.col("t") / 900), F.lit(4))
+    doc = F.when(kind == 0, F.to_json(v1)).when(kind == 1, F.to_json(v2)).when(kind == 2, F.to_json(v3)).otherwise(F.lit("<html>not found</html>"))
+    rows = P.flatten_any(_readings(spark, d).select(doc.alias("payload"), kind.cast("string").alias("source_file")), "air_temperature_c")
+    return rows.select("source_file", "station_id", "station_name", "timestamp", "value", "unit", "value_missing", F.col("unread").cast("long").alias("unread"))
+
+
+ANY = f"""{READINGS} select (t // 900 % 4)::varchar as source_file, station as station_id, 'Place ' || station as station_name, strftime(to_timestamp(t) at time zone 'UTC', '%Y-%m-%dT%H:%M:%S') as timestamp, y as value,
+ case t // 900 % 4 when 0 then 'deg C' when 1 then 'c' end as unit, false as value_missing, (t // 900 % 4 = 1)::bigint as unread from r where t // 900 % 4 < 3"""
+
+
 def payload_hourly(spark: SparkSession, d: str) -> DataFrame:
     w = adapter(spark, d, "weather").groupBy("station").agg(F.array_sort(F.collect_list(F.struct("t", "temp", "rh"))).alias("a"))
     arrays = F.struct(F.transform("a", lambda x: x["t"].cast("string")).alias("time"), F.transform("a", lambda x: x["temp"]).alias("temperature_2m"), F.slice(F.transform("a", lambda x: x["rh"]), F.lit(1), F.size("a") - 1).alias("relative_humidity_2m"))
@@ -176,8 +194,24 @@ def stream_dedup(spark: SparkSession, d: str) -> DataFrame:
 
 STREAM_DEDUP = f"{duck('obs')} select station as station_id, count(distinct t // 3600) as slots from obs where kind = 'view' group by station"
 
+
+def stream_alarms(spark: SparkSession, d: str) -> DataFrame:
+    """Silences of stations beyond 30 and 90 minutes, told by timers; those at the end as far as the watermark reaches."""
+    name, value = ST.ROCKSDB
+    before = spark.conf.get(name)
+    spark.conf.set(name, value)
+    try:
+        return _run(ST.silence_alarms(_stream(spark, d)), "append")
+    finally:
+        spark.conf.set(name, before)
+
+
+STREAM_ALARMS = f"""{duck('obs')}, e as (select distinct station, t from obs where kind = 'view'), g as (select station, t, coalesce(lead(t) over (partition by station order by t), (select max(t) from e) - 600) as until from e)
+ select station as station_id, t as silent_since, t + 60 * minutes as alarm_at, minutes, level from g, (values (30::int, 'YELLOW'), (90, 'RED')) l(minutes, level) where t + 60 * minutes <= until"""
+
+
 QUERIES = {
-    "payload_v1": (payload_v1, V1), "payload_v2": (payload_v2, V2), "payload_weather": (payload_weather, WEATHER), "payload_hourly": (payload_hourly, HOURLY), "met_forcing": (met_forcing, FORCING), "ring_overlay": (ring_overlay, RING_OVERLAY),
+    "payload_v1": (payload_v1, V1), "payload_v2": (payload_v2, V2), "payload_weather": (payload_weather, WEATHER), "payload_any": (payload_any, ANY), "payload_hourly": (payload_hourly, HOURLY), "met_forcing": (met_forcing, FORCING), "ring_overlay": (ring_overlay, RING_OVERLAY),
     "ring_iou": (ring_iou, RING_IOU), "nearest_park": (nearest_park, NEAREST_PARK), "demographics": (demographics, DEMOGRAPHICS), "stream_hourly": (stream_hourly, STREAM_HOURLY), "stream_sliding": (stream_sliding, STREAM_SLIDING),
-    "stream_silence": (stream_silence, STREAM_SILENCE), "stream_dedup": (stream_dedup, STREAM_DEDUP),
+    "stream_silence": (stream_silence, STREAM_SILENCE), "stream_dedup": (stream_dedup, STREAM_DEDUP), "stream_alarms": (stream_alarms, STREAM_ALARMS),
 }

@@ -141,3 +141,47 @@ def hours_to_met_forcing(df: DataFrame, station: str, day: int, hours: tuple[int
 def merge_csvs(spark: SparkSession, path: str, column: str, value: str, required: Sequence[str]) -> DataFrame:
     """CSV files with one header, one kind of row, complete in the required columns."""
     return spark.read.option("header", True).csv(path).filter(F.col(column) == value).na.drop(subset=list(required))
+
+
+# Where readings, station lists, times and values lie in the versions of the payload; the first path that is
+# there counts.
+ITEMS = ("$.data.readings", "$.data.records", "$.items")
+STATIONS = ("$.data.stations", "$.metadata.stations")
+TIMES = ("$.timestamp", "$.datetime", "$.updatedTimestamp")
+READINGS_OF_ITEM = ("$.data", "$.readings", "$.item.readings")
+STATION_OF_READING = ("$.stationId", "$.station_id", "$.station.id")
+VALUE_OF_READING = ("$.value", "$.wbgt")
+UNITS = ("$.data.readingUnit", "$.metadata.reading_unit")
+#: Fields of a reading that some version is known to have.
+KNOWN_FIELDS = ("stationId", "station_id", "station", "value", "wbgt", "heatStress", "location")
+
+
+def first_path(v: Column, paths: Sequence[str], kind: str) -> Column:
+    """The value at the first of the paths where it is, and can be read as ``kind``."""
+    return F.coalesce(*(F.try_variant_get(v, p, kind) for p in paths))
+
+
+def flatten_any(payloads: DataFrame, variable: str) -> DataFrame:
+    """Long rows of payloads of any known version, mixed in one table: ``variable, value, unit, timestamp, station_id,
+    station_name, value_missing, unread, source_file``. Documents are parsed once, without a schema; each field is looked for
+    along its paths, and values come as numbers or texts. ``unread`` counts fields of a reading that no version is known to
+    have, so that a change of the source shows. Texts that aren't JSON, documents without readings and readings without a
+    station give no rows."""
+    doc = payloads.select("source_file", F.try_parse_json("payload").alias("v"))
+    names = F.map_from_entries(F.array_compact(F.transform(F.coalesce(first_path(F.col("v"), STATIONS, "array<variant>"), F.array().cast("array<variant>")), lambda s: F.when(F.try_variant_get(s, "$.id", "string").isNotNull(), F.struct(F.try_variant_get(s, "$.id", "string").alias("id"), F.try_variant_get(s, "$.name", "string").alias("name"))))))
+    doc = doc.select("source_file", first_path(F.col("v"), UNITS, "string").alias("unit"), F.explode(first_path(F.col("v"), ITEMS, "array<variant>")).alias("item"), names.alias("names"))
+    rows = doc.select("source_file", "unit", "names", first_path(F.col("item"), TIMES, "string").alias("timestamp"), F.explode(first_path(F.col("item"), READINGS_OF_ITEM, "array<variant>")).alias("r"))
+    fields = F.map_keys(F.try_variant_get("r", "$", "map<string, variant>"))
+    value = F.coalesce(*(safe_double(F.try_variant_get("r", p, "string")) for p in VALUE_OF_READING))
+    station = first_path(F.col("r"), STATION_OF_READING, "string")
+    rows = rows.select("source_file", "unit", "names", "timestamp", station.alias("station_id"), value.alias("value"), F.try_variant_get("r", "$.station.name", "string").alias("own_name"), F.size(F.filter(fields, lambda f: ~f.isin(*KNOWN_FIELDS))).alias("unread"))
+    return rows.filter("station_id is not null").select(
+        F.lit(variable).alias("variable"), "value", "unit", "timestamp", "station_id", F.coalesce("own_name", F.try_element_at("names", F.col("station_id"))).alias("station_name"), F.col("value").isNull().alias("value_missing"), "unread", "source_file",
+    )
+
+
+def payload_shapes(payloads: DataFrame) -> DataFrame:
+    """``source_file, documents, bad, shape``: for each file how many documents it has, how many aren't JSON, and the schema
+    that covers the others, merged over all of them."""
+    v = payloads.select("source_file", F.try_parse_json("payload").alias("v"))
+    return v.groupBy("source_file").agg(F.count("*").alias("documents"), F.count_if(F.col("v").isNull()).alias("bad"), F.schema_of_variant_agg("v").alias("shape"))

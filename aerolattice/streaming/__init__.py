@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 
 from ..functions import thermal as T
 from ..operators.tables import upsert_keep_last
@@ -64,6 +66,73 @@ def silent_station(df: DataFrame, gap: str = "90 minutes", late: str = "2 hours"
     return w.agg(F.count("*").alias("rows")).select("station_id", F.col("session_window.start").alias("from"), F.col("session_window.end").alias("silent_since"), "rows")
 
 
+# Minutes without a row of a station, and what they mean.
+SILENCE = ((30, "YELLOW"), (90, "RED"))
+
+
+class SilenceWatch(StatefulProcessor):
+    """Keeps each station's last event time and how many of the ``limits`` it has passed; a timer stands at the next one."""
+
+    def __init__(self, limits: Sequence[tuple[int, str]] = SILENCE):
+        self.limits = list(limits)
+
+    def init(self, handle) -> None:
+        self.handle, self.seen = handle, handle.getValueState("seen", "last long, passed int")
+
+    def _alarms(self, station: str, last: int, passed: int, until: int) -> tuple[list[tuple], int]:
+        """The alarms of a silence from ``last`` on that are due at ``until`` (both in ms) and weren't given yet."""
+        out = []
+        while passed < len(self.limits) and last + 60_000 * self.limits[passed][0] <= until:
+            minutes, level = self.limits[passed]
+            out.append((station, last // 1000, last // 1000 + 60 * minutes, minutes, level))
+            passed += 1
+        return out, passed
+
+    def _keep(self, last: int, passed: int) -> None:
+        for at in self.handle.listTimers():
+            self.handle.deleteTimer(at)
+        self.seen.update((last, passed))
+        if passed < len(self.limits):
+            self.handle.registerTimer(last + 60_000 * self.limits[passed][0])
+
+    def _frame(self, rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=["station_id", "silent_since", "alarm_at", "minutes", "level"])
+
+    def handleInputRows(self, key, rows, timerValues):
+        """Times in ascending order; a silence between two of them is told too, if it is over when the later one arrives."""
+        times = sorted({int(t.value // 1_000_000) for part in rows for t in part["event_time"]})
+        last, passed = self.seen.get() if self.seen.exists() else (times[0], 0)
+        out: list[tuple] = []
+        for t in times:
+            if t > last:
+                out += self._alarms(key[0], last, passed, t)[0]
+                last, passed = t, 0
+        self._keep(last, passed)
+        yield self._frame(out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        last, passed = self.seen.get()
+        # The watermark may have passed several limits at once.
+        due = max(int(expiredTimerInfo.getExpiryTimeInMs()), int(timerValues.getCurrentWatermarkInMs()))
+        out, passed = self._alarms(key[0], last, passed, due)
+        self._keep(last, passed)
+        yield self._frame(out)
+
+
+def silence_alarms(df: DataFrame, late: str = "10 minutes", limits: Sequence[tuple[int, str]] = SILENCE) -> DataFrame:
+    """``station_id, silent_since, alarm_at, minutes, level``: an alarm for each limit that a station's silence passes, while it
+    lasts: event-time timers tell it as soon as the watermark, ``late`` behind the newest row of all stations, passes the
+    limit. A row of the station sets its timers anew. Rows without a time are dropped, and rows behind the watermark change
+    nothing. The state is one row for each station. The session needs the RocksDB state store (``ROCKSDB``)."""
+    rows = df.filter("event_time is not null and station_id is not null").withWatermark("event_time", late).groupBy("station_id")
+    schema = "station_id string, silent_since long, alarm_at long, minutes int, level string"
+    return rows.transformWithStateInPandas(SilenceWatch(limits), schema, "append", "EventTime")
+
+
+#: The setting that streams with timers need: its name and value.
+ROCKSDB = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
 def alert_stream(cell_hours: DataFrame, late: str = "2 hours") -> DataFrame:
     """Hourly alert of a stream of cell hours (``event_time, cell, wbgt_c, utci_c``). Of a cell's rows in an hour the first
     counts, so the number of cells is exact."""

@@ -101,3 +101,50 @@ def test_upsert_batches_writes_a_manifest(spark, tmp_path):
     run(rows, 0)
     assert spark.read.parquet(str(tmp_path / "a")).first().value == 2.0
     assert spark.read.parquet(str(tmp_path / "m")).first().rows_fetched == 1
+
+
+def test_alarms_come_while_a_station_is_silent(spark, tmp_path):
+    from aerolattice import streaming as ST
+
+    folder, batches = str(tmp_path / "in"), []
+
+    def put(*rows):
+        spark.createDataFrame(list(rows), "station_id string, m long").selectExpr("station_id", "timestamp_seconds(m * 60) as event_time").coalesce(1).write.mode("append").parquet(folder)
+        query.processAllAvailable() if batches is not None and query else None
+        got = [tuple(r) for b in batches for r in b]
+        batches.clear()
+        return sorted(got)
+
+    query = None
+    put(("a", 0), ("b", 0), ("a", 5), (None, 3))
+    name, value = ST.ROCKSDB
+    before = spark.conf.get(name)
+    spark.conf.set(name, value)
+    try:
+        rows = spark.readStream.schema("station_id string, event_time timestamp").parquet(folder)
+        query = ST.silence_alarms(rows).writeStream.foreachBatch(lambda b, _: batches.append(b.collect())).outputMode("append").option("checkpointLocation", str(tmp_path / "state")).start()
+        assert put(("b", 20)) == []
+        # The watermark is ten minutes behind the newest row of any station.
+        assert put(("b", 50)) == [("a", 300, 2100, 30, "YELLOW"), ("b", 1200, 3000, 30, "YELLOW")]
+        assert put(("b", 60), ("b", 110)) == [("a", 300, 5700, 90, "RED"), ("b", 3600, 5400, 30, "YELLOW")]
+        assert put(("a", 111)) == []  # both of its alarms came before
+        assert put(("b", 300)) == [("a", 6660, 8460, 30, "YELLOW"), ("a", 6660, 12060, 90, "RED"), ("b", 6600, 8400, 30, "YELLOW"), ("b", 6600, 12000, 90, "RED")]
+    finally:
+        query and query.stop()
+        spark.conf.set(name, before)
+
+
+def test_payloads_of_any_version(spark):
+    from aerolattice.sources import payloads as P
+
+    docs = [
+        '{"items":[{"timestamp":"t1","readings":[{"station_id":"S1","value":30.5},{"station_id":"S2","value":null},{"value":3}]}],"metadata":{"stations":[{"id":"S1","name":"One"},{"id":null}],"reading_unit":"deg"}}',
+        '{"data":{"readings":[{"timestamp":"t2","data":[{"stationId":"S1","value":"31.5","drift":1,"more":{"x":2}}]}],"stations":[]}}',
+        '{"data":{"records":[{"updatedTimestamp":"t3","item":{"readings":[{"station":{"id":"S9","name":"Nine"},"wbgt":"n/a"}]}}]}}',
+        "not json", "[]", "{}", '{"items":[]}', None,
+    ]
+    frame = spark.createDataFrame([("f1" if k < 2 else "f2", d) for k, d in enumerate(docs)], "source_file string, payload string")
+    got = sorted((r.timestamp, r.station_id, r.value, r.unit, r.station_name, r.value_missing, r.unread) for r in P.flatten_any(frame, "x").collect())
+    assert got == [("t1", "S1", 30.5, "deg", "One", False, 0), ("t1", "S2", None, "deg", None, True, 0), ("t2", "S1", 31.5, None, None, False, 2), ("t3", "S9", None, None, "Nine", True, 0)]
+    shapes = {r.source_file: (r.documents, r.bad, r.shape) for r in P.payload_shapes(frame).collect()}
+    assert shapes["f1"][:2] == (2, 0) and shapes["f2"][:2] == (6, 2) and "drift" in shapes["f1"][2] and "items" in shapes["f1"][2]
