@@ -7,7 +7,6 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import in_ring, ring_box
 from .neighbours import nearest
 
 METRES_PER_DEGREE = 111_320.0
@@ -46,6 +45,30 @@ def _near(boxes: DataFrame, size: float) -> DataFrame:
     return boxes.withColumn("kx", F.explode(F.sequence(at("x_min"), at("x_max")))).withColumn("ky", F.explode(F.sequence(at("y_min"), at("y_max"))))
 
 
+def curve_key(x: Column, y: Column, box: tuple[float, float, float, float], bits: int = 16) -> Column:
+    """The place of a point along a curve that fills the box (x0, y0, x1, y1): the bits of its scaled x and y in turn, so that
+    points near each other mostly have near keys. Points outside count as on the border."""
+    x0, y0, x1, y1 = box
+    top = (1 << bits) - 1
+    scaled = lambda v, low, high: F.greatest(F.least(F.floor((v - low) / ((high - low) or 1.0) * (1 << bits)), F.lit(top)), F.lit(0)).cast("long")
+
+    def apart(v: Column) -> Column:
+        for shift, mask in ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555)):
+            v = v.bitwiseOR(F.shiftleft(v, shift)).bitwiseAND(F.lit(mask))
+        return v
+
+    return apart(scaled(x, x0, x1)).bitwiseOR(F.shiftleft(apart(scaled(y, y0, y1)), 1))
+
+
+def write_clustered(boxes: DataFrame, path: str, files: int, rows: int = 20_000) -> None:
+    """Writes boxes (``x_min..y_max``) as files of neighbours: ranges of the curve key of their middles, in its order, and row
+    groups small enough that the least and largest values of each tell a reader of a window which to skip."""
+    ends = boxes.agg(*(f(c) for c, f in (("x_min", F.min), ("y_min", F.min), ("x_max", F.max), ("y_max", F.max)))).first()  # four numbers
+    key = curve_key((F.col("x_min") + F.col("x_max")) / 2, (F.col("y_min") + F.col("y_max")) / 2, tuple(float(v or 0) for v in ends))
+    keyed = boxes.withColumn("_curve", key).repartitionByRange(files, "_curve").sortWithinPartitions("_curve").drop("_curve")
+    keyed.write.option("parquet.block.row.count.limit", rows).option("maxRecordsPerFile", rows).parquet(path)
+
+
 def iou_pairs(boxes: DataFrame, key: str, size: float) -> DataFrame:
     """Pairs of boxes (a before b) that overlap, with intersection, union, IoU, each one's share and the distance of
     centres. Boxes meet in the squares that both touch; a pair is kept in its first common square only."""
@@ -178,12 +201,29 @@ def non_covered(boxes: DataFrame, ref: DataFrame, key: str, size: float, share:
 
 
 def rasterise(polygons: DataFrame, res: float, value: str) -> DataFrame:
-    """Pixels (row, col) whose centre lies in a ring, with the tallest value."""
-    box = polygons.withColumns(ring_box(F.col("ring")))
-    span = lambda lo, hi: F.sequence(F.floor(F.col(lo) / res).cast("long"), F.floor(F.col(hi) / res).cast("long"))
-    px = box.withColumn("col", F.explode(span("x_min", "x_max"))).withColumn("row", F.explode(span("y_min", "y_max")))
-    inside = in_ring((F.col("col") + 0.5) * res, (F.col("row") + 0.5) * res, F.col("ring"))
-    return px.filter(inside).groupBy("row", "col").agg(F.max(value).alias(value))
+    """Pixels (row, col) whose centre lies in a ring or shape, with the tallest value.
+
+    By scan lines: each edge tells where it crosses the rows of centres that it spans. A row's crossings in ascending order
+    are the ends of its runs of pixels, by the even-odd rule, so holes and parts need nothing more. Work grows with the
+    rows that edges span and with the pixels covered, not with the box around a shape."""
+    rings = F.col("shape") if "shape" in polygons.columns else F.array("ring")
+    first = lambda v: F.ceil(v / res - 0.5).cast("long")  # noqa: E731  the first centre at or behind a place
+
+    def crossings(ring: Column) -> Column:
+        n = F.size(ring)
+        ends = F.zip_with(ring, F.concat(F.slice(ring, F.lit(2), n - 1), F.slice(ring, 1, 1)), lambda a, b: F.struct(a["x"].alias("ax"), a["y"].alias("ay"), b["x"].alias("bx"), b["y"].alias("by")))
+        return F.flatten(F.transform(ends, of_edge))
+
+    def of_edge(e: Column) -> Column:
+        low, high = first(F.least(e["ay"], e["by"])), first(F.greatest(e["ay"], e["by"])) - 1
+        at = lambda r: e["ax"] + (e["bx"] - e["ax"]) * F.coalesce(F.try_divide((r + 0.5) * res - e["ay"], e["by"] - e["ay"]), F.lit(0.0))
+        none = F.array().cast("array<struct<row:bigint,x:double>>")
+        return F.when(high >= low, F.transform(F.sequence(low, F.greatest(low, high)), lambda r: F.struct(r.alias("row"), at(r).alias("x")))).otherwise(none)
+
+    cut = polygons.select(F.col(value), F.array_sort(F.flatten(F.transform(rings, crossings))).alias("cut"))
+    pairs = F.transform(F.filter(F.sequence(F.lit(1), F.greatest(F.size("cut"), F.lit(1))), lambda i: (i % 2 == 1) & (i < F.size("cut"))), lambda i: F.struct(F.element_at("cut", i).alias("a"), F.element_at("cut", i + 1).alias("b")))
+    runs = cut.select(value, F.explode(pairs).alias("p")).select(value, F.col("p.a.row").alias("row"), first(F.col("p.a.x")).alias("from"), (first(F.col("p.b.x")) - 1).alias("to")).filter("to >= from")
+    return runs.select("row", F.explode(F.sequence("from", "to")).alias("col"), value).groupBy("row", "col").agg(F.max(value).alias(value))
 
 
 def combine_layers(buildings: DataFrame, vegetation: DataFrame, least: float) -> DataFrame:

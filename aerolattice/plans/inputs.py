@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 
 from .. import streaming as ST
 from ..functions import scalars as S
+from ..operators import aggregates as A
 from ..operators import calibration as C
 from ..operators import geo as G
 from ..operators import pairing as J
 from ..operators import tables as TB
 from ..session import shared_dir, stored
 from ..sources import archive as AR
+from ..sources import commits as CM
 from ..sources import payloads as P
 from .adapters import SPARK_EPOCH, STATION, adapter, duck
 from .ingest import PLACE, READINGS, _readings, _ringed, _run
@@ -120,6 +122,46 @@ MERGED = f"""{duck('obs')}, o as (select station, kind, row_id, t // 86400 as d
  select kind as variable, count(*) as rows, sum(r)::bigint as last_ids, max(rows_added) as rows_added from k cross join n group by kind"""
 
 
+def archive_commits(spark: SparkSession, d: str) -> DataFrame:
+    """Batches of three parts of the observations, each committed as one version; the last version's rows."""
+    rows = _dated(spark, d)
+    archive = CM.Archive(spark, _folder(spark, "committed"))
+    for k in range(3):
+        version, added = archive.commit(rows.filter(F.pmod("row_id", F.lit(3)) == k), ["station_id", "variable"], ["row_id"])
+    out = archive.read(rows.schema).groupBy("variable").agg(F.count("*").alias("rows"), F.sum("row_id").alias("last_ids"), F.countDistinct("obs_date").alias("days"))
+    return out.withColumns({"version": F.lit(version).cast("long"), "added_last": F.lit(added).cast("long")})
+
+
+COMMITS = f"""{duck('obs')}, k as (select station, kind, t // 86400 as d, max(row_id) as r from obs group by all),
+ n as (select count(*) as added from (select distinct station, kind, t // 86400 from obs where row_id % 3 = 2 except select station, kind, t // 86400 from obs where row_id % 3 <> 2))
+ select kind as variable, count(*) as rows, sum(r)::bigint as last_ids, count(distinct d) as days, 3::bigint as version, max(added) as added_last from k cross join n group by kind"""
+
+
+def weekly_sketches(spark: SparkSession, d: str) -> DataFrame:
+    """Distinct stations and hours of each week from stored daily sketches: whether they are within three standard errors of
+    the exact counts, which are given too."""
+    o = adapter(spark, d, "obs").select("kind", F.floor(F.col("t") / 86400).alias("day"), "station", F.floor(F.col("t") / 3600).alias("hour"), "row_id")
+    daily = stored(A.daily_sketches(o, "day", ["station", "hour", "row_id"], ["kind"]), "daily-sketches")
+    weeks = A.united_counts(daily.withColumn("week", F.floor(F.col("day") / 7)), ["station", "hour", "row_id"], ["kind", "week"])
+    exact = o.groupBy("kind", F.floor(F.col("day") / 7).alias("week")).agg(F.countDistinct("station").alias("stations"), F.countDistinct("hour").alias("hours"), F.countDistinct("row_id").alias("ids"))
+    near = lambda got, want: F.abs(F.col(got) - F.col(want)) <= F.greatest(F.lit(1.0), 3 * 0.01625 * F.col(want))
+    both = weeks.join(exact, ["kind", "week"])
+    return both.select("kind", "week", "rows", "stations", "hours", "ids", (near("station_count", "stations") & near("hour_count", "hours") & near("row_id_count", "ids")).alias("near"))
+
+
+WEEKLY = f"{duck('obs')} select kind, t // 86400 // 7 as week, count(*) as rows, count(distinct station) as stations, count(distinct t // 3600) as hours, count(distinct row_id) as ids, true as near from obs group by 1, 2"
+
+
+def clustered_window(spark: SparkSession, d: str) -> DataFrame:
+    """Boxes in files of neighbours, and those that meet a window, read by its bounds."""
+    path = _folder(spark, "clustered")
+    G.write_clustered(adapter(spark, d, "boxes"), path, 8)
+    return J.clip_to_box(spark.read.parquet(path), (1000.0, 1200.0, 1900.0, 2100.0), 25.0).select("box", "x_min", "y_max", "type")
+
+
+WINDOW_SQL = f"{duck('boxes')} select box, x_min, y_max, type from boxes where x_max >= 975 and x_min <= 1925 and y_max >= 1175 and y_min <= 2125"
+
+
 def archive_inventory(spark: SparkSession, d: str) -> DataFrame:
     """Observations as one good archive and one with broken lines, counted by kind."""
     base = _folder(spark, "inventory")
@@ -433,7 +475,7 @@ ALERTS = """with e as (select distinct event_id % 60 as cell, date_diff('second'
 
 QUERIES = {
     "read_tables": (read_tables, READ_TABLES), "scan_long_archive": (scan_long_archive, SCAN), "map_elements": (map_elements, MAP_ELEMENTS), "map_features": (map_features, MAP_FEATURES), "pixel_centres": (pixel_centres, PIXEL_CENTRES), "archive_appends": (archive_appends, APPENDS),
-    "archive_merge": (archive_merge, MERGED), "archive_inventory": (archive_inventory, INVENTORY), "merge_csvs": (merge_csvs, MERGE_CSVS), "feature_sink": (feature_sink, FEATURE_SINK), "retain_days": (retain_days, RETAIN), "tolerant_columns": (tolerant_columns, COLUMNS),
+    "archive_merge": (archive_merge, MERGED), "archive_commits": (archive_commits, COMMITS), "weekly_sketches": (weekly_sketches, WEEKLY), "clustered_window": (clustered_window, WINDOW_SQL), "archive_inventory": (archive_inventory, INVENTORY), "merge_csvs": (merge_csvs, MERGE_CSVS), "feature_sink": (feature_sink, FEATURE_SINK), "retain_days": (retain_days, RETAIN), "tolerant_columns": (tolerant_columns, COLUMNS),
     "filter_modes": (filter_modes, MODES), "wbgt_only": (wbgt_only, WBGT_ONLY), "inner_pair": (inner_pair, INNER_PAIR), "nearest_cell": (nearest_cell, NEAREST_CELL), "local_times": (local_times, LOCAL_TIMES), "overhead_types": (overhead_types, OVERHEAD), "hours_from_names": (hours_from_names, HOURS),
     "fill_sources": (fill_sources, FILL), "grid_cells": (grid_cells, GRID), "standard_sources": (standard_sources, STANDARD), "corrections": (corrections, CORRECTIONS), "reviewed_footprints": (reviewed_footprints, REVIEWED), "qa_targets": (qa_targets, QA_TARGETS), "sim_vs_proxy": (sim_vs_proxy, SIM),
     "stream_payloads": (stream_payloads, STREAM_PAYLOADS), "stream_late": (stream_late, STREAM_LATE), "stream_pairs": (stream_pairs, STREAM_PAIRS), "stream_manifest": (stream_manifest, MANIFEST), "stream_alerts": (stream_alerts, ALERTS),

@@ -16,15 +16,15 @@ def partitioned_append(df: DataFrame, path: str, day: str = "obs_date") -> None:
 
 def merge_into_archive(spark: SparkSession, new: DataFrame, path: str, keys: Sequence[str], order: Sequence[str], day: str = "obs_date") -> DataFrame:
     """Upserts rows into the days that they touch, and gives the number of keys added. Only those days are read and
-    written: a merged copy is stored first, then swapped in by dynamic partition overwrite."""
+    written: a merged copy is stored first, then swapped in by dynamic partition overwrite. For one writer; where several
+    write, or readers must see all days of a batch at once, use ``commits.Archive``."""
     from ..session import stored
 
     days = [r[0] for r in new.select(day).distinct().collect()]  # the days of one batch
-    try:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
         old = spark.read.schema(new.schema).parquet(path).filter(F.col(day).isin(days)).select(*new.columns)
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
+    else:
         old = new.limit(0)
     keys = [*keys, day] if day not in keys else list(keys)
     added = rows_added(old, new, keys).first()[0]

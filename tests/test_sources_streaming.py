@@ -148,3 +148,83 @@ def test_payloads_of_any_version(spark):
     assert got == [("t1", "S1", 30.5, "deg", "One", False, 0), ("t1", "S2", None, "deg", None, True, 0), ("t2", "S1", 31.5, None, None, False, 2), ("t3", "S9", None, None, "Nine", True, 0)]
     shapes = {r.source_file: (r.documents, r.bad, r.shape) for r in P.payload_shapes(frame).collect()}
     assert shapes["f1"][:2] == (2, 0) and shapes["f2"][:2] == (6, 2) and "drift" in shapes["f1"][2] and "items" in shapes["f1"][2]
+
+
+def committed(spark, path):
+    from aerolattice.sources.commits import Archive
+
+    archive = Archive(spark, path)
+    frame = lambda *rows: spark.createDataFrame(list(rows), "station_id string, value double, run long, obs_date string")
+    read = lambda: sorted(tuple(r) for r in archive.read(frame(("", 0.0, 0, "")).schema).collect())
+    return archive, frame, read
+
+
+def test_commits_of_two_writers_keep_both(spark, tmp_path, monkeypatch):
+    from aerolattice.sources.commits import Archive
+
+    archive, frame, read = committed(spark, str(tmp_path / "archive"))
+    assert read() == [] and archive.commit(frame(("S1", 1.0, 1, "2026-05-01"), ("S1", 1.0, 1, "2026-05-02")), ["station_id"], ["run"]) == (1, 2)
+    publish, turns = Archive._publish, []
+
+    def late(self, number, days):
+        """Before this writer publishes, another one commits: once to the same day, once to another day."""
+        if len(turns) < 2:
+            turns.append(number)
+            day = ("2026-05-02", "2026-05-03")[len(turns) - 1]
+            monkeypatch.setattr(Archive, "_publish", publish)
+            Archive(spark, str(tmp_path / "archive")).commit(frame((f"T{len(turns)}", 7.0, 5, day)), ["station_id"], ["run"])
+            monkeypatch.setattr(Archive, "_publish", late)
+        return publish(self, number, days)
+
+    monkeypatch.setattr(Archive, "_publish", late)
+    assert archive.commit(frame(("S1", 2.0, 2, "2026-05-02"), ("S2", 2.0, 2, "2026-05-02")), ["station_id"], ["run"]) == (4, 1)
+    assert read() == [("S1", 1.0, 1, "2026-05-01"), ("S1", 2.0, 2, "2026-05-02"), ("S2", 2.0, 2, "2026-05-02"), ("T1", 7.0, 5, "2026-05-02"), ("T2", 7.0, 5, "2026-05-03")]
+
+
+def test_a_commit_that_dies_leaves_the_old_version(spark, tmp_path, monkeypatch):
+    from aerolattice.sources.commits import Archive
+
+    archive, frame, read = committed(spark, str(tmp_path / "archive"))
+    archive.commit(frame(("S1", 1.0, 1, "2026-05-01"), ("S1", 1.0, 1, "2026-05-02")), ["station_id"], ["run"])
+    before = read()
+
+    def die(*_):
+        raise KeyboardInterrupt
+
+    with monkeypatch.context() as m:
+        m.setattr(Archive, "_publish", die)
+        with pytest.raises(KeyboardInterrupt):
+            archive.commit(frame(("S1", 9.0, 2, "2026-05-01"), ("S1", 9.0, 2, "2026-05-02")), ["station_id"], ["run"])
+    assert read() == before and archive.version()[0] == 1
+    assert archive.commit(frame(("S1", 9.0, 2, "2026-05-01"), ("S1", 9.0, 2, "2026-05-02")), ["station_id"], ["run"]) == (2, 0)
+    assert {r[1] for r in read()} == {9.0}
+    with pytest.raises(ValueError):
+        archive.commit(frame(("S1", 9.0, 2, None)), ["station_id"], ["run"])
+
+
+def test_windows_read_few_files(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    from aerolattice.operators import geo
+
+    boxes = spark.range(40_000).selectExpr("id", "cast((id * 7919) % 10007 as double) as x_min", "cast((id * 104729) % 10009 as double) as y_min").selectExpr("*", "x_min + 5 as x_max", "y_min + 5 as y_max")
+    geo.write_clustered(boxes, str(tmp_path / "curve"), 32, 500)
+    boxes.repartition(80).write.parquet(str(tmp_path / "plain"))
+
+    def share(name):
+        """The share of row groups whose statistics don't rule the window out."""
+        groups = [g for f in (tmp_path / name).glob("*.parquet") for m in [pq.ParquetFile(f).metadata] for g in (m.row_group(k) for k in range(m.num_row_groups))]
+        stats = [{g.column(c).path_in_schema: g.column(c).statistics for c in range(g.num_columns)} for g in groups]
+        return sum(s["x_max"].max >= 2000 and s["x_min"].min <= 3000 and s["y_max"].max >= 2000 and s["y_min"].min <= 3000 for s in stats) / len(stats)
+
+    assert share("curve") < 0.1 < 0.9 < share("plain")
+    assert spark.read.parquet(str(tmp_path / "curve")).count() == 40_000
+
+
+def test_sketches_of_days_unite(spark):
+    from aerolattice.operators import aggregates as A
+
+    rows = spark.range(30_000).selectExpr("id % 7 as day", "id % 9000 as who", "id % 2 as kind")
+    daily = A.daily_sketches(rows, "day", ["who"], ["kind"])
+    got = {r.kind: (r.rows, r.who_count) for r in A.united_counts(daily, ["who"], ["kind"]).collect()}
+    assert all(n == 15_000 and abs(c - 4500) < 4500 * 0.05 for n, c in got.values()) and A.united_counts(daily.limit(0), ["who"], ["kind"]).count() == 0
