@@ -365,9 +365,19 @@ def line_area(line: Column, width: Column) -> Column:
     return F.aggregate(steps, F.lit(0.0), lambda s, x: s + x) * width
 
 
-# Hue (degrees), saturation and lightness (percent) of vegetation and of high-visibility clothing, and the
-# least normalised excess green of strong green.
-GREEN, HIGH_VIS, STRONG_EXCESS = {"hue": (46, 109), "sat": 10, "light": (0, 95)}, {"hue": (45, 105), "sat": 42, "light": 45}, 0.026
+# The bounds of each mask, ends included, over the features of ``colour_features``. A pixel belongs to a mask if
+# it is in all of ``in``, in none of ``out``, within all of ``all``, and within all bounds of at least one of ``any``.
+MASKS: dict[str, dict] = {
+    "hls_green": {"all": {"hue": (46, 109), "sat": (10, math.inf), "light": (0, 95)}},
+    "high_vis": {"all": {"hue": (45, 105), "sat": (42, math.inf), "light": (45, math.inf)}, "any": [{"excess": (0.075, math.inf)}, {"sat": (68, math.inf), "light": (55, math.inf)}, {"sat": (75, math.inf), "value": (70, math.inf)}]},
+    "hls_strong": {"in": ["hls_green"], "out": ["high_vis"], "any": [{"excess": (0.026, math.inf)}, {"lab_green": (3, math.inf)}, {"lead": (0, math.inf)}]},
+}
+#: Ends of ``mask_confidence``: per cent recovered and removed from which it is low, and medium.
+CONFIDENCE = (("low", 38, 26), ("medium", 22, 14))
+#: CIE 1976, D65: rows of linear red, green and blue for X (over its white) and Y.
+TO_X, TO_Y, WHITE_X = (0.412453, 0.357580, 0.180423), (0.212671, 0.715160, 0.072169), 0.950456
+#: How much green must lead red and blue by.
+LEAD = 1.03
 
 
 def hls(r: Column, g: Column, b: Column) -> dict[str, Column]:
@@ -379,17 +389,37 @@ def hls(r: Column, g: Column, b: Column) -> dict[str, Column]:
     return {"hue": F.coalesce(F.pmod(60 * turn, F.lit(360.0)), F.lit(0.0)), "light": total / 5.1, "sat": 100 * F.coalesce(sat, F.lit(0.0)), "value": top / 2.55}
 
 
+def lab_green(r: Column, g: Column, b: Column) -> Column:
+    """How green a colour is along the a axis of CIE Lab, in whole steps as in 8-bit images: positive for green."""
+    linear = [F.when(v / 255 <= 0.04045, v / 255 / 12.92).otherwise(F.pow((v / 255 + 0.055) / 1.055, 2.4)) for v in (r, g, b)]
+    sum_of = lambda row: sum((F.lit(w) * v for w, v in zip(row, linear)), F.lit(0.0))
+    root = lambda t: F.when(t > 0.008856, F.pow(t, 1 / 3)).otherwise(7.787 * t + 16 / 116)
+    return -F.round(500 * (root(sum_of(TO_X) / WHITE_X) - root(sum_of(TO_Y))))
+
+
+def colour_features(r: Column, g: Column, b: Column) -> dict[str, Column]:
+    """``hls``, excess green over the sum, green of Lab, and by how much green leads both others."""
+    lead = F.least(g - LEAD * r, g - LEAD * b)
+    return hls(r, g, b) | {"excess": (2.0 * g - r - b) / (r + g + b + 1.0), "lab_green": lab_green(r, g, b), "lead": lead}
+
+
+def bounded_masks(features: Mapping[str, Column], table: Mapping[str, dict]) -> dict[str, Column]:
+    """The masks of a table like ``MASKS`` as 0 and 1; a mask may name earlier ones."""
+    within = lambda bounds: reduce(lambda x, y: x & y, (features[f].between(*ends) for f, ends in bounds.items()), F.lit(True))
+    found: dict[str, Column] = {}
+    for name, rule in table.items():
+        parts = [within(rule.get("all", {})), *(found[m] for m in rule.get("in", ())), *(~found[m] for m in rule.get("out", ()))]
+        if "any" in rule:
+            parts.append(reduce(lambda x, y: x | y, map(within, rule["any"])))
+        found[name] = reduce(lambda x, y: x & y, parts)
+    return {name: mask.cast("int") for name, mask in found.items()}
+
+
 def hls_masks(r: Column, g: Column, b: Column) -> dict[str, Column]:
     """Vegetation by hue, lightness and saturation; high-visibility colours; and strong green without them."""
-    c = hls(r, g, b)
-    excess = (2.0 * g - r - b) / (r + g + b + 1.0)
-    green = c["hue"].between(*GREEN["hue"]) & (c["sat"] >= GREEN["sat"]) & c["light"].between(*GREEN["light"])
-    neon = (excess >= 0.075) | ((c["sat"] >= 68) & (c["light"] >= 55)) | ((c["sat"] >= 75) & (c["value"] >= 70))
-    vivid = c["hue"].between(*HIGH_VIS["hue"]) & (c["sat"] >= HIGH_VIS["sat"]) & (c["light"] >= HIGH_VIS["light"]) & neon
-    strong = green & ~vivid & ((excess >= STRONG_EXCESS) | ((g >= r * 1.03) & (g >= b * 1.03)))
-    return {"hls_green": green.cast("int"), "high_vis": vivid.cast("int"), "hls_strong": strong.cast("int")}
+    return bounded_masks(colour_features(r, g, b), MASKS)
 
 
 def mask_confidence(recovered_pct: Column, removed_pct: Column) -> Column:
     """How far a green-view index rests on recovered or removed pixels."""
-    return F.when((recovered_pct > 38) | (removed_pct > 26), "low").when((recovered_pct > 22) | (removed_pct > 14), "medium").otherwise("high")
+    return reduce(lambda out, c: F.when((recovered_pct > c[1]) | (removed_pct > c[2]), c[0]).otherwise(out), reversed(CONFIDENCE), F.lit("high"))

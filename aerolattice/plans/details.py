@@ -139,10 +139,14 @@ def hls_view(spark: SparkSession, d: str) -> DataFrame:
     return R6(m.withColumn("confidence", S.mask_confidence(F.col("hls_green") - F.col("hls_strong"), F.col("high_vis"))))
 
 
+_LIN = lambda c: f"case when {c} / 255 <= 0.04045 then {c} / 255 / 12.92 else power(({c} / 255 + 0.055) / 1.055, 2.4) end"
+_ROOT = lambda c: f"case when {c} > 0.008856 then power({c}, 1.0 / 3) else 7.787 * {c} + 16.0 / 116 end"
 HLS = f"""{duck('pixels')}, p as (select floor(x / 50)::bigint % 12 as image, x * 7 % 256 as r, y * 5 % 256 as g, (x + y) % 256 as b from pixels), t as (select *, greatest(r, g, b) as hi, least(r, g, b) as lo from p),
  c as (select *, case when hi = lo then 0 else (60 * case when hi = r then (g - b) / (hi - lo) when hi = g then 2 + (b - r) / (hi - lo) else 4 + (r - g) / (hi - lo) end + 360) % 360 end as hue, (hi + lo) / 5.1 as li, case when hi = lo then 0 else 100 * case when hi + lo <= 255 then (hi - lo) / (hi + lo) else (hi - lo) / (510 - hi - lo) end end as sa, hi / 2.55 as va, (2.0 * g - r - b) / (r + g + b + 1.0) as ex from t),
- v as (select *, hue between 46 and 109 and sa >= 10 and li between 0 and 95 as green, hue between 45 and 105 and sa >= 42 and li >= 45 and (ex >= 0.075 or (sa >= 68 and li >= 55) or (sa >= 75 and va >= 70)) as vivid from c),
- m as (select image, count(*) as pixels, 100.0 * count(*) filter (green) / count(*) as hls_green, 100.0 * count(*) filter (vivid) / count(*) as high_vis, 100.0 * count(*) filter (green and not vivid and (ex >= 0.026 or (g >= r * 1.03 and g >= b * 1.03))) / count(*) as hls_strong from v group by image)
+ w as (select *, {_LIN('r')} as lr, {_LIN('g')} as lg, {_LIN('b')} as lb from c), x as (select *, (0.412453 * lr + 0.357580 * lg + 0.180423 * lb) / 0.950456 as cx, 0.212671 * lr + 0.715160 * lg + 0.072169 * lb as cy from w),
+ z as (select *, -round(500 * ({_ROOT('cx')} - {_ROOT('cy')})) as lab from x),
+ v as (select *, hue between 46 and 109 and sa >= 10 and li between 0 and 95 as green, hue between 45 and 105 and sa >= 42 and li >= 45 and (ex >= 0.075 or (sa >= 68 and li >= 55) or (sa >= 75 and va >= 70)) as vivid from z),
+ m as (select image, count(*) as pixels, 100.0 * count(*) filter (green) / count(*) as hls_green, 100.0 * count(*) filter (vivid) / count(*) as high_vis, 100.0 * count(*) filter (green and not vivid and (ex >= 0.026 or lab >= 3 or (g >= r * 1.03 and g >= b * 1.03))) / count(*) as hls_strong from v group by image)
  select image, pixels, round(hls_green, 6) as hls_green, round(high_vis, 6) as high_vis, round(hls_strong, 6) as hls_strong, case when hls_green - hls_strong > 38 or high_vis > 26 then 'low' when hls_green - hls_strong > 22 or high_vis > 14 then 'medium' else 'high' end as confidence from m"""
 
 def nearest_large_park(spark: SparkSession, d: str) -> DataFrame:

@@ -333,3 +333,18 @@ def test_left_out_medians(spark):
         for k in range(3):
             rest = [r[1 + k] for r in rows if r[0] != fold and r[1 + k] is not None]
             assert got[fold][k] == (pytest.approx(np.median(rest)) if rest else None)
+
+
+def test_lab_green_of_known_colours(spark):
+    """a* of CIE Lab under D65: pure green -86, pure red 80, grey 0."""
+    rows = spark.createDataFrame([(0, 255, 0), (255, 0, 0), (128, 128, 128), (0, 0, 0), (34, 139, 34)], "r int, g int, b int")
+    assert [r.v for r in rows.select(S.lab_green(F.col("r"), F.col("g"), F.col("b")).alias("v")).collect()] == [86, -80, 0, 0, 50]
+
+
+def test_masks_follow_their_table(spark):
+    table = {"low": {"all": {"x": (0, 5)}}, "high": {"any": [{"x": (8, math.inf)}, {"y": (1, 1), "x": (6, 9)}]}, "rest": {"out": ["low", "high"]}, "both": {"in": ["low"], "all": {"y": (1, 2)}}}
+    rows = spark.createDataFrame([(x, y) for x in range(10) for y in (0, 1)], "x int, y int")
+    got = rows.select("x", "y", *(m.alias(n) for n, m in S.bounded_masks({"x": F.col("x"), "y": F.col("y")}, table).items())).collect()
+    for r in got:
+        low, high = r.x <= 5, r.x >= 8 or (r.y == 1 and 6 <= r.x <= 9)
+        assert (r.low, r.high, r.rest, r.both) == (low, high, not low and not high, low and r.y == 1)
