@@ -184,13 +184,13 @@ def fold_delta(long: DataFrame, a: str, b: str, obs: str) -> DataFrame:
 
 def bootstrap_ci(values: DataFrame, value: str, n: int = 5000, seed: int = 42) -> DataFrame:
     """Resamples a column's rows with replacement: mean, 2.5 and 97.5 percentiles, two-sided p (at most 1). Picks are
-    hashes of seed, iteration and draw, so results repeat. The values are a fold table, some tens of rows; what is
+    md5 digests of seed, iteration and draw, so results repeat in any engine. The values are a fold table, some tens of rows; what is
     sampled is a join of picks with it, and iterations aggregate independently."""
     place = F.row_number().over(Window.orderBy(value)) - 1
     rows = values.filter(F.col(value).isNotNull()).withColumn("k", place.cast("long")).select("k", F.col(value).cast("double").alias("v"))
     size = rows.agg(F.count("*").alias("m"), F.avg("v").alias("mean"))
     draws = values.sparkSession.range(n).withColumnRenamed("id", "iter").crossJoin(F.broadcast(size)).filter("m > 0").withColumn("draw", F.explode(F.sequence(F.lit(1), F.col("m"))))
-    picks = draws.withColumn("k", F.pmod(F.xxhash64(F.lit(seed), "iter", "draw"), F.col("m")))
+    picks = draws.withColumn("k", F.pmod(F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("iter").cast("string"), F.col("draw").cast("string"))), 1, 8), 16, 10).cast("long"), F.col("m")))
     means = picks.join(F.broadcast(rows), "k").groupBy("iter").agg(F.avg("v").alias("mu"))
     q = means.agg(F.percentile("mu", F.lit(0.025)).alias("low"), F.percentile("mu", F.lit(0.975)).alias("high"), F.avg((F.col("mu") <= 0).cast("double")).alias("_le"), F.avg((F.col("mu") >= 0).cast("double")).alias("_ge"))
     return size.crossJoin(q).select(F.col("m").alias("n"), "mean", "low", "high", F.least(F.lit(1.0), 2 * F.least("_le", "_ge")).alias("p"), F.when(F.col("m") < 2, "too few values").alias("note"))

@@ -173,7 +173,12 @@ DELTA = f"{_LONG} select fold, count(*) filter (model = 'm1b') as n, round(avg(a
 
 
 def bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
-    return C.bootstrap_ci(fold_delta(spark, d), "delta", 5000)
+    return C.bootstrap_ci(fold_delta(spark, d), "delta", 5000).withColumns({c: F.round(c, 6) for c in ("mean", "low", "high", "p")})
+
+
+BOOTSTRAP = f"""with v as (select delta as v, row_number() over (order by delta) - 1 as k, count(*) over () as m from ({DELTA}) x where delta is not null),
+ d as (select iter, ('0x' || substr(md5('42:' || iter || ':' || draw), 1, 8))::bigint % m as k from (select max(m) as m from v) z, range(0, 5000) i(iter), range(1, 100000) w(draw) where draw <= m), g as (select iter, avg(v) as mu from d join v using (k) group by iter)
+ select (select count(*) from v) as n, round((select avg(v) from v), 6) as mean, round(quantile_cont(mu, 0.025), 6) as low, round(quantile_cont(mu, 0.975), 6) as high, round(least(1, 2 * least(avg((mu <= 0)::int), avg((mu >= 0)::int))), 6) as p, cast(null as varchar) as note from g"""
 
 
 def ablation(spark: SparkSession, d: str) -> DataFrame:
@@ -225,6 +230,6 @@ FOCUS = f"{_HEAD}, z as ({_TAIL}), t as (select z.*, b.t from z join b using (ro
 QUERIES = {
     "skill_by_station": (skill_by_station, f"{O} select station, {SKILL} from b group by station"), "skill_by_period": (skill_by_period, BY_PERIOD), "confusion_31": (confusion_31, CONFUSION), "threshold_scan": (threshold_scan, SCAN),
     "operating_points": (operating_points, POINTS), "residual_by_hour": (residual_by_hour, BY_HOUR), "grouped_bias": (grouped_bias, GROUPED), "fit_linear": (fit_linear, FIT), "apply_linear": (apply_linear, APPLY), "loso_bias_oof": (loso_bias_oof, LOSO),
-    "time_block_oof": (time_block_oof, BLOCK), "group_folds": (group_folds, GROUPS), "loso_ridge_oof": (loso_ridge_oof, RIDGE), "left_out_medians": (left_out_medians, LEFT_OUT), "model_ladder": (model_ladder, LADDER), "fold_delta": (fold_delta, DELTA), "bootstrap_ci": (bootstrap_ci, None),
+    "time_block_oof": (time_block_oof, BLOCK), "group_folds": (group_folds, GROUPS), "loso_ridge_oof": (loso_ridge_oof, RIDGE), "left_out_medians": (left_out_medians, LEFT_OUT), "model_ladder": (model_ladder, LADDER), "fold_delta": (fold_delta, DELTA), "bootstrap_ci": (bootstrap_ci, BOOTSTRAP),
     "ablation": (ablation, ABLATION), "proxy_diagnostic": (proxy_diagnostic, DIAGNOSTIC), "formula_variants": (formula_variants, VARIANTS), "random_forest_cv": (random_forest_cv, None), "permutation_importance": (permutation_importance, None), "focus_timeline": (focus_timeline, FOCUS),
 }

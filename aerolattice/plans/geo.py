@@ -152,6 +152,26 @@ def dedup_footprints(spark: SparkSession, d: str) -> DataFrame:
     return G.dedup_footprints(adapter(spark, d, "boxes"), "box", "priority", 100.0, 0.25)
 
 
+def _pairs(where: str) -> str:
+    """Pairs of overlapping boxes, the better one first: its order is source, larger area, id."""
+    return f"""q as (select box, priority, type, size, x_min, x_max, y_min, y_max, (x_max - x_min) * (y_max - y_min) as area, row_number() over (order by priority, -(x_max - x_min) * (y_max - y_min), box) as o from boxes where {where}),
+ j as (select a.box as better, b.box as worse, a.o as bo, a.area as ba, b.area as wa, (least(a.x_max, b.x_max) - greatest(a.x_min, b.x_min)) * (least(a.y_max, b.y_max) - greatest(a.y_min, b.y_min)) as i,
+  sqrt(power((a.x_min + a.x_max - b.x_min - b.x_max) / 2, 2) + power((a.y_min + a.y_max - b.y_min - b.y_max) / 2, 2)) as dist from q a join q b on a.o < b.o and a.x_min < b.x_max and b.x_min < a.x_max and a.y_min < b.y_max and b.y_min < a.y_max)"""
+
+
+def _repeats(where: str, iou: float) -> str:
+    """``s``: the status and keeper of each box. Each step of the recursion holds all boxes, and decides those whose better
+    neighbours are decided."""
+    return f"""{duck('boxes').replace('with ', 'with recursive ', 1)}, {_pairs(where)}, e as (select better, worse, i / (ba + wa - i) as iou from j where i / (ba + wa - i) >= {iou}),
+ r as (select 0 as step, box, cast(null as varchar) as status from q union all select step + 1, box, case when status is not null then status when undecided > 0 then null when news > 0 then 'duplicate' else 'new' end
+  from (select r.step, r.box, r.status, count(*) filter (e.better is not null and b.status is null) as undecided, count(*) filter (b.status = 'new') as news from r left join e on e.worse = r.box left join r b on b.box = e.better group by 1, 2, 3) t where exists (select 1 from r where status is null)),
+ l as (select box, status from r where step = (select max(step) from r)), k as (select worse, better, row_number() over (partition by worse order by iou desc, better) as n from e join l on l.box = better and l.status = 'new'),
+ s as (select l.box, l.status, case when l.status = 'duplicate' then better end as keeper from l left join k on k.worse = l.box and n = 1)"""
+
+
+DEDUP = f"{_repeats('true', 0.25)} select box, status, keeper from s"
+
+
 def knn_distance(spark: SparkSession, d: str) -> DataFrame:
     p = adapter(spark, d, "nodes").select("node", F.col("nx").alias("x"), F.col("ny").alias("y"))
     return R6(G.knn_distance(p, "node", 5))
@@ -230,6 +250,19 @@ def footprints_resolved(spark: SparkSession, d: str) -> DataFrame:
     return state.join(merged, "box", "left")
 
 
+RESOLVED = f"""{duck('boxes').replace('with ', 'with recursive ', 1)}, {_pairs('(x_max - x_min) * (y_max - y_min) >= case when priority = 3 then 400 else 150 end')},
+ f as (select *, i / (ba + wa - i) as iou, i / wa as own, i / ba as other, ba / wa as ratio from j), e as (select *, case when iou >= 0.35 or (own >= 0.6 and other >= 0.3) or (dist <= 8 and ratio between 0.5 and 2) then 'merged_duplicate' when own < 0.2 then 'accepted_new' else 'conflict_review' end as verdict,
+  row_number() over (partition by worse order by iou desc, own desc, other desc, dist, bo) as merit from f),
+ r as (select 0 as step, box, cast(null as varchar) as status, cast(null as bigint) as match from q union all select step + 1, box, case when status is not null then status when undecided = 0 then coalesce(best.verdict, 'accepted_new') end,
+  case when status is not null then match when undecided = 0 and best.verdict <> 'accepted_new' then best.better end
+  from (select r.step, r.box, r.status, r.match, count(*) filter (e.better is not null and b.status is null) as undecided, arg_min({{'verdict': e.verdict, 'better': e.better}}, e.merit) filter (b.status = 'accepted_new') as best
+   from r left join e on e.worse = r.box left join r b on b.box = e.better group by 1, 2, 3, 4) t where exists (select 1 from r where status is null)),
+ l as (select box, status, match from r where step = (select max(step) from r) union all select box, 'rejected_tiny', null from boxes where (x_max - x_min) * (y_max - y_min) < case when priority = 3 then 400 else 150 end),
+ m as (select case when status = 'accepted_new' then box else match end as kept, status <> 'accepted_new' as later, priority, box, type, case when box % 3 = 0 then size::double end as height from l join boxes using (box) where status in ('accepted_new', 'merged_duplicate')),
+ g as (select kept, count(*) as candidates, string_agg(type, ';' order by later, priority, box) as sources, arg_min(height, {{'a': later, 'b': priority, 'c': box}}) filter (height is not null) as height from m group by kept)
+ select l.box, status, match, candidates, sources, height from l left join g on g.kept = l.box"""
+
+
 def overhead_dedup(spark: SparkSession, d: str) -> DataFrame:
     """Overhead structures: IoU of one half, with the number of candidates that each kept one stands for."""
     b = adapter(spark, d, "boxes").filter("priority <> 2")
@@ -237,9 +270,13 @@ def overhead_dedup(spark: SparkSession, d: str) -> DataFrame:
     return G.merge_provenance(b, state, "box", "priority", "type", [], "new", "duplicate", "keeper")
 
 
+OVERHEAD = f"""{_repeats('priority <> 2', 0.5)}, m as (select case when status = 'new' then s.box else keeper end as kept, status <> 'new' as later, q.priority, s.box, q.type from s join q on q.box = s.box)
+ select kept as box, count(*) as candidates, string_agg(type, ';' order by later, priority, box) as sources from m group by kept"""
+
+
 QUERIES = {
     "decay_access": (decay_access, DECAY), "overlay_fraction": (overlay_fraction, OVERLAY), "points_in_boxes": (points_in_boxes, IN_BOX), "point_density": (point_density, DENSITY), "zonal_stats": (zonal_stats, ZONAL), "shade_hours": (shade_hours, SHADE),
     "area_weighted": (area_weighted, WEIGHTED), "type_breakdown": (type_breakdown, TYPES), "completeness": (completeness, COMPLETE), "source_summary": (source_summary, SOURCES), "median_by_group": (median_by_group, MEDIANS), "opacity_sweep": (opacity_sweep, SWEEP),
-    "spatial_blocks": (spatial_blocks, BLOCKS), "iou_pairs": (iou_pairs, IOU), "non_covered": (non_covered, NON_COVERED), "dedup_footprints": (dedup_footprints, None), "footprints_resolved": (footprints_resolved, None), "overhead_dedup": (overhead_dedup, None), "knn_distance": (knn_distance, KNN), "dbscan": (dbscan, DBSCAN), "gwr": (gwr, GWR),
+    "spatial_blocks": (spatial_blocks, BLOCKS), "iou_pairs": (iou_pairs, IOU), "non_covered": (non_covered, NON_COVERED), "dedup_footprints": (dedup_footprints, DEDUP), "footprints_resolved": (footprints_resolved, RESOLVED), "overhead_dedup": (overhead_dedup, OVERHEAD), "knn_distance": (knn_distance, KNN), "dbscan": (dbscan, DBSCAN), "gwr": (gwr, GWR),
     "combine_layers": (combine_layers, COMBINE), "rasterised": (rasterised, RASTER), "green_view": (green_view, GREEN), "clipped": (clipped, CLIPPED),
 }

@@ -165,8 +165,32 @@ def greedy_tiles(spark: SparkSession, d: str) -> DataFrame:
     return R.greedy_diverse_topk(c, "kind", "old", "cell", 5, 500.0)
 
 
+def diverse_tiles(spark: SparkSession, d: str) -> DataFrame:
+    """Tiles of 450 m, 300 m apart, which may overlap by a fifth, with little overhead cover; where a land use has fewer than
+    four of these, the limit is relaxed."""
+    c = _cells(spark, d).select("cell", "x", "y", F.col("land_use").alias("kind"), "old", F.col("density").alias("overhead"))
+    return R.greedy_diverse_topk(c.filter("kind <> 'BUILDING' or overhead > 0.4"), "kind", "old", "cell", 4, 300.0, {"overhead": 0.12}, 450.0)
+
+
+def _tiles(source: str, k: int, least: float, relax: list[float], limit: str, side: str) -> str:
+    """One choice a step: the kind, the round, how many it has, and all tiles chosen so far travel in one row."""
+    overlap = f"""greatest({side} - abs(c.x - t.x), 0) * greatest({side} - abs(c.y - t.y), 0)"""
+    far = f"sqrt(power(c.x - t.x, 2) + power(c.y - t.y, 2)) >= {least}" + (f" and {overlap} / (2 * {side} * {side} - {overlap}) <= 0.2" if side else "")
+    return f"""{source}, names as (select kind, row_number() over (order by kind nulls first) as n from (select distinct kind from c0) u),
+ r as (select 1::bigint as n, 1::bigint as round, 0 as taken, [] ::struct(cell bigint, x double, y double)[] as chosen, 0 as step
+  union all select case when found is null and r.round = {len(relax)} or found is not null and r.taken + 1 = {k} then r.n + 1 else r.n end, case when found is not null and r.taken + 1 = {k} then 1 when found is not null then r.round when r.round = {len(relax)} then 1 else r.round + 1 end,
+   case when found is not null and r.taken + 1 < {k} then r.taken + 1 when found is null and r.round < {len(relax)} then r.taken else 0 end, case when found is null then r.chosen else list_append(r.chosen, found) end, r.step + 1
+  from (select r.*, (select {{'cell': c.cell, 'x': c.x, 'y': c.y}} from c0 c join names m on m.kind is not distinct from c.kind where m.n = r.n and {limit} and not list_contains(list_transform(r.chosen, lambda t: t.cell), c.cell)
+    and {'(r.round = 4 or ' if len(relax) > 1 else '('} list_bool_and(list_append(list_transform(r.chosen, lambda t: {far}), true))) order by c.old desc, c.cell limit 1) as found from r) r where r.n <= (select count(*) from names))
+ select c0.* from (select unnest(chosen).cell as cell from r where step = (select max(step) from r)) z join c0 using (cell)"""
+
+
+_TILE_CELLS = f"{duck('cells').replace('with ', 'with recursive ', 1)}, c0 as (select cell, x, y, land_use as kind, round(density * 0.6 + road * 0.4, 6) as old"
+GREEDY = _tiles(f"{_TILE_CELLS} from cells)", 5, 500.0, [1.0], "true", "")
+DIVERSE = _tiles(f"{_TILE_CELLS}, density as overhead from cells where land_use <> 'BUILDING' or density > 0.4)", 4, 300.0, [1.0, 2.5, 5.0, 999.0], "c.overhead <= 0.12::double * ([1.0, 2.5, 5.0, 999.0]::double[])[r.round]", "450.0")
+
 QUERIES = {
     "rank_comparison": (rank_comparison, COMPARE), "spearman": (spearman, SPEARMAN), "topn_overlap": (topn_overlap, OVERLAP), "entering_leaving": (entering_leaving, ENTERING), "stacked_top": (stacked_top, STACKED), "transition_fisher": (transition_fisher, FISHER),
     "transitions": (transitions, TRANSITIONS), "audit_flags": (audit_flags, AUDIT), "density_sanity": (density_sanity, SANITY), "mann_whitney": (mann_whitney, MANN), "conditioned_risk": (conditioned_risk, CONDITIONED), "interpretation": (interpretation, INTERPRETATION),
-    "top_vs_all": (top_vs_all, TOP_ALL), "role_delta": (role_delta, ROLE), "qa_priority": (qa_priority, QA), "greedy_tiles": (greedy_tiles, None),
+    "top_vs_all": (top_vs_all, TOP_ALL), "role_delta": (role_delta, ROLE), "qa_priority": (qa_priority, QA), "greedy_tiles": (greedy_tiles, GREEDY), "diverse_tiles": (diverse_tiles, DIVERSE),
 }
