@@ -20,6 +20,8 @@ from .common import slices
 
 #: Bounds of the training sample, in rows: of one language, and of all. Their whole texts are used.
 SAMPLE_DOCS, SAMPLE_ROWS = 400, 2_000
+#: Parts of a long training text, and their code points.
+PARTS, PART = 32, 512
 #: Units of each direction; steps, windows of a step and bytes of a window in training.
 HIDDEN, STEPS, BATCH, STRETCH = 8, 500, 128, 64
 #: Bytes that a window labels, bytes that it reads before and after them, and windows that run together.
@@ -206,7 +208,7 @@ def train(texts: list[str], labels: list[str], steps: int = STEPS, seed: int = 7
 
 def training_sample(docs: DataFrame, docs_each: int = SAMPLE_DOCS, rows: int = SAMPLE_ROWS) -> DataFrame:
     """About ``docs_each`` rows of each language, and about ``rows`` in all, chosen by a hash of the id among labelled
-    rows that aren't held out, with their whole texts. One slim count (a row for each language, as the network has an
+    rows that aren't held out, with their texts, of long ones parts: what reaches the driver is bounded. One slim count (a row for each language, as the network has an
     output for each) and one scan; no shuffle of texts."""
     usable = docs.select("doc_id", "text", F.col("lang").cast("string").alias("lang")).filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~F.coalesce(held_out(F.col("doc_id")), F.lit(False)))
     sizes = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}
@@ -215,7 +217,11 @@ def training_sample(docs: DataFrame, docs_each: int = SAMPLE_DOCS, rows: int = S
     each = min(docs_each, rows / len(sizes))
     wanted = F.create_map(*(F.lit(x) for lang, n in sorted(sizes.items()) for x in (lang, each / n)))
     share = F.pmod(F.xxhash64(F.lit("language sample"), "doc_id"), F.lit(1_000_000)) / 1_000_000
-    return usable.filter(share < wanted[F.col("lang")])
+    # Training reads short stretches, so of a long text PARTS parts of equal length, evenly spread, are as good.
+    size = F.length("text")
+    parts = F.transform(F.sequence(F.lit(0), F.lit(PARTS - 1)), lambda k: F.substring("text", F.floor(k * (size - PART) / (PARTS - 1)).cast("int") + 1, F.lit(PART)))
+    text = F.when(size > PARTS * PART, F.array_join(parts, " ")).otherwise(F.col("text"))
+    return usable.filter(share < wanted[F.col("lang")]).withColumn("text", text)
 
 
 def fit(docs: DataFrame, docs_each: int = SAMPLE_DOCS, steps: int = STEPS) -> Network | None:

@@ -5,10 +5,13 @@ battery holds a token against ordinary writing in that encoding:
 
 - chi-squared uniformity over the alphabet, as the number of equal pairs of letters: ordinary writing repeats letters;
 - runs of character classes (lower, upper, digits, others): ordinary writing stays within a class;
-- lag-1 serial correlation of the places in the alphabet: sequences and repeated patterns are correlated.
+- lag-1 serial correlation of the places in the alphabet: sequences and repeated patterns are correlated by ``CORRELATION``
+  and more; Fisher's transform of a coefficient is normal around that of the true one, with a deviation of 1 / sqrt(n - 3).
 
 The first two p-values are joined by Fisher's method, and the largest of that and the third is the token's one p-value: a
-secret must look random in every respect. These p-values, of all tokens tested, go through Benjamini-Hochberg control over
+secret must look random in every respect. Parts of the battery aren't quite independent, so that value is multiplied by
+``MARGIN``: on ordinary tokens made of words, paths, dates and counters, values as small are then no more frequent than they
+say (a test measures that). These p-values, of all tokens tested, go through Benjamini-Hochberg control over
 the whole corpus, within strata of length, because short tokens carry little evidence and must not share the error budget
 of long ones. Counts of p-value bins carry the control, so nothing is sorted.
 """
@@ -38,6 +41,7 @@ ALPHABETS = {
 #: Rates of equal pairs in ordinary writing, by the size of the alphabet; of changes of class; false-discovery rate; upper
 #: ends of the strata.
 COINCIDENCE, CHANGE, RATE, STRATA = {16: 0.12, 32: 0.08, 64: 0.065}, 0.25, 0.01, (28, 40, 64)
+CORRELATION, MARGIN = 0.8, 2.5
 CLASS_RUN = "[a-z]+|[A-Z]+|[0-9]+|[^a-zA-Z0-9]+"
 LEAST = 20
 #: Bins of -log10(p): ten for each power of ten, up to 10^-30.
@@ -101,11 +105,12 @@ def battery(token: Column, alphabet: Column) -> Column:
         mean = _sum(v) / n
         spread = _sum(F.transform(v, lambda x: (x - mean) * (x - mean)))
         along = _sum(F.zip_with(F.slice(v, 1, F.size(v) - 1), F.slice(v, 2, F.size(v) - 1), lambda a, b: (a - mean) * (b - mean)))
-        r = F.least(F.abs(F.coalesce(F.try_divide(along, spread), F.lit(1.0))), F.lit(1.0))
-        return -n * (1 - r) * (1 - r) / 2 - math.log(2)
+        r = F.least(F.abs(F.coalesce(F.try_divide(along, spread), F.lit(1.0))), F.lit(0.999999))
+        z = (math.atanh(CORRELATION) - F.atanh(r)) * F.sqrt(n - 3)
+        return F.when(z > 0, -z * z / 2 - math.log(2)).otherwise(F.lit(0.0))
 
     ln_serial = F.aggregate(F.array(values), F.lit(0.0), lambda _, v: serial(v))
-    return F.greatest(-F.greatest(ln_fisher, ln_serial) / math.log(10), F.lit(0.0))
+    return F.greatest(-(F.greatest(ln_fisher, ln_serial) + math.log(MARGIN)) / math.log(10), F.lit(0.0))
 
 
 def tested(token: Column) -> Column:

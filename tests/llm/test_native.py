@@ -68,8 +68,9 @@ def plain_bin(token):
     v = [alphabet.index(c) for c in token]
     m = sum(v) / n
     spread = sum((x - m) ** 2 for x in v)
-    r = min(1, abs(sum((x - m) * (y - m) for x, y in zip(v, v[1:])) / spread)) if spread else 1
-    p = max(both + math.log(1 - both), -n * (1 - r) ** 2 / 2 - math.log(2))
+    r = min(0.999999, abs(sum((x - m) * (y - m) for x, y in zip(v, v[1:])) / spread)) if spread else 0.999999
+    z = (math.atanh(secrets.CORRELATION) - math.atanh(r)) * math.sqrt(n - 3)
+    p = max(both + math.log(1 - both), -z * z / 2 - math.log(2) if z > 0 else 0) + math.log(secrets.MARGIN)
     return min(math.floor(max(-p / math.log(10), 0) * 10), secrets.BINS)
 
 
@@ -84,6 +85,57 @@ def plain_cuts(tests, rate):
     return cuts
 
 
+WRITING = "the request handler module config parser user session token manager build output stream reader buffer index page table column value field name type error message service client server domain path file folder image video music player game level score unit mock data model view controller".split()
+HEX_WORDS = "dead beef cafe face added decade facade bead fade deed feed bad cab dad ace bee 2024 1999 2000 100 00 12 31 0001 42".split()
+
+
+def ordinary(rng):
+    """A token of 20 and more characters as people and programs write them."""
+    while True:
+        own = rng.choices(WRITING, k=rng.randint(3, 10))
+        date = f"{rng.randint(1990, 2026)}/{rng.randint(1, 12):02d}"
+        kinds = ["".join(map(str.capitalize, own)), "_".join(own), "-".join(own), "/".join(own), f"{'-'.join(own)}-{rng.randint(1, 99999)}", "_".join(own).upper(), "/".join([date, *own]), own[0] + "".join(map(str.capitalize, own[1:])) + str(rng.randint(0, 99)),
+                 f"v{rng.randint(0, 9)}_{rng.randint(0, 99)}-{'-'.join(own)}", "".join(rng.choices(HEX_WORDS, k=rng.randint(6, 14))), "".join(rng.choices(HEX_WORDS, k=rng.randint(6, 14))).upper()]
+        token = rng.choice(kinds)
+        if len(token) >= 20 and plain_bin(token) is not None:
+            return token
+
+
+def test_p_values_of_ordinary_tokens():
+    """Of 10,000 ordinary tokens no more are at a p-value than it says, but for chance, and none is discovered."""
+    rng = random.Random(17)
+    tokens = [ordinary(rng) for _ in range(10_000)]
+    bins = [plain_bin(t) for t in tokens]
+    for power in (1, 2, 3, 4):
+        expected = 10_000 * 10**-power
+        assert sum(b >= 10 * power for b in bins) <= expected + 3 * math.sqrt(expected)
+    tests = [(sum(len(t) >= end for end in secrets.STRATA), b) for t, b in zip(tokens, bins)]
+    cuts = plain_cuts(tests, secrets.RATE)
+    assert sum(b >= cuts.get(s, secrets.BINS + 1) for s, b in tests) <= secrets.RATE * len(tests)
+
+
+def test_power_by_length_and_encoding():
+    """The share of keys with a p-value that is found among 10,000 ordinary tokens for each key."""
+    rng = random.Random(23)
+    found = {}
+    for name, n in (("base64", 32), ("base64", 40), ("base64url", 43), ("upper_hex", 40), ("upper_hex", 48), ("upper_hex", 64), ("base32", 52)):
+        keys = ["".join(rng.choice(secrets.ALPHABETS[name]) for _ in range(n)) for _ in range(300)]
+        found[name, n] = sum((plain_bin(k) or 0) >= 60 for k in keys) / 300
+    assert found["base64", 32] > 0.25 and found["base64", 40] > 0.75 and found["base64url", 43] > 0.85 and found["base32", 52] > 0.8
+    assert found["upper_hex", 40] > 0.4 and found["upper_hex", 48] > 0.8 and found["upper_hex", 64] > 0.97
+
+
+def test_one_key_among_ten_thousand_tokens(spark):
+    rng = random.Random(29)
+    tokens = [ordinary(rng) for _ in range(10_000)]
+    key = "".join(rng.choice(secrets.ALPHABETS["base64"]) for _ in range(44))
+    tokens[4321] = key
+    texts = [" ".join(tokens[k : k + 100]) for k in range(0, 10_000, 100)]
+    rows = {r.doc_id: r for r in secrets.scan_secrets(messy(spark, texts)).collect()}
+    hits = [texts[i][s.start : s.end] for i, r in rows.items() for s in r.spans if s.kind == 3]
+    assert key in hits and len(hits) <= 1 + secrets.RATE * len(tokens) / 10
+
+
 def test_secret_method_equals_brute_force(spark):
     rng = random.Random(12)
     draw = lambda chars, n: "".join(rng.choice(chars) for _ in range(n))
