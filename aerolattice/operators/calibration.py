@@ -255,21 +255,22 @@ def random_forest_cv(df: DataFrame, features: Sequence[str], label: str, trees:
     return skill(out, "pred", label, ["fold"])
 
 
-def permutation_importance(df: DataFrame, predict: Column | Callable[[DataFrame], DataFrame], features: Sequence[str], obs: str, repeats: int = 3, seed: int = 0) -> DataFrame:
+def permutation_importance(df: DataFrame, predict: Column | Callable[[DataFrame], DataFrame], features: Sequence[str], obs: str, repeats: int = 3, seed: int = 0, key: str | None = None) -> DataFrame:
     """Rise of the RMSE when one feature's values are dealt anew over all rows. ``predict`` is a Column over the features,
     or a fitted model's ``transform``, which adds ``pred``. A shuffle joins the rows, by their place in one order, with the
-    feature's values by their place in a hashed order; both orders are made in ranges."""
+    feature's values by their place in an order of md5 digests; both orders are made in ranges. With a ``key`` of the rows
+    the order is that of the seed, the repeat, the feature and the key, whatever the partitions are."""
     from ..session import stored
     from .windows import row_rank
 
     predicted = predict if callable(predict) and not isinstance(predict, Column) else lambda d: d.withColumn("pred", predict)
     error = F.sqrt(F.avg(F.pow(F.col(obs) - F.col("pred"), 2)))
-    rows = stored(df.withColumn("_id", F.monotonically_increasing_id()), "importance-rows")
+    rows = stored(df.withColumn("_id", F.col(key) if key else F.monotonically_increasing_id()), "importance-rows")
     base, placed = predicted(df).agg(error.alias("base")), row_rank(rows, [F.col("_id")], "_place")
     out = None
     for f in features:
         for k in range(repeats):
-            dealt = row_rank(rows.select("_id", f, F.xxhash64(F.lit(seed), F.lit(k), F.lit(f), "_id").alias("_key")), [F.col("_key"), F.col("_id")], "_place")
+            dealt = row_rank(rows.select("_id", f, F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit(str(k)), F.lit(f), F.col("_id").cast("string"))).alias("_key")), [F.col("_key"), F.col("_id")], "_place")
             one = predicted(placed.drop(f).join(dealt.select("_place", f), "_place").select(*df.columns)).agg(error.alias("rmse")).select(F.lit(f).alias("feature"), "rmse")
             out = one if out is None else out.unionByName(one)
     return out.crossJoin(F.broadcast(base)).groupBy("feature").agg(F.avg(F.col("rmse") - F.col("base")).alias("rise"))

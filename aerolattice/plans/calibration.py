@@ -220,6 +220,20 @@ def permutation_importance(spark: SparkSession, d: str) -> DataFrame:
     return C.permutation_importance(o, C.forest_pipeline(["p", "p2"], "y", ["kind"], 20).fit(o).transform, ["p", "p2", "kind"], "y", 2)
 
 
+def linear_importance(spark: SparkSession, d: str) -> DataFrame:
+    """Of a fixed linear model, by the rows' own key."""
+    o = _obs(spark, d).select("row_id", "y", "p", "p2", "h")
+    return R6(C.permutation_importance(o, F.col("p") * 0.7 + F.col("p2") * 0.3, ["p", "p2", "h"], "y", 2, key="row_id"))
+
+
+_DEALT = " union all ".join(
+    f"select '{f}' as feature, {k} as k, sqrt(avg(power(a.y - ({'b.v' if f == 'p' else 'a.p'} * 0.7 + {'b.v' if f == 'p2' else 'a.p2'} * 0.3), 2))) as rmse from a join (select {f} as v, row_number() over (order by md5('0:{k}:{f}:' || row_id), row_id) as place from o) b using (place)"
+    for f in ("p", "p2", "h") for k in range(2)
+)
+LINEAR = f"""{O}, a as (select *, row_number() over (order by row_id) as place from o), x as ({_DEALT}), z as (select sqrt(avg(power(y - (p * 0.7 + p2 * 0.3), 2))) as base from o)
+ select feature, round(avg(rmse - base), 6) as rise from x cross join z group by feature"""
+
+
 def focus_timeline(spark: SparkSession, d: str) -> DataFrame:
     o = C.oof_linear(C.oof_bias(C.folds_loso(_obs(spark, d), "station"), "p", "y", "period"), "p", "y")
     return R6(o.groupBy("station", "t").agg(F.max("m1b").alias("m1b"), F.max("m2").alias("m2"), F.max("y").alias("y"))).withColumn("alert", F.col("m1b") >= 29.0)
@@ -231,5 +245,5 @@ QUERIES = {
     "skill_by_station": (skill_by_station, f"{O} select station, {SKILL} from b group by station"), "skill_by_period": (skill_by_period, BY_PERIOD), "confusion_31": (confusion_31, CONFUSION), "threshold_scan": (threshold_scan, SCAN),
     "operating_points": (operating_points, POINTS), "residual_by_hour": (residual_by_hour, BY_HOUR), "grouped_bias": (grouped_bias, GROUPED), "fit_linear": (fit_linear, FIT), "apply_linear": (apply_linear, APPLY), "loso_bias_oof": (loso_bias_oof, LOSO),
     "time_block_oof": (time_block_oof, BLOCK), "group_folds": (group_folds, GROUPS), "loso_ridge_oof": (loso_ridge_oof, RIDGE), "left_out_medians": (left_out_medians, LEFT_OUT), "model_ladder": (model_ladder, LADDER), "fold_delta": (fold_delta, DELTA), "bootstrap_ci": (bootstrap_ci, BOOTSTRAP),
-    "ablation": (ablation, ABLATION), "proxy_diagnostic": (proxy_diagnostic, DIAGNOSTIC), "formula_variants": (formula_variants, VARIANTS), "random_forest_cv": (random_forest_cv, None), "permutation_importance": (permutation_importance, None), "focus_timeline": (focus_timeline, FOCUS),
+    "ablation": (ablation, ABLATION), "proxy_diagnostic": (proxy_diagnostic, DIAGNOSTIC), "formula_variants": (formula_variants, VARIANTS), "random_forest_cv": (random_forest_cv, None), "permutation_importance": (permutation_importance, None), "linear_importance": (linear_importance, LINEAR), "focus_timeline": (focus_timeline, FOCUS),
 }
