@@ -358,7 +358,7 @@ def test_recall_on_the_drivers_documents(spark, share):
     for k in range(0, len(base), 10):
         mates = [j for j in got if j != k and got[j] == got[k]]
         texts = base + copies
-        assert not mates or any(edit_fingerprint.distance_within(texts[k], texts[j], m := int(0.2 * max(len(texts[k]), len(texts[j])))) <= m for j in mates)
+        assert not mates or any(edit_fingerprint.distance_within(texts[k], texts[j], m := int(0.12 * max(len(texts[k]), len(texts[j])) + 1e-9)) <= m for j in mates)
 
 
 def test_aligned_distance():
@@ -378,6 +378,16 @@ def test_aligned_distance():
     assert edit_fingerprint.aligned_distance("x" * 50_000, "y" * 50_000, 20) > 20
 
 
+def test_least_edits_is_a_bound_below():
+    rng = random.Random(16)
+    for _ in range(200):
+        a = "".join(rng.choice("abc ") for _ in range(rng.randint(0, 60)))
+        b = scattered(rng, a, rng.choice((0.05, 0.3))) if a and rng.random() < 0.7 else "".join(rng.choice("abd ") for _ in range(rng.randint(0, 60)))
+        x, y = (np.frombuffer(t.encode("utf-32-le"), np.uint32) for t in (a, b))
+        assert edit_fingerprint._least_edits(x, y) <= plain_distance(a, b)
+    assert edit_fingerprint._least_edits(x[:0], x[:0]) == 0
+
+
 def test_aligned_distance_of_very_long_texts():
     import time
 
@@ -424,7 +434,7 @@ def plain_classes(plain, full):
         left = [(i, key[0]) for key, m in buckets.items() if key not in done for i in m]
     comp = list(range(len(plain)))
     for a, b in sorted(together):
-        most = int(max(len(plain[a]), len(plain[b])) * 0.2 + 1e-9)
+        most = int(max(len(plain[a]), len(plain[b])) * 0.12 + 1e-9)
         if edit_fingerprint.likeness(prints[a], prints[b]) >= edit_fingerprint.LIKE and edit_fingerprint.aligned_distance(plain[a], plain[b], most) <= most:
             x, y = sorted((comp[a], comp[b]))
             comp = [x if c == y else c for c in comp]
