@@ -9,8 +9,9 @@ What it leaves open at the end is little, but not nothing. So:
 
 1. items are dealt by a hash into groups of about ``GROUP``; within a group they come in seeded order, but for the smallest
    ``HELD`` of them, which come last, from large to small. Full bins stay as they are; the others are dissolved;
-2. the items of dissolved bins meet in groups of the same size and are packed in the same way. The bins that stay open
-   there are dissolved once more and filled by best fit, from large to small.
+2. the items of dissolved bins, a sixth to a quarter of all, meet in groups of the same size and are packed in the same
+   way. The bins that stay open there are dissolved once more and filled by best fit, from large to small; where best fit
+   needs fewer bins for the whole group, it takes the whole group.
 
 A task holds one group of numbers; no step sees all items.
 """
@@ -105,6 +106,10 @@ def pack_group(sizes: np.ndarray, last: bool, capacity: int = CAPACITY) -> tuple
         again = best_fit(sizes[loose], capacity)
         if again.max() < (gaps > 0).sum():  # never more bins than the first way made
             bins[loose] = len(gaps) + again
+        # A group of what bins with gaps left holds few small pieces, so best fit may do better with all of it.
+        alone = best_fit(sizes, capacity)
+        if alone.max() + 1 < len(np.unique(bins)):
+            bins = alone
     elif not last:
         bins[loose] = -1
     return bins, offsets(bins, sizes)
