@@ -26,7 +26,7 @@ def norm_station_id(c: Column) -> Column:
 
 
 def station_from_path(c: Column) -> Column:
-    found = F.regexp_extract(c, r"(?:^|[^A-Za-z0-9_])(S\d{2,4})(?:[^A-Za-z0-9_]|$)", 1)
+    found = F.regexp_extract(c, r"(?:^|[^A-Za-z0-9_])(S\d{2,})(?:[^A-Za-z0-9_]|$)", 1)
     return F.when(found != "", found)
 
 
