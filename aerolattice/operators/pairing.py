@@ -123,6 +123,28 @@ def pair_candidates(obs: DataFrame, snapshots: DataFrame, area: str = "AOI") ->
     return own.unionByName(wide)
 
 
+def pair_neighbours(obs: DataFrame, snapshots: DataFrame, area: str = "AOI") -> DataFrame:
+    """``pair_candidates`` without those that ``pick_best_pair`` can't choose: of a place's snapshots for an hour, the last
+    one issued up to the observation and the first one behind it. Whatever ``match_mode`` allows, the best is one of these
+    two, as it is the nearest on its side. They are found by one pass over each place and hour in order of time, so rows
+    grow with the inputs and not with their product. Snapshots without an issue don't count."""
+    rest = [c for c in snapshots.columns if c not in ("location", "valid")]
+    rows = obs.withColumn("valid", F.col("t") - F.pmod("t", F.lit(3600)))
+    asked = rows.filter("t is not null").select(F.col("station").alias("location"), "valid", "t")
+    asked = asked.unionByName(asked.withColumn("location", F.lit(area))).distinct()
+    given = snapshots.filter("issue is not null").select("location", "valid", F.col("issue").alias("t"), F.struct(*rest).alias("_s"))
+    w = Window.partitionBy("location", "valid")
+    last = F.last("_s", ignorenulls=True).over(w.orderBy(F.asc("t")).rangeBetween(Window.unboundedPreceding, 0))
+    behind = F.last("_s", ignorenulls=True).over(w.orderBy(F.desc("t")).rangeBetween(Window.unboundedPreceding, -1))
+    both = asked.unionByName(given, allowMissingColumns=True).select("location", "valid", "t", F.col("_s").isNull().alias("_asked"), F.array_compact(F.array(last, behind)).alias("_near")).filter("_asked").drop("_asked")
+    out = None
+    for source, place in (("station", F.col("station")), ("area", F.lit(area))):
+        side = rows.withColumn("location", place).join(both, ["location", "valid", "t"], "left")
+        side = side.select(*rows.columns, F.explode_outer("_near").alias("_s")).select(*rows.columns, "_s.*", F.lit(source).alias("source"))
+        out = side if out is None else out.unionByName(side)
+    return out
+
+
 def match_mode(cands: DataFrame, max_age_h: float = 72.0, jitter_h: float = 0.10) -> DataFrame:
     """Issue age in hours and what kind of match it is: ``operational``, ``posthoc``, ``used`` and ``mode``."""
     age = (F.col("t") - F.col("issue")) / 3600.0

@@ -50,7 +50,7 @@ INTERP = f"""{duck('obs', 'weather')}, w as (select station, t, temp, rh from we
 
 def best_snapshot_pair(spark: SparkSession, d: str) -> DataFrame:
     o = adapter(spark, d, "obs").groupBy("station", "t").agg(F.min("y").alias("y"))
-    c = J.match_mode(J.pair_candidates(o, adapter(spark, d, "snapshots").groupBy("location", "valid", "issue").agg(F.min("temp").alias("temp"))))
+    c = J.match_mode(J.pair_neighbours(o, adapter(spark, d, "snapshots").groupBy("location", "valid", "issue").agg(F.min("temp").alias("temp"))))
     return J.pick_best_pair(c).select("station", "t", "source", "used", "operational", "mode", "issue", F.round("age_h", 6).alias("age_h"), "temp")
 
 

@@ -50,3 +50,16 @@ def writes(monkeypatch):
 def test_station_numbers_of_any_length(spark):
     paths = spark.createDataFrame([("/a/S900099/x.csv",), ("/a/S104_b/S128.csv",), ("/a/S1/x.csv",)], "p string")
     assert [r[0] for r in paths.select(S.station_from_path(F.col("p"))).collect()] == ["S900099", "S128", None]
+
+
+def test_snapshot_neighbours_hold_the_best_pair(spark):
+    rng = random.Random(4)
+    hours = [k * 3600 for k in range(3)]
+    obs = [(rng.choice("AB"), rng.choice(hours) + rng.randint(0, 3599)) for _ in range(60)] + [("A", None), ("C", 5 * 3600)]
+    o = spark.createDataFrame(sorted(set(obs), key=str), "station string, t long")
+    rows = {(rng.choice(["A", "B", "AOI"]), rng.choice(hours), rng.choice(hours) + rng.choice((rng.randint(-4000, 4000), rng.randint(-400_000, 400_000)))) for _ in range(300)}
+    s = spark.createDataFrame([(*r, float(i)) for i, r in enumerate(sorted(rows))], "location string, valid long, issue long, temp double")
+    near = J.pair_neighbours(o, s)
+    assert near.count() <= 4 * o.count() < J.pair_candidates(o, s).count() / 4
+    best = lambda c: sorted((tuple(r) for r in J.pick_best_pair(J.match_mode(c)).select("station", "t", "source", "used", "operational", "mode", "issue", "temp").collect()), key=str)
+    assert best(near) == best(J.pair_candidates(o, s))
