@@ -203,14 +203,15 @@ def fallback_key_join(a: DataFrame, b: DataFrame, keys: Sequence[str], fallback:
 
 def decay_access(cells: DataFrame, nodes: DataFrame, decay: float, radius: float) -> DataFrame:
     """For each cell (``cell, x, y``) and node type: sum of weight * exp(-d / decay) over nodes (``nx, ny, type, weight``)
-    within ``radius``, and their number. Nodes are copied to the nine buckets that can reach them, so this is an
-    equi-join; sums are partial aggregates."""
-    near = nodes.select("nx", "ny", "type", "weight", F.explode(F.array(*(F.struct((F.floor(F.col("nx") / radius) + i).alias("bx"), (F.floor(F.col("ny") / radius) + j).alias("by")) for i in (-1, 0, 1) for j in (-1, 0, 1)))).alias("b"))
-    near = near.select("nx", "ny", "type", "weight", "b.bx", "b.by")
-    here = cells.withColumn("bx", F.floor(F.col("x") / radius)).withColumn("by", F.floor(F.col("y") / radius))
+    within ``radius``, and their number. Nodes of one place and type are summed first, then copied to the nine buckets that
+    can reach them, so this is an equi-join of places; sums are partial aggregates."""
+    places = nodes.groupBy("nx", "ny", "type").agg(F.sum("weight").alias("weight"), F.count("*").alias("nodes"))
+    near = places.select("nx", "ny", "type", "weight", "nodes", F.explode(F.array(*(F.struct((F.floor(F.col("nx") / radius) + i).alias("bx"), (F.floor(F.col("ny") / radius) + j).alias("by")) for i in (-1, 0, 1) for j in (-1, 0, 1)))).alias("b"))
+    near = near.select("nx", "ny", "type", "weight", "nodes", "b.bx", "b.by")
+    here = cells.select("cell", "x", "y", F.floor(F.col("x") / radius).alias("bx"), F.floor(F.col("y") / radius).alias("by"))
     d = F.sqrt(F.pow(F.col("x") - F.col("nx"), 2) + F.pow(F.col("y") - F.col("ny"), 2))
     hit = here.join(near, ["bx", "by"]).withColumn("d", d).filter(F.col("d") <= radius)
-    return hit.groupBy("cell", "type").agg(F.sum(F.col("weight") * F.exp(-F.col("d") / decay)).alias("access"), F.count("*").alias("nodes"))
+    return hit.groupBy("cell", "type").agg(F.sum(F.col("weight") * F.exp(-F.col("d") / decay)).alias("access"), F.sum("nodes").alias("nodes"))
 
 
 def members(df: DataFrame, other: DataFrame, keys: Sequence[str], inside: bool = True) -> DataFrame:

@@ -63,3 +63,14 @@ def test_snapshot_neighbours_hold_the_best_pair(spark):
     assert near.count() <= 4 * o.count() < J.pair_candidates(o, s).count() / 4
     best = lambda c: sorted((tuple(r) for r in J.pick_best_pair(J.match_mode(c)).select("station", "t", "source", "used", "operational", "mode", "issue", "temp").collect()), key=str)
     assert best(near) == best(J.pair_candidates(o, s))
+
+
+def test_access_joins_places_not_nodes(spark):
+    cells = spark.createDataFrame([(1, 0.0, 0.0), (2, 500.0, 0.0)], "cell long, x double, y double")
+    nodes = spark.range(20_000).select((F.col("id") % 2 * 300.0).alias("nx"), F.lit(0.0).alias("ny"), F.lit("a").alias("type"), F.lit(0.5).alias("weight"))
+    out = J.decay_access(cells, nodes, 300.0, 400.0)
+    import math
+
+    got = {r.cell: (r.access, r.nodes) for r in out.collect()}
+    assert got[1] == (pytest.approx(5000 * (1 + math.exp(-1))), 20_000) and got[2] == (pytest.approx(5000 * math.exp(-200 / 300)), 10_000)
+    assert "Aggregate [" in out._jdf.queryExecution().optimizedPlan().toString().split("Generate")[1]  # summed below the copies
