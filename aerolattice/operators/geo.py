@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .neighbours import nearest
 
 METRES_PER_DEGREE = 111_320.0
+BOX = ("x_min", "x_max", "y_min", "y_max")
 
 
 def make_grid(spark: SparkSession, box: tuple[float, float, float, float], size: float, prefix: str = "C", origin: tuple[float, float] | None = None) -> DataFrame:
@@ -339,12 +340,19 @@ def dbscan(points: DataFrame, key: str, eps: float, least: int) -> DataFrame:
 
 def gwr(points: DataFrame, key: str, x_col: str, y_col: str, bandwidth: float) -> DataFrame:
     """Local regression with one predictor: intercept, slope and R² from neighbours within the bandwidth, weighted by
-    (1 - (d/b)²)²."""
-    own = points.select(key, F.col(key).alias("other"), F.lit(0.0).alias("d"))
-    near = _pairs_within(points, key, bandwidth).unionByName(own)
-    j = near.join(points.select(F.col(key).alias("other"), F.col(x_col).alias("u"), F.col(y_col).alias("v")), "other").withColumn("w", F.pow(1 - F.pow(F.col("d") / bandwidth, 2), 2))
-    w, u, v = F.col("w"), F.col("u"), F.col("v")
-    s = j.groupBy(key).agg(F.count("*").alias("n"), *(F.sum(e).alias(k) for k, e in {"sw": w, "su": w * u, "sv": w * v, "suu": w * u * u, "suv": w * u * v, "svv": w * v * v}.items()))
+    (1 - (d/b)²)². Points at one place have the same neighbours and the same weight for others, so the places are joined,
+    with sums of their points; only points without coordinates stand alone."""
+    from ..session import stored
+
+    u, v = F.col(x_col), F.col(y_col)
+    sums = {"n": F.count("*"), "u": F.sum(u), "v": F.sum(v), "uu": F.sum(u * u), "uv": F.sum(u * v), "vv": F.sum(v * v)}
+    located = points.filter("x is not null and y is not null")
+    places = stored(located.groupBy("x", "y").agg(*(e.alias(k) for k, e in sums.items())).withColumn("place", F.monotonically_increasing_id()), "places")
+    near = _pairs_within(places, "place", bandwidth).unionByName(places.select("place", F.col("place").alias("other"), F.lit(0.0).alias("d")))
+    j = near.join(places.select(F.col("place").alias("other"), *sums), "other").withColumn("w", F.pow(1 - F.pow(F.col("d") / bandwidth, 2), 2))
+    totals = [F.sum("n").alias("n"), F.sum(F.col("w") * F.col("n")).alias("sw"), *(F.sum(F.col("w") * F.col(k)).alias(f"s{k}") for k in ("u", "v", "uu", "uv", "vv"))]
+    s = located.select(key, "x", "y").join(j.groupBy("place").agg(*totals).join(places.select("place", "x", "y"), "place"), ["x", "y"]).drop("x", "y", "place")
+    s = s.unionByName(points.filter("x is null or y is null").select(key, F.lit(1).cast("long").alias("n"), F.lit(1.0).alias("sw"), u.alias("su"), v.alias("sv"), (u * u).alias("suu"), (u * v).alias("suv"), (v * v).alias("svv")))
     cu, cv, cc = (F.col("suu") / F.col("sw") - F.pow(F.col("su") / F.col("sw"), 2)), (F.col("svv") / F.col("sw") - F.pow(F.col("sv") / F.col("sw"), 2)), (F.col("suv") / F.col("sw") - F.col("su") * F.col("sv") / F.pow("sw", F.lit(2)))
     tiny = lambda c: F.when(c > 1e-9, c)
     slope = cc / tiny(cu)

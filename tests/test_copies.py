@@ -74,3 +74,16 @@ def test_access_joins_places_not_nodes(spark):
     got = {r.cell: (r.access, r.nodes) for r in out.collect()}
     assert got[1] == (pytest.approx(5000 * (1 + math.exp(-1))), 20_000) and got[2] == (pytest.approx(5000 * math.exp(-200 / 300)), 10_000)
     assert "Aggregate [" in out._jdf.queryExecution().optimizedPlan().toString().split("Generate")[1]  # summed below the copies
+
+
+def test_local_regression_joins_places(spark, writes):
+    rng = random.Random(1)
+    rows = [(i, 100.0 * rng.randint(0, 3), 100.0 * rng.randint(0, 3), float(rng.randint(1, 9)), rng.random()) for i in range(200)] + [(200, None, 1.0, 2.0, 3.0)]
+    got = {r.id: r for r in G.gwr(spark.createDataFrame(rows, "id long, x double, y double, u double, v double"), "id", "u", "v", 150.0).collect()}
+    assert ("places", 16) in writes and len(got) == 201 and got[200].n == 1 and got[200].slope is None
+    for i, x, y, _, _ in rows[:8]:
+        near = [((1 - ((x - a) ** 2 + (y - b) ** 2) / 150.0**2) ** 2, u, v) for _, a, b, u, v in rows[:200] if (x - a) ** 2 + (y - b) ** 2 <= 150.0**2]
+        sw, mu, mv = sum(w for w, _, _ in near), 0.0, 0.0
+        mu, mv = sum(w * u for w, u, _ in near) / sw, sum(w * v for w, _, v in near) / sw
+        slope = sum(w * (u - mu) * (v - mv) for w, u, v in near) / sum(w * (u - mu) ** 2 for w, u, _ in near)
+        assert got[i].n == len(near) and got[i].slope == pytest.approx(slope) and got[i].intercept == pytest.approx(mv - slope * mu)
