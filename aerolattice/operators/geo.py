@@ -70,14 +70,22 @@ def write_clustered(boxes: DataFrame, path: str, files: int, rows: int = 20_000)
     keyed.write.option("parquet.block.row.count.limit", rows).option("maxRecordsPerFile", rows).parquet(path)
 
 
-def iou_pairs(boxes: DataFrame, key: str, size: float) -> DataFrame:
-    """Pairs of boxes (a before b) that overlap, with intersection, union, IoU, each one's share and the distance of
-    centres. Boxes meet in the squares that both touch; a pair is kept in its first common square only."""
-    cols = [key, "x_min", "x_max", "y_min", "y_max"]
-    near = _near(boxes.select(*cols), size)
+def _box_classes(boxes: DataFrame, by: Sequence[str] = BOX) -> DataFrame:
+    """The distinct boxes, numbered (``_class``): rows with equal sides are compared with others once."""
+    from ..session import stored
+
+    return stored(boxes.select(*by).distinct().withColumn("_class", F.monotonically_increasing_id()), "box-classes")
+
+
+def _class_pairs(classes: DataFrame, size: float) -> DataFrame:
+    """Pairs of classes (a not after b) that overlap, a class with itself too, with intersection, union, IoU, each one's
+    share and the distance of centres. Boxes meet in the squares that both touch; a pair is kept in its first common square
+    only."""
+    cols = ["_class", *BOX]
+    near = _near(classes.select(*cols), size)
     a = near.select("kx", "ky", *(F.col(c).alias(f"a_{c}") for c in cols))
     b = near.select("kx", "ky", *(F.col(c).alias(f"b_{c}") for c in cols))
-    joined = a.join(b, ["kx", "ky"]).filter(F.col(f"a_{key}") < F.col(f"b_{key}"))
+    joined = a.join(b, ["kx", "ky"]).filter(F.col("a__class") <= F.col("b__class"))
     left, low = F.greatest("a_x_min", "b_x_min"), F.greatest("a_y_min", "b_y_min")
     w, h = F.least("a_x_max", "b_x_max") - left, F.least("a_y_max", "b_y_max") - low
     joined = joined.filter((w > 0) & (h > 0) & (F.floor(left / size) == F.col("kx")) & (F.floor(low / size) == F.col("ky")))
@@ -86,12 +94,32 @@ def iou_pairs(boxes: DataFrame, key: str, size: float) -> DataFrame:
     inter = w * h
     union = area("a") + area("b") - inter
     return joined.select(
-        F.col(f"a_{key}").alias("a"), F.col(f"b_{key}").alias("b"), inter.alias("intersection"), union.alias("union_area"), (inter / union).alias("iou"),
+        F.col("a__class").alias("a"), F.col("b__class").alias("b"), inter.alias("intersection"), union.alias("union_area"), (inter / union).alias("iou"),
         (inter / area("a")).alias("a_share"), (inter / area("b")).alias("b_share"), (F.least(area("a"), area("b")) / F.greatest(area("a"), area("b"))).alias("area_ratio"),
         F.sqrt(F.pow(mid("a", "x") - mid("b", "x"), 2) + F.pow(mid("a", "y") - mid("b", "y"), 2)).alias("distance"),
     )
 
 
+def pairs_of_members(pairs: DataFrame, members: DataFrame, key: str) -> DataFrame:
+    """Pairs of rows (a before b) for pairs of classes (a not after b): each row of one with each of the other, or the pairs
+    within a class. ``members`` has ``key, _class``. Columns of the pair stay, ``a_share`` and ``b_share`` with their rows.
+    The rows made aren't shuffled again, and all tasks make some."""
+    mine, theirs = members.select(F.col("_class").alias("a"), F.col(key).alias("_ka")), members.select(F.col("_class").alias("b"), F.col(key).alias("_kb"))
+    parts = 4 * max(2, pairs.sparkSession.sparkContext.defaultParallelism)
+    j = pairs.join(mine, "a").repartition(parts, "b").join(theirs, "b").filter((F.col("_ka") < F.col("_kb")) | ((F.col("a") < F.col("b")) & (F.col("_ka") > F.col("_kb"))))
+    first = F.col("_ka") < F.col("_kb")
+    swapped = {"a_share": "b_share", "b_share": "a_share"}
+    rest = [F.when(first, F.col(c)).otherwise(F.col(swapped[c])).alias(c) if c in swapped else F.col(c) for c in pairs.columns if c not in ("a", "b")]
+    return j.select(F.least("_ka", "_kb").alias("a"), F.greatest("_ka", "_kb").alias("b"), *rest)
+
+
+def iou_pairs(boxes: DataFrame, key: str, size: float) -> DataFrame:
+    """Pairs of boxes (a before b) that overlap, with intersection, union, IoU, each one's share and the distance of
+    centres. Distinct boxes are compared once; only the result holds each pair of rows."""
+    classes = _box_classes(boxes)
+    return pairs_of_members(_class_pairs(classes, size), boxes.select(key, *BOX).join(classes, list(BOX)).select(key, "_class"), key)
+
+
 def dedup_footprints(boxes: DataFrame, key: str, priority: str, size: float, iou: float = 0.35, min_area: float = 0.0) -> DataFrame:
     """``status`` new or duplicate of each footprint, and ``keeper``: the best one it repeats. Order is source priority,
     then larger area, then id. A footprint repeats an accepted one before it whose IoU reaches ``iou``. Rounds decide all

@@ -87,3 +87,11 @@ def test_local_regression_joins_places(spark, writes):
         mu, mv = sum(w * u for w, u, _ in near) / sw, sum(w * v for w, _, v in near) / sw
         slope = sum(w * (u - mu) * (v - mv) for w, u, v in near) / sum(w * (u - mu) ** 2 for w, u, _ in near)
         assert got[i].n == len(near) and got[i].slope == pytest.approx(slope) and got[i].intercept == pytest.approx(mv - slope * mu)
+
+
+def test_equal_boxes_are_compared_once(spark, writes):
+    rows = some_boxes(3, 12, 150) + [(500, 1, 5.0, 5.0, 5.0, 9.0), (501, 1, 5.0, 5.0, 5.0, 9.0), (502, 1, None, 5.0, 5.0, 9.0)]
+    got = sorted((r.a, r.b, r.intersection, round(r.a_share, 9), round(r.b_share, 9)) for r in G.iou_pairs(spark.createDataFrame(rows, BOXES), "id", 10.0).collect())
+    rows = rows[:150]
+    want = sorted((a[0], b[0], overlap(a, b), round(overlap(a, b) / area(a), 9), round(overlap(a, b) / area(b), 9)) for a in rows for b in rows if a[0] < b[0] and overlap(a, b))
+    assert got == want and max(n for _, n in writes) <= 14
