@@ -122,25 +122,42 @@ def iou_pairs(boxes: DataFrame, key: str, size: float) -> DataFrame:
 
 def dedup_footprints(boxes: DataFrame, key: str, priority: str, size: float, iou: float = 0.35, min_area: float = 0.0) -> DataFrame:
     """``status`` new or duplicate of each footprint, and ``keeper``: the best one it repeats. Order is source priority,
-    then larger area, then id. A footprint repeats an accepted one before it whose IoU reaches ``iou``. Rounds decide all
-    footprints whose better neighbours are decided; each round's state is written to the shared folder."""
+    then larger area, then id. A footprint repeats an accepted one before it whose IoU reaches ``iou``.
+
+    Of footprints with equal sides only the first can be new: what it repeats the others repeat, and else they repeat it. So
+    the distinct boxes are decided by their first ones, in rounds that take all whose better neighbours are decided; each
+    round's state is written to the shared folder. The others then find their keeper among the new ones near them."""
     from ..session import stored
 
     area = (F.col("x_max") - F.col("x_min")) * (F.col("y_max") - F.col("y_min"))
-    rows = boxes.filter(area >= min_area).select(key, F.struct(F.col(priority).alias("p"), (-area).alias("a"), F.col(key).alias("k")).alias("o"))
-    pairs = iou_pairs(boxes.filter(area >= min_area), key, size).filter(F.col("iou") >= iou).select("a", "b", "iou")
-    both = pairs.join(rows.select(F.col(key).alias("a"), F.col("o").alias("oa")), "a").join(rows.select(F.col(key).alias("b"), F.col("o").alias("ob")), "b")
+    rows = boxes.filter(area >= min_area).select(key, *BOX, F.struct(F.col(priority).alias("p"), (-area).alias("a"), F.col(key).alias("k")).alias("o"))
+    # Boxes without an inside overlap nothing, not even their like; nor does anything repeat its like beyond an IoU of 1.
+    alike = (F.col("x_max") > F.col("x_min")) & (F.col("y_max") > F.col("y_min")) & F.lit(iou <= 1)
+    classes = _box_classes(rows.filter(alike))
+    members = stored(rows.filter(alike).join(classes, list(BOX)).select(key, "_class", "o"), "footprint-members")
+    firsts = stored(members.groupBy("_class").agg(F.min("o").alias("o")), "first-footprints")
+    pairs = _class_pairs(classes, size).filter((F.col("iou") >= iou) & (F.col("a") < F.col("b"))).select("a", "b", "iou")
+    both = pairs.join(firsts.select(F.col("_class").alias("a"), F.col("o").alias("oa")), "a").join(firsts.select(F.col("_class").alias("b"), F.col("o").alias("ob")), "b")
     first = F.col("oa") < F.col("ob")
     edges = stored(both.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("better"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("worse"), "iou"), "edges")
-    state = rows.select(key, F.lit(None).cast("string").alias("status"), F.lit(None).cast(dict(boxes.dtypes)[key]).alias("keeper"))
+    state = firsts.select("_class", F.lit(None).cast("string").alias("status"))
     while True:
-        of = state.select(F.col(key).alias("better"), F.col("status").alias("s"))
-        seen = edges.join(of, "better").groupBy("worse").agg(F.count_if(F.col("s").isNull()).alias("open"), F.max_by("better", F.when(F.col("s") == "new", F.struct("iou", -F.col("better")))).alias("hit"), F.count_if(F.col("s") == "new").alias("hits"))
-        joined = state.join(seen.withColumnRenamed("worse", key), key, "left")
-        decided = F.when(F.col("status").isNotNull(), F.col("status")).when(F.coalesce("open", F.lit(0)) > 0, None).when(F.coalesce("hits", F.lit(0)) > 0, "duplicate").otherwise("new")
-        state = stored(joined.select(key, decided.alias("status"), F.when(F.col("status").isNull() & (decided == "duplicate"), F.col("hit")).otherwise(F.col("keeper")).alias("keeper")), "footprints")
+        of = state.select(F.col("_class").alias("better"), F.col("status").alias("s"))
+        seen = edges.join(of, "better").groupBy(F.col("worse").alias("_class")).agg(F.count_if(F.col("s").isNull()).alias("open"), F.count_if(F.col("s") == "new").alias("hits"))
+        decided = F.when(F.col("status").isNotNull(), F.col("status")).when(F.coalesce("hits", F.lit(0)) > 0, "duplicate").when(F.coalesce("open", F.lit(0)) > 0, None).otherwise("new")
+        state = stored(state.join(seen, "_class", "left").select("_class", decided.alias("status")), "footprints")
         if not state.filter("status is null").limit(1).count():
-            return state
+            break
+    none = F.lit(None).cast(dict(boxes.dtypes)[key])
+    known = members.join(state, "_class").join(firsts.select("_class", F.col("o").alias("first")), "_class")
+    new = F.col("o") == F.col("first")
+    kept = known.filter("status = 'new'").select(key, F.when(new, "new").otherwise("duplicate").alias("status"), F.when(~new, F.col("first.k")).alias("keeper"))
+    ends = edges.select("better", "worse", "iou").union(edges.select("worse", "better", "iou")).toDF("keeps", "_class", "iou")
+    near = ends.join(state.filter("status = 'new'").join(firsts, "_class").select(F.col("_class").alias("keeps"), F.col("o").alias("k")), "keeps").select("_class", "iou", "k")
+    found = known.filter("status = 'duplicate'").select(key, "_class", "o").join(near, "_class").filter(F.col("k") < F.col("o"))
+    found = found.groupBy(key).agg(F.max_by("k.k", F.struct("iou", -F.col("k.k"))).alias("keeper")).select(key, F.lit("duplicate").alias("status"), "keeper")
+    alone = rows.filter(~F.coalesce(alike, F.lit(False))).select(key, F.lit("new").alias("status"), none.alias("keeper"))
+    return kept.unionByName(found).unionByName(alone)
 
 
 # When a footprint repeats the best accepted one that it meets (IoU; or its own and the other's overlap; or

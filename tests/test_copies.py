@@ -95,3 +95,18 @@ def test_equal_boxes_are_compared_once(spark, writes):
     rows = rows[:150]
     want = sorted((a[0], b[0], overlap(a, b), round(overlap(a, b) / area(a), 9), round(overlap(a, b) / area(b), 9)) for a in rows for b in rows if a[0] < b[0] and overlap(a, b))
     assert got == want and max(n for _, n in writes) <= 14
+
+
+def test_copies_of_footprints_need_no_rounds(spark, writes):
+    for seed in range(3):
+        rows = some_boxes(seed, 14, 200) + [(500, 1, 5.0, 5.0, 5.0, 9.0), (501, 1, 5.0, 5.0, 5.0, 9.0)]
+        new, want = [], {}
+        for r in in_order(rows):
+            hits = [(overlap(r, k) / (area(r) + area(k) - overlap(r, k)), -k[0]) for k in new if overlap(r, k)]
+            hits = [h for h in hits if h[0] >= 0.25]
+            want[r[0]] = ("duplicate", -max(hits)[1]) if hits else ("new", None)
+            new += [] if hits else [r]
+        writes.clear()
+        got = {r.id: (r.status, r.keeper) for r in G.dedup_footprints(spark.createDataFrame(rows, BOXES), "id", "priority", 10.0, 0.25).collect()}
+        assert got == want
+        assert sum(n == "footprints" for n, _ in writes) <= 14 and all(n <= 14 for name, n in writes if name == "footprints")
