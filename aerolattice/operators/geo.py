@@ -232,18 +232,20 @@ def union_area(boxes: Column) -> Column:
 
 def non_covered(boxes: DataFrame, ref: DataFrame, key: str, size: float, share: float = 0.35) -> DataFrame:
     """Boxes whose own area is covered by the reference by less than ``share``, with ``covered_share``; what several
-    reference boxes cover counts once. A box's pieces are united for each square cell of width ``size``."""
-    a, b = _near(boxes, size), _near(ref.select(*(F.col(c).alias(f"r_{c}") for c in ("x_min", "x_max", "y_min", "y_max"))).withColumns({c: F.col(f"r_{c}") for c in ("x_min", "x_max", "y_min", "y_max")}), size).drop("x_min", "x_max", "y_min", "y_max")
+    reference boxes cover counts once. A box's pieces are united for each square cell of width ``size``; boxes with equal
+    sides, and references with equal sides, take part once."""
+    own = boxes.select(*BOX).distinct()
+    a, b = _near(own, size), _near(ref.select(*BOX).distinct().withColumns({f"r_{c}": F.col(c) for c in BOX}), size).drop(*BOX)
     j = a.join(b, ["kx", "ky"])
     left, low = F.greatest("x_min", "r_x_min"), F.greatest("y_min", "r_y_min")
     w, h = F.least("x_max", "r_x_max") - left, F.least("y_max", "r_y_max") - low
     # Each piece, cut to the cell, so that the cells' unions add up.
     cut = lambda c, k: F.greatest(F.least(c, (F.col(k) + 1) * size), F.col(k) * size)
     piece = F.struct(cut(left, "kx").alias("x0"), cut(left + w, "kx").alias("x1"), cut(low, "ky").alias("y0"), cut(low + h, "ky").alias("y1"))
-    pieces = j.filter((w > 0) & (h > 0)).groupBy(key, "kx", "ky").agg(F.collect_set(piece).alias("_pieces"))
-    covered = pieces.groupBy(key).agg(F.sum(union_area(F.col("_pieces"))).alias("_c"))
+    pieces = j.filter((w > 0) & (h > 0)).groupBy(*BOX, "kx", "ky").agg(F.collect_set(piece).alias("_pieces"))
+    covered = pieces.groupBy(*BOX).agg(F.sum(union_area(F.col("_pieces"))).alias("_c"))
     area = (F.col("x_max") - F.col("x_min")) * (F.col("y_max") - F.col("y_min"))
-    return boxes.join(covered, key, "left").withColumn("covered_share", F.coalesce("_c", F.lit(0.0)) / area).filter(F.col("covered_share") < share).drop("_c")
+    return boxes.join(covered, list(BOX), "left").select(*boxes.columns, F.coalesce("_c", F.lit(0.0)).alias("_c")).withColumn("covered_share", F.col("_c") / area).filter(F.col("covered_share") < share).drop("_c")
 
 
 def rasterise(polygons: DataFrame, res: float, value: str) -> DataFrame:

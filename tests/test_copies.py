@@ -110,3 +110,13 @@ def test_copies_of_footprints_need_no_rounds(spark, writes):
         got = {r.id: (r.status, r.keeper) for r in G.dedup_footprints(spark.createDataFrame(rows, BOXES), "id", "priority", 10.0, 0.25).collect()}
         assert got == want
         assert sum(n == "footprints" for n, _ in writes) <= 14 and all(n <= 14 for name, n in writes if name == "footprints")
+
+
+def test_cover_takes_distinct_boxes(spark):
+    one = [(0, 1, 0.0, 10.0, 0.0, 10.0)]
+    boxes = spark.range(3000).select("id", F.lit(2).alias("priority"), *(F.lit(v).alias(c) for c, v in zip(G.BOX, (0.0, 10.0, 0.0, 10.0))))
+    ref = spark.createDataFrame([(1, 1, 5.0, 20.0, 0.0, 10.0), (2, 1, 5.0, 20.0, 0.0, 10.0), (3, 1, 4.0, 6.0, 0.0, 10.0)], BOXES)
+    got = G.non_covered(boxes.unionByName(spark.createDataFrame(one, BOXES)), ref, "id", 4.0, 2.0)
+    assert {r.covered_share for r in got.collect()} == {0.6} and got.count() == 3001
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_set" in plan and "Aggregate [x_min" in plan.split("collect_set")[1]  # distinct boxes below the pieces
