@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import in_shape, ring_area, ring_box, shape_area, shape_distance
 from ..session import ship_package, stored
+from .geo import pairs_of_members
 
 
 def _points(ring) -> list[tuple[float, float]]:
@@ -137,6 +138,11 @@ def with_shape(rows: DataFrame) -> DataFrame:
     return rows if "shape" in rows.columns else rows.withColumn("shape", F.array("ring"))
 
 
+def _shape_classes(rows: DataFrame) -> DataFrame:
+    """The distinct shapes, numbered (``_class``)."""
+    return stored(rows.select("shape").distinct().withColumn("_class", F.monotonically_increasing_id()), "shape-classes")
+
+
 def _in_cells(rows: DataFrame, size: float, reach: float = 0.0) -> DataFrame:
     """A row for each square cell (``kx, ky``) that the box of a shape, made larger by ``reach``, touches, with the box."""
     at = lambda c: F.floor(c / size)
@@ -145,21 +151,29 @@ def _in_cells(rows: DataFrame, size: float, reach: float = 0.0) -> DataFrame:
     return rows.withColumn("ky", F.explode(F.sequence(at(F.col("y_min") - reach), at(F.col("y_max") + reach))))
 
 
+def _dealt(rows: DataFrame) -> DataFrame:
+    """``rows`` by their cells over all cores: the work on shapes that meet is much for few bytes, by which Spark would put
+    the cells together again."""
+    return rows.repartition(4 * max(2, rows.sparkSession.sparkContext.defaultParallelism), "kx", "ky")
+
+
 def covered_share(shapes: DataFrame, others: DataFrame, key: str, size: float) -> DataFrame:
     """``key, area, covered, share``: how much of each shape the ``others`` cover together; where they overlap each other,
     once. Shapes and others meet by the square cells of width ``size`` that their boxes touch, and a cell's part of a shape
-    is swept against the distinct others of that cell, so a row holds no more than one cell does. A shape without an area
-    has no share. Rows have a ``ring`` or a ``shape``, of which the first ring is the outline and the others are holes."""
+    is swept against the distinct others of that cell, so a row holds no more than one cell does. Equal shapes are swept
+    once. A shape without an area has no share. Rows have a ``ring`` or a ``shape``, of which the first ring is the outline
+    and the others are holes."""
     ship_package(shapes.sparkSession)
     rows = with_shape(shapes).select(key, "shape")
-    mine = _in_cells(rows, size)
-    theirs = _in_cells(with_shape(others).select("shape"), size).select("kx", "ky", F.col("shape").alias("other"), *(F.col(c).alias(f"o_{c}") for c in ("x_min", "x_max", "y_min", "y_max")))
-    theirs = theirs.dropDuplicates(["kx", "ky", "other"])
+    own = _shape_classes(rows)
+    mine = _dealt(_in_cells(own, size))
+    theirs = _in_cells(with_shape(others).select("shape").distinct(), size).select("kx", "ky", F.col("shape").alias("other"), *(F.col(c).alias(f"o_{c}") for c in ("x_min", "x_max", "y_min", "y_max")))
     meet = (F.col("x_min") < F.col("o_x_max")) & (F.col("o_x_min") < F.col("x_max")) & (F.col("y_min") < F.col("o_y_max")) & (F.col("o_y_min") < F.col("y_max"))
-    pieces = mine.join(theirs, ["kx", "ky"]).filter(meet).groupBy(key, "kx", "ky").agg(F.any_value("shape").alias("shape"), F.collect_list("other").alias("others"))
+    pieces = mine.join(theirs, ["kx", "ky"]).filter(meet).groupBy("_class", "kx", "ky").agg(F.any_value("shape").alias("shape"), F.collect_list("other").alias("others"))
     part = F.pandas_udf(_covered_series, "double")("shape", "others", F.col("kx") * float(size), F.col("ky") * float(size), F.lit(float(size)))
-    found = pieces.withColumn("part", part).groupBy(key).agg(F.sum("part").alias("covered"))
-    out = rows.select(key, shape_area(F.col("shape")).alias("area")).join(found, key, "left").withColumn("covered", F.coalesce("covered", F.lit(0.0)))
+    found = pieces.withColumn("part", part).groupBy("_class").agg(F.sum("part").alias("covered"))
+    found = own.join(found, "_class").select("shape", "covered")
+    out = rows.join(found, "shape", "left").select(key, shape_area(F.col("shape")).alias("area"), F.coalesce("covered", F.lit(0.0)).alias("covered"))
     return out.withColumn("share", F.when(F.col("area") > 0, F.least(F.col("covered") / F.col("area"), F.lit(1.0))))
 
 
@@ -177,17 +191,20 @@ def overlay_rings(cells: DataFrame, rings: DataFrame, size: float, keep: tuple[s
 
 def ring_iou_pairs(rings: DataFrame, key: str, size: float) -> DataFrame:
     """Pairs of rings or shapes (a before b) that overlap, with intersection and IoU; a pair is computed in its first common
-    square."""
+    square. Distinct shapes are compared once; only the result holds each pair of rows."""
     ship_package(rings.sparkSession)
-    spread = _in_cells(with_shape(rings).select(key, "shape"), size)
-    cols = [key, "shape", "x_min", "x_max", "y_min", "y_max"]
+    rows = with_shape(rings).select(key, "shape")
+    classes = _shape_classes(rows)
+    spread = _in_cells(classes, size)
+    cols = ["_class", "shape", "x_min", "x_max", "y_min", "y_max"]
     a, b = (spread.select("kx", "ky", *(F.col(c).alias(f"{s}_{c}") for c in cols)) for s in ("a", "b"))
     left, low = F.greatest("a_x_min", "b_x_min"), F.greatest("a_y_min", "b_y_min")
-    meet = (F.col(f"a_{key}") < F.col(f"b_{key}")) & (F.least("a_x_max", "b_x_max") > left) & (F.least("a_y_max", "b_y_max") > low)
-    j = a.join(b, ["kx", "ky"]).filter(meet & (F.floor(left / size) == F.col("kx")) & (F.floor(low / size) == F.col("ky")))
+    meet = (F.col("a__class") <= F.col("b__class")) & (F.least("a_x_max", "b_x_max") > left) & (F.least("a_y_max", "b_y_max") > low)
+    j = _dealt(a).join(b, ["kx", "ky"]).filter(meet & (F.floor(left / size) == F.col("kx")) & (F.floor(low / size) == F.col("ky")))
     j = j.withColumn("intersection", shape_overlap(F.col("a_shape"), F.col("b_shape"))).filter("intersection > 0")
     union = shape_area(F.col("a_shape")) + shape_area(F.col("b_shape")) - F.col("intersection")
-    return j.select(F.col(f"a_{key}").alias("a"), F.col(f"b_{key}").alias("b"), "intersection", (F.col("intersection") / union).alias("iou"))
+    pairs = stored(j.select(F.col("a__class").alias("a"), F.col("b__class").alias("b"), "intersection", (F.col("intersection") / union).alias("iou")), "shape-pairs")
+    return pairs_of_members(pairs, rows.join(classes, "shape").select(key, "_class"), key)
 
 
 def nearest_polygon(points: DataFrame, rings: DataFrame, key: str, name: str, reach: float, none: float = 9999.0) -> DataFrame:

@@ -120,3 +120,22 @@ def test_cover_takes_distinct_boxes(spark):
     assert {r.covered_share for r in got.collect()} == {0.6} and got.count() == 3001
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "collect_set" in plan and "Aggregate [x_min" in plan.split("collect_set")[1]  # distinct boxes below the pieces
+
+
+def of_sides():
+    corners = (("x_min", "y_min"), ("x_max", "y_min"), ("x_max", "y_max"), ("x_min", "y_max"))
+    return F.array(*(F.struct(F.col(x).alias("x"), F.col(y).alias("y")) for x, y in corners))
+
+
+def test_equal_shapes_are_compared_once(spark, monkeypatch):
+    from aerolattice.operators import rings as RG
+
+    seen, plain = [], RG.stored
+    monkeypatch.setattr(RG, "stored", lambda df, name: seen.append((name, (out := plain(df, name)).count())) or out)
+    rows = some_boxes(5, 8, 90)
+    df = spark.createDataFrame(rows, BOXES).withColumn("ring", of_sides())
+    got = sorted((r.a, r.b, round(r.intersection, 6)) for r in RG.ring_iou_pairs(df, "id", 10.0).collect())
+    assert got == sorted((a[0], b[0], overlap(a, b)) for a in rows for b in rows if a[0] < b[0] and overlap(a, b))
+    assert dict(seen)["shape-classes"] <= 8 and dict(seen)["shape-pairs"] <= 36
+    share = {r.id: r.share for r in RG.covered_share(df, df.filter("id % 2 = 0"), "id", 10.0).collect()}
+    assert set(share) == set(range(90)) and share[0] == pytest.approx(1.0) and [n for name, n in seen if name == "shape-classes"] == [8, 8]
