@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import in_shape, ring_area, ring_box, shape_area, shape_distance
 from ..session import ship_package, stored
 from .geo import pairs_of_members
+from .neighbours import SIDES, nearest_boxed
 
 
 def _points(ring) -> list[tuple[float, float]]:
@@ -143,6 +144,11 @@ def _shape_classes(rows: DataFrame) -> DataFrame:
     return stored(rows.select("shape").distinct().withColumn("_class", F.monotonically_increasing_id()), "shape-classes")
 
 
+def _first_of_equal(rows: DataFrame, name: str) -> DataFrame:
+    """Of rows with equal shapes the first by name, which wins all ties with the others."""
+    return rows.groupBy("shape").agg(F.min(F.struct(name)).alias("_first")).select(F.col(f"_first.{name}").alias(name), "shape")
+
+
 def _in_cells(rows: DataFrame, size: float, reach: float = 0.0) -> DataFrame:
     """A row for each square cell (``kx, ky``) that the box of a shape, made larger by ``reach``, touches, with the box."""
     at = lambda c: F.floor(c / size)
@@ -209,38 +215,39 @@ def ring_iou_pairs(rings: DataFrame, key: str, size: float) -> DataFrame:
 
 def nearest_polygon(points: DataFrame, rings: DataFrame, key: str, name: str, reach: float, none: float = 9999.0) -> DataFrame:
     """Distance of each point (``px, py``) to the nearest ring or shape within ``reach`` (0 inside) and its name; ``none``
-    where there is none. Shapes go to the cells of width ``reach`` within reach of their boxes."""
+    where there is none. Shapes go to the cells of width ``reach`` within reach of their boxes, of equal ones the first."""
     at = lambda c: F.floor(c / reach)
-    spread = _in_cells(with_shape(rings).select(name, "shape"), reach, reach)
+    spread = _in_cells(_first_of_equal(with_shape(rings), name), reach, reach)
     here = points.select(key, "px", "py", at(F.col("px")).alias("kx"), at(F.col("py")).alias("ky"))
     d = shape_distance(F.col("px"), F.col("py"), F.col("shape"))
-    near = here.join(spread, ["kx", "ky"]).withColumn("d", d).filter(F.col("d") <= reach).groupBy(key).agg(F.min(F.struct("d", name)).alias("b"))
+    off = lambda c, s: F.greatest(F.col(f"{s}_min") - c, c - F.col(f"{s}_max"), F.lit(0.0))
+    met = _dealt(here).join(spread, ["kx", "ky"]).filter((off(F.col("px"), "x") <= reach) & (off(F.col("py"), "y") <= reach))
+    near = met.withColumn("d", d).filter(F.col("d") <= reach).groupBy(key).agg(F.min(F.struct("d", name)).alias("b"))
     return points.select(key).join(near, key, "left").select(key, F.coalesce("b.d", F.lit(none)).alias("distance"), F.col(f"b.{name}").alias(name))
 
 
 def nearest_polygon_anywhere(points: DataFrame, rings: DataFrame, key: str, name: str, radius: float, least_area: float = 0.0) -> DataFrame:
-    """``nearest_polygon`` for all points, however far: points without a polygon within ``radius`` look four times as far,
-    and so on until all have one. ``least_area`` leaves smaller polygons out. Each round takes only the points still open.
-    Points without coordinates have no polygon."""
-    large = stored(with_shape(rings).filter(shape_area(F.col("shape")) >= least_area).select(name, "shape"), "rings")
+    """``nearest_polygon`` for all points, however far. ``least_area`` leaves smaller polygons out. Points without
+    coordinates have no polygon. With ``radius``, points look for polygons within it first, by cells; those that find none
+    go down the polygons' tree of squares (see ``neighbours``), so no cell grows with the distance."""
+    large = stored(_first_of_equal(with_shape(rings).filter(shape_area(F.col("shape")) >= least_area), name), "rings")
     points = points.filter("px is not null and py is not null")
+    found = nearest_polygon(points, large, key, name, radius)
     if not large.limit(1).count():
-        return nearest_polygon(points, large, key, name, radius)
-    left, done = points, None
-    while True:
-        found = stored(nearest_polygon(left, large, key, name, radius), "nearest")
-        hit = found.filter(F.col(name).isNotNull())
-        done = hit if done is None else done.unionByName(hit)
-        missed = found.filter(F.col(name).isNull())
-        if not missed.limit(1).count():
-            return done
-        left, radius = stored(left.join(missed.select(key), key, "left_semi"), "open-points"), 4 * radius
+        return found
+    found = stored(found, "nearest")
+    far = points.join(found.filter(F.col(name).isNull()).select(key), key, "left_semi").select(key, F.col("px").alias("x"), F.col("py").alias("y"))
+    boxed = large.withColumns(ring_box(F.flatten("shape"))).filter("x_min is not null")
+    boxed = boxed.select(name, "shape", ((F.col("x_min") + F.col("x_max")) / 2).alias("x"), ((F.col("y_min") + F.col("y_max")) / 2).alias("y"), *(F.col(f"{s[0]}_{e}").alias(s) for s, e in zip(SIDES, ("min", "max", "min", "max"))))
+    best = nearest_boxed(far, boxed, key, name, lambda x, y: shape_distance(x, y, F.col("shape")))
+    return found.filter(F.col(name).isNotNull()).unionByName(best.select(key, F.col("d").alias("distance"), name))
 
 
 def first_containing(points: DataFrame, rings: DataFrame, key: str, name: str, size: float) -> DataFrame:
     """Each point with the first ring or shape, by name, that holds it; points in a hole aren't held."""
     at = lambda c: F.floor(F.col(c) / size)
-    spread = _in_cells(with_shape(rings).select(name, "shape"), size)
-    hit = points.select(key, "px", "py", at("px").alias("kx"), at("py").alias("ky")).join(spread, ["kx", "ky"]).filter(in_shape(F.col("px"), F.col("py"), F.col("shape")))
+    spread = _in_cells(_first_of_equal(with_shape(rings), name), size)
+    boxed = F.col("px").between(F.col("x_min"), F.col("x_max")) & F.col("py").between(F.col("y_min"), F.col("y_max"))
+    hit = _dealt(points.select(key, "px", "py", at("px").alias("kx"), at("py").alias("ky"))).join(spread, ["kx", "ky"]).filter(boxed).filter(in_shape(F.col("px"), F.col("py"), F.col("shape")))
     first = F.row_number().over(Window.partitionBy(key).orderBy(name))
     return points.select(key).join(hit.withColumn("_k", first).filter("_k = 1").select(key, name), key, "left")

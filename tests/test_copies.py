@@ -139,3 +139,17 @@ def test_equal_shapes_are_compared_once(spark, monkeypatch):
     assert dict(seen)["shape-classes"] <= 8 and dict(seen)["shape-pairs"] <= 36
     share = {r.id: r.share for r in RG.covered_share(df, df.filter("id % 2 = 0"), "id", 10.0).collect()}
     assert set(share) == set(range(90)) and share[0] == pytest.approx(1.0) and [n for name, n in seen if name == "shape-classes"] == [8, 8]
+
+
+def test_far_points_find_their_nearest_shape(spark):
+    from aerolattice.operators import rings as RG
+
+    rng = random.Random(6)
+    rows = some_boxes(7, 30, 60)
+    df = spark.createDataFrame(rows, BOXES).withColumn("ring", of_sides())
+    points = [(i, *(rng.uniform(-50, 80) if i % 2 else rng.uniform(-1e5, 1e5) for _ in "xy")) for i in range(60)]
+    got = {r.p: (r.distance, r.id) for r in RG.nearest_polygon_anywhere(spark.createDataFrame(points, "p long, px double, py double"), df, "p", "id", 5.0).collect()}
+    gap = lambda v, low, high: max(low - v, v - high, 0.0)
+    for p, x, y in points:
+        d = {r[0]: (gap(x, r[2], r[3]) ** 2 + gap(y, r[4], r[5]) ** 2) ** 0.5 for r in rows}
+        assert got[p][0] == pytest.approx(min(d.values())) and d[got[p][1]] == pytest.approx(min(d.values()))
