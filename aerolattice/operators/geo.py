@@ -169,37 +169,59 @@ def resolve_footprints(boxes: DataFrame, key: str, priority: str, size: float, m
     """``status`` of each footprint in order of source priority, larger area, id: ``rejected_tiny`` below its ``min_area``,
     else by the best accepted footprint before it (largest IoU, own overlap, other's overlap, least distance; the earlier
     of ties): ``merged_duplicate`` by one of the three rules, ``accepted_new`` if it overlaps none or hardly, else
-    ``conflict_review``. ``match`` is that best one. Rounds decide all footprints whose better neighbours are decided; each
-    round's state is written to the shared folder."""
+    ``conflict_review``. ``match`` is that best one.
+
+    Footprints with equal sides form a class, of which at most one is accepted: those behind it have it as their best. Each
+    round decides the footprints before the first undecided one of any class that theirs overlaps, and all of a class that
+    has its accepted one; its state is written to the shared folder."""
     from ..session import stored
 
     area = (F.col("x_max") - F.col("x_min")) * (F.col("y_max") - F.col("y_min"))
     tiny = F.lit(False) if min_area is None else area < min_area
-    large = boxes.filter(~tiny)
-    order = F.struct(F.col(priority).alias("p"), (-area).alias("a"), F.col(key).alias("k"))
-    rows = stored(large.select(key, order.alias("o"), area.alias("area")), "footprint-order")
-    of = lambda s: rows.select(F.col(key).alias(s), F.col("o").alias(f"o{s}"), F.col("area").alias(f"area{s}"))
-    both = iou_pairs(large, key, size).join(of("a"), "a").join(of("b"), "b")
-    first = F.col("oa") < F.col("ob")
-    pick = lambda x, y: F.when(first, F.col(x)).otherwise(F.col(y))
-    edges = both.select(pick("a", "b").alias("better"), pick("b", "a").alias("worse"), pick("oa", "ob").alias("o"), "iou", pick("b_share", "a_share").alias("own"), pick("a_share", "b_share").alias("other"), "distance", (pick("areab", "areaa") / pick("areaa", "areab")).alias("ratio"))
     low, high = rules["ratio"]
+    alike = 1 >= rules["iou"] or (1 >= rules["own"] and 1 >= rules["other"]) or (0 <= rules["distance"] and low <= 1 <= high)
+    copies = "merged_duplicate" if alike else "accepted_new" if 1 < rules["new_below"] else "conflict_review"
+    # Rules by which a copy is new leave each footprint a class of its own.
+    by = [*BOX, key] if copies == "accepted_new" else list(BOX)
+    inside = (F.col("x_max") > F.col("x_min")) & (F.col("y_max") > F.col("y_min"))
+    large = boxes.filter(~tiny).select(key, *BOX, F.struct(F.col(priority).alias("p"), (-area).alias("a"), F.col(key).alias("k")).alias("o"))
+    classes = _box_classes(large.filter(inside), by)
+    left = stored(large.filter(inside).join(classes, by).select(key, "_class", "o"), "footprint-order")
+    pairs = _class_pairs(classes, size).filter("a < b")
+    sizes = classes.select("_class", area.alias("area"))
+    pairs = stored(pairs.join(sizes.toDF("a", "area_a"), "a").join(sizes.toDF("b", "area_b"), "b"), "footprint-pairs")
+    way = lambda x, y: pairs.select(F.col(x).alias("_class"), F.col(y).alias("other_class"), "iou", F.col(f"{x}_share").alias("own"), F.col(f"{y}_share").alias("other"), "distance", (F.col(f"area_{y}") / F.col(f"area_{x}")).alias("ratio"))
+    edges = way("a", "b").union(way("b", "a"))
     same = (F.col("iou") >= rules["iou"]) | ((F.col("own") >= rules["own"]) & (F.col("other") >= rules["other"])) | ((F.col("distance") <= rules["distance"]) & F.col("ratio").between(low, high))
     verdict = F.when(same, "merged_duplicate").when(F.col("own") < rules["new_below"], "accepted_new").otherwise("conflict_review")
-    merit = F.struct("iou", "own", "other", -F.col("distance"), -F.col("o.p"), -F.col("o.a"), -F.col("better"))
-    edges = stored(edges.select("better", "worse", F.struct(merit.alias("m"), F.col("better").alias("better"), verdict.alias("verdict")).alias("e")), "footprint-edges")
-    state = rows.select(key, F.lit(None).cast("string").alias("status"), F.lit(None).cast(dict(boxes.dtypes)[key]).alias("match"))
-    while True:
-        known = state.select(F.col(key).alias("better"), F.col("status").alias("s"))
-        seen = edges.join(known, "better").groupBy("worse").agg(F.count_if(F.col("s").isNull()).alias("open"), F.max(F.when(F.col("s") == "accepted_new", F.col("e"))).alias("best"))
-        joined = state.join(seen.withColumnRenamed("worse", key), key, "left")
-        now = F.when(F.coalesce("open", F.lit(0)) == 0, F.coalesce("best.verdict", F.lit("accepted_new")))
-        hit = F.when(now != "accepted_new", F.col("best.better"))
-        state = stored(joined.select(key, F.coalesce("status", now).alias("status"), F.when(F.col("status").isNull(), hit).otherwise(F.col("match")).alias("match")), "footprints")
-        if not state.filter("status is null").limit(1).count():
-            break
+    edges = stored(edges.select("_class", "other_class", F.struct("iou", "own", "other", (-F.col("distance")).alias("d")).alias("m"), verdict.alias("verdict")), "footprint-edges")
     none = F.lit(None).cast(dict(boxes.dtypes)[key])
-    return state.unionByName(boxes.filter(tiny).select(key, F.lit("rejected_tiny").alias("status"), none.alias("match")))
+    out = boxes.filter(tiny).select(key, F.lit("rejected_tiny").alias("status"), none.alias("match"))
+    out = out.unionByName(large.filter(~F.coalesce(inside, F.lit(False))).select(key, F.lit("accepted_new").alias("status"), none.alias("match")))
+    accepted = None
+    while True:
+        front = left.groupBy(F.col("_class").alias("other_class")).agg(F.min("o").alias("front"))
+        limits = edges.join(front, "other_class").groupBy("_class").agg(F.min("front").alias("limit"))
+        ready = left.join(limits, "_class", "left").filter(F.col("limit").isNull() | (F.col("o") < F.col("limit"))).select(key, "_class", "o")
+        if accepted is None:
+            found = ready.withColumn("best", F.lit(None).cast(f"struct<verdict:string,k:{dict(boxes.dtypes)[key]}>"))
+        else:
+            near = edges.join(accepted.select(F.col("_class").alias("other_class"), F.col("o").alias("at")), "other_class").select("_class", "at", "m", "verdict")
+            merit = F.struct("m", (-F.col("at.p")).alias("p"), (-F.col("at.a")).alias("a"), (-F.col("at.k")).alias("k"))
+            e = F.struct(F.col("verdict"), F.col("at.k").alias("k"))
+            found = ready.join(near, "_class", "left").groupBy(key, "_class", "o").agg(F.max_by(e, F.when(F.col("at") < F.col("o"), merit)).alias("best"))
+        found = stored(found.select(key, "_class", "o", F.coalesce("best.verdict", F.lit("accepted_new")).alias("now"), F.col("best.k").alias("best")), "footprints")
+        fresh = stored(found.filter("now = 'accepted_new'").groupBy("_class").agg(F.min("o").alias("o")), "accepted-footprints")
+        accepted = fresh if accepted is None else accepted.unionByName(fresh)
+        first = fresh.select("_class", F.col("o").alias("at"))
+        # Of a class that has its accepted one now, the footprints behind it are its copies.
+        behind = F.col("at").isNotNull() & (F.col("o") > F.col("at"))
+        done = found.join(first, "_class", "left").filter(~behind)
+        out = out.unionByName(done.select(key, F.col("now").alias("status"), F.when(F.col("now") != "accepted_new", F.col("best")).alias("match")))
+        out = out.unionByName(left.join(first, "_class").filter(behind).select(key, F.lit(copies).alias("status"), F.col("at.k").alias("match")))
+        left = stored(left.join(fresh.select("_class"), "_class", "left_anti").join(found.select(key), key, "left_anti"), "open-footprints")
+        if not left.limit(1).count():
+            return out
 
 
 def merge_provenance(boxes: DataFrame, state: DataFrame, key: str, priority: str, source: str, promoted: Sequence[str], accepted: str = "accepted_new", merged: str = "merged_duplicate", match: str = "match") -> DataFrame:

@@ -153,3 +153,27 @@ def test_far_points_find_their_nearest_shape(spark):
     for p, x, y in points:
         d = {r[0]: (gap(x, r[2], r[3]) ** 2 + gap(y, r[4], r[5]) ** 2) ** 0.5 for r in rows}
         assert got[p][0] == pytest.approx(min(d.values())) and d[got[p][1]] == pytest.approx(min(d.values()))
+
+
+def test_copies_of_footprints_are_resolved_by_class(spark, writes):
+    d = G.DUPLICATE
+    for seed in range(3):
+        rows = some_boxes(10 + seed, 14, 160) + [(500, 1, 5.0, 5.0, 5.0, 9.0), (501, 1, 5.0, 5.0, 5.0, 9.0)]
+        new, want = [], {}
+        for r in in_order(rows):
+            best = None
+            for k in new:
+                if i := overlap(r, k):
+                    iou, own, other = i / (area(r) + area(k) - i), i / area(r), i / area(k)
+                    apart = ((r[2] + r[3] - k[2] - k[3]) ** 2 + (r[4] + r[5] - k[4] - k[5]) ** 2) ** 0.5 / 2
+                    same = iou >= d["iou"] or (own >= d["own"] and other >= d["other"]) or (apart <= d["distance"] and d["ratio"][0] <= area(k) / area(r) <= d["ratio"][1])
+                    verdict = "merged_duplicate" if same else "accepted_new" if own < d["new_below"] else "conflict_review"
+                    merit = (iou, own, other, -apart, -k[1], area(k), -k[0])
+                    best = max(best, (merit, verdict, k[0])) if best else (merit, verdict, k[0])
+            status = best[1] if best else "accepted_new"
+            want[r[0]] = (status, None if status == "accepted_new" else best[2])
+            new += [r] if status == "accepted_new" else []
+        writes.clear()
+        got = {r.id: (r.status, r.match) for r in G.resolve_footprints(spark.createDataFrame(rows, BOXES), "id", "priority", 10.0).collect()}
+        assert got == want
+        assert sum(n == "footprints" for n, _ in writes) <= 3 * 14
