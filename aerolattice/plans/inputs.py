@@ -177,10 +177,10 @@ INVENTORY = f"{duck('obs')} select 'good' as kind, count(*) as rows, count(*) as
 
 
 def merge_csvs(spark: SparkSession, d: str) -> DataFrame:
-    """A CSV file for each event type and day; one type is kept, rows without a value go."""
+    """A CSV file for each fifty users, written by one task; one type is kept, rows without a value go."""
     base = _folder(spark, "csvs")
     e = _events(spark, d).select("event_id", "event_type", F.when(F.col("event_id") % 6 != 0, F.col("value")).alias("value"), F.floor(F.col("user_id") / 50).alias("k"))
-    e.write.partitionBy("k").option("header", True).csv(base)
+    e.repartition("k").write.partitionBy("k").option("header", True).csv(base)
     return P.merge_csvs(spark, base, "event_type", "purchase", ["value"]).select(F.col("event_id").cast("long").alias("event_id"), F.col("value").cast("double").alias("value"))
 
 
