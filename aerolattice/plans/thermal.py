@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..functions import thermal as T
 from ..operators import aggregates as A
+from ..operators import cellhours as H
 from ..operators import pairing as J
 from ..operators import ranking as R
 from .adapters import adapter, duck
@@ -80,11 +81,11 @@ HOTSPOT_SQL = f"""{CELL_HOURS}, a as (select cell, max(utci_c) as mu, round(avg(
 
 
 def event_windows(spark: SparkSession, d: str) -> DataFrame:
-    e = A.event_windows(_cell_hours(spark, d))
+    e = H.event_windows(_hourly(spark, d), adapter(spark, d, "cells"))
     w = T.wbgt_alert(F.col("cells_high"), F.col("cells_moderate_or_high"), F.col("max_wbgt_c"), F.col("cell_count"))
     u = T.utci_alert(*(F.col(c) for c in ("cells_extreme_utci", "cells_very_strong_utci", "cells_strong_utci", "cells_moderate_utci", "max_utci_c", "cell_count")))
     out = e.withColumns({"wbgt_alert": w, "utci_alert": u}).withColumn("combined_alert", T.combined_alert(F.col("wbgt_alert"), F.col("utci_alert")))
-    return out.withColumns({c: F.round(c, 8) for c in ("p90_wbgt_c", "p90_utci_c")})
+    return out.withColumns({c: F.round(c, 8) for c in ("p90_wbgt_c", "p90_utci_c")}).select("t", "cell_count", "max_wbgt_c", "max_utci_c", *(c for c in out.columns if c.startswith("cells_")), "p90_wbgt_c", "p90_utci_c", "wbgt_alert", "utci_alert", "combined_alert")
 
 
 EVENTS_SQL = f"""{CELL_HOURS}, e as (select t, count(distinct cell) as cell_count, max(wbgt_c) as max_wbgt_c, round(quantile_cont(wbgt_c, 0.9), 8) as p90_wbgt_c, max(utci_c) as max_utci_c, round(quantile_cont(utci_c, 0.9), 8) as p90_utci_c,
