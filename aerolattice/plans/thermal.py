@@ -44,8 +44,7 @@ def _hourly(spark: SparkSession, d: str) -> DataFrame:
     return adapter(spark, d, "weather").groupBy("t").agg(*(F.round(F.avg(c), 6).alias(c) for c in ("temp", "rh", "wind", "sw")))
 
 
-def _cell_hours(spark: SparkSession, d: str, expand=J.expand_over_grid) -> DataFrame:
-    rows = expand(_hourly(spark, d), adapter(spark, d, "cells"))
+def _local(rows: DataFrame) -> DataFrame:
     parts = T.local_microclimate(*(F.col(c) for c in ("temp", "wind", "sw", "gvi", "park", "density", "road", "svf", "shade")))
     local = rows.select("t", "cell", "rh", "elderly", "outdoor", *(parts[k].alias(k) for k in ("tair_local_c", "wind_local_ms", "tmrt_proxy_c")))
     x = [F.col(c) for c in ("tair_local_c", "tmrt_proxy_c", "wind_local_ms", "rh")]
@@ -60,7 +59,7 @@ CELL_HOURS = f"""{duck("weather", "cells")}, hourly as (select t, round(avg(temp
 
 
 def hotspot_ranking(spark: SparkSession, d: str) -> DataFrame:
-    agg = A.hotspot_agg(_cell_hours(spark, d, J.expand_by_cell), ["elderly", "outdoor"])
+    agg = H.hotspot_agg(_hourly(spark, d), adapter(spark, d, "cells"), ["elderly", "outdoor"], lambda hours, cells: _local(J.expand_over_grid(hours, cells)))
     agg = agg.withColumns({c: F.round(c, 6) for c in ("mean_utci_c", "p90_utci_c", "mean_wbgt_c", "p90_wbgt_c")})
     out = R.hazard_scores(agg, "elderly", "outdoor")
     return out.select("cell", "rank", *(F.round(c, 6).alias(c) for c in ("hazard_score", "vulnerability_score", "exposure_score", "risk_priority_score", "max_utci_c", "mean_utci_c", "p90_wbgt_c")), "strong_utci_hours", "moderate_wbgt_hours", "forecast_hours", T.utci_class(F.col("max_utci_c")).alias("peak_utci_class"))
