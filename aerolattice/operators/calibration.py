@@ -243,11 +243,19 @@ def forest_pipeline(features: Sequence[str], label: str, categorical: Sequence[s
     return Pipeline(stages=[*steps, VectorAssembler(inputCols=inputs, outputCol="_x"), forest])
 
 
+def forest_rows(df: DataFrame) -> DataFrame:
+    """``df`` dealt over all cores and stored, for a forest: each step of a fit reads its rows again, and a few files would
+    leave the trees to a few tasks."""
+    from ..session import stored
+
+    return stored(df.repartition(max(2, 4 * df.sparkSession.sparkContext.defaultParallelism)), "forest-rows")
+
+
 def random_forest_cv(df: DataFrame, features: Sequence[str], label: str, trees: int = 120, seed: int = 0, categorical: Sequence[str] = ()) -> DataFrame:
     """RMSE, MAE and R² of ``forest_pipeline`` on each held-out fold."""
     from .metrics import skill
 
-    out = None
+    df, out = forest_rows(df), None
     for (fold,) in df.select("fold").distinct().orderBy("fold").collect():  # folds, not rows
         model = forest_pipeline(features, label, categorical, trees, seed).fit(df.filter(F.col("fold") != fold))
         part = model.transform(df.filter(F.col("fold") == fold)).select("fold", label, "pred")

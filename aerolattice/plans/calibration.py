@@ -216,7 +216,7 @@ def random_forest_cv(spark: SparkSession, d: str) -> DataFrame:
 
 def permutation_importance(spark: SparkSession, d: str) -> DataFrame:
     """Of a fitted forest."""
-    o = _obs(spark, d).select("row_id", "y", "p", "p2", "kind")
+    o = C.forest_rows(_obs(spark, d).select("row_id", "y", "p", "p2", "kind"))
     return C.permutation_importance(o, C.forest_pipeline(["p", "p2"], "y", ["kind"], 20).fit(o).transform, ["p", "p2", "kind"], "y", 2)
 
 

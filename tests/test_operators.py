@@ -154,6 +154,18 @@ def test_forest_beats_the_mean_on_held_out_folds(spark):
     assert len(out) == 3 and all(r.r2 > 0.8 and r.n == 100 for r in out)
 
 
+def test_forest_rows_of_one_file_are_dealt(spark, monkeypatch):
+    from aerolattice import session
+
+    stored, plain = [], session.stored
+    monkeypatch.setattr(session, "stored", lambda df, name: stored.append((name, plain(df, name))) or stored[-1][1])
+    rows = [(f"f{i % 2}", float(i % 10), "u", float(i % 10)) for i in range(200)]
+    df = spark.createDataFrame(rows, "fold string, a double, kind string, y double").coalesce(1)
+    assert {r.n for r in C.random_forest_cv(df, ["a"], "y", 3, categorical=["kind"]).collect()} == {100}
+    files = dict(stored)["forest-rows"].inputFiles()
+    assert len(files) > 1 and dict(stored)["forest-rows"].count() == 200
+
+
 def test_scan_without_rows_at_a_threshold(spark):
     df = spark.createDataFrame([(30.0, 28.0), (32.0, 33.0)], "y double, p double")
     rows = {r.threshold: (r.tp, r.fp, r.fn, r.tn) for r in M.threshold_scan(df, "y", "p", 31, 2700, 3400, 100).collect()}
