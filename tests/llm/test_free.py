@@ -464,6 +464,29 @@ def test_query_classes_equal_brute_force(spark, monkeypatch, odd, empty, full):
     assert edit_fingerprint.fingerprint_classes(odd).count() == odd.count() and edit_fingerprint.fingerprint_classes(empty).count() == 0
 
 
+def test_links_within_crowded_bands(spark, monkeypatch):
+    """Pairs all of whose common bands are crowded link too, in blocks and cells of any size."""
+    from aerolattice.llm import common
+
+    monkeypatch.setattr(common, "HOT_ROWS", 3)
+    monkeypatch.setattr(edit_fingerprint, "FULL", 2)
+    rng = random.Random(33)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnop ") for _ in range(n))
+    passage, texts = word(300), []
+    for size in (250, 330, 700):
+        # Unlike texts around one passage, each with a few copies of many edits.
+        for _ in range(5):
+            root = word(size // 2) + passage + word(size // 2)
+            texts += [root, *(scattered(rng, root, share) for share in (0.04, 0.06, 0.07))]
+    rng.shuffle(texts)
+    want = plain_classes(texts, len(texts))[0]
+    assert len(set(want.values())) < len(set(plain_classes(texts, 2)[0].values()))  # the longer bands alone lose links
+    for block, pairs in ((4, 3), (4096, 30_000)):
+        monkeypatch.setattr(edit_fingerprint, "BLOCK_ROWS", block, raising=False)
+        monkeypatch.setattr(edit_fingerprint, "CELL_PAIRS", pairs, raising=False)
+        assert {r.doc_id: r.class_id for r in edit_fingerprint.fingerprint_classes(messy(spark, texts)).collect()} == want
+
+
 def test_files_in_any_order(spark, tmp_path):
     """Files that hold ranges of ids, and files that don't, give the same rows."""
     rng = random.Random(2)
