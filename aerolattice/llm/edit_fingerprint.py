@@ -569,7 +569,8 @@ class _Grams:
 
 
 class _Judge:
-    """Whether pairs of a cell link, each unless the cell's links join it already."""
+    """Whether pairs of a cell link, each unless the cell's links join it already. The lesser id comes first, as the
+    passages' order may tell in a distance."""
 
     def __init__(self, least: float):
         self.least, self.grams, self.above = least, _Grams(), {}
@@ -584,7 +585,7 @@ class _Judge:
         longer = max(len(x), len(y))
         most = int(_most(longer, self.least))
         # Texts of low likeness are seldom near, which stretches tell sooner.
-        if ra == rb or like < ALIKE and longer > 64 and self.grams.least_edits(a, b, x, y) > most or aligned_distance(x, y, most) > most:
+        if ra == rb or like < ALIKE and longer > 64 and self.grams.least_edits(a, b, x, y) > most or aligned_distance(y, x, most) > most:
             return False
         self.above[ra] = rb
         return True
@@ -600,8 +601,10 @@ def _cell_links(batches, least: float):
                 cell, texts, judge = own, {}, _Judge(least)
             if text is not None:
                 texts[a] = text
-            elif judge.joins(a, b, a, b, like, texts[a], texts[b]):
-                found.append((a, b))
+            else:
+                a, b = min(a, b), max(a, b)
+                if judge.joins(a, b, a, b, like, texts[a], texts[b]):
+                    found.append((a, b))
         if found:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["a", "b"])
 
@@ -695,6 +698,8 @@ def _cross_linked(batches, least: float):
     for rows in _cells(batches, True):
         judge, found = _Judge(least), []
         for x, y, like in _crossed(rows, least):
+            swap = rows["node"][x] > rows["node"][y]
+            x, y = np.where(swap, y, x), np.where(swap, x, y)
             by = np.argsort(-like, kind="stable")
             for a, b, s in zip(x[by].tolist(), y[by].tolist(), like[by].tolist()):
                 if judge.joins(a, b, int(rows["comp"][a]), int(rows["comp"][b]), s, rows["text"][a], rows["text"][b]):
