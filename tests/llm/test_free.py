@@ -487,6 +487,33 @@ def test_links_within_crowded_bands(spark, monkeypatch):
         assert {r.doc_id: r.class_id for r in edit_fingerprint.fingerprint_classes(messy(spark, texts)).collect()} == want
 
 
+def test_alike_texts_are_told_apart_by_bounds(monkeypatch):
+    """Texts with one long passage and nothing else in common: counts of stretches show that they aren't near, so few pairs
+    are aligned, and the links are those of all pairs."""
+    rng, letters = random.Random(5), "abcdefghijklmnopqrstuvwxyz .,"
+    made = lambda n: "".join(rng.choice(letters) for _ in range(n))
+    passage = made(300)
+    texts = [passage + made(200) for _ in range(40)]
+    texts += [t[:450] + made(9) + t[450:] for t in texts[:5]]
+    calls, aligned = [], edit_fingerprint.aligned_distance
+    want = {(i, j) for i in range(45) for j in range(i) if aligned(texts[i], texts[j], 10_000) <= int(0.12 * max(len(texts[i]), len(texts[j])))}
+    monkeypatch.setattr(edit_fingerprint, "aligned_distance", lambda *a: calls.append(a) or aligned(*a))
+    ids = np.arange(45)
+    a, b = np.triu_indices(45, 1)
+    found = list(edit_fingerprint._Judge(edit_fingerprint.LEAST, ids, ids, texts).links(a, b, np.full(len(a), 0.7)))
+    assert {(max(p), min(p)) for p in found} == want == {(40 + k, k) for k in range(5)} and len(calls) < 20
+
+
+def test_bands_of_one_passage_make_one_cell(spark):
+    rows = [(grp, node, 500, True, grp, 9, node) for grp in range(4) for node in range(9)] + [(7, node, 500, False, 5, 2, node) for node in (0, 20)]
+    named = spark.createDataFrame(rows, "grp long, node long, n long, low boolean, band int, rows long, comp long")
+    cells = sorted(map(tuple, edit_fingerprint._open_cells(named).select("hub", "node", "comp", "shared", "rows", "chars").collect()))
+    assert cells == [(0, node, node, 15, 9, 4500) for node in range(9)]
+    assert sorted(map(tuple, edit_fingerprint._small_pairs(named, edit_fingerprint.LEAST).collect())) == []
+    named = named.filter("grp = 7").withColumn("low", F.col("node") == 0)
+    assert [tuple(r) for r in edit_fingerprint._small_pairs(named, edit_fingerprint.LEAST).collect()] == [(0, 20)]
+
+
 def test_files_in_any_order(spark, tmp_path):
     """Files that hold ranges of ids, and files that don't, give the same rows."""
     rng = random.Random(2)
