@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -77,18 +78,15 @@ def _box_classes(boxes: DataFrame, by: Sequence[str] = BOX) -> DataFrame:
     return stored(boxes.select(*by).distinct().withColumn("_class", F.monotonically_increasing_id()), "box-classes")
 
 
-def _class_pairs(classes: DataFrame, size: float) -> DataFrame:
-    """Pairs of classes (a not after b) that overlap, a class with itself too, with intersection, union, IoU, each one's
-    share and the distance of centres. Boxes meet in the squares that both touch; a pair is kept in its first common square
-    only."""
+def _pairs_between(ones: DataFrame, others: DataFrame, size: float) -> DataFrame:
+    """Pairs of classes, one of each side (a, b), that overlap, with intersection, union, IoU, each one's share and area and
+    the distance of centres. Boxes meet in the squares that both touch; a pair is kept in its first common square only."""
     cols = ["_class", *BOX]
-    near = _near(classes.select(*cols), size)
-    a = near.select("kx", "ky", *(F.col(c).alias(f"a_{c}") for c in cols))
-    b = near.select("kx", "ky", *(F.col(c).alias(f"b_{c}") for c in cols))
-    joined = a.join(b, ["kx", "ky"]).filter(F.col("a__class") <= F.col("b__class"))
+    a = _near(ones.select(*cols), size).select("kx", "ky", *(F.col(c).alias(f"a_{c}") for c in cols))
+    b = _near(others.select(*cols), size).select("kx", "ky", *(F.col(c).alias(f"b_{c}") for c in cols))
     left, low = F.greatest("a_x_min", "b_x_min"), F.greatest("a_y_min", "b_y_min")
     w, h = F.least("a_x_max", "b_x_max") - left, F.least("a_y_max", "b_y_max") - low
-    joined = joined.filter((w > 0) & (h > 0) & (F.floor(left / size) == F.col("kx")) & (F.floor(low / size) == F.col("ky")))
+    joined = a.join(b, ["kx", "ky"]).filter((w > 0) & (h > 0) & (F.floor(left / size) == F.col("kx")) & (F.floor(low / size) == F.col("ky")))
     area = lambda s: (F.col(f"{s}_x_max") - F.col(f"{s}_x_min")) * (F.col(f"{s}_y_max") - F.col(f"{s}_y_min"))
     mid = lambda s, c: (F.col(f"{s}_{c}_min") + F.col(f"{s}_{c}_max")) / 2
     inter = w * h
@@ -96,10 +94,15 @@ def _class_pairs(classes: DataFrame, size: float) -> DataFrame:
     return joined.select(
         F.col("a__class").alias("a"), F.col("b__class").alias("b"), inter.alias("intersection"), union.alias("union_area"), (inter / union).alias("iou"),
         (inter / area("a")).alias("a_share"), (inter / area("b")).alias("b_share"), (F.least(area("a"), area("b")) / F.greatest(area("a"), area("b"))).alias("area_ratio"),
-        F.sqrt(F.pow(mid("a", "x") - mid("b", "x"), 2) + F.pow(mid("a", "y") - mid("b", "y"), 2)).alias("distance"),
+        F.sqrt(F.pow(mid("a", "x") - mid("b", "x"), 2) + F.pow(mid("a", "y") - mid("b", "y"), 2)).alias("distance"), area("a").alias("area_a"), area("b").alias("area_b"),
     )
 
 
+def _class_pairs(classes: DataFrame, size: float) -> DataFrame:
+    """``_pairs_between`` for classes among themselves (a not after b), a class with itself too."""
+    return _pairs_between(classes, classes, size).filter("a <= b").drop("area_a", "area_b")
+
+
 def pairs_of_members(pairs: DataFrame, members: DataFrame, key: str) -> DataFrame:
     """Pairs of rows (a before b) for pairs of classes (a not after b): each row of one with each of the other, or the pairs
     within a class. ``members`` has ``key, _class``. Columns of the pair stay, ``a_share`` and ``b_share`` with their rows.
@@ -165,17 +168,62 @@ def dedup_footprints(boxes: DataFrame, key: str, priority: str, size: float, iou
 DUPLICATE = {"iou": 0.35, "own": 0.60, "other": 0.30, "distance": 8.0, "ratio": (0.5, 2.0), "new_below": 0.20}
 
 
+#: Rows of footprints that a tile holds at most, where a square alone doesn't hold more; and how many footprints of a class
+#: and priority are told apart in a round.
+TILE, HEADS = 1_500_000, 8
+
+
+def _tile_width(marks: DataFrame, size: float) -> float:
+    """The width of the largest tiles, ``size`` times a power of two, of which none holds too many rows; infinite where one
+    tile may hold all."""
+    cells = marks.groupBy(*(F.floor(F.col(f"{v}_min") / size).alias(f"k{v}") for v in "xy")).agg(F.count("*").alias("n")).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(24))))
+    tiles = cells.groupBy("j", *(F.floor(F.col(f"k{v}") / F.pow(F.lit(2.0), F.col("j"))).alias(f"t{v}") for v in "xy")).agg(F.sum("n").alias("n"))
+    found = tiles.groupBy("j").agg(F.max("n"), F.sum("n")).collect()  # 25 rows
+    if found[0][2] <= TILE:
+        return float("inf")
+    return size * 2.0 ** max([j for j, n, _ in found if n <= TILE], default=0)
+
+
+def _tiled(marks: DataFrame, accepted: DataFrame | None, width: float, shift: tuple[int, int]) -> DataFrame:
+    """Rows of ``footprints.decide`` with their tile (``tx, ty``): the ``marks`` of a class in the tile that holds the corner
+    of its box, and in each tile the first open footprint of classes of other tiles, and the accepted ones, that overlap the
+    box around its own. Grids may be shifted by half a tile."""
+    from .footprints import ACCEPTED, ELSEWHERE, FIRST
+
+    whole = width == float("inf")
+    at = lambda c, k: F.lit(0).cast("long") if whole else F.floor(c / width + shift[k] / 2)
+    kind = lambda k: F.lit(k).cast("int")
+    own = marks.select(at(F.col("x_min"), 0).alias("tx"), at(F.col("y_min"), 1).alias("ty"), "_class", *BOX, "kind", "o")
+    known = None if accepted is None else accepted.select("_class", *BOX, kind(ACCEPTED).alias("kind"), "o")
+    if whole:
+        return own if known is None else own.unionByName(known.withColumns({"tx": at(F.lit(0), 0), "ty": at(F.lit(0), 1)}))
+    fronts = marks.filter(F.col("kind") == FIRST).groupBy("_class", *BOX).agg(F.min("o").alias("o")).select("_class", *BOX, kind(ELSEWHERE).alias("kind"), "o")
+    spread = lambda rows: rows.withColumn("kx", F.explode(F.sequence(at(F.col("x_min"), 0), at(F.col("x_max"), 0)))).withColumn("ky", F.explode(F.sequence(at(F.col("y_min"), 1), at(F.col("y_max"), 1))))
+    around = own.groupBy("tx", "ty").agg(F.min("x_min").alias("x_min"), F.max("x_max").alias("x_max"), F.min("y_min").alias("y_min"), F.max("y_max").alias("y_max"))
+    around = spread(around).select("kx", "ky", "tx", "ty", *(F.col(c).alias(f"t_{c}") for c in BOX))
+    met = spread(fronts if known is None else fronts.unionByName(known)).join(around, ["kx", "ky"])
+    left, low = F.greatest("x_min", "t_x_min"), F.greatest("y_min", "t_y_min")
+    met = met.filter((F.least("x_max", "t_x_max") > left) & (F.least("y_max", "t_y_max") > low) & (at(left, 0) == F.col("kx")) & (at(low, 1) == F.col("ky")))
+    own_front = (F.col("kind") == ELSEWHERE) & (at(F.col("x_min"), 0) == F.col("tx")) & (at(F.col("y_min"), 1) == F.col("ty"))
+    return own.unionByName(met.filter(~own_front).select("tx", "ty", "_class", *BOX, "kind", "o"))
+
+
 def resolve_footprints(boxes: DataFrame, key: str, priority: str, size: float, min_area: Column | None = None, rules: Mapping[str, object] = DUPLICATE) -> DataFrame:
     """``status`` of each footprint in order of source priority, larger area, id: ``rejected_tiny`` below its ``min_area``,
     else by the best accepted footprint before it (largest IoU, own overlap, other's overlap, least distance; the earlier
     of ties): ``merged_duplicate`` by one of the three rules, ``accepted_new`` if it overlaps none or hardly, else
     ``conflict_review``. ``match`` is that best one.
 
-    Footprints with equal sides form a class, of which at most one is accepted: those behind it have it as their best. Each
-    round decides the footprints before the first undecided one of any class that theirs overlaps, and all of a class that
-    has its accepted one; its state is written to the shared folder."""
-    from ..session import stored
+    Footprints with equal sides form a class, of which at most one is accepted: those behind it have it as their best. First
+    the accepted ones are found, from the first few and the last of each class and priority: a round cuts the map into tiles
+    of bounded size, each of which is decided in order as far as it doesn't depend on open footprints of others. The next
+    round's tiles are shifted and, as less is open, larger, so chains of footprints cost rounds only where they cross
+    borders. Then all footprints are compared with the accepted ones that their class overlaps."""
+    from ..session import ship_package, stored
+    from .footprints import FIRST, LAST, decide_tiles
 
+    spark = boxes.sparkSession
+    ship_package(spark)
     area = (F.col("x_max") - F.col("x_min")) * (F.col("y_max") - F.col("y_min"))
     tiny = F.lit(False) if min_area is None else area < min_area
     low, high = rules["ratio"]
@@ -186,42 +234,44 @@ def resolve_footprints(boxes: DataFrame, key: str, priority: str, size: float, m
     inside = (F.col("x_max") > F.col("x_min")) & (F.col("y_max") > F.col("y_min"))
     large = boxes.filter(~tiny).select(key, *BOX, F.struct(F.col(priority).alias("p"), (-area).alias("a"), F.col(key).alias("k")).alias("o"))
     classes = _box_classes(large.filter(inside), by)
-    left = stored(large.filter(inside).join(classes, by).select(key, "_class", "o"), "footprint-order")
-    pairs = _class_pairs(classes, size).filter("a < b")
-    sizes = classes.select("_class", area.alias("area"))
-    pairs = stored(pairs.join(sizes.toDF("a", "area_a"), "a").join(sizes.toDF("b", "area_b"), "b"), "footprint-pairs")
-    way = lambda x, y: pairs.select(F.col(x).alias("_class"), F.col(y).alias("other_class"), "iou", F.col(f"{x}_share").alias("own"), F.col(f"{y}_share").alias("other"), "distance", (F.col(f"area_{y}") / F.col(f"area_{x}")).alias("ratio"))
-    edges = way("a", "b").union(way("b", "a"))
-    same = (F.col("iou") >= rules["iou"]) | ((F.col("own") >= rules["own"]) & (F.col("other") >= rules["other"])) | ((F.col("distance") <= rules["distance"]) & F.col("ratio").between(low, high))
-    verdict = F.when(same, "merged_duplicate").when(F.col("own") < rules["new_below"], "accepted_new").otherwise("conflict_review")
-    edges = stored(edges.select("_class", "other_class", F.struct("iou", "own", "other", (-F.col("distance")).alias("d")).alias("m"), verdict.alias("verdict")), "footprint-edges")
+    members = stored(large.filter(inside).join(classes, by).select(key, "_class", *BOX, "o"), "footprint-members")
+    kinds = {f.name: f.dataType.simpleString() for f in members.schema}
+    made = ", ".join(f"{c} {kinds[c]}" for c in ("_class", *BOX, "o")) + ", open boolean"
+    accepted = bounds = None
+    for turn in count():
+        left = members if bounds is None else members.join(bounds, "_class").filter(F.col("o") >= F.col("bound"))
+        place = F.row_number().over(Window.partitionBy("_class", "o.p").orderBy("o"))
+        heads = left.withColumn("n", place).filter(F.col("n") <= HEADS).select("_class", *BOX, F.lit(FIRST).alias("kind"), "o")
+        lasts = left.groupBy("_class", *BOX, "o.p").agg(F.max("o").alias("o"), F.count("*").alias("n")).filter(F.col("n") > HEADS)
+        marks = stored(heads.unionByName(lasts.select("_class", *BOX, F.lit(LAST).alias("kind"), "o")), "footprint-marks")
+        if not marks.limit(1).count():
+            break
+        rows = _tiled(marks, accepted, _tile_width(marks, size), ((0, 0), (1, 1), (1, 0), (0, 1))[turn % 4])
+        rows = rows.repartition(4 * max(2, spark.sparkContext.defaultParallelism), "tx", "ty").sortWithinPartitions("tx", "ty", "o")
+        found = stored(rows.mapInArrow(lambda batches: decide_tiles(batches, rules), made), "footprints")
+        fresh = found.filter("not open").drop("open")
+        accepted = fresh if accepted is None else accepted.unionByName(fresh)
+        bounds = found.filter("open").select("_class", F.col("o").alias("bound"))
+        if not bounds.limit(1).count():
+            break
     none = F.lit(None).cast(dict(boxes.dtypes)[key])
     out = boxes.filter(tiny).select(key, F.lit("rejected_tiny").alias("status"), none.alias("match"))
     out = out.unionByName(large.filter(~F.coalesce(inside, F.lit(False))).select(key, F.lit("accepted_new").alias("status"), none.alias("match")))
-    accepted = None
-    while True:
-        front = left.groupBy(F.col("_class").alias("other_class")).agg(F.min("o").alias("front"))
-        limits = edges.join(front, "other_class").groupBy("_class").agg(F.min("front").alias("limit"))
-        ready = left.join(limits, "_class", "left").filter(F.col("limit").isNull() | (F.col("o") < F.col("limit"))).select(key, "_class", "o")
-        if accepted is None:
-            found = ready.withColumn("best", F.lit(None).cast(f"struct<verdict:string,k:{dict(boxes.dtypes)[key]}>"))
-        else:
-            near = edges.join(accepted.select(F.col("_class").alias("other_class"), F.col("o").alias("at")), "other_class").select("_class", "at", "m", "verdict")
-            merit = F.struct("m", (-F.col("at.p")).alias("p"), (-F.col("at.a")).alias("a"), (-F.col("at.k")).alias("k"))
-            e = F.struct(F.col("verdict"), F.col("at.k").alias("k"))
-            found = ready.join(near, "_class", "left").groupBy(key, "_class", "o").agg(F.max_by(e, F.when(F.col("at") < F.col("o"), merit)).alias("best"))
-        found = stored(found.select(key, "_class", "o", F.coalesce("best.verdict", F.lit("accepted_new")).alias("now"), F.col("best.k").alias("best")), "footprints")
-        fresh = stored(found.filter("now = 'accepted_new'").groupBy("_class").agg(F.min("o").alias("o")), "accepted-footprints")
-        accepted = fresh if accepted is None else accepted.unionByName(fresh)
-        first = fresh.select("_class", F.col("o").alias("at"))
-        # Of a class that has its accepted one now, the footprints behind it are its copies.
-        behind = F.col("at").isNotNull() & (F.col("o") > F.col("at"))
-        done = found.join(first, "_class", "left").filter(~behind)
-        out = out.unionByName(done.select(key, F.col("now").alias("status"), F.when(F.col("now") != "accepted_new", F.col("best")).alias("match")))
-        out = out.unionByName(left.join(first, "_class").filter(behind).select(key, F.lit(copies).alias("status"), F.col("at.k").alias("match")))
-        left = stored(left.join(fresh.select("_class"), "_class", "left_anti").join(found.select(key), key, "left_anti"), "open-footprints")
-        if not left.limit(1).count():
-            return out
+    if accepted is None:
+        return out
+    first = accepted.select("_class", F.col("o").alias("at"))
+    members = members.join(first, "_class", "left").select(key, "_class", "o", "at")
+    # Of a class that has an accepted one, the footprints behind it are its copies.
+    behind, new = F.col("o") > F.col("at"), F.col("o") == F.col("at")
+    copied = members.filter("o >= at").select(key, F.when(behind, copies).otherwise("accepted_new").alias("status"), F.when(behind, F.col("at.k")).alias("match"))
+    pairs = _pairs_between(classes, accepted, size).filter("a != b").withColumnsRenamed({"a": "_class", "a_share": "own", "b_share": "other"}).withColumn("ratio", F.col("area_b") / F.col("area_a"))
+    same = (F.col("iou") >= rules["iou"]) | ((F.col("own") >= rules["own"]) & (F.col("other") >= rules["other"])) | ((F.col("distance") <= rules["distance"]) & F.col("ratio").between(low, high))
+    verdict = F.when(same, "merged_duplicate").when(F.col("own") < rules["new_below"], "accepted_new").otherwise("conflict_review")
+    near = pairs.join(first.select(F.col("_class").alias("b"), F.col("at").alias("by")), "b").select("_class", "by", "iou", "own", "other", (-F.col("distance")).alias("d"), verdict.alias("verdict"))
+    merit = F.struct("iou", "own", "other", "d", (-F.col("by.p")).alias("p"), (-F.col("by.a")).alias("a"), (-F.col("by.k")).alias("k"))
+    rest = members.filter("at is null or o < at").join(near, "_class").filter(F.col("by") < F.col("o")).groupBy(key).agg(F.max_by(F.struct("verdict", F.col("by.k").alias("k")), merit).alias("best"))
+    rest = rest.select(key, F.col("best.verdict").alias("status"), F.when(F.col("best.verdict") != "accepted_new", F.col("best.k")).alias("match"))
+    return stored(out.unionByName(copied).unionByName(rest), "footprint-states")
 
 
 def merge_provenance(boxes: DataFrame, state: DataFrame, key: str, priority: str, source: str, promoted: Sequence[str], accepted: str = "accepted_new", merged: str = "merged_duplicate", match: str = "match") -> DataFrame:

@@ -177,3 +177,43 @@ def test_copies_of_footprints_are_resolved_by_class(spark, writes):
         got = {r.id: (r.status, r.match) for r in G.resolve_footprints(spark.createDataFrame(rows, BOXES), "id", "priority", 10.0).collect()}
         assert got == want
         assert sum(n == "footprints" for n, _ in writes) <= 3 * 14
+
+
+def resolved(rows):
+    """Status and match of boxes, one after another."""
+    d, new, want = G.DUPLICATE, [], {}
+    for r in in_order(rows):
+        best = None
+        for k in new:
+            if i := overlap(r, k):
+                iou, own, other = i / (area(r) + area(k) - i), i / area(r), i / area(k)
+                apart = ((r[2] + r[3] - k[2] - k[3]) ** 2 + (r[4] + r[5] - k[4] - k[5]) ** 2) ** 0.5 / 2
+                same = iou >= d["iou"] or (own >= d["own"] and other >= d["other"]) or (apart <= d["distance"] and d["ratio"][0] <= area(k) / area(r) <= d["ratio"][1])
+                verdict = "merged_duplicate" if same else "accepted_new" if own < d["new_below"] else "conflict_review"
+                merit = (iou, own, other, -apart, -k[1], area(k), -k[0])
+                best = max(best, (merit, verdict, k[0])) if best else (merit, verdict, k[0])
+        status = best[1] if best else "accepted_new"
+        want[r[0]] = (status, None if status == "accepted_new" else best[2])
+        new += [r] if status == "accepted_new" else []
+    return want
+
+
+def test_chains_of_footprints_need_no_rounds(spark, writes):
+    rows = [(i, 1, 9.0 * i, 9.0 * i + 10.0, 0.0, 10.0) for i in range(40)] + [(100 + i, 2, 9.0 * i + 3.0, 9.0 * i + 13.0, 2.0, 12.0) for i in range(40)]
+    got = {r.id: (r.status, r.match) for r in G.resolve_footprints(spark.createDataFrame(rows, BOXES), "id", "priority", 10.0).collect()}
+    assert got == resolved(rows) and len({s for s, _ in got.values()}) == 2
+    assert sum(name == "footprints" for name, _ in writes) == 1  # not one for each of the 40 that wait for the one before
+
+
+def test_tiles_of_footprints_agree_with_one_after_another(spark, writes, monkeypatch):
+    rng, rounds = random.Random(5), []
+    monkeypatch.setattr(G, "TILE", 40)
+    for heads in (1, 3):
+        monkeypatch.setattr(G, "HEADS", heads)
+        places = [(x, x + rng.choice((4, 9, 10, 16, 30)), y, y + rng.choice((4, 9, 10, 16))) for x, y in ((rng.randint(-60, 60), rng.randint(-60, 60)) for _ in range(110))]
+        rows = [(i, rng.randint(1, 3), *(float(v) for v in rng.choice(places))) for i in range(260)]
+        writes.clear()
+        got = {r.id: (r.status, r.match) for r in G.resolve_footprints(spark.createDataFrame(rows, BOXES), "id", "priority", 10.0).collect()}
+        assert got == resolved(rows) and {s for s, _ in got.values()} == {"accepted_new", "merged_duplicate", "conflict_review"}
+        rounds.append(sum(name == "footprints" for name, _ in writes))
+    assert min(rounds) > 1  # several tiles, and what they left open
