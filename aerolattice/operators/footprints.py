@@ -9,6 +9,8 @@ from heapq import heapify, heappop, heappush
 import numpy as np
 import pyarrow as pa
 
+from .batches import groups_of
+
 #: What a row of a tile is: the first footprint of a run of open ones of a class and priority, the last one of a longer run,
 #: the first open footprint of a class that another tile decides, an accepted footprint.
 FIRST, LAST, ELSEWHERE, ACCEPTED = range(4)
@@ -102,26 +104,9 @@ def decide_tiles(batches: Iterator[pa.RecordBatch], rules: Mapping[str, object])
     """``decide`` for each tile (``tx, ty``) of batches that are ordered by tile and footprint: ``_class`` with its box, the
     order ``o`` that is accepted or, where ``open``, from which its footprints are open."""
     box = ["x_min", "x_max", "y_min", "y_max"]
-
-    def flush(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = pa.Table.from_batches(held).combine_chunks()
+    for t in groups_of(batches, "tx", "ty"):
         accepted, left = decide(t["kind"].to_numpy(), t["_class"].to_numpy(), np.stack([t[c].to_numpy().astype(float) for c in box], axis=1), rules)
         rows, upto = accepted + [r for r, _ in left], accepted + [r for _, r in left]
         if rows:
             out = t.select(["_class", *box]).take(pa.array(rows)).append_column("o", t["o"].take(pa.array(upto)))
             yield from out.append_column("open", pa.array([False] * len(accepted) + [True] * len(left))).combine_chunks().to_batches()
-
-    held: list[pa.RecordBatch] = []
-    tile = None
-    for batch in batches:
-        tx, ty = batch.column("tx").to_numpy(), batch.column("ty").to_numpy()
-        cuts = [0, *(np.flatnonzero((np.diff(tx) != 0) | (np.diff(ty) != 0)) + 1).tolist(), len(tx)]
-        for i, j in zip(cuts[:-1], cuts[1:]):
-            if i < j:
-                if held and (tx[i], ty[i]) != tile:
-                    yield from flush(held)
-                    held = []
-                tile = (tx[i], ty[i])
-                held.append(batch.slice(i, j - i))
-    if held:
-        yield from flush(held)

@@ -1,19 +1,22 @@
-"""Areas of overlap of shapes, in one vectorised pandas UDF each; joins stay equi-joins by cell key.
+"""Areas of overlap of shapes, in one vectorised pandas UDF or pass over Arrow batches each; joins stay equi-joins by cell key.
 
 A shape is an array of rings under the even-odd rule: outlines, holes and parts alike. A ring is a shape of one ring.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import in_shape, ring_area, ring_box, shape_area, shape_distance
 from ..session import ship_package, stored
+from .batches import groups_of
 from .geo import pairs_of_members
 from .neighbours import SIDES, nearest_boxed
 
@@ -108,6 +111,137 @@ def covered_area(subject: Sequence[Ring], others: Sequence[Sequence[Ring]], wind
     return total
 
 
+def _flat_edges(shapes: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """``_edges`` of an array of shapes, as columns, and the number of each one's shape. Shapes with unknown coordinates have
+    none."""
+    counts = lambda lists: pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    per_shape, rings = counts(shapes), shapes.flatten()
+    per_ring, points = counts(rings), rings.flatten()
+    x, y = (pc.struct_field(points, c).to_numpy(zero_copy_only=False).astype(float) for c in "xy")
+    of = np.repeat(np.repeat(np.arange(len(shapes)), per_shape), per_ring)
+    ends = np.cumsum(per_ring)
+    follower = np.arange(1, len(x) + 1)
+    follower[ends[per_ring > 0] - 1] = (ends - per_ring)[per_ring > 0]
+    e = np.stack([x, y, x[follower], y[follower]])
+    unknown = np.zeros(len(shapes), bool)
+    unknown[of[np.isnan(x) | np.isnan(y)]] = True
+    use = (e[0] != e[2]) & ~unknown[of]
+    e, of = e[:, use], of[use]
+    return np.where(e[0] > e[2], e[[2, 3, 0, 1]], e), of
+
+
+def _ranges(starts: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the ranges, and each number of them, one range after another."""
+    which = np.repeat(np.arange(len(counts)), counts)
+    return which, np.arange(len(which)) - np.repeat(np.cumsum(counts) - counts, counts) + starts[which]
+
+
+def _crossings(e: np.ndarray, of: np.ndarray, asked: np.ndarray) -> list[np.ndarray]:
+    """Places (x) where edges cross that aren't of two shapes asked about. Edges are in order of their left ends, and only
+    those that have an x in common are compared, as many at once as an array may hold."""
+    x1, y1, x2, y2 = e
+    slope = (y2 - y1) / (x2 - x1)
+    base, out, n = y1 - slope * x1, [], len(x1)
+    later = np.searchsorted(x1, x2) - np.arange(1, n + 1)
+    if not slope.any():
+        return out
+    upto, i = np.cumsum(later), 0
+    while i < n:
+        j = max(i + 1, int(np.searchsorted(upto, (upto[i - 1] if i else 0) + BLOCK // 4, side="right")))
+        a, b = _ranges(np.arange(i + 1, j + 1), later[i:j])
+        a += i
+        use = (slope[a] != slope[b]) & (~asked[of[a]] | ~asked[of[b]] | (of[a] == of[b]))
+        a, b = a[use], b[use]
+        x = (base[b] - base[a]) / (slope[a] - slope[b])
+        out.append(x[(x > x1[b]) & (x < np.minimum(x2[a], x2[b]))])
+        i = j
+    return out
+
+
+def _covered_strip(e: np.ndarray, of: np.ndarray, asked: np.ndarray, window: tuple[float, float, float, float], out: np.ndarray) -> None:
+    """Adds the covered areas in a window (x0, x1, y0, y1) to ``out``.
+
+    Between two neighbouring x of ends and crossings, what an upright line in the middle meets tells the areas. Walked
+    upwards, each edge switches its shape on or off. The length of the line that others cover below each edge is summed up,
+    so the part of it that is covered inside a shape is the sum at its upper edges less that at its lower ones."""
+    left, right, low, high = window
+    near = (e[2] > left) & (e[0] < right)
+    e, of = e[:, near], of[near]
+    if not asked[of].any() or asked[of].all():
+        return
+    order = np.argsort(e[0], kind="stable")
+    (x1, y1, x2, y2), of = e[:, order], of[order]
+    slope = (y2 - y1) / (x2 - x1)
+    cuts = [x1, x2, np.array([left, right]), *_crossings(e[:, order], of, asked)]
+    bent = slope != 0
+    for y in (low, high):
+        x = x1[bent] + (y - y1[bent]) / slope[bent]
+        cuts.append(x[(x > x1[bent]) & (x < x2[bent])])
+    cuts = np.unique(np.concatenate(cuts))
+    cuts = cuts[(cuts >= left) & (cuts <= right)]
+    begin, end = np.searchsorted(cuts, np.maximum(x1, left)), np.searchsorted(cuts, np.minimum(x2, right))
+    met = np.cumsum(np.cumsum(np.bincount(begin, minlength=len(cuts)) - np.bincount(end, minlength=len(cuts))))
+    k = 0
+    while k < len(cuts) - 1:
+        to = min(len(cuts) - 1, max(k + 1, int(np.searchsorted(met, (met[k - 1] if k else 0) + BLOCK // 4, side="right"))))
+        first, last = np.maximum(begin, k), np.minimum(end, to)
+        here = np.flatnonzero(first < last)
+        which, slab = _ranges(first[here], (last - first)[here])
+        edge = here[which]
+        y = y1[edge] + slope[edge] * ((cuts[slab] + cuts[slab + 1]) / 2 - x1[edge])
+        by = np.lexsort((y, of[edge], slab))
+        edge, slab, y = edge[by], slab[by], np.clip(y[by], low, high)
+        # A shape has an even number of edges in each slab, so they open and close it by turns.
+        step = 1 - 2 * (np.arange(len(edge)) % 2)
+        by = np.lexsort((y, slab))
+        edge, slab, y, step = edge[by], slab[by], y[by], step[by]
+        mine = asked[of[edge]]
+        on = np.cumsum(np.where(mine, 0, step)) > 0
+        below = np.concatenate([[0.0], np.cumsum(np.where(on[:-1] & (slab[1:] == slab[:-1]), y[1:] - y[:-1], 0.0))])
+        out += np.bincount(of[edge[mine]], weights=(-step * below * (cuts[slab + 1] - cuts[slab]))[mine], minlength=len(out))
+        k = to
+
+
+#: Shapes from which a window is cut into strips, where that leaves each strip clearly fewer.
+CROWD = 64
+
+
+def covered_parts(shapes: pa.Array, asked: np.ndarray, window: tuple[float, float, float, float]) -> np.ndarray:
+    """For each shape that is ``asked`` about, the area of its part in the window (x0, x1, y0, y1) that the other ones, those
+    not asked about, cover together. One sweep serves all shapes."""
+    out = np.zeros(len(shapes))
+    e, of = _flat_edges(shapes)
+    bottom, top = np.full(len(shapes), np.inf), np.full(len(shapes), -np.inf)
+    np.minimum.at(bottom, of, np.minimum(e[1], e[3]))
+    np.maximum.at(top, of, np.maximum(e[1], e[3]))
+    strips = [(window[2], window[3], np.flatnonzero((bottom < window[3]) & (top > window[2])))]
+    while strips:
+        low, high, held = strips.pop()
+        middle = (low + high) / 2
+        if len(held) > CROWD and low < middle < high:
+            halves = held[bottom[held] < middle], held[top[held] > middle]
+            if len(halves[0]) + len(halves[1]) < 1.5 * len(held):
+                strips += [(low, middle, halves[0]), (middle, high, halves[1])]
+                continue
+        use = np.zeros(len(shapes), bool)
+        use[held] = True
+        use = use[of]
+        _covered_strip(e[:, use], of[use], asked, (window[0], window[1], low, high), out)
+    return out
+
+
+def _covered_cells(batches: Iterator[pa.RecordBatch], size: float) -> Iterator[pa.RecordBatch]:
+    """``covered_parts`` of each cell (``kx, ky``) of batches that are ordered by it: ``_class, part``. Shapes without a class
+    are the others."""
+    for t in groups_of(batches, "kx", "ky"):
+        asked = t["_class"].is_valid().to_numpy()
+        if asked.all() or not asked.any():
+            continue
+        x, y = t["kx"][0].as_py() * size, t["ky"][0].as_py() * size
+        part = covered_parts(t["shape"].chunk(0), asked, (x, x + size, y, y + size))
+        yield pa.record_batch({"_class": t["_class"].filter(pa.array(asked)).combine_chunks(), "part": pa.array(part[asked])})
+
+
 def overlap(a: Ring, b: Ring) -> float:
     """Area common to two rings."""
     return covered_area([a], [[b]])
@@ -117,14 +251,6 @@ def _overlap_series(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([covered_area([_points(r) for r in x], [[_points(r) for r in y]]) for x, y in zip(a, b)], dtype="float64")
 
 
-def _covered_series(shape: pd.Series, others: pd.Series, x: pd.Series, y: pd.Series, size: pd.Series) -> pd.Series:
-    out = []
-    for s, o, u, v, w in zip(shape, others, x, y, size):
-        square = [(u, v), (u + w, v), (u + w, v + w), (u, v + w)]
-        out.append(covered_area([_points(r) for r in s], [[_points(r) for r in other] for other in o], square))
-    return pd.Series(out, dtype="float64")
-
-
 def _window_series(ring: pd.Series, x: pd.Series, y: pd.Series, size: pd.Series) -> pd.Series:
     squares = ([(u, v), (u + s, v), (u + s, v + s), (u, v + s)] for u, v, s in zip(x, y, size))
     return pd.Series([abs(signed_area(clipped(_points(r), w))) for r, w in zip(ring, squares)], dtype="float64")
@@ -165,19 +291,17 @@ def _dealt(rows: DataFrame) -> DataFrame:
 
 def covered_share(shapes: DataFrame, others: DataFrame, key: str, size: float) -> DataFrame:
     """``key, area, covered, share``: how much of each shape the ``others`` cover together; where they overlap each other,
-    once. Shapes and others meet by the square cells of width ``size`` that their boxes touch, and a cell's part of a shape
-    is swept against the distinct others of that cell, so a row holds no more than one cell does. Equal shapes are swept
-    once. A shape without an area has no share. Rows have a ``ring`` or a ``shape``, of which the first ring is the outline
+    once. Shapes and others meet by the square cells of width ``size`` that their boxes touch: a cell's distinct shapes and
+    others come as rows of their own, and one sweep over all of them tells the part of each shape there. A shape without an area has no share. Rows have a ``ring`` or a ``shape``, of which the first ring is the outline
     and the others are holes."""
     ship_package(shapes.sparkSession)
     rows = with_shape(shapes).select(key, "shape")
     own = _shape_classes(rows)
-    mine = _dealt(_in_cells(own, size))
-    theirs = _in_cells(with_shape(others).select("shape").distinct(), size).select("kx", "ky", F.col("shape").alias("other"), *(F.col(c).alias(f"o_{c}") for c in ("x_min", "x_max", "y_min", "y_max")))
-    meet = (F.col("x_min") < F.col("o_x_max")) & (F.col("o_x_min") < F.col("x_max")) & (F.col("y_min") < F.col("o_y_max")) & (F.col("o_y_min") < F.col("y_max"))
-    pieces = mine.join(theirs, ["kx", "ky"]).filter(meet).groupBy("_class", "kx", "ky").agg(F.any_value("shape").alias("shape"), F.collect_list("other").alias("others"))
-    part = F.pandas_udf(_covered_series, "double")("shape", "others", F.col("kx") * float(size), F.col("ky") * float(size), F.lit(float(size)))
-    found = pieces.withColumn("part", part).groupBy("_class").agg(F.sum("part").alias("covered"))
+    theirs = with_shape(others).select("shape").distinct()
+    plain = F.transform("shape", lambda ring: F.transform(ring, lambda p: F.struct(*(p[c].cast("double").alias(c) for c in "xy"))))
+    both = own.select("_class", plain.alias("shape")).unionByName(theirs.select(F.lit(None).cast("long").alias("_class"), plain.alias("shape")))
+    cells = _dealt(_in_cells(both, size).select("kx", "ky", "_class", "shape")).sortWithinPartitions("kx", "ky")
+    found = cells.mapInArrow(lambda batches: _covered_cells(batches, float(size)), "_class long, part double").groupBy("_class").agg(F.sum("part").alias("covered"))
     found = own.join(found, "_class").select("shape", "covered")
     out = rows.join(found, "shape", "left").select(key, shape_area(F.col("shape")).alias("area"), F.coalesce("covered", F.lit(0.0)).alias("covered"))
     return out.withColumn("share", F.when(F.col("area") > 0, F.least(F.col("covered") / F.col("area"), F.lit(1.0))))

@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -80,3 +82,38 @@ def test_covered_share_of_odd_rows(spark):
     got = {r.k: (r.covered, r.share) for r in rings.covered_share(shapes, others.union(others), "k", 3.0).collect()}
     assert got == {1.0: (pytest.approx(25), pytest.approx(0.25)), 2.0: (0.0, 0.0), 3.0: (0.0, None)}
     assert {r.share for r in rings.covered_share(shapes, others.limit(0), "k", 3.0).collect()} == {0.0, None}
+
+
+def test_one_sweep_covers_all_shapes_of_a_window(monkeypatch):
+    rng = random.Random(8)
+    kind = pa.list_(pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())])))
+    for block, crowd in ((2_000_000, 64), (64, 2)):
+        for whole in (True, False):
+            number = (lambda a, b: float(rng.randint(a, b))) if whole else rng.uniform
+            ring = lambda: [(number(-9, 9), number(-9, 9)) for _ in range(rng.choice((2, 3, 4, 6)))]
+            shapes = [[ring() for _ in range(rng.choice((0, 1, 2, 3)))] for _ in range(14)]
+            asked = np.array([rng.random() < 0.5 for _ in shapes])
+            window = (-5.0, 6.0, -7.0, 4.0)
+            others = [s for s, a in zip(shapes, asked) if not a]
+            want = [rings.covered_area(s, others, [(-5, -7), (6, -7), (6, 4), (-5, 4)]) if a else 0.0 for s, a in zip(shapes, asked)]
+            lists = pa.array([[[{"x": x, "y": y} for x, y in r] for r in s] for s in shapes], kind)
+            monkeypatch.setattr(rings, "BLOCK", block)
+            monkeypatch.setattr(rings, "CROWD", crowd)
+            assert rings.covered_parts(lists, asked, window) == pytest.approx(np.array(want), abs=1e-9)
+            monkeypatch.undo()
+
+
+def test_crowded_cells_of_shapes_are_swept_once(spark):
+    ring = F.array(*(F.struct((F.col("x") + dx).alias("x"), (F.col("y") + dy).alias("y")) for dx, dy in ((0, 0), (30, 0), (30, 20), (0, 20))))
+    rows = spark.range(900).select("id", (F.col("id") * 7 % 90 / 10.0).alias("x"), (F.col("id") * 11 % 80 / 10.0 + F.col("id") / 1000).alias("y")).withColumn("ring", ring)
+    got = rings.covered_share(rows.filter("id % 2 = 0"), rows.filter("id % 2 = 1 and id < 450"), "id", 100.0)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan and "Join Inner, ((kx" not in plan  # no list, nor pairs, of what each shape meets
+    boxes = [(r.x, r.y) for r in rows.orderBy("id").collect()]
+    sample = {r.id: r.covered for r in got.filter("id % 100 = 0").collect()}
+    cover = lambda k: rings.covered_area([square_at(*boxes[k])], [[square_at(*boxes[i])] for i in range(1, 450, 2)])
+    assert len(sample) == 9 and sample[100] == pytest.approx(cover(100))
+
+
+def square_at(x, y):
+    return [(x, y), (x + 30, y), (x + 30, y + 20), (x, y + 20)]
